@@ -3,14 +3,30 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veldspar.llm import decontaminate
+from veldspar.llm import decontaminate, mixing, topk, urls
 from veldspar.session import table
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate}
-ORACLES: dict[str, str] = {}
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels stand for page outcomes by equal id: bad is low quality or toxic."""
+    bad = (F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))).cast("int")
+    outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return urls.judged(table(spark, sf_dir, "pages"), outcomes)
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(mixing.mixed(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {"op1_top_k": op1_top_k, "op2_decontaminate": op2_decontaminate, "op3_url_filter": op3_url_filter, "op5_mix_sources": op5_mix_sources}
+ORACLES = {"op1_top_k": topk.ORACLE, "op3_url_filter": urls.ORACLE, "op5_mix_sources": mixing.ORACLE}
