@@ -53,12 +53,11 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     need[large] = 100
     fits = np.full(n, ESCAPE, np.int8)
     for sel in range(len(COUNTS) - 1, -1, -1):  # later selectors pack more ids
-        count = COUNTS[sel]
-        if count > n:
-            continue
-        over = np.r_[0, np.cumsum(need > sel)]
-        at = np.flatnonzero(over[count:] == over[:-count]) if count > 1 else np.flatnonzero(need <= sel)
-        fits[at] = sel
+        last = COUNTS[sel] - 1
+        small = np.flatnonzero(need <= sel)
+        if len(small) > last:
+            first = small[: len(small) - last]
+            fits[first[small[last:] - first == last]] = sel
     sizes = np.append(COUNTS, [0, 1])[fits].tolist()
     heads, i = [], 0
     while i < n:
@@ -110,25 +109,74 @@ def encoder(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     odd = re.compile(f"[{_SPACES}] | [{_SPACES}]")
+    odd_line = re.compile(f"[{_SPACES}]\n|\n[{_SPACES}]")
     border = re.compile(f"(?<=[^{_SPACES}])(?= [^{_SPACES}])")
+    mark = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+    line = tokenizer.encode("\n", add_special_tokens=False).ids
     known: dict[str, bytes] = {}
     spaced: dict[str, bytes] = {}  # of the group after a space
 
-    def learn(into: dict[str, bytes], groups: set[str], lead: str) -> None:
-        new = list(groups - into.keys())
+    def one_by_one(into: dict[str, bytes], new: list[str], lead: str) -> None:
         for a in range(0, len(new), 4096):
-            for g, e in zip(new[a : a + 4096], tokenizer.encode_batch([lead + g for g in new[a : a + 4096]], add_special_tokens=False), strict=True):
+            part = new[a : a + 4096]
+            for g, e in zip(part, tokenizer.encode_batch_fast([lead + g for g in part], add_special_tokens=False), strict=True):
                 into[g] = np.array(e.ids, "<u4").tobytes()
 
+    def together(into: dict[str, bytes], new: list[str], lead: str) -> None:
+        """Groups without white space as lines of one text: a line end is a piece of its own."""
+        for a in range(0, len(new), 4096):
+            part = new[a : a + 4096]
+            text = f"\n{lead}" + f"\n{lead}".join(part)
+            ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == line[0])
+            if len(cut) != len(part) or len(text.split()) != len(part) or "<|" in text:
+                one_by_one(into, part, lead)
+                continue
+            raw, ends = ids.tobytes(), (4 * np.append(cut[1:], len(ids))).tolist()
+            into.update(zip(part, [raw[a:b] for a, b in zip((4 * cut + 4).tolist(), ends, strict=True)], strict=True))
+
+    def learn(into: dict[str, bytes], groups: set[str], lead: str) -> None:
+        """Groups end where letters or digits meet closing marks, and at single line ends: those
+        are borders of pieces too, so what lies between is encoded and kept by itself."""
+        new = list(groups - into.keys())
+        if len(line) != 1:
+            return one_by_one(into, new, lead)
+        lined = [g for g in new if "\n" in g]
+        plain = [g for g in new if "\n" not in g]
+        cut = {g: g.split("\n") for g in lined if "<|" not in g}
+        cut = {g: c for g, c in cut.items() if all(c) and not odd_line.search(g)}
+        one_by_one(into, [g for g in lined if g not in cut], lead)
+        if cut:
+            learn(into, {c[0] for c in cut.values()}, lead)
+            learn(known, set().union(*(c[1:] for c in cut.values())), "")
+            end = np.array(line, "<u4").tobytes()
+            into.update({g: end.join([into[c[0]], *map(known.__getitem__, c[1:])]) for g, c in cut.items()})
+        stems = [g.rstrip(mark) for g in plain]
+        ends = [(g, s) for g, s in zip(plain, stems, strict=True) if s and len(s) < len(g) and s[-1].isalnum() and s[-1].isascii() and "<|" not in g]
+        taken = {g for g, _ in ends}
+        whole = {g for g in plain if g not in taken}
+        one_by_one(into, [g for g in whole if not g], lead)
+        together(into, list((whole | {s for _, s in ends}) - into.keys() - {""}), lead)
+        tails = {g[len(s) :] for g, s in ends} - known.keys()
+        together(known, list(tails), "")
+        into.update({g: into[s] + known[g[len(s) :]] for g, s in ends})
+
     def encode(texts: list[str]) -> list[bytes]:
         if len(known) + len(spaced) > KNOWN_GROUPS:
             known.clear()
             spaced.clear()
-        plain = [None if odd.search(t) else t.split(" ") for t in texts]
-        cut = [border.split(t) if p is None else None for t, p in zip(texts, plain, strict=True)]
-        learn(spaced, set().union(*(p[1:] for p in plain if p)), " ")
-        learn(known, {p[0] for p in plain if p}.union(*(c for c in cut if c)), "")
-        return [b"".join([known[p[0]], *map(spaced.__getitem__, p[1:])]) if p else b"".join(map(known.__getitem__, c)) for p, c in zip(plain, cut, strict=True)]
+        first: list[str] = []
+        rest: list[list[str]] = []
+        for t in texts:
+            p = border.split(t) if odd.search(t) else t.split(" ")
+            rest.append(p)
+        cut = [bool(p[1:]) and p[1][:1] == " " for p in rest]  # borders keep the space
+        plain = [p for p, c in zip(rest, cut, strict=True) if not c]
+        first = [p.pop(0) for p in plain]
+        learn(spaced, set().union(*plain), " ")
+        learn(known, set(first).union(*(p for p, c in zip(rest, cut, strict=True) if c)), "")
+        heads = iter(first)
+        return [b"".join(map(known.__getitem__, p)) if c else known[next(heads)] + b"".join(map(spaced.__getitem__, p)) for p, c in zip(rest, cut, strict=True)]
 
     return encode
 
