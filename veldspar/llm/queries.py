@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import decontaminate, mixing, token_ids, topk, toxicity, urls
+from veldspar.llm import decontaminate, mixing, suffixes, token_ids, topk, toxicity, urls
 from veldspar.session import table
 
 
@@ -38,7 +38,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_url_filter, op5_mix_sources, op7_token_ids, op8_toxicity)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(suffixes.deduplicated(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_url_filter, op5_mix_sources, op7_token_ids, op8_toxicity, op10_suffix_dedup)}
 
 #: Queries without SQL here are held against brute force, exact round trips or held-out accuracy in the tests.
 ORACLES = {"op1_top_k": topk.ORACLE, "op3_url_filter": urls.ORACLE, "op5_mix_sources": mixing.ORACLE}
