@@ -16,6 +16,7 @@ def get_session(app: str = "veldspar", cores: str = "*", partitions: int = 8) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "6g")
         .getOrCreate()
     )
