@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from veldspar.llm import decontaminate
+from veldspar.llm import decontaminate, mixing, near_dups, token_ids, toxicity
 from veldspar.session import table, written
 
 
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go; the others stay unchanged."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates stays."""
+    return near_dups.kept(docs)
+
+
 def remove_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cut passages of the benchmark out of the texts."""
     return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("benchmark decontamination", remove_test_passages)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each source near its target; documents may be repeated up to three times."""
+    return mixing.draw(docs)
+
+
+def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Encoded, written as Simple-8b blocks and read back."""
+    return token_ids.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", remove_toxic),
+    ("MinHash near-dedup", remove_near_copies),
+    ("benchmark decontamination", remove_test_passages),
+    ("mixing sources to target weights", mix_sources),
+    ("token-ID output", write_token_ids),
+]
 
 #: The stages are not expressible in SQL; tests hold them against brute force.
 ORACLE_SQL = None
