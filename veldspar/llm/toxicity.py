@@ -6,8 +6,8 @@ an L1 penalty, so nearly all weights are exactly zero and the rest, a few thousa
 travel to the executors as one small broadcast.
 
 The model is fitted on a sample of at most about ``MAX_TRAIN`` labelled documents, chosen
-by a hash of their ids, whose texts are read whole; its shards train apart and their
-weights are averaged.  Scoring reads every whole text once and shuffles nothing.
+by a hash of their ids, whose texts are read whole; shards of about ``SHARD_ROWS`` of them
+train apart and their weights are averaged.  Scoring reads every whole text once and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -24,10 +24,10 @@ from veldspar.llm import words as W
 
 BITS = 26
 MAX_TRAIN = 20_000
-TRAIN_SHARDS = 4
-EPOCHS = 5
+SHARD_ROWS = 5_000
+EPOCHS = 4
 BATCH = 32
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 2.0, 0.1
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 0.1
 LEAST_DOCS = 3
 THRESHOLD = 0.3
 _MASK = np.uint64((1 << BITS) - 1)
@@ -103,9 +103,10 @@ def train(documents: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarr
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = known.count()
+    shards = max(1, round(min(total, MAX_TRAIN) / SHARD_ROWS))
     spot = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 40))
     chosen = known.where(spot < int(min(1.0, MAX_TRAIN / max(total, 1)) * (1 << 40)))  # about MAX_TRAIN rows: small enough to broadcast
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(TRAIN_SHARDS)).cast("int"))
+    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(shards)).cast("int"))
 
     def one(shard: pd.DataFrame) -> pd.DataFrame:
         shard = shard.sort_values("doc_id", kind="stable")
