@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import decontaminate, mixing, near_dups, suffixes, token_ids, topk, toxicity, urls
+from veldspar.llm import decontaminate, mixing, near_dups, perplexity, suffixes, token_ids, topk, toxicity, urls
 from veldspar.session import table
 
 
@@ -32,6 +32,10 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(mixing.mixed(table(spark, sf_dir, "documents")))
 
 
+def op6_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,7 +50,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.deduplicated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_url_filter, op4_near_dups, op5_mix_sources, op7_token_ids, op8_toxicity, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_url_filter, op4_near_dups, op5_mix_sources, op6_perplexity, op7_token_ids, op8_toxicity, op10_suffix_dedup)}
 
 #: Queries without SQL here are held against brute force, exact round trips or held-out accuracy in the tests.
 ORACLES = {"op1_top_k": topk.ORACLE, "op3_url_filter": urls.ORACLE, "op5_mix_sources": mixing.ORACLE}
