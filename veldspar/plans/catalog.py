@@ -1,0 +1,191 @@
+"""Registered queries of the catalog and record operators on the driver's tables, with SQL."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from veldspar.functions import intent, text
+from veldspar.operators import ranking, records
+from veldspar.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str):
+    def register(f):
+        QUERIES[f.__name__] = f
+        ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+_PARTS = """WITH c AS (SELECT p_partkey, p_brand, p_name, p_retailprice * 1000 AS price, CAST(p_size AS DOUBLE) AS mileage,
+  CASE WHEN p_type LIKE 'LARGE%' THEN 'suv' WHEN p_type LIKE 'SMALL%' THEN 'hatchback' WHEN p_type LIKE 'MEDIUM%' THEN 'sedan' ELSE 'mpv' END AS body FROM part) """
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as catalog items: brand is the make, name the model, type the body, size the mileage."""
+    t = F.col("p_type")
+    body = F.when(t.startswith("LARGE"), "suv").when(t.startswith("SMALL"), "hatchback").when(t.startswith("MEDIUM"), "sedan").otherwise("mpv")
+    return table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_name", (F.col("p_retailprice") * 1000).alias("price"), F.col("p_size").cast("double").alias("mileage"), body.alias("body"))
+
+
+_PRICE = "(CASE WHEN price > 980000 THEN -100.0 ELSE 40 * greatest(0.0, 1 - abs(price - 0.78 * 980000.0) / 980000.0) + CASE WHEN price / 980000 BETWEEN 0.6 AND 0.95 THEN 6.0 ELSE 0.0 END + CASE WHEN price / 980000 < 0.4 THEN -12.0 ELSE 0.0 END END)"
+_MILEAGE = "(CASE WHEN mileage > 0 THEN least(1.0, greatest(0.0, (mileage - 10) / 15.0)) * 12 + least(1.0, greatest(0.0, (mileage - 12) / 12.0)) * 5 ELSE 0.0 END)"
+
+
+@_query(
+    _PARTS
+    + f""", s AS (SELECT p_partkey, p_brand, p_name, round({_PRICE} + {_MILEAGE} + CASE WHEN body = 'suv' THEN 12.0 ELSE -8.0 END, 6) AS score FROM c WHERE price <= 990000),
+t AS (SELECT * FROM s ORDER BY score DESC, p_partkey LIMIT 20),
+m AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS n FROM t),
+k AS (SELECT p_partkey, p_brand, p_name, score FROM m WHERE n <= 2 ORDER BY score DESC, p_partkey LIMIT 10),
+o AS (SELECT *, row_number() OVER (PARTITION BY p_name ORDER BY score DESC, p_partkey) AS n FROM k)
+SELECT p_partkey, p_brand, p_name, score FROM o WHERE n = 1 ORDER BY score DESC, p_partkey LIMIT 4"""
+)
+def catalog_topk_diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price cap, additive score, best 20, two of a make, ten, best of each model, four."""
+    use, cap = F.lit("family"), F.lit(980000.0)
+    points = ranking.price_points(F.col("price"), cap, use) + ranking.mileage_points(F.col("mileage"), use, F.lit(False)) + ranking.match_points(F.col("body"), F.lit("suv"))
+    scored = _catalog(spark, sf_dir).where("price <= 990000").select("p_partkey", "p_brand", "p_name", F.round(points, 6).alias("score"))
+    return ranking.diversified(scored, "p_brand", "p_name", "p_partkey")
+
+
+@_query(
+    _PARTS
+    + """SELECT p_partkey, CAST((CASE WHEN mileage >= 17 THEN 4 ELSE 0 END) + (CASE WHEN body IN ('suv', 'mpv', 'muv') THEN 12 ELSE 0 END)
+  + (CASE WHEN body = 'sedan' THEN 9 ELSE 0 END) + (CASE WHEN body = 'hatchback' THEN 3 ELSE 0 END) + 6 AS DOUBLE) AS points,
+  array_to_string(list_filter(['enough seats', CASE WHEN body IN ('suv', 'mpv', 'muv') THEN 'roomy body' END, CASE WHEN body = 'sedan' THEN 'family sedan' END,
+  CASE WHEN body = 'hatchback' THEN 'small family' END, CASE WHEN mileage >= 17 THEN 'good mileage' END], lambda x: x IS NOT NULL), '; ') AS reasons FROM c"""
+)
+def rank_use_case_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _catalog(spark, sf_dir).withColumn("seats", F.lit(5))
+    points, reasons = ranking.use_case_points(F.lit("family"))
+    return rows.select("p_partkey", points.alias("points"), F.array_join(reasons, "; ").alias("reasons"))
+
+
+@_query(
+    _PARTS
+    + """, r AS (SELECT p_brand, p_partkey, round(CASE WHEN mileage > 0 THEN least(1.0, greatest(0.0, (mileage - 10) / 15.0)) * 12 ELSE 0.0 END, 6) AS score FROM c),
+w AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS rk FROM r)
+SELECT p_brand, p_partkey, score, CAST(rk AS INTEGER) AS rk FROM w WHERE rk <= 3"""
+)
+def rank_within_make(spark: SparkSession, sf_dir: str) -> DataFrame:
+    score = F.round(ranking.mileage_points(F.col("mileage"), F.lit("general"), F.lit(False)), 6)
+    rows = _catalog(spark, sf_dir).select("p_brand", "p_partkey", score.alias("score"))
+    return ranking.ranked(rows, ["p_brand"], "p_partkey").where("rk <= 3")
+
+
+_ASKED = """WITH q AS (SELECT p_partkey, 'family ' || CASE WHEN p_type LIKE 'LARGE%' THEN 'suv' WHEN p_type LIKE 'SMALL%' THEN 'hatchback' WHEN p_type LIKE 'MEDIUM%' THEN 'sedan' ELSE 'car' END
+  || CASE WHEN p_size % 3 = 0 THEN ' diesel automatic' WHEN p_size % 3 = 1 THEN ' 7 seater petrol' ELSE '' END || ' under ' || p_size || ' lakh' AS query, p_size, p_type FROM part) """
+
+
+@_query(
+    _ASKED
+    + """SELECT p_partkey, CAST(NULL AS BIGINT) AS price_min, CAST(p_size * 100000 AS BIGINT) AS price_max, CASE WHEN p_size % 3 = 1 THEN 7 END AS seats,
+  CASE WHEN p_type LIKE 'LARGE%' THEN 'suv' WHEN p_type LIKE 'SMALL%' THEN 'hatchback' WHEN p_type LIKE 'MEDIUM%' THEN 'sedan' END AS body_type,
+  CASE WHEN p_size % 3 = 0 THEN 'diesel' WHEN p_size % 3 = 1 THEN 'petrol' END AS fuel_type, CASE WHEN p_size % 3 = 0 THEN 'automatic' END AS transmission, 'family' AS use_case FROM q"""
+)
+def intent_of_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, s = F.col("p_type"), F.col("p_size")
+    body = F.when(t.startswith("LARGE"), "suv").when(t.startswith("SMALL"), "hatchback").when(t.startswith("MEDIUM"), "sedan").otherwise("car")
+    more = F.when(s % 3 == 0, " diesel automatic").when(s % 3 == 1, " 7 seater petrol").otherwise("")
+    asked = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("family "), body, more, F.lit(" under "), s.cast("string"), F.lit(" lakh")).alias("query"))
+    return intent.parsed(asked).select("p_partkey", "price_min", "price_max", "seats", "body_type", "fuel_type", "transmission", "use_case")
+
+
+_CANDIDATE = "l_partkey, l_suppkey, l_orderkey * 10 + l_linenumber AS seq, l_quantity AS q, l_returnflag AS unit, 1 - l_discount AS confidence"
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as values for (part, supplier) cells."""
+    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    return table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", seq.alias("seq"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("unit"), (1 - F.col("l_discount")).alias("confidence"))
+
+
+@_query(
+    f"""WITH c AS (SELECT {_CANDIDATE} FROM lineitem), p AS (SELECT CASE WHEN a.unit <> b.unit THEN 'unit mismatch'
+  WHEN a.q <> b.q AND abs(a.q - b.q) > 0.02 * greatest(abs(a.q), abs(b.q), 1.0) THEN 'numeric conflict' END AS reason
+  FROM c a JOIN c b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey AND a.seq < b.seq)
+SELECT reason, count(*) AS n FROM p WHERE reason IS NOT NULL GROUP BY reason"""
+)
+def conflict_reason_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = records.conflicts(_candidates(spark, sf_dir), ["l_partkey", "l_suppkey"], "seq", "q", "unit")
+    return found.groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@_query(
+    f"""WITH c AS (SELECT {_CANDIDATE} FROM lineitem), w AS (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY confidence DESC, seq, q, unit) AS n FROM c)
+SELECT l_partkey, l_suppkey, seq, q FROM w WHERE n = 1"""
+)
+def source_winner(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.desc("confidence"), F.col("seq"), F.col("q"), F.col("unit")]
+    return records.winners(_candidates(spark, sf_dir), ["l_partkey", "l_suppkey"], order).select("l_partkey", "l_suppkey", "seq", "q")
+
+
+@_query(
+    f"""WITH c AS (SELECT {_CANDIDATE} FROM lineitem), w AS (SELECT l_partkey, q, unit, seq, row_number() OVER v AS n, first_value(seq) OVER v AS f FROM c WINDOW v AS (PARTITION BY l_partkey, q, unit ORDER BY seq, l_suppkey, confidence))
+SELECT seq, l_partkey, CASE WHEN n > 1 THEN f END AS duplicate_of FROM w"""
+)
+def duplicate_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = [F.col("seq"), F.col("l_suppkey"), F.col("confidence")]
+    return records.duplicates_marked(_candidates(spark, sf_dir), ["l_partkey", "q", "unit"], order, "seq").select("seq", "l_partkey", "duplicate_of")
+
+
+_CUSTOMER = "SELECT c_custkey, c_mktsegment, c_name, CASE WHEN c_acctbal >= 0 THEN c_acctbal END AS c_acctbal, CASE WHEN c_nationkey % 5 > 0 THEN c_nationkey END AS c_nationkey FROM customer"
+
+
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with nulls: negative balances and every fifth nation are unknown."""
+    rows = table(spark, sf_dir, "customer")
+    return rows.select("c_custkey", "c_mktsegment", "c_name", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("c_acctbal"), F.when(F.col("c_nationkey") % 5 > 0, F.col("c_nationkey")).alias("c_nationkey"))
+
+
+@_query(
+    f"""WITH r AS ({_CUSTOMER}), u AS (SELECT c_mktsegment AS grp, 'c_acctbal' AS field, CAST(c_acctbal AS VARCHAR) AS v FROM r UNION ALL SELECT c_mktsegment, 'c_nationkey', CAST(c_nationkey AS VARCHAR) FROM r)
+SELECT field, grp, count(*) AS n, count(v) AS n_populated, count(*) - count(v) AS n_missing, count(DISTINCT v) AS n_distinct, round(100 * count(v) / count(*), 2) AS pct FROM u GROUP BY field, grp"""
+)
+def coverage_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.coverage(_customers(spark, sf_dir), "c_custkey", ["c_acctbal", "c_nationkey"], "c_mktsegment")
+
+
+@_query(
+    f"""WITH r AS ({_CUSTOMER}), p AS (SELECT c_custkey, c_name, round(100.0 * (CASE WHEN c_name <> '' THEN 5 ELSE 0 END + CASE WHEN c_acctbal IS NOT NULL THEN 3 ELSE 0 END + CASE WHEN c_nationkey IS NOT NULL THEN 2 ELSE 0 END) / 10, 2) AS pct FROM r)
+SELECT c_custkey, pct, CASE WHEN c_name IS NULL THEN 'BASIC' WHEN pct >= 90 THEN 'EXCELLENT' WHEN pct >= 78 THEN 'GOOD' WHEN pct >= 60 THEN 'FAIR' ELSE 'BASIC' END AS tier FROM p"""
+)
+def weighted_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _customers(spark, sf_dir)
+    rows = rows.withColumn("pct", records.completeness(rows, {"c_name": 5, "c_acctbal": 3, "c_nationkey": 2}))
+    return rows.select("c_custkey", "pct", records.readiness(F.col("pct"), F.col("c_name").isNotNull()).alias("tier"))
+
+
+@_query(
+    f"""WITH r AS ({_CUSTOMER}), o AS (SELECT o_custkey, max(o_totalprice) AS value FROM orders GROUP BY 1)
+SELECT c_custkey, coalesce(c_acctbal, value) AS c_acctbal, c_acctbal IS NULL AND value IS NOT NULL AS filled FROM r LEFT JOIN o ON c_custkey = o_custkey"""
+)
+def merge_fill_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("value"))
+    return records.filled(_customers(spark, sf_dir), "c_custkey", "c_acctbal", found).select("c_custkey", "c_acctbal", "filled")
+
+
+@_query("SELECT p_brand, p_name, count(*) AS n FROM part GROUP BY ALL HAVING count(*) > 1")
+def duplicate_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").groupBy("p_brand", "p_name").agg(F.count("*").alias("n")).where("n > 1")
+
+
+@_query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS label, regexp_replace(lower(p_name), ' +', '-', 'g') AS slug, translate(lower(p_name), '_- ()/', '') AS squashed FROM part")
+def label_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("p_name")
+    return table(spark, sf_dir, "part").select("p_partkey", text.label(c).alias("label"), text.slug(c).alias("slug"), text.squashed(c).alias("squashed"))
+
+
+@_query("SELECT a.vec_id, round(list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: CAST(p[1] AS DOUBLE) * CAST(p[2] AS DOUBLE))), 5) AS similarity FROM embeddings a, (SELECT embedding FROM embeddings WHERE vec_id = 0) b")
+def semantic_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    asked = rows.where("vec_id = 0").select(F.col("embedding").alias("asked"))  # one vector
+    return rows.crossJoin(F.broadcast(asked)).select("vec_id", F.round(ranking.dot(F.col("embedding"), F.col("asked")), 5).alias("similarity"))
