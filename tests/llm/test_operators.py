@@ -150,6 +150,54 @@ def test_perplexity_tells_junk(spark):
     assert not any(got[1000 + i] for i in range(20)) and np.mean([got[i] for i in range(300, 400)]) > 0.9
 
 
+def test_perplexity_knows_rare_words(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    chain = [word() for _ in range(1500)]
+    good = [" ".join(chain[(a + i) % 1500] for i in range(80)) for a in (r.randrange(1500) for _ in range(600))]
+    junk = [" ".join(word() for _ in range(80)) for _ in range(20)]
+    mixed = [" ".join(r.sample(chain, 80)) for _ in range(20)]  # known words in no known order
+    docs = [(i, t, "en") for i, t in enumerate([*good, *junk, *mixed])]
+    labels = [(i, 1, 0) for i in range(500)]
+    got = {x.doc_id: x.keep for x in perplexity.scored(spark.createDataFrame(docs, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert not any(got[i] for i in range(600, 640)) and np.mean([got[i] for i in range(500, 600)]) > 0.9
+
+
+def test_kneser_ney_equals_brute_force(spark):
+    r = random.Random(12)
+    some = [prose(r, 1) for _ in range(40)]
+    texts = [" ".join(r.choice(some[: 3 + i % 38]) for _ in range(30)) for i in range(60)] + ["unseen " + some[0]]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows = perplexity.scored(docs, spark.createDataFrame([(i, 1, 0) for i in range(50)], "doc_id long, quality int, toxic int")).collect()
+    held = {x.doc_id for x in docs.selectExpr("doc_id").where(f"doc_id < 50 and pmod(xxhash64(doc_id, 29), {perplexity.CALIBRATION}) = 0").collect()}
+    grams = lambda t: [g for w in [["", "", *t.split()]] for g in zip(w, w[1:], w[2:])]
+    three = Counter(g for i in range(50) if i not in held for g in grams(texts[i]))
+    two = Counter(g[1:] for g in three)
+    one = Counter(g[1:] for g in two)
+
+    def cuts(counts):
+        n = Counter(counts.values())
+        if not all(n[c] for c in (1, 2, 3, 4)):
+            return 0.5, 0.75, 0.9
+        y = n[1] / (n[1] + 2 * n[2])
+        return [min(max(c - (c + 1) * y * n[c + 1] / n[c], 0.05), c - 0.05) for c in (1, 2, 3)]
+
+    d = {k: cuts(x) for k, x in ((1, one), (2, two), (3, three))}
+
+    def p(g):
+        counts = {1: one, 2: two, 3: three}[len(g)]
+        low = p(g[1:]) if len(g) > 1 else 1 / (len(one) + 1)
+        after = [c for k, c in counts.items() if k[:-1] == g[:-1]]
+        if not after:
+            return low
+        cut = lambda c: d[len(g)][min(c, 3) - 1] if c else 0
+        return (counts[g] - cut(counts[g]) + sum(map(cut, after)) * low) / sum(after)
+
+    for x in rows:
+        own = [np.log(p(g)) for g in grams(texts[x.doc_id])]
+        assert np.isclose(x.perplexity, np.exp(-np.mean(own)), rtol=1e-6)
+
+
 def test_rules_and_reputation(spark):
     pages = [(1, "http://A.Example.NET/en/x?q"), (2, "http://example.net/de"), (3, "nothing"), (4, None), (5, "https://x.example.com/de/1#f")]
     out = urls.judged(spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame([(3, 0)], "page_id long, bad int"))

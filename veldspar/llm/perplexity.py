@@ -1,18 +1,17 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney trigram model.
 
-Tokens are runs of letters and digits or runs of marks, as they are written.  The model
-knows the ``VOCABULARY`` most frequent tokens of the corpus (a parameter of the model, and
-the bound of what is broadcast); other tokens count as one of 36 shapes, by their first and
-last character.  So the vocabulary is closed and perplexities compare.
+Tokens are runs of letters and digits or runs of marks, as they are written, and are named
+by 64-bit hashes.  Every token of trusted text is in the vocabulary; a token outside it has
+the share of the uniform distribution that the single tokens leave it.
 
-1. Documents become token ids in blocks of consecutive rows, written to the shared folder.
+1. Documents become token hashes in blocks of consecutive rows, written to the shared folder.
 2. Trigrams of all trusted documents (but for a share kept for calibration) are counted;
    bigrams and single tokens get continuation counts.  Discounts come from the counts of
-   counts, order by order; interpolated probabilities from joins of each order's table with
-   the next lower one.  Tables stay sharded by n-gram.
-3. Each block asks for its distinct trigrams and bigrams; the questions are joined with the
-   tables and the answers meet their block again, where every document's perplexity is
-   added up.  Only single tokens, bounded by the vocabulary, are broadcast.
+   counts, order by order; each context has its sum of counts and of discounts.  All tables
+   are sharded by n-gram or context, those of single tokens too.
+3. Each block asks for its distinct trigrams, bigrams and tokens; the questions are joined
+   with the tables and the answers meet their block again, where the orders are interpolated
+   and every document's perplexity is added up.  Nothing is broadcast but a few figures.
 4. A language's threshold is a quantile of the perplexities of its trusted documents that
    the model has not seen; languages with few of them use all languages' quantile.
 """
@@ -23,43 +22,33 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.llm import words as W
 from veldspar.session import written
 
-VOCABULARY = 256
 BLOCK_TOKENS = 1 << 20
-BITS = 13
-START = 0
-SHAPES = 36
+BLOCK_ROWS = 1 << 16
+START = 0x2545F4914F6CDD1D
 CALIBRATION = 8
 QUANTILE = 0.995
 LEAST_CALIBRATION = 100
-_FIRST_ID = 1 + SHAPES
 
 _BYTE = np.arange(256)
-_CLASS = np.zeros(256, np.int64)  # of a token's first and last byte
-_CLASS[(_BYTE >= 97) & (_BYTE <= 122)] = 0
-_CLASS[(_BYTE >= 65) & (_BYTE <= 90)] = 1
-_CLASS[(_BYTE >= 48) & (_BYTE <= 57)] = 2
-_CLASS[_BYTE >= 128] = 3
-_CLASS[((_BYTE >= 33) & (_BYTE <= 47)) | ((_BYTE >= 58) & (_BYTE <= 64))] = 4
-_CLASS[((_BYTE >= 91) & (_BYTE <= 96)) | ((_BYTE >= 123) & (_BYTE <= 127))] = 5
-_KIND = np.where(_BYTE <= 32, 0, np.where(_CLASS <= 3, 1, 2))  # space, word, marks
-
-
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, shape id) of every token of the texts, and of each text its first token's index."""
+_WORD = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
+_KIND = np.where(_BYTE <= 32, 0, np.where(_WORD, 1, 2))  # space, word, marks
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hash of every token of the texts, and of each text its first token's index."""
     data, offsets = W.utf8(column)
     kind = _KIND[data]
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     opens = np.empty(len(data), bool)
     opens[0] = True
     np.not_equal(kind[1:], kind[:-1], out=opens[1:])
@@ -70,111 +59,112 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place = np.arange(len(data)) - np.repeat(begin, size)
     sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * W.powers(int(size.max()))[place], begin)
     begin, size = begin[real], size[real]
-    hashes = W.mix(sums[real] + size.astype(np.uint64))
-    shape = 1 + _CLASS[data[begin]] * 6 + _CLASS[data[begin + size - 1]]
-    return hashes, shape, np.searchsorted(begin, offsets)
-
-
-def _vocabulary(documents: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes of the most frequent tokens of the corpus, and their ids."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in W.chunks(batch, "text", 1 << 23):
-                kinds, count = np.unique(tokens(part.column("text"))[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(count)], names=["token", "n"])
-
-    counts = documents.select("text").mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "token").limit(VOCABULARY).collect()  # at most VOCABULARY rows
-    hashes = np.array([r.token for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], order + _FIRST_ID
+    return W.mix(sums[real] + size.astype(np.uint64)), np.searchsorted(begin, offsets)
 
 
-def _numbered(documents: DataFrame, known: np.ndarray, ids: np.ndarray) -> DataFrame:
-    """``doc_id, lang, tokens``: each text as compressed token ids."""
-    shared = documents.sparkSession.sparkContext.broadcast((known, ids))
+def _packed(documents: DataFrame) -> DataFrame:
+    """``doc_id, lang, packed``: each text compressed, as less has to move to meet the labels."""
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids = shared.value
         press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             for part in W.chunks(batch, "text"):
-                hashes, shape, first = tokens(part.column("text"))
-                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                found = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                own = np.where(found, ids[at] if len(known) else 0, shape).astype(np.uint16)
-                packed = [press.compress(own[a:b].tobytes()) for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(packed, pa.binary())], names=["doc_id", "lang", "tokens"])
+                packed = [press.compress((x or "").encode()) for x in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(packed, pa.binary())], names=["doc_id", "lang", "packed"])
+
+    return documents.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, packed binary")
 
-    return documents.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, tokens binary")
 
+def _blocks(packed: DataFrame) -> DataFrame:
+    """Blocks of rows: ``block, words, tokens, ends`` and the rows' own columns as a list.
 
-def _blocks(numbered: DataFrame) -> DataFrame:
-    """Blocks of rows: ``block, tokens, ends`` and the rows' own columns as a list."""
-    kind = numbered.schema["doc_id"].dataType.simpleString()
+    ``words`` are the distinct token hashes of a block and ``tokens`` places among them.
+    """
+    kind = packed.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=3)
-        block, size, held, own = TaskContext.get().partitionId() << 24, 0, [], []
+        block, size, count, held, sizes, own = TaskContext.get().partitionId() << 24, 0, 0, [], [], []
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, size
+            nonlocal block, size, count
             rows = pa.concat_arrays(own)
-            ends = np.cumsum([len(h) // 2 for h in held]).astype(np.int64)
-            out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([press.compress(b"".join(held))], pa.binary()), pa.array([ends.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], names=["block", "tokens", "ends", "own"])
-            block, size = block + 1, 0
-            held.clear()
-            own.clear()
+            words, at, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")  # frequent ones first: small numbers compress
+            place = np.empty(len(order), np.uint32)
+            place[order] = np.arange(len(order), dtype=np.uint32)
+            ends = np.cumsum(np.concatenate(sizes)).astype(np.int64)
+            fields = [pa.array([press.compress(x.tobytes())], pa.binary()) for x in (words[order], place[at])]
+            out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *fields, pa.array([ends.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], names=["block", "words", "tokens", "ends", "own"])
+            block, size, count = block + 1, 0, 0
+            for x in (held, sizes, own):
+                x.clear()
             return out
 
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                raw = [zstandard.decompress(x) for x in part.column("tokens").to_pylist()]
-                held.extend(raw)
+                hashes, first = tokens(pa.array([zstandard.decompress(x) for x in part.column("packed").to_pylist()], pa.large_binary()))
+                held.append(hashes)
+                sizes.append(np.diff(first))
                 own.append(pa.StructArray.from_arrays([part.column(c) for c in ("doc_id", "lang", "use")], names=["doc_id", "lang", "use"]))
-                size += sum(map(len, raw)) // 2
-                if size >= BLOCK_TOKENS:
+                size, count = size + len(hashes), count + part.num_rows
+                if size >= BLOCK_TOKENS or count >= BLOCK_ROWS:
                     yield flush()
         if own:
             yield flush()
 
-    return numbered.select("doc_id", "lang", "use", "tokens").mapInArrow(run, f"block bigint, tokens binary, ends binary, own array<struct<doc_id:{kind},lang:string,use:int>>")
+    return packed.select("doc_id", "lang", "use", "packed").mapInArrow(run, f"block bigint, words binary, tokens binary, ends binary, own array<struct<doc_id:{kind},lang:string,use:int>>")
 
 
-def _grams(packed: bytes, ends: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(trigram, bigram of the first two) at every token, and the texts' ends; two starts lead each text."""
-    ids = np.frombuffer(zstandard.decompress(packed), np.uint16).astype(np.int64)
-    ends = np.frombuffer(ends, np.int64)
+def _grams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(token before the last, last token, token) at every token of a block, and the texts' ends; two starts lead each text."""
+    words = np.frombuffer(zstandard.decompress(row["words"]), np.int64)
+    h = words[np.frombuffer(zstandard.decompress(row["tokens"]), np.uint32)] if len(words) else words
+    ends = np.frombuffer(row["ends"], np.int64)
     first = np.r_[0, ends[:-1]]
-    one, two = np.r_[START, ids[:-1]][: len(ids)], np.r_[START, START, ids[:-2]][: len(ids)]
+    one, two = np.r_[START, h[:-1]][: len(h)], np.r_[START, START, h[:-2]][: len(h)]
     first = first[first < ends]
     one[first] = START
     two[first] = START
     second = first + 1
-    two[second[second < len(ids)]] = START
-    before = two << BITS | one
-    return before << BITS | ids, before, ends
+    two[second[second < len(h)]] = START
+    return two, one, h, ends
+
+
+_TURN = 21
 
 
-_LOW = (1 << (2 * BITS)) - 1
-_TAG = 1 << 40  # bigram keys are tagged, so that both orders share a column
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The name of the n-gram ``a`` (a token or the name of a shorter n-gram) followed by the token ``b``."""
+    a = a.view(np.uint64)
+    return (a << np.uint64(_TURN) | a >> np.uint64(64 - _TURN)).view(np.int64) ^ b
+
+
+def _pair_of(a: Column, b: Column) -> Column:
+    """The same of columns."""
+    return F.shiftleft(a, _TURN).bitwiseOR(F.shiftrightunsigned(a, 64 - _TURN)).bitwiseXOR(b)
+
+
+_TAGS = {1: 0x1B873593CC9E2D51, 2: 0x38B34AE5A1E38B93, 3: 0x5BD1E9955BD1E995}  # so that all orders share a column of keys
 
 
 def _counts(blocks: DataFrame) -> DataFrame:
-    """(gram, c) of the trigrams of all documents used for training."""
+    """(u, v, w, c) of the trigrams of all documents used for training."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                gram, _, ends = _grams(r["tokens"], r["ends"])
-                use = np.repeat(np.array([x["use"] for x in r["own"]]), np.diff(ends, prepend=0))
-                kinds, count = np.unique(gram[use == 1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(count)], names=["gram", "c"])
+                two, one, h, ends = _grams(r)
+                use = np.repeat(np.array([x["use"] for x in r["own"]]), np.diff(ends, prepend=0)) == 1
+                two, one, h = two[use], one[use], h[use]
+                _, at, count = np.unique(_pair(_pair(two, one), h), return_index=True, return_counts=True)
+                for a in range(0, len(at), 1 << 16):
+                    some = at[a : a + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(two[some]), pa.array(one[some]), pa.array(h[some]), pa.array(count[a : a + (1 << 16)])], names=["u", "v", "w", "c"])
 
-    return blocks.mapInArrow(run, "gram bigint, c bigint").groupBy("gram").agg(F.sum("c").alias("c"))
+    return blocks.mapInArrow(run, "u bigint, v bigint, w bigint, c bigint").groupBy("u", "v", "w").agg(F.sum("c").alias("c"))
 
 
 def _discounts(counted: DataFrame) -> tuple[float, float, float]:
@@ -187,98 +177,94 @@ def _discounts(counted: DataFrame) -> tuple[float, float, float]:
     return tuple(min(max(d, 0.05), c - 0.05) for c, d in zip((1, 2, 3), found, strict=True))
 
 
-def _level(counted: DataFrame, context, d: tuple[float, float, float]) -> tuple[DataFrame, DataFrame]:
-    """(gram, own part of its probability, context) and (context, weight of the lower order)."""
-    cut = F.when(F.col("c") == 1, d[0]).when(F.col("c") == 2, d[1]).otherwise(d[2])
-    rows = counted.select("gram", "c", context.alias("context"), cut.alias("cut"))
-    whole = rows.groupBy("context").agg(F.sum("c").alias("all"), F.sum("cut").alias("freed")).select("context", "all", (F.col("freed") / F.col("all")).alias("back"))
-    own = rows.join(whole, "context").select("gram", ((F.col("c") - F.col("cut")) / F.col("all")).alias("own"), "back")
-    return own, whole.select("context", "back")
+def _cut(c: Column, d: tuple[float, float, float]) -> Column:
+    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def model(trigrams: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """The table (key, p, back) of trigrams and tagged bigrams, and of single tokens p and back.
+def model(trigrams: DataFrame) -> tuple[DataFrame, list[tuple[float, float, float]], tuple[int, float, int]]:
+    """The table (key, c, whole, freed), the discounts of the three orders and (sum, freed, number) of the single tokens.
 
-    ``p`` is the interpolated probability of the last token after the others; ``back`` the
-    weight of the lower order after the gram as a context.
+    ``c`` is the (continuation) count of an n-gram; ``whole`` and ``freed`` are the sums of
+    counts and of discounts after it as a context.
     """
-    size = _FIRST_ID + VOCABULARY
-    bigrams = trigrams.groupBy((F.col("gram").bitwiseAND(_LOW)).alias("gram")).agg(F.count("*").alias("c"))
-    bigrams = written(bigrams, "perplexity-bigrams")
-    singles = bigrams.groupBy(F.col("gram").bitwiseAND((1 << BITS) - 1).alias("gram")).agg(F.count("*").alias("c"))
-    rows = singles.collect()  # at most the vocabulary
-    c = np.zeros(size)
-    for r in rows:
-        c[r.gram] = r.c
-    d = _discounts(singles)
-    cut = np.where(c == 0, 0, np.where(c == 1, d[0], np.where(c == 2, d[1], d[2])))
-    single = (c - cut + cut.sum() / size) / c.sum() if c.sum() else np.full(size, 1 / size)
-    own, back = _level(bigrams, F.shiftright("gram", BITS), _discounts(bigrams))
-    after = np.ones(size)
-    for r in back.collect():  # at most the vocabulary
-        after[r.context] = r.back
-    ones = trigrams.sparkSession.createDataFrame(pd.DataFrame({"w": np.arange(size), "p1": single}))
-    two = own.withColumn("w", F.col("gram").bitwiseAND((1 << BITS) - 1)).join(F.broadcast(ones), "w")
-    two = two.select("gram", (F.col("own") + F.col("back") * F.col("p1")).alias("p2"))
-    own, back = _level(trigrams, F.shiftright("gram", BITS), _discounts(trigrams))
-    three = own.withColumn("low", F.col("gram").bitwiseAND(_LOW)).join(two.select(F.col("gram").alias("low"), "p2"), "low")
-    three = three.select(F.col("gram").alias("key"), (F.col("own") + F.col("back") * F.col("p2")).cast("float").alias("p"), F.lit(None).cast("float").alias("back"))
-    tagged = two.select(F.col("gram"), "p2").join(back.withColumnRenamed("context", "gram"), "gram", "full")
-    tagged = tagged.select((F.col("gram") + _TAG).alias("key"), F.col("p2").cast("float").alias("p"), F.col("back").cast("float").alias("back"))
-    return three.union(tagged), single, after
+    bigrams = written(trigrams.groupBy("v", "w").agg(F.count("*").alias("c")), "perplexity-bigrams")
+    singles = written(bigrams.groupBy("w").agg(F.count("*").alias("c")), "perplexity-singles")
+    d = [_discounts(x) for x in (singles, bigrams, trigrams)]
+    total = singles.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("a"), F.coalesce(F.sum(_cut(F.col("c"), d[0])), F.lit(0.0)).alias("f"), F.count("*").alias("n")).first()
+
+    def keyed(counted: DataFrame, key: Column, tag: int) -> DataFrame:
+        return counted.select(key.bitwiseXOR(F.lit(_TAGS[tag])).alias("key"), "c", F.lit(0).cast("bigint").alias("whole"), F.lit(0.0).alias("freed"))
+
+    def contexts(counted: DataFrame, d: tuple[float, float, float], *context: str) -> DataFrame:
+        sums = counted.groupBy(*context).agg(F.sum("c").alias("whole"), F.sum(_cut(F.col("c"), d)).alias("freed"))
+        key = F.col(context[0]) if len(context) == 1 else _pair_of(*map(F.col, context))
+        return sums.select(key.bitwiseXOR(F.lit(_TAGS[len(context)])).alias("key"), F.lit(0).cast("bigint").alias("c"), "whole", "freed")
+
+    three = keyed(trigrams, _pair_of(_pair_of(F.col("u"), F.col("v")), F.col("w")), 3)
+    lower = keyed(bigrams, _pair_of(F.col("v"), F.col("w")), 2).union(keyed(singles, F.col("w"), 1))
+    lower = lower.union(contexts(trigrams, d[2], "u", "v")).union(contexts(bigrams, d[1], "v"))
+    lower = lower.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("c", "whole", "freed")))
+    return three.union(lower), d, (total.a, total.f, total.n)
+
+
+def _keys(two: np.ndarray, one: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
+    """Keys of the trigram, its first and last two tokens, and its last two single tokens."""
+    before = _pair(two, one)
+    return [_pair(before, h) ^ _TAGS[3], before ^ _TAGS[2], _pair(one, h) ^ _TAGS[2], one ^ _TAGS[1], h ^ _TAGS[1]]
 
 
 def _asked(blocks: DataFrame) -> DataFrame:
-    """(key, block): the distinct trigrams and bigrams of each block."""
+    """(key, block): the distinct trigrams, bigrams and tokens of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                gram, before, _ = _grams(r["tokens"], r["ends"])
-                three = np.unique(gram)
-                two = np.unique(np.r_[three & _LOW, three >> BITS])
-                keys = np.r_[three, two + _TAG]
-                for a in range(0, len(keys), 1 << 16):
-                    part = keys[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), r["block"]))], names=["key", "block"])
+                three, *lower = _keys(*_grams(r)[:3])
+                for keys in (np.unique(three), np.unique(np.concatenate(lower[:2])), np.unique(np.concatenate(lower[2:]))):
+                    for a in range(0, len(keys), 1 << 16):
+                        part = keys[a : a + (1 << 16)]
+                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), r["block"]))], names=["key", "block"])
 
-    return blocks.select("block", "tokens", "ends").mapInArrow(run, "key bigint, block bigint")
+    return blocks.select("block", "words", "tokens", "ends").mapInArrow(run, "key bigint, block bigint")
 
 
-def _scores(blocks: DataFrame, answers: DataFrame, single: np.ndarray, after: np.ndarray) -> DataFrame:
+def _scores(blocks: DataFrame, answers: DataFrame, d: list[tuple[float, float, float]], single: tuple[int, float, int]) -> DataFrame:
     """``doc_id, lang, use, n_tokens, perplexity`` of every document."""
-    shared = blocks.sparkSession.sparkContext.broadcast((np.log(single), np.log(after)))
     kind = blocks.schema["own"].dataType.elementType["doc_id"].dataType.simpleString()
-    mask = (1 << BITS) - 1
 
     def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        log_one, log_after = shared.value
         keys = right.column("key").to_numpy()
         order = np.argsort(keys)
         keys = keys[order]
-        p = np.log(right.column("p").to_numpy(zero_copy_only=False).astype(np.float64))[order]
-        back = np.log(right.column("back").to_numpy(zero_copy_only=False).astype(np.float64))[order]
+        values = {c: right.column(c).to_numpy()[order].astype(np.float64) for c in ("c", "whole", "freed")}
 
-        def look(wanted: np.ndarray, values: np.ndarray) -> np.ndarray:
-            """Values by key, NaN where there is none."""
+        def look(wanted: np.ndarray, *columns: str) -> list[np.ndarray]:
+            """Values by key, 0 where there is none."""
             if not len(keys):
-                return np.full(len(wanted), np.nan)
+                return [np.zeros(len(wanted)) for _ in columns]
             at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            return np.where(keys[at] == wanted, values[at], np.nan)
+            found = keys[at] == wanted
+            return [np.where(found, values[c][at], 0.0) for c in columns]
+
+        def kept(c: np.ndarray, order: int) -> np.ndarray:
+            """Counts less their discounts."""
+            return c - np.array([0.0, *d[order - 1]])[np.minimum(c, 3).astype(np.int64)]
+
+        def mixed(c: np.ndarray, order: int, whole: np.ndarray, freed: np.ndarray, low: np.ndarray) -> np.ndarray:
+            return np.where(whole > 0, (kept(c, order) + freed * low) / np.maximum(whole, 1), low)
 
         out = []
         for r in left.to_pylist():
-            gram, _, ends = _grams(r["tokens"], r["ends"])
-            kinds, where = np.unique(gram, return_inverse=True)
-            low = kinds & _LOW
-            two = look(low + _TAG, p)
-            two = np.where(np.isnan(two), log_after[low >> BITS] + log_one[low & mask], two)
-            three = look(kinds, p)
-            score = np.where(np.isnan(three), np.nan_to_num(look((kinds >> BITS) + _TAG, back)) + two, three)
-            sums = np.r_[0.0, np.cumsum(score[where])]
-            first = np.r_[0, ends[:-1]]
-            n = ends - first
-            mean = (sums[ends] - sums[first]) / np.maximum(n, 1)
+            two, one, h, ends = _grams(r)
+            _, at, where = np.unique(_pair(_pair(two, one), h), return_index=True, return_inverse=True)
+            three, before, last, context, token = _keys(two[at], one[at], h[at])
+            whole, freed, number = single
+            p = (kept(look(token, "c")[0], 1) + freed / (number + 1)) / whole if whole else np.full(len(at), 1.0)
+            p = mixed(*look(last, "c"), 2, *look(context, "whole", "freed"), p)
+            p = mixed(*look(three, "c"), 3, *look(before, "whole", "freed"), p)
+            sums = np.r_[0.0, np.cumsum(np.log(p)[where])]
+            n = np.diff(ends, prepend=0)
+            mean = (sums[ends] - sums[ends - n]) / np.maximum(n, 1)
             rows = pa.array(r["own"], pa.struct([("doc_id", right_kind), ("lang", pa.string()), ("use", pa.int32())]))
             out.append(pa.table([rows.field(0), rows.field(1), rows.field(2), pa.array(n), pa.array(np.exp(-mean), mask=n == 0)], names=["doc_id", "lang", "use", "n_tokens", "perplexity"]))
         return pa.concat_tables(out)
@@ -303,13 +289,12 @@ def scored(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE)
     good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
     calibrate = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(CALIBRATION)) == 0
     good = good.select("doc_id", F.when(calibrate, 2).otherwise(1).alias("use"))
-    known, ids = _vocabulary(documents)
-    named = _numbered(documents, known, ids).join(good, "doc_id", "left").withColumn("use", F.coalesce("use", F.lit(0)))
+    named = _packed(documents).join(good, "doc_id", "left").withColumn("use", F.coalesce("use", F.lit(0)))
     blocks = written(_blocks(named), "perplexity-blocks")
     trigrams = written(_counts(blocks), "perplexity-trigrams")
-    table, single, after = model(trigrams)
-    answers = _asked(blocks).join(table, "key").select("block", "key", "p", "back")
-    rows = written(_scores(blocks, answers, single, after), "perplexity-scores")
+    table, d, single = model(trigrams)
+    answers = _asked(blocks).join(table, "key").select("block", "key", "c", "whole", "freed")
+    rows = written(_scores(blocks, answers, d, single), "perplexity-scores")
     seen = rows.where((F.col("use") == 2) & F.col("perplexity").isNotNull())
     at = F.percentile_approx("perplexity", quantile, 10_000)
     whole = seen.agg(at.alias("t")).first().t
