@@ -79,6 +79,30 @@ def test_near_copies_share_a_class(spark):
     assert {x.doc_id for x in near_dups.kept(docs).collect()} == {0, *range(7, len(texts))}
 
 
+@pytest.mark.parametrize("group", [64, 4])
+def test_classes_that_share_keys_equal_all_pairs(spark, monkeypatch, group):
+    monkeypatch.setattr(near_dups, "GROUP", group)
+    r = random.Random(13)
+    base = [prose(r, r.randint(40, 90)).split() for _ in range(24)]
+    edit = lambda t, n: [w if i not in set(r.sample(range(len(t)), n)) else f"x{r.random()}".replace(".", "") for i, w in enumerate(t)]
+    texts = [" ".join(t) for b in base for c in [edit(b, 3)] for t in (b, c, edit(c, 3))] + [prose(r, 60) for _ in range(10)]
+    words = [near_dups.W.split(near_dups.pa.array([t])).hashes for t in texts]
+    rows = [(t, i, near_dups._node(h), len(h), [5, 6, 100 + i]) for i, (t, h) in enumerate(zip(texts, words, strict=True))]  # two keys are everybody's
+    found = spark.createDataFrame(rows, "text string, __row long, __node long, __size int, __keys array<bigint>")
+    got = {x.node: x.label for x in near_dups._labels(found).collect()}
+    top = list(range(len(texts)))
+
+    def least(i):
+        return i if top[i] == i else least(top[i])
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if near_dups.similar(words[i], words[j]):
+                top[least(i)] = least(j)
+    label = [got.get(x[2], x[2]) for x in rows]
+    assert all((label[i] == label[j]) == (least(i) == least(j)) for i in range(len(texts)) for j in range(i))
+
+
 def test_decontamination_equals_brute_force(spark):
     items = [(1, "One two three four five six seven eight nine ten eleven twelve"), (2, "short item"), (3, None), (4, "")]
     docs = [(1, "x one two THREE four five six seven eight nine ten! y"), (2, "a short, item b"), (3, "one two three"), (4, None)]
