@@ -230,6 +230,15 @@ def test_rules_and_reputation(spark):
     assert got[3] == got[4] == ("", "", None, "allow") and got[5][2:] == ("example.com/de/", "block")
 
 
+def test_hosts_without_labels_are_judged_by_their_domain(spark):
+    hosts = [("a.spam.example", 1, 400), ("c.spam.example", 1, 400), ("a.good.example", 0, 400), ("a.fine.example", 0, 400), ("b.spam.example", None, 3), ("b.good.example", None, 3), ("x.new.other", None, 1)]
+    rows = [(i, h, bad) for i, (h, bad) in enumerate((h, bad) for h, bad, n in hosts for _ in range(n))]
+    pages = spark.createDataFrame([(i, f"http://{h}/p") for i, h, _ in rows], "page_id long, url string")
+    labels = spark.createDataFrame([(i, bad) for i, _, bad in rows if bad is not None], "page_id long, bad int")
+    got = urls.judged(pages, labels, rules=[]).groupBy("host", "verdict").count().collect()
+    assert {(x.host, x.verdict): x["count"] for x in got} == {(h, "block" if "spam" in h else "allow"): n for h, _, n in hosts}
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     items, labels = spark.createDataFrame([(1, None)], "item_id long, text string"), spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")
     for run in (lambda d: decontaminate.cleaned(d, items), mixing.mixed, near_dups.classes, suffixes.deduplicated, lambda d: toxicity.digest(d, labels), lambda d: perplexity.scored(d, labels)):

@@ -61,13 +61,15 @@ def _strength(counts: DataFrame, n: str, k: str) -> DataFrame:
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
-    """``host, seen, bad, rate, lower`` from (host, bad) rows, null outcomes left out.
+    """``host, seen, bad, rate, lower`` of every host, from (host, bad) rows; null is no outcome.
 
+    A host without outcomes has its domain's posterior as prior, a domain without them its
+    suffix's, a suffix without them the global mean.
     ``rate`` is the posterior mean of the bad rate and ``lower`` its lower bound (``Z``
     posterior standard deviations below).
     """
     domain, suffix = levels(F.col("host"))
-    hosts = outcomes.where(F.col("bad").isNotNull()).groupBy("host").agg(F.count("*").alias("n"), F.sum("bad").alias("k"))
+    hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     hosts = hosts.select("host", domain.alias("domain"), suffix.alias("suffix"), "n", "k")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn_"), F.sum("dk").alias("sk_"))
@@ -88,11 +90,11 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, st
 
     ``outcomes`` has (page_id, bad).  A page that no rule fits is blocked where its host's
     lower bound exceeds ``limit``, and allowed otherwise; hosts without labelled pages are
-    allowed.  Repeated pages are judged one by one; empty tables give no rows.
+    judged by their domain's, suffix's and the global outcomes.  Repeated pages are judged one by one; empty tables give no rows.
     """
     urls = parsed(pages)
     known = outcomes.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").cast("bigint").alias("bad"))
-    bad_hosts = reputation(urls.join(known, "page_id").select("host", "bad")).where(F.round("lower", 9) > limit).select("host", F.lit(True).alias("__bad"))
+    bad_hosts = reputation(urls.join(known, "page_id", "left").select("host", "bad")).where(F.round("lower", 9) > limit).select("host", F.lit(True).alias("__bad"))
     name, verdict = ruled(rules)
     by_rule = urls.withColumn("rule", name).withColumn("__says", verdict)
     out = by_rule.join(bad_hosts, "host", "left")
