@@ -147,6 +147,53 @@ def test_token_ids_equal_the_library(spark, odd):
     assert token_ids.token_output(odd, path).count() == len(ODD)
 
 
+def test_encoder_equals_the_library_on_odd_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, own, r = Tokenizer.from_file(path), token_ids.Encoder(path), random.Random(5)
+    odd = [*" .,!?(_-'é×÷ñ1٣中😀©ª²½\n\t\r\x00\x1c\x7f\x85\xa0\u200b\u0301\u01c0", "  ", "\n\n", "'s", "don't", "I'll", "'RE", "abc", "Word", "word", "Привет", "123", "ab1c", "<|endoftext|>", "<|", "|>"]
+    texts = ["".join(r.choice(odd) for _ in range(r.randint(0, 14))) for _ in range(10_000)] + ["x" * 5000, " " * 3000, "a b " * 3000, None, "".join(r.choice(odd) for _ in range(3000))]
+    assert own.plain
+    for a in range(0, len(texts), 997):
+        ids, sizes = own.encode(token_ids.pa.array(texts[a : a + 997], token_ids.pa.string()))
+        ends = np.cumsum(sizes)
+        for t, end, n in zip(texts[a : a + 997], ends.tolist(), sizes.tolist(), strict=True):
+            assert ids[end - n : end].tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
+def test_encoder_forgets_and_other_tokenizers_work():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    r = random.Random(15)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library, own = Tokenizer.from_file(public_tokenizers.path(name)), token_ids.Encoder(public_tokenizers.path(name))
+        own.SLOTS, own.PORTION = 256, 100
+        own.clear()
+        assert own.encode(token_ids.pa.array(["the cat sat on a mat " * 300]))[0].tolist() == library.encode("the cat sat on a mat " * 300, add_special_tokens=False).ids
+        for _ in range(12):
+            texts = [prose(r, 30) for _ in range(3)]
+            ids, _ = own.encode(token_ids.pa.array(texts))
+            assert ids.tolist() == [i for t in texts for i in library.encode(t, add_special_tokens=False).ids]
+
+
+def test_token_sequences_are_the_stream(spark, tmp_path):
+    import public_tokenizers
+
+    r = random.Random(16)
+    docs = spark.createDataFrame([(i, prose(r, r.randint(0, 400))) for i in range(40)], "doc_id long, text string")
+    path = token_ids.write(docs, str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json"))
+    own = token_ids.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    want = [i for x in docs.orderBy("doc_id").collect() for i in [*own.encode(token_ids.pa.array([x.text]))[0].tolist(), 2]]
+    rows = token_ids.sequences(spark, path, 100).orderBy("place").collect()
+    assert [i for x in rows for i in x.ids] == want and all(len(x.ids) <= 100 for x in rows)
+    words, starts, escapes = token_ids.pack(np.array([*range(3000), 1 << 63, 5, 1 << 62, *range(900)], np.uint64))
+    whole = token_ids.unpack(words, escapes)
+    assert all((token_ids.part(words, starts, escapes, a, b) == whole[a:b]).all() for a in range(0, 3900, 61) for b in (a, a + 1, 3903))
+
+
 def test_mix_comes_near_its_targets(spark):
     docs = [(i, "w " * (i % 40 + 1), None, "abc"[i % 3]) for i in range(3000)]
     rows = mixing.digest(mixing.mixed(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string"))).collect()
