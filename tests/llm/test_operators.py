@@ -286,6 +286,29 @@ def test_hosts_without_labels_are_judged_by_their_domain(spark):
     assert {(x.host, x.verdict): x["count"] for x in got} == {(h, "block" if "spam" in h else "allow"): n for h, _, n in hosts}
 
 
+def test_registered_domains(spark):
+    want = {"a.b.example.co.uk": ("example.co.uk", "co.uk"), "example.com:8080": ("example.com", "com"), "u@x.example.org": ("example.org", "org"), "10.0.0.1": ("10.0.0.1", ""), "localhost": ("localhost", "localhost"), "co.uk": ("co.uk", "uk")}
+    hosts = spark.createDataFrame([(h,) for h in want], "host string")
+    assert {x.host: (x.d, x.s) for x in hosts.select("host", *(c.alias(n) for c, n in zip(urls.levels(hosts.host), "ds", strict=True))).collect()} == want
+
+
+def test_reputation_equals_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(21)
+    hosts = [f"{a}.{b}" for b in ("spam.com", "good.com", "mixed.org", "shop.co.uk", "x.net", "alone.io") for a in ("a", "b", "c", "d")] + ["10.0.0.1:80", "user@h.spam.com"]
+    pages = [(i, f"http://{r.choice(hosts)}/p{i}") for i in range(800)] + [(900, None), (901, "no scheme"), (None, "http://a.spam.com/"), (902, "http://"), (3, "http://a.spam.com/again")]
+    labels = [(i, int("spam" not in u or r.random() < 0.1), int(r.random() < 0.05)) for i, u in pages[:800] if r.random() < 0.4 and not u.split("/")[2].startswith("d.")] + [(None, 0, 1), (5, None, None)]
+    made = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    bad = "cast(coalesce(quality = 0, false) or coalesce(toxic = 1, false) as int) as bad"
+    got = urls.judged(made[0], made[1].selectExpr("doc_id as page_id", bad)).collect()
+    db = duckdb.connect()
+    db.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR); CREATE TABLE labels (doc_id BIGINT, quality INT, toxic INT)")
+    db.executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    db.executemany("INSERT INTO labels VALUES (?, ?, ?)", labels)
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, db.execute(urls.ORACLE).fetchall()))
+    assert {x.verdict for x in got if x.host == "d.spam.com"} == {"block"} and urls.judged(made[0].limit(0), made[1].selectExpr("doc_id as page_id", bad)).count() == 0
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     items, labels = spark.createDataFrame([(1, None)], "item_id long, text string"), spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")
     for run in (lambda d: decontaminate.cleaned(d, items), mixing.mixed, near_dups.classes, suffixes.deduplicated, lambda d: toxicity.digest(d, labels), lambda d: perplexity.scored(d, labels)):

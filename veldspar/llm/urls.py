@@ -32,9 +32,21 @@ def parsed(pages: DataFrame) -> DataFrame:
     return cut.select("page_id", F.translate("__host", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("host"), path.alias("path"))
 
 
+#: Labels that are public suffixes together with a country's two letters.
+SECOND = ["ac", "co", "com", "edu", "gov", "net", "org"]
+
+
 def levels(h: Column) -> tuple[Column, Column]:
-    """(registered domain, suffix) of a host: its last two labels and its last label."""
-    return F.substring_index(h, ".", -2), F.substring_index(h, ".", -1)
+    """(registered domain, suffix) of a host, without its user and port.
+
+    The suffix is the last label, or the last two where these are one of ``SECOND`` and a
+    country's two letters; the domain is one label more.  An IPv4 address is its own domain.
+    """
+    name = F.regexp_replace(F.regexp_replace(h, "^.*@", ""), ":[0-9]*$", "")
+    address = name.rlike(r"^[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+$")
+    two = name.rlike(rf"\.({'|'.join(SECOND)})\.[a-z][a-z]$")
+    domain = F.when(address, name).when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    return domain, F.when(address, "").when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def ruled(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
@@ -90,11 +102,13 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, st
 
     ``outcomes`` has (page_id, bad).  A page that no rule fits is blocked where its host's
     lower bound exceeds ``limit``, and allowed otherwise; hosts without labelled pages are
-    judged by their domain's, suffix's and the global outcomes.  Repeated pages are judged one by one; empty tables give no rows.
+    judged by their domain's, suffix's and the global outcomes.  An empty host (a null url, or
+    one without ``://``) has no reputation and is allowed.  Repeated pages are judged one by
+    one, null ids as pages without a label; empty tables give no rows; extra columns are ignored.
     """
     urls = parsed(pages)
     known = outcomes.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").cast("bigint").alias("bad"))
-    bad_hosts = reputation(urls.join(known, "page_id", "left").select("host", "bad")).where(F.round("lower", 9) > limit).select("host", F.lit(True).alias("__bad"))
+    bad_hosts = reputation(urls.where("host <> ''").join(known, "page_id", "left").select("host", "bad")).where(F.round("lower", 9) > limit).select("host", F.lit(True).alias("__bad"))
     name, verdict = ruled(rules)
     by_rule = urls.withColumn("rule", name).withColumn("__says", verdict)
     out = by_rule.join(bad_hosts, "host", "left")
@@ -103,16 +117,18 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, st
 
 ORACLE = """
 WITH a AS (
-  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages
+  SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS after FROM pages
 ), b AS (SELECT page_id, after, regexp_extract(after, '^([^/?#]*)', 1) AS h FROM a
 ), u AS (
   SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(substr(after, length(h) + 1), '^([^?#]*)', 1) AS path FROM b
 ), o AS (SELECT doc_id AS page_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL GROUP BY 1
 ), hosts AS (
-  SELECT host, CASE WHEN contains(host, '.') THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE host END AS domain,
-         string_split(host, '.')[-1] AS suffix, count(*) AS n, sum(bad) AS k
-  FROM u JOIN o USING (page_id) GROUP BY 1, 2, 3
+  SELECT host, CASE WHEN ip THEN name WHEN two THEN array_to_string(string_split(name, '.')[-3:], '.') ELSE array_to_string(string_split(name, '.')[-2:], '.') END AS domain,
+         CASE WHEN ip THEN '' WHEN two THEN array_to_string(string_split(name, '.')[-2:], '.') ELSE string_split(name, '.')[-1] END AS suffix, n, k
+  FROM (SELECT *, regexp_matches(name, '^[0-9]+\\.[0-9]+\\.[0-9]+\\.[0-9]+$') AS ip, regexp_matches(name, '\\.(ac|co|com|edu|gov|net|org)\\.[a-z][a-z]$') AS two
+    FROM (SELECT host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name, count(bad) AS n, coalesce(sum(bad), 0) AS k
+      FROM u LEFT JOIN o USING (page_id) WHERE host <> '' GROUP BY 1, 2))
 ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY 1, 2
 ), suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM domains GROUP BY 1
 ), lv AS (
