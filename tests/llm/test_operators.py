@@ -122,6 +122,30 @@ def test_top_k_equals_brute_force(spark):
         assert [(-a.score, a.vec_id) for a in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == best
 
 
+def test_lists_are_read_until_no_outsider_can_qualify():
+    r = np.random.default_rng(3)
+    ids = r.permutation(3000)
+    ids[:40] = ids[40:80]  # repeated ids
+    skewed = np.floor(r.normal(size=(3000, 16)) * 1024 * 0.5 ** np.arange(16) * np.exp(2 * r.normal(size=(3000, 1))))
+    tied = r.integers(-2, 3, size=(3000, 16)).astype(float)
+    for x, share in ((skewed, 0.2), (tied, 1.0), (np.zeros((3000, 16)), 1.0), (skewed[:5], 1.0)):
+        own, q = ids[: len(x)][:50], x[:50]
+        got, resolved = topk.aggregate_lists(x, ids[: len(x)], q, own, 10, np.full(len(q), -np.inf))
+        assert resolved <= share * len(x) * len(q)
+        for i, (rows, scores) in enumerate(got):
+            want = sorted((-float(x[j] @ q[i]), ids[j]) for j in range(len(x)) if ids[j] != own[i])[:10]
+            assert [(-s, ids[int(j)]) for j, s in zip(rows, scores, strict=True)] == want
+
+
+def test_top_k_of_ties_repeats_and_no_rows(spark):
+    kind = "vec_id long, embedding array<float>, label string"
+    rows = [(i, [1.0, 0.5], "x") for i in (0, 0, 1, 2, 3, 7, 100, 100)] + [(200, [1.0], None), (300, [], None), (None, [1.0, 1.0], None)]
+    docs = spark.createDataFrame(rows, kind)
+    got = sorted((x.query_id, x.rank, x.vec_id) for x in topk.top_k(docs, k=3).collect() if x.query_id == 100)
+    assert [g[1:] for g in got] == [(1, 0), (2, 0), (3, 0)]  # the two rows of id 100 have one list
+    assert topk.top_k(docs.limit(0)).count() == 0
+
+
 def test_simple8b_round_trip():
     r = np.random.default_rng(2)
     for bits in (1, 7, 16, 33, 64):

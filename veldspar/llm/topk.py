@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 4096
 QUERY_ROWS = 2048
 LANE_ROWS = 1 << 14
-ROUNDS = (0.25, 0.6)
+DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
 
 
 def quantised(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
@@ -85,28 +85,32 @@ def aggregate_lists(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np
 
     ``own``: each query's id, which is no candidate of its own.  ``floor``: k-th best scores
     that earlier blocks have reached.  Also returned: how many (query, row) pairs were resolved.
+
+    A round reads every list on to the next of ``DEPTHS``.  What is read of a row counts as it
+    is; an unread value lies between the value that its list stands at and the list's end.
+    A query stops when it has no outsider left, that is at most k rows that can still qualify;
+    rows that no query needs any more leave the block.
     """
     n = len(x)
-    order = np.argsort(x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    listed = np.take_along_axis(x, order, axis=0)
+    listed = np.sort(x, axis=0)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    alive = np.ones((len(queries), n), bool)
-    alive &= ids[None, :] != own[:, None]
+    alive = ids[None, :] != own[:, None]
     reach = floor.copy()
-    for share in ROUNDS:
+    for share in DEPTHS if n > 4 * k else ():
         depth = max(1, int(share * n))
-        if depth >= n or not alive.any():
+        asking, rows = np.flatnonzero(alive.sum(axis=1) > k), np.flatnonzero(alive.any(axis=0))
+        if not len(asking) or len(rows) <= k:
             break
-        top, low = rank >= n - depth, rank < depth
-        read = up @ np.where(top, x, 0).T + down @ np.where(low, x, 0).T
-        upper = read + (up * listed[n - depth]) @ ~top.T + (down * listed[depth - 1]) @ ~low.T
-        lower = read + (up * listed[0]) @ ~top.T + (down * listed[-1]) @ ~low.T
-        lower[~alive] = -np.inf
-        if n > k:
-            reach = np.maximum(reach, np.partition(lower, n - k, axis=1)[:, n - k])
-        alive &= upper >= reach[:, None]
+        rows = np.flatnonzero(alive[asking].any(axis=0))
+        some, high, low = x[rows], listed[n - depth], listed[depth - 1]  # where the lists stand, read from above and from below
+        a, b = up[asking], down[asking]
+        upper = a @ np.maximum(some, high).T + b @ np.minimum(some, low).T
+        lower = a @ np.where(some >= high, some, listed[0]).T + b @ np.where(some <= low, some, listed[-1]).T
+        here = alive[np.ix_(asking, rows)]
+        lower[~here] = -np.inf
+        if len(rows) > k:
+            reach[asking] = np.maximum(reach[asking], np.partition(lower, len(rows) - k, axis=1)[:, len(rows) - k])
+        alive[np.ix_(asking, rows)] = here & (upper >= reach[asking, None])
     out, resolved = [], 0
     for q in range(len(queries)):
         rows = np.flatnonzero(alive[q])
@@ -121,7 +125,9 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
     """``query_id, rank, vec_id, score``: each query's k highest inner products.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows of other
-    ids with as many components.  Ties go to the smaller id.  An empty table gives no rows.
+    ids with as many components.  Ties go to the smaller id.  Rows that repeat a query's id
+    share its one list; repeated candidates stay apart.  Extra columns are ignored; an empty
+    table gives no rows.
     """
     v = quantised(embeddings, scale)
     n = v.count()
