@@ -87,9 +87,9 @@ def test_classes_that_share_keys_equal_all_pairs(spark, monkeypatch, group):
     edit = lambda t, n: [w if i not in set(r.sample(range(len(t)), n)) else f"x{r.random()}".replace(".", "") for i, w in enumerate(t)]
     texts = [" ".join(t) for b in base for c in [edit(b, 3)] for t in (b, c, edit(c, 3))] + [prose(r, 60) for _ in range(10)]
     words = [near_dups.W.split(near_dups.pa.array([t])).hashes for t in texts]
-    rows = [(t, i, near_dups._node(h), len(h), [5, 6, 100 + i]) for i, (t, h) in enumerate(zip(texts, words, strict=True))]  # two keys are everybody's
-    found = spark.createDataFrame(rows, "text string, __row long, __node long, __size int, __keys array<bigint>")
-    got = {x.node: x.label for x in near_dups._labels(found).collect()}
+    rows = [(t, i, near_dups._node(h), 0, len(h), [5, 6, 100 + i]) for i, (t, h) in enumerate(zip(texts, words, strict=True))]  # two keys are everybody's
+    found = spark.createDataFrame(rows, "text string, __row long, __node long, __check long, __size int, __keys array<bigint>")
+    got = {x.node: x.label for x in near_dups._labels(found, near_dups._nodes(found)).collect()}
     top = list(range(len(texts)))
 
     def least(i):
@@ -103,6 +103,27 @@ def test_classes_that_share_keys_equal_all_pairs(spark, monkeypatch, group):
     assert all((label[i] == label[j]) == (least(i) == least(j)) for i in range(len(texts)) for j in range(i))
 
 
+def test_an_original_and_its_variants_are_one_class(spark):
+    """Variants are close to the original only, so each must be verified against the one text that links it."""
+    r = random.Random(14)
+    base = prose(r, 100).split()
+    edit = lambda n: " ".join(w if i not in spots else f"v{n}x{i}" for i, w in enumerate(base)) if (spots := set(r.sample(range(100), 9))) else ""
+    texts = [" ".join(base), *(edit(n) for n in range(60)), *(prose(r, 100) for _ in range(20))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in near_dups.classes(docs).collect()}
+    assert sum(got[i] == 0 for i in range(61)) >= 58 and all(got[i] == i for i in range(61, 81))
+
+
+def test_shared_names_of_different_words_are_split(spark, monkeypatch):
+    plain = near_dups._node
+    monkeypatch.setattr(near_dups, "_node", lambda h, salt=0: plain(h, salt) if salt else 7)
+    found = near_dups._sketched(spark.createDataFrame([(i, t) for i, t in enumerate(("one two", "three four", "one two"))], "doc_id long, text string"))
+    rows = found.collect()
+    monkeypatch.setattr(near_dups, "_sketched", lambda documents: spark.createDataFrame([tuple(x)[:3] + (7,) + tuple(x)[4:] for x in rows], found.schema))
+    got = {x.doc_id: x.class_id for x in near_dups.classes(found.select("doc_id", "text")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+
+
 def test_decontamination_equals_brute_force(spark):
     items = [(1, "One two three four five six seven eight nine ten eleven twelve"), (2, "short item"), (3, None), (4, "")]
     docs = [(1, "x one two THREE four five six seven eight nine ten! y"), (2, "a short, item b"), (3, "one two three"), (4, None)]
