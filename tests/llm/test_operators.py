@@ -79,16 +79,17 @@ def test_near_copies_share_a_class(spark):
     assert {x.doc_id for x in near_dups.kept(docs).collect()} == {0, *range(7, len(texts))}
 
 
-@pytest.mark.parametrize("group", [64, 4])
-def test_classes_that_share_keys_equal_all_pairs(spark, monkeypatch, group):
+@pytest.mark.parametrize("group, split", [(4096, 1 << 16), (8, 1 << 16), (8, 30)])
+def test_classes_that_share_keys_equal_all_pairs(spark, monkeypatch, group, split):
     monkeypatch.setattr(near_dups, "GROUP", group)
+    monkeypatch.setattr(near_dups, "SPLIT", split)
     r = random.Random(13)
     base = [prose(r, r.randint(40, 90)).split() for _ in range(24)]
     edit = lambda t, n: [w if i not in set(r.sample(range(len(t)), n)) else f"x{r.random()}".replace(".", "") for i, w in enumerate(t)]
     texts = [" ".join(t) for b in base for c in [edit(b, 3)] for t in (b, c, edit(c, 3))] + [prose(r, 60) for _ in range(10)]
     words = [near_dups.W.split(near_dups.pa.array([t])).hashes for t in texts]
-    rows = [(t, i, near_dups._node(h), 0, len(h), [5, 6, 100 + i]) for i, (t, h) in enumerate(zip(texts, words, strict=True))]  # two keys are everybody's
-    found = spark.createDataFrame(rows, "text string, __row long, __node long, __check long, __size int, __keys array<bigint>")
+    rows = [(t, i, near_dups._node(h), 0, near_dups.bag(h), len(h), [5, 6, 100 + i]) for i, (t, h) in enumerate(zip(texts, words, strict=True))]  # two keys are everybody's
+    found = spark.createDataFrame(rows, "text string, __row long, __node long, __check long, __bag binary, __size int, __keys array<bigint>")
     got = {x.node: x.label for x in near_dups._labels(found, near_dups._nodes(found)).collect()}
     top = list(range(len(texts)))
 
