@@ -362,8 +362,34 @@ def test_odd_rows_and_empty_tables(spark, odd):
         assert run(odd.limit(0)).count() == 0
 
 
-def test_licence_lines_are_named(spark):
+def test_licences_are_named_wherever_they_stand(spark):
     r = random.Random(8)
-    docs = [(i, prose(r, 30) + "\n" + prose(r, 8)) for i in range(60)] + [(100, prose(r, 9) + "\nReleased under the MIT License."), (101, "his driver's license plate"), (102, None)]
-    got = {x.doc_id: x.families for x in licenses.scanned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
-    assert got.pop(100) == ["MIT"] and not any(got.values())
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction, including without limitation the rights\n# to use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n# copies of the Software, and to permit persons to whom the Software is\n# furnished to do so, subject to the following conditions:"
+    gpl = "This program is free software; you can redistribute it and/or\nmodify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either version 2\nof the License, or (at your option) any later version."
+    docs = [(i, prose(r, 30) + "\n" + prose(r, 8)) for i in range(60)]
+    planted = {100: (prose(r, 9) + "\nReleased under the MIT License.", 1, ["MIT"]), 101: ("his driver's license plate was issued under the new version", 0, []), 102: (None, 0, []), 103: ("# " + mit, 1, ["MIT"]), 104: (gpl, 1, ["GPL-2.0"])}
+    planted[105] = (" ".join([prose(r, 900), mit.replace("\n", " "), prose(r, 900)]), 1, ["MIT"])
+    planted[106] = ("Released under the MIT License.\n\n" * 2 + "Licensed under CC BY-NC 4.0.\n \n" + prose(r, 20), 3, ["CC-BY-NC", "MIT"])
+    planted[107] = ("", 0, [])
+    docs = [(i, t, "x") for i, t in docs + [(i, p[0]) for i, p in planted.items()] + [(106, planted[106][0])]]
+    rows = licenses.scanned(spark.createDataFrame(docs, "doc_id long, text string, at string"))
+    got = [(x.doc_id, x.n_licence_paragraphs, x.families) for x in rows.collect()]
+    assert sorted(got) == sorted([(i, 0, []) for i in range(60)] + [(i, *p[1:]) for i, p in planted.items()] + [(106, *planted[106][1:])])
+
+
+def test_licence_windows_equal_a_plain_classifier(spark):
+    """One step of the fit and the scores against plain arithmetic."""
+    r = random.Random(18)
+    docs = spark.createDataFrame([(i, prose(r, 50)) for i in range(40)] + [(90, prose(r, 40) + " Licensed under the Apache License, Version 2.0. " + prose(r, 40))], "doc_id long, text string")
+    model = licenses.train(docs)
+    row = model.first()
+    text = "zz " * 5 + "licensed under the apache license version 2 0 " + "zz " * 5
+    words = text.split()
+    grams = [*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))]  # noqa: B905
+    f = {x.b for x in spark.createDataFrame([(g,) for g in grams], "g string").selectExpr(f"pmod(xxhash64(g), {licenses.BUCKETS}) as b").collect()} | {licenses.BUCKETS}
+    z = sum(np.array(row.w[row.place[b]]) for b in f if row.place[b] is not None) / np.sqrt(len(f))
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    got = licenses._scored(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).where("sure").collect()
+    assert p.argmax() == licenses.FAMILIES.index("Apache-2.0") and any(np.isclose(x.p, p.max()) for x in got)
+
+

@@ -1,21 +1,23 @@
 """Licence scan: a trained paragraph classifier, confirmed by comparison with templates.
 
-Paragraphs are lines.  Features are hashes (``BUCKETS`` of them) of a line's words and word
-pairs, scaled to unit length; the classes are the licence families and *unknown*.
-
-1. Training lines of families are the templates and cuttings of them, each also between
-   words of corpus lines; unknown lines are ``MAX_UNKNOWN`` at most of the corpus, drawn by
-   a hash, that share no word pair with a template (the bound is a parameter of the fit).
-2. Softmax regression by proximal gradient steps, joins and aggregates of (row, feature)
-   and (feature, class) tables.  The L1 step keeps the weights sparse: at most
-   ``BUCKETS`` x classes of them, so they are broadcast.
-3. A quarter of the unknown lines is kept from the fit and calibrates the least probability
-   that a family needs.
-4. Every line of every text that can be confirmed is scored.  A predicted family counts if
-   ``OVERLAP`` of the words of one of its templates are in the line.
-
-All of it is DataFrame functions.  Texts are read twice and never shuffled; only lines that
-hold a template's rarer words are.
+Paragraphs are parted by blank lines; line breaks within them are blanks, so wrapped notices
+stay whole.  A notice may stand anywhere in a long paragraph, so what is classified are
+overlapping windows of its words, of the ``SCALES`` that template pieces fit in.
+
+1. Training windows of families are the template pieces and cuttings of them between words of
+   the corpus; unknown windows are ``MAX_UNKNOWN`` at most of each scale, drawn by a hash
+   from all texts (the bound is a parameter of the fit), that hold no large part of a piece.
+2. Features are hashes (``BUCKETS`` of them) of a window's words and word pairs, scaled to
+   unit length.  Softmax regression by proximal gradient steps; the L1 step keeps weights
+   sparse; buckets without a word or pair of a piece have none.  The model is one row: a
+   place for each bucket that has weights, and the weights of each place.
+3. Windows around a cue, a word that a confirmed notice cannot lack, are scored.  A window's
+   best family is confirmed if ``OVERLAP`` of the words of one of its pieces and ``IN_ORDER``
+   of their neighbouring pairs are in the window.
+4. The least probability that a family needs is calibrated: a quantile of the best
+   probabilities of all paragraphs that have cues but no confirmed window.
+
+All of it is DataFrame functions.  Texts are never shuffled, only results of cued windows.
 """
 
 from __future__ import annotations
@@ -23,165 +25,254 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.session import written
 
-BUCKETS = 1 << 16
-MAX_UNKNOWN = 2_000
-STEPS = 12
-RATE = 8.0
-L1 = 0.0005
+BUCKETS = 1 << 14
+MAX_UNKNOWN = 400
+STEPS = 24
+RATE = 60.0
+L1 = 0.0001
 OVERLAP = 0.8
+IN_ORDER = 0.5
+SCALES = (12, 32, 96)
+CONTEXTS = 4
+QUANTILE, LEAST, MOST = 0.99, 0.5, 0.9
 UNKNOWN = "unknown"
 
 # Notices of licence families, as they are published.
 TEMPLATES = [
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met."),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", 'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.'),
     ("BSD", "Released under the BSD 3-Clause License."),
+    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
+    ("BSD", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
+    ("BSD", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("CC-BY", "Licensed under CC BY 4.0."),
     ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("MIT", "Released under the MIT License."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction."),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'),
+    ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
-_FAMILIES = sorted({f for f, _ in TEMPLATES})
+FAMILIES = [*sorted({f for f, _ in TEMPLATES}), UNKNOWN]
+
+
+def _pieces() -> list[tuple[str, list[str]]]:
+    """(family, words) of the templates, cut to what fits in half of the largest scale."""
+    out = []
+    for family, text in TEMPLATES:
+        words = [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
+        parts = -(-len(words) // (SCALES[-1] // 2))
+        out += [(family, words[len(words) * i // parts : len(words) * (i + 1) // parts]) for i in range(parts)]
+    return out
+
+
+def _scale(n: int) -> int:
+    """The least scale in whose overlapping windows ``n`` words are whole."""
+    return next(s for s in SCALES if n <= s // 2)
+
+
+def cues() -> list[str]:
+    """So many of the longest words of each piece that a window without any of them lacks more
+    than ``1 - OVERLAP`` of its words and cannot be confirmed."""
+    found = set()
+    for _, words in _pieces():
+        kinds = sorted(set(words), key=lambda w: (-len(w), w))
+        found.update(kinds[: int((1 - OVERLAP) * len(kinds) + 1e-9) + 1])
+    return sorted(found)
 
 
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _paragraphs(text: Column) -> Column:
+    return F.filter(F.split(F.coalesce(text, F.lit("")), r"\n[ \t\r]*\n"), lambda p: F.length(F.trim(F.translate(p, "\n\r\t", "   "))) > 0)
+
+
 def _pairs(words: Column) -> Column:
     """Word pairs that follow each other."""
-    return F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat_ws(" ", a, b))
 
 
-def _features(words: Column, pairs: Column) -> Column:
-    """Distinct feature buckets of a line; the last is the bias."""
-    hashed = F.transform(F.concat(words, pairs), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int"))
+def _features(words: Column) -> Column:
+    """Distinct buckets of a window's words and pairs; the last is the bias."""
+    hashed = F.transform(F.concat(words, _pairs(words)), lambda g: F.pmod(F.xxhash64(g), F.lit(BUCKETS)).cast("int"))
     return F.array_distinct(F.concat(hashed, F.array(F.lit(BUCKETS))))
 
 
-def _lines(documents: DataFrame, *columns: str) -> DataFrame:
-    """(columns, line, words) of every line with a word."""
-    lines = documents.select(*columns, F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    return lines.where(F.length(F.trim("line")) > 0)
-
-
-def _cued(text: Column) -> Column:
-    """Whether a text holds one of the cues: so many of the longest words of each template that a
-    line without any of them misses more than ``1 - OVERLAP`` of it and can't be confirmed."""
-    cues = set()
-    for _, template in TEMPLATES:
-        words = sorted({w for w in re.split(r"[^a-z0-9]+", template.lower()) if w}, key=lambda w: (-len(w), w))
-        cues.update(words[: int((1 - OVERLAP) * len(words) + 1e-9) + 1])
-    return reduce(lambda a, b: a | b, [text.contains(c) for c in sorted(cues)])
-
-
-def _templates(spark) -> DataFrame:
-    rows = spark.createDataFrame(TEMPLATES, "family string, template string")
-    return rows.withColumn("words", _words(F.col("template")))
-
-
-def _training(documents: DataFrame, templates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, family, words) to fit on, and unknown lines (words) to calibrate on."""
-    marks = templates.select(F.explode(_pairs(F.col("words"))).alias("p")).agg(F.collect_set("p").alias("marks"))  # of the fixed templates
-    lines = _lines(documents).where(F.length("line") <= 2_000)
-    draw = F.xxhash64("line", F.lit(31))
-    share = min(1.0, 20 * MAX_UNKNOWN / max(1, lines.count()))
-    some = lines.select("line", draw.alias("h")).where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
-    drawn = some.distinct().orderBy("h", "line").limit(MAX_UNKNOWN)
-    words = drawn.select("h", F.slice(_words(F.col("line")), 1, 60).alias("words"))
-    clean = words.crossJoin(F.broadcast(marks)).where(~F.arrays_overlap(_pairs(F.col("words")), "marks")).select("h", "words")
-    clean = written(clean, "license-unknown")
-    whole = templates.select("family", "words")
-    n = F.size("words")
-    cut = whole.select("family", F.explode(F.array(F.col("words"), F.slice("words", 1, F.ceil(n * 0.85).cast("int")), F.slice("words", F.greatest(F.lit(1), F.floor(n * 0.15).cast("int")), n))).alias("words"))
-    cut = cut.withColumn("i", F.row_number().over(Window.orderBy("family", F.col("words").cast("string"))))
-    around = clean.where(F.size("words") > 0).withColumn("i", F.row_number().over(Window.orderBy("h"))).where("i <= 200").select(F.col("i").alias("j"), F.slice("words", 1, 6).alias("lead"))
-    framed = cut.join(around, F.pmod("j", F.lit(40)) == F.pmod("i", F.lit(40))).select("family", F.concat("lead", "words").alias("words"))
-    fit = F.pmod("h", F.lit(4)) != 0
-    rows = cut.select("family", "words").union(framed).union(clean.where(fit).select(F.lit(UNKNOWN), "words"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    return written(rows, "license-rows"), clean.where(~fit).select("words")
-
-
-def _exploded(rows: DataFrame, *columns: str) -> DataFrame:
-    """(columns, feature, x) with lines scaled to unit length."""
-    held = rows.select(*columns, _features(F.col("words"), _pairs(F.col("words"))).alias("f"))
-    return held.select(*columns, F.explode("f").alias("feature"), (1 / F.sqrt(F.size("f"))).alias("x"))
-
-
-def _probabilities(points: DataFrame, weights: DataFrame, classes: DataFrame, *row: str) -> DataFrame:
-    """(row, family, p): softmax of the summed weights."""
-    sums = points.select(*row, "feature", "x").join(F.broadcast(weights), "feature").groupBy(*row, "family").agg(F.sum(F.col("x") * F.col("w")).alias("z"))
-    held = sums.groupBy(*row).agg(F.map_from_entries(F.collect_list(F.struct("family", "z"))).alias("z"))  # one entry a class
-    filled = held.crossJoin(F.broadcast(classes)).withColumn("z", F.transform("families", lambda f: F.coalesce(F.try_element_at("z", f), F.lit(0.0))))
-    e = F.transform("z", lambda z: F.exp(z - F.array_max("z")))
-    filled = filled.withColumn("e", e).withColumn("all", F.aggregate("e", F.lit(0.0), lambda s, x: s + x))
-    return filled.select(*row, F.explode(F.arrays_zip(F.col("families").alias("family"), F.transform("e", lambda x: x / F.col("all")).alias("p"))).alias("c")).select(*row, "c.family", "c.p")
-
-
-def train(documents: DataFrame) -> tuple[DataFrame, float]:
-    """Weights (feature, family, w), zeros left out, and the least probability of a family."""
+def _holds(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(c) for c in cues()])
+
+
+def _list(values: list[str]) -> Column:
+    return F.split(F.lit(" ".join(values)), " ")
+
+
+def _overlap(words: Column, pairs: Column, family: Column | None = None) -> Column:
+    """The largest share, of words and pairs alike, that a window has of a piece (of a family)."""
+    shares = []
+    for f, piece in _pieces():
+        kinds, two = sorted(set(piece)), sorted({f"{a} {b}" for a, b in zip(piece, piece[1:])})  # noqa: B905
+        a = F.size(F.array_intersect(words, _list(kinds))) / (OVERLAP * len(kinds))
+        b = F.size(F.array_intersect(pairs, F.split(F.lit("|".join(two)), r"\|"))) / (IN_ORDER * max(1, len(two)))
+        share = F.least(a, b)
+        shares.append(share if family is None else F.when(family == f, share).otherwise(0.0))
+    return F.greatest(*shares)
+
+
+def _windows(words: Column, size: int, starts: Column) -> Column:
+    return F.transform(starts, lambda i: F.slice(words, i + 1, size))
+
+
+def _drawn(documents: DataFrame) -> DataFrame:
+    """(h, words): of at most about ``MAX_UNKNOWN`` texts a stretch at a hashed place, twice the largest scale."""
+    h = F.xxhash64("text", F.lit(31))
+    share = min(1.0, 2 * MAX_UNKNOWN / max(1, documents.count()))
+    some = documents.where(F.col("text").isNotNull() & (F.pmod(h, F.lit(1 << 40)) < int(share * (1 << 40)))).select("text", h.alias("h")).distinct()
+    some = some.orderBy("h", "text").limit(MAX_UNKNOWN).select("h", _words(F.col("text")).alias("w"))
+    at = F.pmod(F.col("h"), F.greatest(F.lit(1), F.size("w") - 2 * SCALES[-1] + 1)).cast("int")
+    return written(some.select("h", F.slice("w", at + 1, 2 * SCALES[-1]).alias("words")).where(F.size("words") > 0), "license-drawn")
+
+
+def _training(documents: DataFrame) -> DataFrame:
+    """(family, f) to fit on; ``f`` are a window's features."""
     spark = documents.sparkSession
-    templates = _templates(spark)
-    rows, calibrate = _training(documents, templates)
-    classes = spark.createDataFrame([([*_FAMILIES, UNKNOWN],)], "families array<string>")
-    balance = rows.groupBy("family").agg((1 / F.count("*")).alias("share"))
-    points = written(_exploded(rows.join(F.broadcast(balance), "family"), "row", "family", "share"), "license-points")
-    truth = points.select("row", F.col("family").alias("own"), "share").distinct()
-    first = points.select("feature").distinct().crossJoin(F.broadcast(classes)).select("feature", F.explode("families").alias("family"))
-    weights = first.withColumn("w", F.lit(0.0))
-    n = F.lit(float(len(_FAMILIES) + 1))
+    drawn = _drawn(documents)
+    unknown = [drawn.select(F.lit(UNKNOWN).alias("family"), F.slice("words", 1, s).alias("words")) for s in SCALES]
+    unknown = reduce(DataFrame.union, unknown)
+    unknown = unknown.where(_overlap(F.col("words"), _pairs(F.col("words"))) < 0.5)
+    rows = []
+    for family, piece in _pieces():
+        n = len(piece)
+        for cut in (piece, piece[: max(4, round(0.85 * n))], piece[min(n - 4, round(0.15 * n)) :]):
+            rows += [(family, cut, _scale(n), i) for i in range(CONTEXTS)]
+    framed = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, family string, piece array<string>, scale int, turn int")
+    around = drawn.groupBy().agg(F.slice(F.array_sort(F.collect_list(F.struct("h", "words"))), 1, 64).alias("around"))  # MAX_UNKNOWN of them
+    context = F.when(F.size("around") > 0, F.col("around")[F.pmod(F.col("i") * 7 + F.col("turn"), F.size("around"))]["words"]).otherwise(F.array().cast("array<string>"))
+    room = F.greatest(F.lit(0), F.col("scale") - F.size("piece"))
+    lead = F.floor(room * F.col("turn") / (CONTEXTS - 1)).cast("int")
+    framed = framed.crossJoin(F.broadcast(around)).withColumn("c", context)  # one row
+    whole = F.concat(F.slice("c", 1, lead), F.col("piece"), F.slice(F.col("c"), F.lit(SCALES[-1]), room - lead))
+    return framed.select("family", whole.alias("words")).union(unknown).select("family", _features(F.col("words")).alias("f"))
+
+
+def _sums(places: Column, weights: Column) -> Column:
+    """Of each class the sum of weights at the places of a window."""
+    zero = F.array(*(F.lit(0.0) for _ in FAMILIES))
+    return F.aggregate(places, zero, lambda s, j: F.zip_with(s, weights[j], lambda a, b: a + b))
+
+
+def _with_p(rows: DataFrame, z: Column) -> DataFrame:
+    """``rows`` with ``p``, the softmax of ``z``; in steps, so that nothing is computed twice."""
+    rows = rows.withColumn("z", z).withColumn("top", F.array_max("z")).withColumn("e", F.transform("z", lambda x: F.exp(x - F.col("top"))))
+    rows = rows.withColumn("total", F.aggregate("e", F.lit(0.0), lambda s, x: s + x))
+    return rows.withColumn("p", F.transform("e", lambda x: x / F.col("total"))).drop("z", "top", "e", "total")
+
+
+def train(documents: DataFrame) -> DataFrame:
+    """The model, one row: ``place`` (of each bucket, null if it has none) and ``w`` (of each place and class)."""
+    rows = written(_training(documents), "license-rows")
+    pieces = documents.sparkSession.createDataFrame([(words,) for _, words in _pieces()], "words array<string>")
+    kinds = pieces.select(F.explode(_features(F.col("words"))).alias("b")).distinct()
+    vocabulary = kinds.groupBy().agg(F.array_sort(F.collect_list("b")).alias("v"))  # of the pieces
+    place = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS)), lambda b: F.nullif(F.array_position("v", b), F.lit(0)) - 1)
+    zero = F.transform("v", lambda b: F.array(*(F.lit(0.0) for _ in FAMILIES)))
+    model = written(vocabulary.select(F.transform(place, lambda p: p.cast("int")).alias("place"), zero.alias("w")), "license-model")
+    share = rows.groupBy("family").agg((1 / F.count("*")).alias("share"))
+    rows = rows.join(F.broadcast(share), "family").crossJoin(F.broadcast(model.select("place")))  # families; one row
+    own = F.transform(F.array(*map(F.lit, FAMILIES)), lambda c: (c == F.col("family")).cast("double"))
+    points = rows.select(own.alias("own"), "share", (1 / F.sqrt(F.size("f"))).alias("x"), F.filter(F.transform("f", lambda b: F.col("place")[b]), lambda p: p.isNotNull()).alias("at"))
+    points = written(points.coalesce(1), "license-points")  # a bounded sample
+    bias = model.select(F.col("place")[BUCKETS].alias("p")).first().p
     for _ in range(STEPS):
-        p = _probabilities(points, weights, classes, "row").join(F.broadcast(truth), "row")
-        off = p.select("row", "family", ((F.col("p") - (F.col("family") == F.col("own")).cast("double")) * F.col("share") / n).alias("off"))
-        slope = points.select("row", "feature", "x").join(off, "row").groupBy("feature", "family").agg(F.sum(F.col("x") * F.col("off")).alias("g"))
-        moved = first.join(weights, ["feature", "family"], "left").join(slope, ["feature", "family"], "left")
-        moved = moved.withColumn("v", F.coalesce("w", F.lit(0.0)) - RATE * F.coalesce("g", F.lit(0.0)))
-        shrunk = F.when(F.col("feature") == BUCKETS, F.col("v")).otherwise(F.signum("v") * F.greatest(F.lit(0.0), F.abs("v") - RATE * L1))
-        weights = written(moved.select("feature", "family", shrunk.alias("w")).where("w <> 0"), "license-weights")
-    lines = calibrate.withColumn("row", F.monotonically_increasing_id())
-    seen = _probabilities(_exploded(written(lines, "license-calibrate"), "row"), weights, classes, "row").where(F.col("family") != UNKNOWN)
-    top = seen.agg(F.max("p").alias("p")).first().p
-    return weights, max(0.5, top or 0.0)
+        held = points.coalesce(1).crossJoin(F.broadcast(model))
+        held = _with_p(held, F.transform(_sums(F.col("at"), F.col("w")), lambda z: z * F.col("x")))
+        off = F.zip_with("p", "own", lambda a, b: (a - b) * F.col("share") * F.col("x") / len(FAMILIES))
+        slope = held.select(off.alias("off"), "at").select("off", F.explode("at").alias("slot")).groupBy("slot").agg(*(F.sum(F.col("off")[c]).alias(f"g{c}") for c in range(len(FAMILIES))))
+        slopes = slope.groupBy().agg(F.array_sort(F.collect_list(F.struct("slot", F.array(*(f"g{c}" for c in range(len(FAMILIES)))).alias("g")))).alias("s"))  # one for each place
+
+        def step(w: Column, s: Column) -> Column:
+            soft = lambda v: F.when(s["slot"] == bias, v).otherwise(F.signum(v) * F.greatest(F.lit(0.0), F.abs(v) - RATE * L1))
+            return F.zip_with(w, s["g"], lambda a, g: soft(a - RATE * g))
+
+        model = written(model.crossJoin(F.broadcast(slopes)).select("place", F.zip_with("w", "s", step).alias("w")), "license-model")
+    return model
+
+
+def _scored(documents: DataFrame, model: DataFrame) -> DataFrame:
+    """(a, b, at, family, p, sure) of every cued window; a and b name the row, ``at`` its paragraph."""
+    held = documents.where(_holds(F.lower("text"))).select(*_names(), F.posexplode(_paragraphs(F.col("text"))).alias("at", "paragraph"))
+    held = held.where(_holds(F.lower("paragraph"))).select("a", "b", "at", _words(F.col("paragraph")).alias("words"))
+    cued = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(_list(cues()), w), i)), lambda i: i.isNotNull())
+    held = held.withColumn("cued", cued).where(F.size("cued") > 0)
+
+    def windows(size: int) -> Column:
+        step = size // 2
+        starts = F.array_distinct(F.flatten(F.transform("cued", lambda i: F.array(F.floor(i / step), F.greatest(F.lit(0), F.floor(i / step) - 1)))))
+        return _windows(F.col("words"), size, F.transform(starts, lambda s: (s * step).cast("int")))
+
+    each = held.select("a", "b", "at", F.explode(F.array_distinct(F.concat(*map(windows, SCALES)))).alias("words"))
+    each = each.withColumn("f", _features(F.col("words"))).withColumn("pairs", _pairs(F.col("words")))
+    each = each.crossJoin(F.broadcast(model))  # one row
+    places = F.filter(F.transform("f", lambda b: F.col("place")[b]), lambda p: p.isNotNull())
+    each = _with_p(each, F.transform(_sums(places, F.col("w")), lambda z: z / F.sqrt(F.size("f"))))
+    best = F.array_position("p", F.array_max("p")).cast("int") - 1
+    each = each.select("a", "b", "at", "words", "pairs", F.array(*map(F.lit, FAMILIES))[best].alias("family"), F.array_max("p").alias("p"))
+    return each.select("a", "b", "at", "family", "p", (_overlap(F.col("words"), F.col("pairs"), F.col("family")) >= 1).alias("sure"))
+
+
+def _names() -> list[Column]:
+    """Two hashes that name a row; equal rows share them."""
+    return [F.xxhash64("doc_id", "text").alias("a"), F.xxhash64("text", "doc_id", F.lit(1)).alias("b")]
+
+
+def _threshold(paragraphs: DataFrame) -> float:
+    """The quantile of the best probabilities of paragraphs without a confirmed window, within ``LEAST`` and ``MOST``."""
+    bins = paragraphs.where(F.size("found") == 0).groupBy(F.floor(F.col("unsure") * 1000).alias("bin")).agg(F.count("*").alias("n")).collect()  # 1,001 at most
+    left = (1 - QUANTILE) * sum(r.n for r in bins)
+    at = 0.0
+    for r in sorted(bins, key=lambda r: -r.bin):
+        left -= r.n
+        if left < 0:
+            at = (r.bin + 1) / 1000
+            break
+    return min(MOST, max(LEAST, at))
 
 
 def scanned(documents: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_licence_lines, families, best_family, best_p`` of every document.
+    """``doc_id, n_paragraphs, n_licence_paragraphs, families, best_family, best_p`` of every document.
 
-    ``families`` are the confirmed ones, sorted.  A null or empty text has no lines; repeated
-    rows are scanned alike; null ids are kept; extra columns are ignored; an empty table gives
-    no rows.
+    ``families`` are the confirmed ones, sorted.  Equal paragraphs of a text count one by one;
+    a null or blank text has none; repeated rows are scanned alike; null ids are kept; extra
+    columns are ignored; an empty table gives no rows.
     """
-    spark = documents.sparkSession
-    weights, least = train(documents)
-    templates = _templates(spark)
-    key = F.xxhash64("doc_id", "text")
-    rows = documents.select("doc_id", "text").withColumn("key", key)
-    holding = rows.where(_cued(F.lower("text")))
-    lines = _lines(holding, "key").where(_cued(F.lower("line"))).select("key", "line").distinct()
-    lines = written(lines.withColumn("words", _words(F.col("line"))).withColumn("row", F.monotonically_increasing_id()), "license-lines")
-    classes = spark.createDataFrame([([*_FAMILIES, UNKNOWN],)], "families array<string>")
-    p = _probabilities(_exploded(lines, "row"), weights, classes, "row")
-    best = p.groupBy("row").agg(F.max_by("family", F.struct("p", "family")).alias("family"), F.max("p").alias("p")).where((F.col("family") != UNKNOWN) & (F.col("p") >= least))
-    named = best.join(lines, "row").join(F.broadcast(templates.select("family", F.col("words").alias("t"))), "family")
-    found = F.aggregate("words", F.lit(0), lambda at, w: F.when((at < F.size("t")) & (F.try_element_at("t", at + 1) == w), at + 1).otherwise(at))  # template words met in order
-    named = named.withColumn("share", F.greatest(found / F.size("t"), F.size(F.array_intersect("t", "words")) / F.size(F.array_distinct("t")) * (found > 0).cast("double")))
-    sure = named.groupBy("row", "key", "family", "p").agg(F.max("share").alias("share")).where(F.col("share") >= OVERLAP)
-    per = sure.groupBy("key").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("family")).alias("families"), F.max_by("family", F.struct("p", "family")).alias("best_family"), F.max("p").alias("best_p"))
-    n_lines = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.length(F.trim(x)) > 0)).cast("bigint")
-    out = rows.select("doc_id", "key", n_lines.alias("n_lines")).join(per, "key", "left")
-    return out.select("doc_id", "n_lines", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_licence_lines"), F.coalesce("families", F.array().cast("array<string>")).alias("families"), "best_family", F.round("best_p", 6).alias("best_p"))
+    docs = documents.select("doc_id", "text")
+    windows = _scored(docs, train(docs))
+    found = F.collect_set(F.when(F.col("sure") & (F.col("family") != UNKNOWN), F.struct("family", F.round("p", 6).alias("p"))))  # of one paragraph, FAMILIES kinds
+    paragraphs = windows.groupBy("a", "b", "at").agg(found.alias("found"), F.max(F.when(F.col("family") != UNKNOWN, F.col("p")).otherwise(F.lit(0.0))).alias("unsure"))
+    paragraphs = written(paragraphs, "license-paragraphs")
+    least = _threshold(paragraphs)
+    sure = paragraphs.select("a", "b", "at", F.explode("found").alias("x")).where(F.col("x.p") >= least)
+    per = sure.groupBy("a", "b").agg(F.countDistinct("at").alias("n"), F.array_sort(F.collect_set("x.family")).alias("families"), F.max(F.struct("x.p", "x.family")).alias("best"))
+    rows = docs.select("doc_id", *_names(), F.size(_paragraphs(F.col("text"))).cast("bigint").alias("n_paragraphs"))
+    out = rows.join(per, ["a", "b"], "left")
+    return out.select("doc_id", "n_paragraphs", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_licence_paragraphs"), F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.col("best.family").alias("best_family"), F.col("best.p").alias("best_p"))
 
 
 def digest(found: DataFrame) -> DataFrame:
