@@ -265,9 +265,10 @@ def _parted(hot: DataFrame, most: int, length: int) -> DataFrame:
 
 def _counted(found: DataFrame) -> DataFrame:
     """``anchor, whole, times, kinds`` of the anchors that occur more than once."""
-    per = found.groupBy("anchor", "whole").agg(F.count("*").alias("times"))
+    per = written(found.groupBy("anchor", "whole").agg(F.count("*").alias("times")), "suffix-kinds")
     total = per.groupBy("anchor").agg(F.sum("times").alias("total"), F.count("*").alias("kinds"))
-    return per.join(total.where(F.col("total") > 1), "anchor").select("anchor", "whole", "times", "kinds")
+    total = written(total.where(F.col("total") > 1).drop("total"), "suffix-totals")  # joins of written tables can be split where a key is hot
+    return written(per.join(total, "anchor"), "suffix-counted")
 
 
 def _packed(rows: DataFrame, raw: str) -> DataFrame:
@@ -315,7 +316,7 @@ def repeats(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     repeated strings."""
     found = _all_pieces(texts, length)
     anchors = found.groupBy("anchor").agg(F.count("*").alias("total"), F.min("whole").alias("least"), F.max("whole").alias("most"))
-    again = anchors.where(F.col("total") > 1).select("anchor", (F.col("least") < F.col("most")).alias("mixed"))
+    again = written(anchors.where(F.col("total") > 1).select("anchor", (F.col("least") < F.col("most")).alias("mixed")), "suffix-anchors")
     shared = written(found.join(again, "anchor"), "suffix-shared")
     runs = [shared.where(~F.col("mixed")).select("key", "at", "n")]
     mixed = shared.where("mixed").drop("mixed")
