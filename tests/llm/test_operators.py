@@ -133,6 +133,41 @@ def test_decontamination_equals_brute_force(spark):
     assert got == {1: (12, 10, ["1"]), 2: (4, 2, ["2"]), 3: (3, 0, []), 4: (0, 0, [])}
 
 
+@pytest.mark.parametrize("words", [100_000, 30])
+def test_contamination_equals_its_definition(spark, monkeypatch, words):
+    """Overlapping windows, short, repeated and null items, in one block and in many passes."""
+    import re
+
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", words)
+    r = random.Random(22)
+    base = [prose(r, 40).split() for _ in range(3)]
+    items = [(str(i), " ".join(b[a : a + n])) for i, (b, a, n) in enumerate((r.choice(base), r.randint(0, 25), r.choice([1, 3, 9, 10, 11, 15])) for _ in range(20))]
+    items += [("3", items[3][1]), ("x", items[3][1].upper()), ("y", None), ("z", ""), (None, items[0][1]), ("w", "...")]
+
+    def piece():
+        a = r.randint(0, 30)
+        return " ".join([prose(r, r.randint(0, 4)), *r.choice(base)[a : a + r.randint(0, 14)]])
+
+    texts = [" ".join(piece() for _ in range(3)) for _ in range(30)] + [None, "", "A-b C!"]
+    cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    want = []
+    for i, t in enumerate(texts):
+        w, hit, names = cut(t), set(), set()
+        for name, item in items:
+            v = cut(item) if name is not None else []
+            for j in range(max(1, len(v) - 9)) if v else ():
+                win = v[j : j + 10]
+                for k in range(len(w) - len(win) + 1):
+                    if w[k : k + len(win)] == win:
+                        hit.update(range(k, k + len(win)))
+                        names.add(name)
+        want.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    got = decontaminate.digest(decontaminate.contamination(docs, bench))
+    assert sorted(map(tuple, got.collect())) == want
+    assert decontaminate.cleaned(docs, bench, max_coverage=1.0).count() == len(texts)
+
+
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 8)).astype(np.float32)

@@ -9,12 +9,14 @@ one window of its own length.
 A word pair that occurs in no item ends every match, so only stretches whose pairs all
 occur in items are streamed; this loses nothing and leaves the rest of the corpus to a
 few vectorised steps.  Documents are never shuffled.  Items are dealt into blocks of a
-bounded number of words, one automaton each; a pass over the documents carries a bounded
-number of blocks, and further blocks take further passes.
+bounded number of words, one automaton each, which every worker builds for itself; a pass
+over the documents carries a bounded number of blocks, and further blocks take further
+passes, one after the other.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veldspar.llm import words as W
+from veldspar.session import written
 
-BLOCK_WORDS = 200_000
-BLOCKS_PER_PASS = 8
+BLOCK_WORDS = 100_000
+BLOCKS_PER_PASS = 2
 
 
 class Automaton:
@@ -138,28 +141,36 @@ class Automaton:
         return found
 
 
-def _automata(benchmark: DataFrame, window: int) -> list:
-    """Broadcast automata, each over a block of items with a bounded number of words."""
-    spark = benchmark.sparkSession
+def _passes(benchmark: DataFrame) -> Iterator[tuple[str, list]]:
+    """(name, blocks) of each pass; a block lists (item, text) with a bounded number of words."""
     size = F.coalesce(F.length("text"), F.lit(0)) / 2 + 1
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text")
-    total = items.agg(F.sum(size)).first()[0] or 0
-    blocks = max(1, int(-(-total // BLOCK_WORDS)))
-    out = []
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b)
-        rows = part.collect()  # at most about BLOCK_WORDS words
-        w = W.split(pa.array([r.text for r in rows], pa.string()))
-        listed = [(r.item, w.hashes[w.first[i] : w.first[i + 1]].tolist()) for i, r in enumerate(rows) if r.item is not None]
-        out.append(spark.sparkContext.broadcast(Automaton(listed, window)))
-    return out
-
-
-def _found(w: W.Words, automata: list) -> tuple[np.ndarray, dict[int, set[str]]]:
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
+    blocks = max(1, int(-(-(items.agg(F.sum(size)).first()[0] or 0) // BLOCK_WORDS)))
+    for a in range(0, blocks, BLOCKS_PER_PASS):
+        own = F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int")
+        rows = items.withColumn("block", own).where(F.col("block").between(a, a + BLOCKS_PER_PASS - 1)).collect()  # about BLOCKS_PER_PASS * BLOCK_WORDS words
+        yield uuid.uuid4().hex, [[(r.item, r.text) for r in rows if r.block == b] for b in range(a, min(a + BLOCKS_PER_PASS, blocks))]
+
+
+_built: dict[tuple, list[Automaton]] = {}
+
+
+def _automata(name: str, blocks: list, window: int) -> list[Automaton]:
+    """The automata of a pass, built once by each worker, which keeps those of one pass only."""
+    if (name, window) not in _built:
+        _built.clear()
+        out = []
+        for block in blocks:
+            w = W.split(pa.array([t for _, t in block], pa.string()))
+            out.append(Automaton([(item, w.hashes[w.first[i] : w.first[i + 1]].tolist()) for i, (item, _) in enumerate(block)], window))
+        _built[name, window] = out
+    return _built[name, window]
+
+
+def _found(w: W.Words, automata: list[Automaton]) -> tuple[np.ndarray, dict[int, set[str]]]:
     """Hit words, and the items that each row holds."""
     hit, items = np.zeros(len(w.hashes), bool), {}
-    for a in automata:
-        auto = a.value
+    for auto in automata:
         for begin, end in auto.stretches(w):
             for i, size, names in auto.stream(w.hashes[begin:end].tolist()):
                 hit[begin + i + 1 - size : begin + i + 1] = True
@@ -176,22 +187,26 @@ def _runs(hit: np.ndarray, w: W.Words, r: int) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
-def _judged(docs: DataFrame, automata: list, finish, schema) -> DataFrame:
+def _judged(docs: DataFrame, benchmark: DataFrame, window: int, finish, schema) -> DataFrame:
     """``docs`` through all automata; ``finish(batch, words, hit, items)`` makes the last pass's rows.
 
-    Each pass holds a bounded number of automata.  Passes are chained without a shuffle; what
-    one has marked travels to the next in two columns beside the row.
+    A pass holds a bounded number of blocks.  What it has marked is written beside the rows to
+    the shared folder before the next begins, so driver and workers hold one pass at a time.
     """
-    groups = [automata[i : i + BLOCKS_PER_PASS] for i in range(0, len(automata), BLOCKS_PER_PASS)]
-    names = docs.columns
-    for g, group in enumerate(groups):
-        last = g == len(groups) - 1
-
-        def run(batches: Iterator[pa.RecordBatch], group=group, first=g == 0, last=last) -> Iterator[pa.RecordBatch]:
+    names, session = docs.columns, docs.sparkSession.sparkContext
+    between = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), "__marks array<struct<b:bigint,e:bigint>>", "__items array<string>"])
+    passes, first = _passes(benchmark), True
+    held = next(passes)
+    while held is not None:
+        after = next(passes, None)
+        shared = session.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, first=first, last=after is None) -> Iterator[pa.RecordBatch]:
+            automata = _automata(*shared.value, window)
             for batch in batches:
                 for part in W.chunks(batch, "text"):
                     w = W.split(part.column("text"))
-                    hit, items = _found(w, group)
+                    hit, items = _found(w, automata)
                     if not first:
                         marks, held = part.column("__marks").to_pylist(), part.column("__items").to_pylist()
                         for r, m in enumerate(marks):
@@ -207,8 +222,11 @@ def _judged(docs: DataFrame, automata: list, finish, schema) -> DataFrame:
                     cols = [*(part.column(c) for c in names), pa.array(marks, _SPAN), pa.array(held, pa.list_(pa.string()))]
                     yield pa.RecordBatch.from_arrays(cols, names=[*names, "__marks", "__items"])
 
-        between = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names), "__marks array<struct<b:bigint,e:bigint>>", "__items array<string>"])
-        docs = docs.mapInArrow(run, schema if last else between)
+        docs = docs.mapInArrow(run, schema if after is None else between)
+        if after is not None:
+            docs = written(docs, "decontaminate-pass")
+            shared.destroy()
+        held, first = after, False
     return docs
 
 
@@ -234,7 +252,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
         return pa.RecordBatch.from_arrays(cols, schema=out_type)
 
     schema = "doc_id bigint, n_words bigint, n_hit bigint, spans array<struct<b:bigint,e:bigint>>, items array<string>"
-    return _judged(documents.select("doc_id", "text"), _automata(benchmark, window), finish, schema)
+    return _judged(documents.select("doc_id", "text"), benchmark, window, finish, schema)
 
 
 def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5) -> DataFrame:
@@ -263,7 +281,7 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_co
         cols = [pa.array(texts, part.schema.field("text").type) if c == "text" else part.column(c) for c in names]
         return pa.RecordBatch.from_arrays(cols, schema=part.schema).filter(pa.array(keep))
 
-    out = _judged(documents, _automata(benchmark, window), finish, documents.schema)
+    out = _judged(documents, benchmark, window, finish, documents.schema)
     if "n_chars" not in names:
         return out
     return out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
