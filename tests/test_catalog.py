@@ -1,13 +1,19 @@
-"""Catalog queries against DuckDB, and examples of the column functions."""
+"""Catalog queries against DuckDB, and examples of the column functions and operators."""
+
+import json
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar.functions import intent, text
-from veldspar.plans import catalog
+from veldspar.functions import intent, pages, text
+from veldspar.operators import filters, listings, ranking, records, rules
+from veldspar.plans import cars, quality
+from veldspar.sources import files
+from veldspar.streaming import fetch_log
 
 SF = "/root/testdata/sf0.001"
+ALL = cars.QUERIES | quality.QUERIES
 
 
 def plain(v):
@@ -17,45 +23,136 @@ def plain(v):
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("part", "lineitem", "customer", "orders", "embeddings"):
+    for t in ("part", "lineitem", "customer", "orders", "embeddings", "documents", "labels", "pages"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in ("source_winner", "duplicate_marks")])
+@pytest.mark.parametrize("name", list(ALL))
 def test_query_equals_sql(spark, duck, name):
-    df = catalog.QUERIES[name](spark, SF)
+    df = ALL[name](spark, SF)
     columns = sorted(df.columns)
-    found = duck.execute(catalog.ORACLES[name])
+    found = duck.execute((cars.ORACLES | quality.ORACLES)[name])
     at = [[d[0] for d in found.description].index(c) for c in columns]
     want = sorted(tuple(repr(plain(r[i])) for i in at) for r in found.fetchall())
     assert sorted(tuple(repr(plain(r[c])) for c in columns) for r in df.collect()) == want
 
 
-def one(spark, value, f):
-    return spark.createDataFrame([(value,)], "c string").select(f(F.col("c")).alias("x")).first().x
+def each(spark, values, f):
+    """What ``f`` makes of texts, in order."""
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, c string").select("i", f(F.col("c")).alias("x")).collect()
+    return [x.x for x in sorted(rows, key=lambda r: r.i)]
 
 
 def test_numbers_and_units(spark):
-    assert one(spark, "Rs 12.5 Lakh", text.price) == 1_250_000
-    assert one(spark, "1,20,000", text.price) == 120_000
-    assert one(spark, "1197 cc", text.engine_cc) == 1197
-    assert one(spark, "1197 bhp", text.engine_cc) is None
-    assert one(spark, None, text.engine_cc) is None
-    assert one(spark, "7 h 30 min", text.hours) == 7.5
-    assert one(spark, "3995 x 1745 mm", text.dimensions).asDict() == {"length": 3995.0, "width": 1745.0, "height": None}
+    assert each(spark, ["Rs 12.5 Lakh", "1,20,000", "2 crore", "none", None], text.price) == [1_250_000, 120_000, 20_000_000, None, None]
+    assert each(spark, ["1197 cc", "2024 model, 1,197 cc", "engine capacity 998", "1197 bhp", "1197", "accuracy 1197", "7000 cc", None], text.engine_cc) == [1197, None, 998, None, None, None, None, None]
+    assert each(spark, ["2024 model 1498 cc", "1498.6 cubic centimetre"], text.engine_cc) == [1498, None]
+    assert each(spark, ["7 h 30 min", "45 minutes", "8", None], text.hours) == [7.5, 0.75, 8.0, None]
+    assert each(spark, ["7 h 30 min", "45 minutes", "8.9", None], text.minutes) == [450, 45, 8, None]
+    assert each(spark, ["3995 x 1745 mm"], text.dimensions)[0].asDict() == {"length": 3995, "width": 1745, "height": None}
+    assert each(spark, ["3 Years / 1,00,000 kms"], text.warranty)[0].asDict() == {"years": 3, "km": 100000}
+    assert each(spark, ["-3.7 deg", "x"], text.first_int) == [-3, None]
+    assert each(spark, ["5 Speed Manual", "6-gear"], text.gear_count) == [5, None]
 
 
 def test_flags_keep_three_states(spark):
-    assert one(spark, "Yes", text.tri_bool) is True
-    assert one(spark, "not available", text.tri_bool) is False
-    assert one(spark, "front only", text.tri_bool) is None
-    assert one(spark, None, text.tri_bool) is None
+    got = each(spark, ["Yes", "not  available", "ABS-No", "no way", "yes front", "front only", "", None], text.tri_bool)
+    assert got == [True, False, False, False, True, None, None, None]
+
+
+def test_texts(spark):
+    assert each(spark, ["VX+ (O) 1.2", "A  B", None], text.variant_text) == ["vx plus o 1 2", "a b", ""]
+    assert each(spark, ["Automated Manual", "6MT", "AT", "DSG", None], text.transmission_family) == ["amt", "6mt", "automatic", "dsg", "unknown"]
+    assert each(spark, ["Alto  800", None], text.slug) == ["alto--800", "unknown"]
+    assert each(spark, ["https://a.example/x y/-z?q"], text.cache_key)[0].startswith("x_y_z_")
+    assert each(spark, [" ", "b"], lambda c: text.first_filled(c, F.lit("z"))) == ["z", "b"]
+    assert each(spark, ["N"], lambda c: text.sentence(c, [("price", F.lit(5)), ("gears", F.lit(None).cast("int"))], [("abs", F.lit(True)), ("sunroof", F.lit(None).cast("boolean"))])) == ["N. price 5. features: abs"]
 
 
 def test_intent(spark):
-    rows = [("Automatic SUV with sunroof from Tata under 15 lakh",), ("10 to 12 lakh petrol sedan or manual automatic",), (None,)]
-    a, b, c = intent.parsed(spark.createDataFrame(rows, "query string")).collect()
+    rows = [("Automatic SUV with sunroof from Tata under15 lakh",), ("10to12 lakh petrol sedan or manual automatic",), ("under 20 kmpl",), (None,)]
+    frame = spark.createDataFrame(rows, "query string")
+    a, b, c, d = intent.parsed(frame).collect()
     assert (a.price_max, a.body_type, a.transmission, a.makes, a.features) == (1_500_000, "suv", "automatic", ["Tata"], ["sunroof"])
     assert (b.price_min, b.price_max, b.fuel_type, b.transmission) == (1_000_000, 1_200_000, "petrol", None)
-    assert (c.price_max, c.body_type, c.makes, c.use_case) == (None, None, [], "general")
+    assert (c.price_max, c.mileage_min, c.mileage_max) == (2_000_000, 0.0, 20.0)
+    assert (d.price_max, d.body_type, d.makes, d.use_case) == (None, None, [], "general")
+    assert intent.parsed(frame, compat=False).collect()[2].price_max is None
+    told = intent.parsed(frame.withColumn("m", F.lit("budget")), model={"use_case": "m"}).collect()
+    assert {x.use_case for x in told} == {"budget"}
+
+
+def test_a_price_of_zero_scores_nothing(spark):
+    row = spark.range(1).select(F.lit(0.0).alias("p"), F.lit(5.0).alias("cap"))
+    assert row.select(ranking.price_points(F.col("p"), F.col("cap"), F.lit("city")).alias("x")).first().x == 0
+
+
+def test_explicit_filters_and_labels(spark):
+    row = spark.createDataFrame([(1, 5, 2)], "ABS int, Power int, Seats int")
+    assert row.select(ranking.points(ranking.explicit_rules({"ABS": 1, "Power": 5, "Seats": 9, "None": 1}, row.columns)).alias("x")).first().x == 5
+    assert [ranking.label(c) for c in ("Body_Type_MPV", "Fuel_Type_CNG", "Rear_Camera", "Android_Auto")] == ["mpv body type", "cng fuel preference", "Rear Camera", "Android Auto"]
+    said = F.array(*map(F.lit, [" has ABS ", "HAS abs", "", "matches Rear_Camera", "matches requested body type", "a", "b", "c"]))
+    assert row.select(ranking.cleaned_reasons(said, F.lit(None).cast("string")).alias("x")).first().x == ["has ABS", "Rear Camera", "requested body type", "a", "b"]
+
+
+def test_filters_that_columns_decide(spark):
+    rows = spark.createDataFrame([(1, "a", float("nan")), (2, "B", 2.0)], "Number_of_Airbags int, Drivetrain string, x double")
+    assert filters.filtered(rows, {"Drivetrain": "b", "Fuel_Type": "petrol"}).count() == 1
+    assert filters.hard_features(rows, {"Sunroof": 1, "Airbags": 1, "Cruise_Control": 1})[1] == ["Cruise_Control", "Sunroof"]
+    assert filters.gated(rows, {"Sunroof": 1})[0].count() == 0 and filters.gated(rows, {"Airbags": 1})[1] is None
+    assert [x.x for x in filters.json_safe(rows).collect()] == [None, 2.0]
+    assert filters.conformed(rows, [("x", "double"), ("new", "string")]).columns == ["x", "new"]
+
+
+def test_rules_of_fields(spark):
+    cells = spark.createDataFrame([("engine_cc", "Electric", None), ("engine_cc", "petrol", None), ("battery_capacity_kwh", None, None), ("reliability_score", "cng", None), ("power_bhp", "cng", "90")], "field string, fuel string, value string")
+    got = cells.select(rules.null_reason(F.col("field"), F.col("fuel"), F.col("value")).alias("x")).collect()
+    assert [x.x for x in got] == ["NOT_APPLICABLE", "NOT_YET_ENRICHED", "NOT_APPLICABLE", "SUBJECTIVE_REQUIRES_DERIVATION", None]
+    with pytest.raises(Exception, match="Unsupported null reason"):
+        cells.select(rules.null_envelope(F.lit("WHY"), F.lit("")).alias("x")).collect()
+    assert each(spark, ["x", "700", "90"], lambda c: rules.errors(F.lit("torque_nm"), F.lit("petrol"), c)) == [["torque_nm is not numeric"], [], []]
+
+
+def test_conflicts(spark):
+    kind = "g int, seq int, unit string, value_bool boolean, value_num double, scope string"
+    rows = [(1, 1, "a", None, 5.0, None), (1, 2, "", None, 5.05, None), (1, 3, "b", None, 5.0, None), (2, 1, None, True, None, None), (2, 2, None, None, 1.0, None), (3, 1, None, None, None, "MODEL_LEVEL"), (3, 2, None, None, None, "VARIANT_LEVEL"), (4, 1, None, None, None, "VARIANT_LEVEL"), (4, 2, None, None, None, "MODEL_LEVEL")]
+    got = {(x.g, x.left, x.right): x.reason for x in records.conflicts(spark.createDataFrame(rows, kind), ["g"], "seq").collect()}
+    assert got == {(1, 1, 3): "unit mismatch", (2, 1, 2): "boolean disagreement", (3, 1, 2): "model-level vs variant-level contradiction"}
+
+
+def test_balanced_json():
+    for body in ('{"a": "}\\"{", "b": [1, {"c": "]"}]}', "{}", '[{"x": "\\\\"}]'):
+        assert json.loads(pages.balanced("x" + body + "}tail", 1)) == json.loads(body)
+    assert pages.balanced('{"a": "', 0) is None
+
+
+def test_listings(spark):
+    rows = spark.createDataFrame([("Maruti Alto 2015", None)], "title string, price string")
+    both = listings.united({"A": rows, "B": rows})
+    assert both.columns == [*listings.FIELDS, "source"] and {x.price for x in both.collect()} == {""}
+    assert each(spark, ["10 km | petrol", None], listings.info_parts)[0].asDict() == {"km": "10 km", "fuel": "petrol", "location": None}
+    assert each(spark, ["http://x/PLACEHOLDER.png", "data:image", "https://x/a.png"], listings.image_valid) == [False, False, True]
+
+
+def test_files_round_trip(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "é, \"x\"", None), (2, None, 5)], "a int, b string, c int")
+    files.write_csv(rows, str(tmp_path / "c"), ["b", "a", "missing"])
+    back = files.csv(spark, str(tmp_path / "c"), "b string, a int, missing string").orderBy("a").collect()
+    assert [tuple(x) for x in back] == [("é, \"x\"", 1, None), (None, 2, None)]
+    files.write_json(rows, str(tmp_path / "j"))
+    (tmp_path / "m" / "one").mkdir(parents=True)
+    (tmp_path / "m" / "one" / "r.json").write_text(json.dumps([{"canonical_record": {"a": 7}, "version_id": "v"}]))
+    got = files.unwrapped(files.json_by_folder(spark, str(tmp_path / "m" / "*" / "r.json"), "version_id string, canonical_record struct<a:int>")).collect()
+    assert [(x.version_id, x.model_slug, x.a) for x in got] == [("v", "one", 7)]
+    assert files.json_array(spark, str(tmp_path / "none*.json"), "a int", absent_ok=True).count() == 0
+    assert files.json_array(spark, str(tmp_path / "m" / "one" / "r.json"), "version_id string").count() == 1
+    (tmp_path / "p.html").write_bytes(b"<h1>a\n\xff</h1>")
+    assert files.whole_texts(spark, str(tmp_path / "*.html")).count() == 1
+    assert files.markdown(rows.select("a"), [F.col("a")]) == "| a |\n|---|\n| 1 |\n| 2 |\n"
+    for n in (1, 2):
+        files.append_log(spark.createDataFrame([("u", 200 + 300 * (n == 2))], "url string, status int").withColumn("fetched_at", F.lit("2024-01-01T00:10:00")), str(tmp_path / "log"))
+    stream = fetch_log.by_hour(fetch_log.read(spark, str(tmp_path / "log"))).writeStream.format("memory").queryName("fetches").outputMode("complete").start()
+    stream.processAllAvailable()
+    stream.stop()
+    assert [(x.fetches, x.failures) for x in spark.table("fetches").collect()] == [(2, 1)]

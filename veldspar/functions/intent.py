@@ -2,91 +2,224 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Words of the request vocabulary, first match wins.
-BODIES = [("suv", "suv"), ("sedan", "sedan"), ("hatchback", "hatchback"), ("mpv", "mpv"), ("muv", "muv"), ("coupe", "coupe"), ("convertible", "convertible"), ("pickup", "pickup|pick-up"), ("wagon", "wagon"), ("crossover", "crossover"), ("sports", "sports car|sporty car")]
-FUELS = [("diesel", "diesel"), ("petrol", "petrol|gasoline"), ("cng", "cng"), ("electric", "electric|ev"), ("hybrid", "hybrid")]
-USES = [("premium", "premium|luxury|luxurious"), ("family", "family|families"), ("parents", "parents|elderly|senior"), ("highway", "highway|long drive|road trip|touring"), ("student", "student|college"), ("budget", "budget|cheap|affordable|low cost"), ("city", "city|traffic|commute|daily use"), ("enthusiast", "enthusiast|performance|sporty|fun to drive")]
-FEATURES = [("sunroof", "sunroof|sun roof|panoramic roof|moonroof|moon roof"), ("ventilated_seats", "ventilated seats?|ventilated front seats|seat ventilation|cool(?:ed|ing) seats?"), ("airbags", "airbags?"), ("abs", "abs|anti[- ]lock"), ("cruise_control", "cruise control"), ("android_auto", "android auto"), ("apple_carplay", "carplay")]
-MAKES = ["tata", "datsun", "renault", "maruti", "suzuki", "hyundai", "toyota", "nissan", "volkswagen", "ford", "mahindra", "fiat", "honda", "skoda", "jeep", "mg", "kia", "volvo", "bmw", "audi", "land rover", "lexus", "jaguar", "porsche", "maserati", "lamborghini", "bentley", "ferrari", "aston martin", "isuzu"]
-_JOINED = {"maruti": "Maruti Suzuki", "suzuki": "Maruti Suzuki"}
-_UNIT = r" *(crore|cr|lakh|lac|l)?"
-
-
-def _word(pattern: str) -> str:
-    return rf"(^|[^a-z0-9_])({pattern})($|[^a-z0-9_])"
-
-
-def _first(q: Column, classes: list[tuple[str, str]], words: bool = True) -> Column:
-    out = None
-    for name, pattern in classes:
-        fits = q.rlike(_word(pattern) if words else pattern)
-        out = F.when(fits, name) if out is None else out.when(fits, name)
-    return out
+# Words of each body, first match wins.
+BODIES = [("suv", ["suv"]), ("sedan", ["sedan"]), ("hatchback", ["hatchback"]), ("mpv", ["mpv"]), ("muv", ["muv"]), ("coupe", ["coupe"]), ("convertible", ["convertible"]), ("pickup", ["pickup", "pick-up"]), ("wagon", ["wagon"]), ("crossover", ["crossover"]), ("sports", ["sports car", "sporty car"])]
+# Words of each fuel, first match wins.
+FUELS = [("diesel", ["diesel"]), ("petrol", ["petrol", "gasoline"]), ("cng", ["cng"]), ("electric", ["electric", "ev"]), ("hybrid", ["hybrid"])]
+# Parts of texts of each use case, first match wins.
+USES = [
+    ("premium", ["premium", "luxury", "luxurious"]),
+    ("family", ["family", "families"]),
+    ("parents", ["parents", "elderly", "senior"]),
+    ("highway", ["highway", "long drive", "road trip", "touring"]),
+    ("student", ["student", "college"]),
+    ("budget", ["budget", "cheap", "affordable", "low cost"]),
+    ("city", ["city", "traffic", "commute", "daily use"]),
+    ("enthusiast", ["enthusiast", "performance", "sporty", "fun to drive"]),
+]
+# Words of each feature.
+FEATURES = [
+    ("sunroof", ["sunroof", "sun roof", "panoramic roof", "moonroof", "moon roof"]),
+    ("ventilated_seats", ["ventilated seat", "ventilated seats", "ventilated front seats", "seat ventilation", "cooled seat", "cooled seats", "cooling seats"]),
+    ("airbags", ["airbag", "airbags"]),
+    ("abs", ["abs", "anti-lock", "anti lock"]),
+    ("cruise_control", ["cruise control"]),
+    ("android_auto", ["android auto"]),
+    ("apple_carplay", ["carplay"]),
+]
+# Words and names of makes.
+MAKES = [
+    ("tata", "Tata"), ("datsun", "Datsun"), ("renault", "Renault"), ("maruti", "Maruti Suzuki"), ("suzuki", "Maruti Suzuki"), ("hyundai", "Hyundai"), ("toyota", "Toyota"), ("nissan", "Nissan"),
+    ("volkswagen", "Volkswagen"), ("ford", "Ford"), ("mahindra", "Mahindra"), ("fiat", "Fiat"), ("honda", "Honda"), ("skoda", "Skoda"), ("jeep", "Jeep"), ("mg", "Mg"), ("kia", "Kia"), ("volvo", "Volvo"),
+    ("bmw", "Bmw"), ("audi", "Audi"), ("land rover", "Land Rover"), ("lexus", "Lexus"), ("jaguar", "Jaguar"), ("porsche", "Porsche"), ("maserati", "Maserati"), ("lamborghini", "Lamborghini"),
+    ("bentley", "Bentley"), ("ferrari", "Ferrari"), ("aston martin", "Aston Martin"), ("isuzu", "Isuzu"),
+]
+# Words before a price or mileage.
+MOST_WORDS = ["under", "below", "less than", "max", "maximum", "upto", "up to"]
+LEAST_WORDS = ["above", "over", "more than", "min", "minimum"]
+# Column names of bodies and features in filter maps.
+BODY_COLUMNS = {"suv": "Body_Type_SUV", "sedan": "Body_Type_Sedan", "hatchback": "Body_Type_Hatchback", "mpv": "Body_Type_MPV", "muv": "Body_Type_MUV", "coupe": "Body_Type_Coupe", "convertible": "Body_Type_Convertible", "pickup": "Body_Type_Pick-up", "wagon": "Body_Type_Wagon", "crossover": "Body_Type_Crossover", "sports": "Body_Type_Sports"}
+FEATURE_COLUMNS = {"sunroof": "Sunroof", "ventilated_seats": "Ventilated_Seats", "airbags": "Airbags", "abs": "ABS_(Anti-lock_Braking_System)", "cruise_control": "Cruise_Control", "android_auto": "Android_Auto", "apple_carplay": "Apple_CarPlay"}
+_UNIT = r"\s*(lakhs|lakh|crore|cr)?"
+
+
+def _any(words: list[str]) -> str:
+    return "|".join(re.escape(w).replace(r"\ ", " ") for w in words)
+
+
+def _word(words: list[str]) -> str:
+    return rf"(^|[^a-z0-9_])({_any(words)})($|[^a-z0-9_])"
+
+
+def _first(q: Column, classes: list[tuple[str, list[str]]], words: bool = True) -> Column:
+    return F.coalesce(*(F.when(q.rlike(_word(w) if words else _any(w)), name) for name, w in classes))
 
 
 def _extracted(q: Column, pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(q, pattern, group), F.lit(""))
 
 
-def _scale(unit: Column) -> Column:
-    return F.when(unit.isin("crore", "cr"), 1e7).otherwise(1e5)
+def _rupees(q: Column, pattern: str, number: int, unit: int) -> Column:
+    scale = F.when(F.coalesce(_extracted(q, pattern, unit), F.lit("")).isin("cr", "crore"), 10_000_000).otherwise(100_000)
+    return _extracted(q, pattern, number).cast("bigint") * scale
 
 
-def price_bounds(q: Column) -> tuple[Column, Column]:
-    """(least, most) rupees; lakh where no unit is given."""
-    span = r"([0-9]+(?:\.[0-9]+)?)" + _UNIT + r" (?:to|-) ([0-9]+(?:\.[0-9]+)?)" + _UNIT
-    cap = r"(?:under|below|less than|max|maximum|upto|up to) ([0-9]+(?:\.[0-9]+)?)" + _UNIT
-    floor = r"(?:above|over|more than|min|minimum) ([0-9]+(?:\.[0-9]+)?)" + _UNIT
-    unit = F.coalesce(_extracted(q, span, 4), _extracted(q, span, 2))
-    whole = lambda p, g, u: F.round(_extracted(q, p, g).cast("double") * _scale(u)).cast("bigint")
-    has = _extracted(q, span, 1).isNotNull()
-    has_cap = _extracted(q, cap, 1).isNotNull()
-    low = F.when(has, whole(span, 1, unit)).when(~has_cap, whole(floor, 1, _extracted(q, floor, 2)))
-    return low, F.when(has, whole(span, 3, unit)).otherwise(whole(cap, 1, _extracted(q, cap, 2)))
+def price_bounds(q: Column, compat: bool = True) -> tuple[Column, Column]:
+    """(least, most) rupees of a lower-case text: a range, else a cap, else a floor; lakh where
+    no unit is given.  Unless ``compat``, numbers of kmpl, seats and km are no prices."""
+    other = "" if compat else r"(?![0-9])(?!\s*(?:kmpl|seater|-seater|km\b))"
+    span = rf"([0-9]+)\s*to\s*([0-9]+){other}{_UNIT}"
+    cap, floor = rf"(?:{_any(MOST_WORDS)})\s*([0-9]+){other}{_UNIT}", rf"(?:{_any(LEAST_WORDS)})\s*([0-9]+){other}{_UNIT}"
+    ranged, capped = _extracted(q, span, 1).isNotNull(), _extracted(q, cap, 1).isNotNull()
+    low = F.when(ranged, _rupees(q, span, 1, 3)).when(~capped, _rupees(q, floor, 1, 2))
+    return low, F.when(ranged, _rupees(q, span, 2, 3)).otherwise(_rupees(q, cap, 1, 2))
 
 
 def seats(q: Column) -> Column:
-    return F.coalesce(_extracted(q, r"([0-9]+)[- ]?seater", 1).cast("int"), F.when(q.rlike("(large|big) family"), 7))
+    return F.coalesce(_extracted(q, r"([0-9]+)[- ]?seater", 1).cast("int"), F.when(q.contains("large family") | q.contains("big family"), 7))
 
 
 def transmission(q: Column) -> Column:
-    auto, manual = q.rlike(_word("automatic|amt|cvt|dct|auto")), q.rlike(_word("manual"))
+    auto, manual = q.rlike(_word(["automatic", "amt", "cvt", "dct", "auto"])), q.rlike(_word(["manual"]))
     return F.when(auto & ~manual, "automatic").when(manual & ~auto, "manual")
 
 
 def makes(q: Column) -> Column:
-    """Named makes in the order of the table, joined ones once."""
-    named = F.array(*(F.when(q.rlike(_word(m)), _JOINED.get(m, m.title())) for m in MAKES))
-    return F.array_distinct(F.array_compact(named))
+    """Named makes in the order of the table, each once."""
+    return F.array_distinct(F.array_compact(F.array(*(F.when(q.rlike(_word([w])), name) for w, name in MAKES))))
 
 
 def mileage_bounds(q: Column) -> tuple[Column, Column]:
-    span, least = r"([0-9]+(?:\.[0-9]+)?) (?:to|-) ([0-9]+(?:\.[0-9]+)?) *kmpl", r"(?:above|over|more than|min|minimum|at least) ([0-9]+(?:\.[0-9]+)?) *kmpl"
-    most = r"(?:under|below|less than|max|maximum|up to) ([0-9]+(?:\.[0-9]+)?) *kmpl"
-    vague = F.when(q.rlike("good mileage|high mileage|fuel efficient"), 18.0)
-    low = F.coalesce(_extracted(q, span, 1).cast("double"), _extracted(q, least, 1).cast("double"), vague)
-    return low, F.coalesce(_extracted(q, span, 2).cast("double"), _extracted(q, most, 1).cast("double"))
-
-
-def parsed(requests: DataFrame, text: str = "query") -> DataFrame:
-    """``requests`` with one column for each part of the intent; a null text has none."""
-    q = F.lower(F.col(text))
-    low, high = price_bounds(q)
+    """(least, most) km/l: a range, else a least, else a most, else 18 for vague praise; null is open."""
+    span, least = r"([0-9]+)\s*to\s*([0-9]+)\s*kmpl", r"(?:above|more than|at least|min|minimum)\s*([0-9]+)\s*kmpl"
+    most = r"(?:under|below|less than|max|maximum)\s*([0-9]+)\s*kmpl"
+    a, b, c, d = (_extracted(q, p, g).cast("double") for p, g in ((span, 1), (span, 2), (least, 1), (most, 1)))
+    vague = q.contains("good mileage") | q.contains("fuel efficient") | q.contains("high mileage")
+    low = F.when(a.isNotNull(), a).when(c.isNotNull(), c).when(d.isNotNull(), 0.0).when(vague, 18.0)
+    return low, F.when(a.isNotNull(), b).when(c.isNull(), d)
+
+
+def parsed(requests: DataFrame, text: str = "query", compat: bool = True, model: dict[str, str] | None = None) -> DataFrame:
+    """``requests`` with one column for each part of the intent; a null text has none.
+
+    ``model``: columns with a trained classifier's labels of body_type, fuel_type,
+    transmission and use_case, which count where no word decides.
+    """
+    q, model = F.lower(F.col(text)), model or {}
+    low, high = price_bounds(q, compat)
     m_low, m_high = mileage_bounds(q)
+    said = {"body_type": _first(q, BODIES), "fuel_type": _first(q, FUELS), "transmission": transmission(q), "use_case": _first(q, USES, words=False)}
+    said = {k: F.coalesce(v, F.col(model[k])) if k in model else v for k, v in said.items()}
     return requests.select(
         "*",
         low.alias("price_min"),
         high.alias("price_max"),
         seats(q).alias("seats"),
-        _first(q, BODIES).alias("body_type"),
-        _first(q, FUELS).alias("fuel_type"),
-        transmission(q).alias("transmission"),
-        F.coalesce(_first(q, USES, words=False), F.lit("general")).alias("use_case"),
+        *(said[k].alias(k) for k in ("body_type", "fuel_type", "transmission")),
+        F.coalesce(said["use_case"], F.lit("general")).alias("use_case"),
         m_low.alias("mileage_min"),
         m_high.alias("mileage_max"),
         makes(q).alias("makes"),
-        F.array_compact(F.array(*(F.when(q.rlike(_word(p)), n) for n, p in FEATURES))).alias("features"),
+        F.array_compact(F.array(*(F.when(q.rlike(_word(w)), n) for n, w in FEATURES))).alias("features"),
+    )
+
+
+def filter_map(intents: DataFrame) -> DataFrame:
+    """``intents`` (of :func:`parsed`) with ``filters``, a map from filter names to texts: numbers, ``low..high`` or names joined by bars."""
+    text = lambda c: c.cast("string")
+    known = lambda c: F.col(c).isNotNull() & (F.col(c) != "unknown")
+    low, high = F.col("price_min"), F.col("price_max")
+    body = F.coalesce(*(F.when(F.col("body_type") == k, v) for k, v in BODY_COLUMNS.items()))
+    pairs = [
+        ("Ex-Showroom_Price", F.when(low.isNotNull() & high.isNotNull(), F.concat(text(low), F.lit(".."), text(high))).otherwise(text(high))),
+        ("price_min_only", F.when(high.isNull(), text(low))),
+        ("Make", F.when(F.size("makes") > 0, F.array_join("makes", "|"))),
+        ("Body_Type", F.when(known("body_type"), body)),
+        *((f"Transmission_{k.title()}", F.when(F.col("transmission") == k, "1")) for k in ("automatic", "manual")),
+        ("Seating_Capacity", text(F.col("seats"))),
+        ("ARAI_Certified_Mileage", F.when(F.col("mileage_min").isNotNull(), F.concat(text(F.col("mileage_min")), F.lit(".."), F.coalesce(text(F.col("mileage_max")), F.lit(""))))),
+        *((f"Fuel_Type_{'CNG' if k == 'cng' else k.title()}", F.when(F.col("fuel_type") == k, "1")) for k, _ in FUELS),
+        *((c, F.when(F.array_contains("features", k), "1")) for k, c in FEATURE_COLUMNS.items()),
+    ]
+    held = F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(n).alias("k"), v.alias("v"))) for n, v in pairs)))
+    return intents.withColumn("filters", F.map_from_entries(held))
+
+
+# Makes that the plain parser finds as parts of a text.
+PLAIN_MAKES = ["Tata", "Datsun", "Renault", "Maruti Suzuki", "Hyundai", "Premier", "Toyota", "Nissan", "Volkswagen", "Ford", "Mahindra", "Fiat", "Honda", "Force", "Skoda", "Jeep", "Mg", "Kia", "Mitsubishi", "Volvo", "Unknown", "Mini", "Bmw", "Audi", "Land Rover Rover", "Lexus", "Jaguar", "Porsche", "Land Rover", "Maserati", "Lamborghini", "Bentley", "Ferrari", "Aston Martin", "Bajaj", "Icml", "Isuzu", "Maruti Suzuki R", "Dc"]
+PLAIN_BODIES = ["suv", "sedan", "hatchback", "mpv", "muv", "coupe", "convertible", "pickup", "wagon", "crossover", "sports"]
+# Words of the plain parser's features; a number after the word is its value.
+PLAIN_FEATURES = {
+    "Cruise_Control": ["cruise control"], "ABS_(Anti-lock_Braking_System)": ["abs", "anti-lock braking system"], "Airbags": ["airbags", "safety airbags"], "Sunroof": ["sunroof", "panoramic roof"],
+    "Android_Auto": ["android auto"], "Apple_CarPlay": ["apple carplay"], "Engine_CC": ["cc", "engine capacity"], "Torque": ["torque"], "Horsepower": ["bhp", "horsepower"],
+}
+PLAIN_TEXTS = {"Fuel_Type": ["petrol", "diesel", "cng", "electric"], "Drivetrain": ["fwd", "rwd", "awd", "4wd"]}
+
+
+def plain(requests: DataFrame, text: str = "query") -> DataFrame:
+    """The fallback parser, without a model: any number may be a budget.
+
+    Adds price_min, price_max, seats, transmission, body_type, makes, mileage_min,
+    mileage_max, and ``features``, a map from names to texts.
+    """
+    q = F.lower(F.col(text))
+    unit = r"\s*(lakh|crore|cr)?"
+    span, cap, any_ = rf"([0-9]+)\s*to\s*([0-9]+){unit}", rf"under ([0-9]+){unit}", rf"([0-9]+){unit}"
+    ranged, capped = _extracted(q, span, 1).isNotNull(), _extracted(q, cap, 1).isNotNull()
+    high = F.when(ranged, _rupees(q, span, 2, 3)).when(capped, _rupees(q, cap, 1, 2)).otherwise(_rupees(q, any_, 1, 2))
+    auto, manual = q.contains("automatic"), q.contains("manual")
+    km = r"(at least|above|more than|under|below|less than)?\s*([0-9]+)\s*kmpl"
+    km_span = r"([0-9]+)\s*to\s*([0-9]+)\s*kmpl"
+    both, one, how = _extracted(q, km_span, 1).cast("int"), _extracted(q, km, 2).cast("int"), F.regexp_extract(q, km, 1)
+    less = how.isin("under", "below", "less than")
+
+    def feature(words: list[str]) -> Column:  # the last word that is there decides
+        found = [F.coalesce(_extracted(q, rf"(?:^|[^a-z0-9_]){re.escape(w)}\s*([0-9]+)(?:$|[^a-z0-9_])", 1), F.when(q.rlike(_word([w])), "1")) for w in reversed(words)]
+        return F.coalesce(*found)
+
+    entries = [(n, feature(w)) for n, w in PLAIN_FEATURES.items()] + [(n, F.coalesce(*(F.when(q.rlike(_word([w])), w.upper()) for w in reversed(ws)))) for n, ws in PLAIN_TEXTS.items()]
+    held = F.array_compact(F.array(*(F.when(v.isNotNull(), F.struct(F.lit(n).alias("k"), v.alias("v"))) for n, v in entries)))
+    return requests.select(
+        "*",
+        F.when(ranged, _rupees(q, span, 1, 3)).alias("price_min"),
+        high.alias("price_max"),
+        _extracted(q, r"([0-9]+)[- ]?seater", 1).cast("int").alias("seats"),
+        F.when(auto & ~manual, "automatic").when(manual & ~auto, "manual").alias("transmission"),
+        _first(q, [(b, [b]) for b in PLAIN_BODIES]).alias("body_type"),
+        F.array_compact(F.array(*(F.when(q.contains(m.lower()), m) for m in PLAIN_MAKES))).alias("makes"),
+        F.when(both.isNotNull(), both).when(one.isNotNull(), F.when(less, 0).otherwise(one)).alias("mileage_min"),
+        F.when(both.isNotNull(), _extracted(q, km_span, 2).cast("int")).when(less, one).alias("mileage_max"),
+        F.map_from_entries(held).alias("features"),
+    )
+
+
+# Words of requests for used vehicles, first match wins.
+USED_CITIES = ["hyderabad", "mumbai", "delhi", "bangalore", "chennai", "pune", "kolkata"]
+USED_FUELS = ["petrol", "diesel", "cng", "electric"]
+USED_BODIES = ["suv", "sedan", "hatchback", "mpv"]
+USED_MAKES = ["tata", "maruti", "suzuki", "hyundai", "honda", "mahindra", "toyota", "ford", "renault", "kia", "volkswagen", "nissan", "jeep", "mg", "skoda", "audi", "bmw", "ford", "datsun", "chevrolet", "volvo", "mercedes-benz", "porsche", "jaguar", "byd"]
+
+
+def used(requests: DataFrame, text: str = "query") -> DataFrame:
+    """Requests for used vehicles: price_min, price_max, city, fuel_type, body_type, transmission, makes, year_min and km_max; words count as parts of the text."""
+    q = F.lower(F.col(text))
+    span, cap = r"([0-9]+)\s*to\s*([0-9]+)\s*(lakh|crore|cr)?", r"under ([0-9]+)\s*(lakh|crore|cr)?"
+    km = r"(?:under|less than|below)?\s*([0-9]+)(k)?\s*(?:km|kms|kilometers)"
+    part = lambda words: F.coalesce(*(F.when(q.contains(w), w) for w in words))
+    return requests.select(
+        "*",
+        _rupees(q, span, 1, 3).alias("price_min"),
+        F.coalesce(_rupees(q, span, 2, 3), _rupees(q, cap, 1, 2)).alias("price_max"),
+        part(USED_CITIES).alias("city"),
+        part(USED_FUELS).alias("fuel_type"),
+        part(USED_BODIES).alias("body_type"),
+        part(["automatic", "manual"]).alias("transmission"),
+        F.array_compact(F.array(*(F.when(q.contains(m), m) for m in USED_MAKES))).alias("makes"),
+        _extracted(q, r"(20[0-2][0-9])", 1).cast("int").alias("year_min"),
+        (_extracted(q, km, 1).cast("bigint") * F.when(_extracted(q, km, 2).isNotNull(), 1000).otherwise(1)).alias("km_max"),
     )

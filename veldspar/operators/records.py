@@ -1,4 +1,7 @@
-"""Candidates, merges and audits over (record, field) cells."""
+"""Candidates, conflicts, dispositions, merges and audits over (record, field) cells.
+
+A candidate's value is typed: ``value_bool``, ``value_num`` or ``value_str``, the others null.
+"""
 
 from __future__ import annotations
 
@@ -8,9 +11,10 @@ from pyspark.sql import functions as F
 from veldspar.functions.text import numbers_conflict
 
 
-def cells(records: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, field, value): one row for each field of each record."""
-    return records.select(key, *(F.col(f).cast("string").alias(f) for f in fields)).unpivot([key], fields, "field", "value")
+def cells(records: DataFrame, key: str, fields: list[str], keep: list[str] = ()) -> DataFrame:
+    """(key, kept columns, field, value): one row for each field of each record."""
+    kept = [key, *keep]
+    return records.select(*kept, *(F.col(f).cast("string").alias(f) for f in fields)).unpivot(kept, fields, "field", "value")
 
 
 def populated(value: Column) -> Column:
@@ -18,20 +22,54 @@ def populated(value: Column) -> Column:
     return value.isNotNull() & (value != "")
 
 
-def conflicts(candidates: DataFrame, group: list[str], seq: str, value: str, unit: str) -> DataFrame:
-    """Pairs of candidates of one cell that disagree, with the first reason that holds.
+def group_key(c: Column) -> Column:
+    """A grouping value, blanks as one group."""
+    return F.coalesce(F.nullif(c.cast("string"), F.lit("")), F.lit("UNKNOWN"))
+
+
+def conflict_reason(a: str, b: str) -> Column:
+    """The first reason that the candidates in two struct columns (unit, value_bool, value_num, scope) contradict each other."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    filled = lambda c: c.isNotNull() & (c != "")
+    either = x("value_bool").isNotNull() | y("value_bool").isNotNull()
+    out = F.when(filled(x("unit")) & filled(y("unit")) & (x("unit") != y("unit")), "unit mismatch")
+    out = out.when(either, F.when(~x("value_bool").eqNullSafe(y("value_bool")), "boolean disagreement"))
+    out = out.when(numbers_conflict(x("value_num"), y("value_num")), "numeric values differ beyond tolerance")
+    return out.when((x("scope") == "MODEL_LEVEL") & (y("scope") == "VARIANT_LEVEL"), "model-level vs variant-level contradiction")
 
-    Groups that cannot hold a conflict (one unit, extremes within 2 %) are dropped before the
-    pairing, so only pairs of cells in dispute are built.
+
+def conflicts(candidates: DataFrame, group: list[str], seq: str) -> DataFrame:
+    """(group, left, right, reason) of pairs of candidates of one cell that contradict each other, ``left`` before ``right`` by ``seq``.
+
+    Equal candidates of a cell are one kind; only kinds of cells that can hold a conflict are
+    paired, and their members are joined to the pairs that do.
     """
-    per = candidates.groupBy(*group).agg(F.min(value).alias("lo"), F.max(value).alias("hi"), F.countDistinct(unit).alias("units"))
-    open_ = per.where(numbers_conflict(F.col("lo"), F.col("hi")) | (F.col("units") > 1)).select(*group)
-    rows = candidates.select(*group, seq, value, unit).join(open_, group)
-    left = rows.select(*group, F.col(seq).alias("left"), F.col(value).alias("a"), F.col(unit).alias("ua"))
-    right = rows.select(*group, F.col(seq).alias("right"), F.col(value).alias("b"), F.col(unit).alias("ub"))
-    both = left.join(right, group).where("left < right")
-    reason = F.when(F.col("ua") != F.col("ub"), "unit mismatch").when(numbers_conflict(F.col("a"), F.col("b")), "numeric conflict")
-    return both.withColumn("reason", reason).where("reason is not null").select(*group, "left", "right", "reason")
+    kind = ["unit", "value_bool", "value_num", "scope"]
+    held = candidates.select(*group, F.col(seq).alias("__seq"), *kind).withColumn("__kind", F.struct(*kind))
+    first, last = F.min("__kind"), F.max("__kind")
+    open_ = held.groupBy(*group).agg(first.alias("a"), last.alias("b")).where(~F.col("a").eqNullSafe(F.col("b"))).select(*group)
+    kinds = held.select(*group, "__kind").distinct().join(open_, group)
+    both = kinds.withColumnRenamed("__kind", "x").join(kinds.withColumnRenamed("__kind", "y"), group)
+    both = both.withColumn("reason", conflict_reason("x", "y")).where("reason is not null")
+    left = held.select(*group, F.col("__kind").alias("x"), F.col("__seq").alias("left"))
+    right = held.select(*group, F.col("__kind").alias("y"), F.col("__seq").alias("right"))
+    on = lambda side: [F.col(f"p.{g}") == F.col(f"{side}.{g}") for g in group]
+    joined = both.alias("p").join(left.alias("l"), [*on("l"), F.col("p.x").eqNullSafe(F.col("l.x"))]).join(right.alias("r"), [*on("r"), F.col("p.y").eqNullSafe(F.col("r.y"))])
+    return joined.where("left < right").select(*(F.col(f"p.{g}") for g in group), "left", "right", "reason")
+
+
+# Resolution methods in their order.
+METHODS = ["exact official variant source", "exact official brochure", "exact trusted portal match", "safe powertrain/model inheritance", "manual review", "unresolved conflict"]
+
+
+def source_rank(method: Column, kind: Column, match: Column, inherited: Column) -> Column:
+    """A candidate's rank: its method's place, else by its source type, match confidence and inheritance."""
+    said = F.coalesce(F.nullif(method, F.lit("")), kind, F.lit(""))
+    out = F.when(said.contains(METHODS[0]), 0)
+    for i, m in enumerate(METHODS[1:], 1):
+        out = out.when(said.contains(m), i)
+    out = out.when(kind == "official_variant", 0).when(kind == "official_brochure", 1).when((match >= 0.9) & (kind == "trusted_portal"), 2)
+    return out.when(F.coalesce(inherited, F.lit(False)), 3).otherwise(4)
 
 
 def winners(candidates: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
@@ -39,12 +77,61 @@ def winners(candidates: DataFrame, group: list[str], order: list[Column]) -> Dat
     return candidates.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where("__n = 1").drop("__n")
 
 
+def resolved(candidates: DataFrame, group: list[str], order: list[Column], conflicted: DataFrame | None = None) -> DataFrame:
+    """(group, status, seq): accepted with the first valid candidate, manual_review without one, unresolved_conflict where ``conflicted`` has the cell."""
+    valid = F.col("status").isin("VALID", "UNVALIDATED")
+    all_cells = candidates.select(*group).distinct()
+    first = winners(candidates.where(valid), group, order).select(*group, F.col("seq").alias("__seq"))
+    out = all_cells.join(first, group, "left")
+    bad = conflicted.select(*group).distinct().withColumn("__bad", F.lit(True)) if conflicted is not None else None
+    out = out.join(bad, group, "left") if bad is not None else out.withColumn("__bad", F.lit(None).cast("boolean"))
+    status = F.when(F.col("__bad"), "unresolved_conflict").when(F.col("__seq").isNull(), "manual_review").otherwise("accepted")
+    return out.select(*group, status.alias("status"), F.when(status == "accepted", F.col("__seq")).alias("seq"))
+
+
 def duplicates_marked(candidates: DataFrame, same: list[str], order: list[Column], seq: str) -> DataFrame:
     """``duplicate_of``: the first of exact repeats; null for that one."""
     w = Window.partitionBy(*same).orderBy(*order)
     return candidates.withColumn("duplicate_of", F.when(F.row_number().over(w) > 1, F.first(seq).over(w)))
 
 
+def dispositions(candidates: DataFrame, group: list[str], same: list[str], order: list[Column], seq: str, least: float = 0.9) -> DataFrame:
+    """Every candidate with one terminal status: ``terminal_status`` and ``winner``.
+
+    ``candidates`` has errors (array), confidence, existing (the record's own value as text)
+    and the columns of :func:`conflict_reason`.  In this order: a repeat, invalid, low
+    confidence, in conflict with another valid one, kept out by an existing value, accepted,
+    superseded.
+    """
+    rows = duplicates_marked(candidates, same, [F.col(seq)], seq)
+    early = F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE_CANDIDATE").when(F.size("errors") > 0, "REJECTED_VALIDATION").when(F.coalesce("confidence", F.lit(0.0)) < least, "REJECTED_LOW_CONFIDENCE")
+    rows = rows.withColumn("__early", early)
+    valid = rows.where("__early is null")
+    bad = conflicts(valid, group, seq).select(*group).distinct().withColumn("__bad", F.lit(True))
+    first = winners(valid, group, order).select(*group, F.col(seq).alias("winner"))
+    rows = rows.join(bad, group, "left").join(first, group, "left")
+    status = F.coalesce("__early", F.when(F.col("__bad"), "CONFLICT_UNRESOLVED").when(populated(F.col("existing")), "EXISTING_VALUE_PRESERVED").when(F.col(seq) == F.col("winner"), "ACCEPTED").otherwise("SUPERSEDED_BY_HIGHER_PRIORITY_SOURCE"))
+    rows = rows.withColumn("terminal_status", status)
+    return rows.withColumn("winner", F.when(F.col("terminal_status") == "SUPERSEDED_BY_HIGHER_PRIORITY_SOURCE", F.col("winner")).when(F.col("terminal_status") == "DUPLICATE_CANDIDATE", F.col("duplicate_of"))).drop("__early", "__bad")
+
+
+# The terminal statuses.
+STATUSES = ["DUPLICATE_CANDIDATE", "REJECTED_VALIDATION", "REJECTED_LOW_CONFIDENCE", "REJECTED_INHERITANCE_POLICY", "REJECTED_SCOPE_MISMATCH", "CONFLICT_UNRESOLVED", "EXISTING_VALUE_PRESERVED", "ACCEPTED", "SUPERSEDED_BY_HIGHER_PRIORITY_SOURCE"]
+
+
+def reconciled(found: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(kind, n): dispositions without a known status, and by how many their number misses the candidates'."""
+    unknown = found.where(~F.coalesce(F.col("terminal_status").isin(STATUSES), F.lit(False))).agg(F.count("*").alias("n")).select(F.lit("unknown status").alias("kind"), "n")
+    apart = found.agg(F.count("*").alias("a")).crossJoin(candidates.agg(F.count("*").alias("b")))  # one row each
+    return unknown.union(apart.select(F.lit("missing dispositions"), F.abs(F.col("a") - F.col("b"))))
+
+
+def overlap(found: DataFrame, group: list[str]) -> DataFrame:
+    """Cells with several sources: how many sources and values, and whether they agree."""
+    per = found.groupBy(*group).agg(F.countDistinct("source").alias("n_sources"), F.countDistinct("value").alias("n_values"), F.max(F.coalesce(F.col("terminal_status") == "ACCEPTED", F.lit(False))).alias("has_accepted"))
+    return per.where("n_sources > 1").withColumn("agree", F.col("n_values") == 1)
+
+
 def coverage(records: DataFrame, key: str, fields: list[str], by: str | None = None) -> DataFrame:
     """Populated and missing cells of each field, and their percentage, for all or by a column."""
     rows = records.select(key, *([F.col(by).alias("grp")] if by else []), *(F.col(f).cast("string").alias(f) for f in fields))
@@ -53,19 +140,83 @@ def coverage(records: DataFrame, key: str, fields: list[str], by: str | None = N
     return held.groupBy("field", *(["grp"] if by else [])).agg(n.alias("n"), full.alias("n_populated"), (n - full).alias("n_missing"), F.countDistinct("value").alias("n_distinct"), F.round(100 * full / n, 2).alias("pct"))
 
 
-def completeness(records: DataFrame, weights: dict[str, int]) -> Column:
-    """Weighted share of populated fields, in percent."""
-    full = sum((F.when(populated(F.col(f).cast("string")), w).otherwise(0) for f, w in weights.items()), F.lit(0))
-    return F.round(100.0 * full / sum(weights.values()), 2)
+def group_means(scores: DataFrame, by: list[str], value: str = "score") -> DataFrame:
+    """(column, grp, n, average, least, most) of a score by each of some columns, from one pass."""
+    held = scores.select(value, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), group_key(F.col(c)).alias("grp")) for c in by))).alias("g"))
+    return held.groupBy("g.column", "g.grp").agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("average"), F.min(value).alias("least"), F.max(value).alias("most"))
+
 
+def summary(scores: DataFrame, value: str = "score") -> DataFrame:
+    """One row: mean, least and most; 0 for an empty table."""
+    return scores.agg(*(F.coalesce(f(value), F.lit(0.0)).alias(n) for n, f in (("average", lambda c: F.round(F.avg(c), 6)), ("least", F.min), ("most", F.max))))
 
-def readiness(pct: Column, core: Column) -> Column:
-    return F.when(~core, "BASIC").when(pct >= 90, "EXCELLENT").when(pct >= 78, "GOOD").when(pct >= 60, "FAIR").otherwise("BASIC")
+
+def examples(held: DataFrame, group: list[str], value: str, order: list[Column], most: int = 5) -> DataFrame:
+    """(group, examples): the first values of each group, in order."""
+    top = held.withColumn("__n", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("__n") <= most)
+    got = F.array_sort(F.collect_list(F.struct("__n", value)))  # ``most`` of them
+    return top.groupBy(*group).agg(F.transform(got, lambda x: x[value]).alias("examples"))
+
+
+def accuracy(pairs: DataFrame, expected: str, found: str) -> DataFrame:
+    """(total, correct, accuracy) over all entries of map columns; 0 without any."""
+    each = pairs.select(F.explode(expected).alias("k", "v"), F.col(found).alias("f")).select(F.coalesce(F.try_element_at("f", F.col("k")).eqNullSafe(F.col("v")), F.lit(False)).alias("ok"))
+    out = each.agg(F.count("*").alias("total"), F.coalesce(F.sum(F.col("ok").cast("bigint")), F.lit(0)).alias("correct"))
+    return out.withColumn("accuracy", F.when(F.col("total") > 0, F.round(F.col("correct") / F.col("total"), 6)).otherwise(0.0))
 
 
 def filled(records: DataFrame, key: str, field: str, candidates: DataFrame) -> DataFrame:
-    """``records`` with the candidates' values where the field is null; known values stay."""
-    found = candidates.select(key, F.col("value").alias("__new"))
+    """``records`` with the candidates' values where the field is null; known values stay.
+
+    ``candidates``: (key, value) and, if there, source and confidence, which become the
+    ``provenance`` of a value that was written.
+    """
+    more = [c for c in ("source", "confidence") if c in candidates.columns]
+    found = candidates.select(key, F.col("value").alias("__new"), *(F.col(c).alias(f"__{c}") for c in more))
     out = records.join(found, key, "left")
-    was = F.col(field)
-    return out.withColumn("filled", was.isNull() & F.col("__new").isNotNull()).withColumn(field, F.coalesce(was, "__new")).drop("__new")
+    took = F.col(field).isNull() & F.col("__new").isNotNull()
+    out = out.withColumn("filled", took)
+    if more:
+        out = out.withColumn("provenance", F.when(F.col("filled"), F.struct(F.lit(field).alias("field"), F.col("__new").alias("value"), *(F.col(f"__{c}").alias(c) for c in more))))
+    return out.withColumn(field, F.coalesce(field, "__new")).drop("__new", *(f"__{c}" for c in more))
+
+
+def unresolved(held: DataFrame, candidates: DataFrame, key: str) -> DataFrame:
+    """Empty cells after a merge: UNRESOLVED_CONFLICT where a candidate was there, else FIELD_NOT_PUBLISHED."""
+    seen = candidates.select(key, "field").distinct().withColumn("__seen", F.lit(True))
+    out = held.where(F.col("value").isNull()).join(seen, [key, "field"], "left")
+    return out.withColumn("null_reason", F.when(F.col("__seen"), "UNRESOLVED_CONFLICT").otherwise("FIELD_NOT_PUBLISHED")).drop("__seen")
+
+
+def changed(before: DataFrame, after: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, field, before, after) of cells that differ, null-safe."""
+    old = cells(before, key, fields).withColumnRenamed("value", "before")
+    new = cells(after, key, fields).withColumnRenamed("value", "after")
+    return old.join(new, [key, "field"]).where(~F.col("before").eqNullSafe(F.col("after")))
+
+
+def with_decisions(records: DataFrame, decisions: DataFrame, key: str, identity: list[str]) -> DataFrame:
+    """Records whose decision names their identity too (null-safe), with the decision's other columns."""
+    other = [c for c in decisions.columns if c != key and c not in identity]
+    named = decisions.select(key, *(F.col(c).alias(f"__{c}") for c in identity), *other)
+    same = F.lit(True)
+    for c in identity:
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return records.join(named, key).where(same).drop(*(f"__{c}" for c in identity))
+
+
+def routed(records: DataFrame, status: Column, decisions: DataFrame, key: str) -> DataFrame:
+    """``subset`` of each record: nullable_usable, excluded or recommendation_ready, by its last decision, then by its status."""
+    last = decisions.groupBy(key).agg(F.max_by("decision", "seq").alias("decision"))
+    out = records.join(last, key, "left")
+    subset = F.when(F.col("decision") == "accept_with_nullable_fields", "nullable_usable").when(F.col("decision").isin("quarantine", "reject"), "excluded")
+    return out.withColumn("subset", subset.when(status == "recommendation_ready", "recommendation_ready").otherwise("excluded"))
+
+
+def violations(checks: dict[str, DataFrame]) -> DataFrame:
+    """(failure, n) of each named check that has rows."""
+    out = None
+    for name, rows in checks.items():
+        n = rows.agg(F.count("*").alias("n")).select(F.lit(name).alias("failure"), "n")
+        out = n if out is None else out.union(n)
+    return out.where("n > 0")

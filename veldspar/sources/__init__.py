@@ -1 +1 @@
-"""See the modules of this package."""
+"""File sources and sinks."""

@@ -1 +1 @@
-"""See the modules of this package."""
+"""The append-only fetch log as a stream."""
