@@ -324,7 +324,9 @@ def test_kneser_ney_equals_brute_force(spark):
     held = {x.doc_id for x in docs.selectExpr("doc_id").where(f"doc_id < 50 and pmod(xxhash64(doc_id, 29), {perplexity.CALIBRATION}) = 0").collect()}
     grams = lambda t: [g for w in [["", "", *t.split()]] for g in zip(w, w[1:], w[2:])]
     three = Counter(g for i in range(50) if i not in held for g in grams(texts[i]))
-    two = Counter(g[1:] for g in three)
+    two = Counter()
+    for g, c in three.items():
+        two[g[1:]] += 1 if g[1] else c  # pairs that the start mark leads as they occur
     one = Counter(g[1:] for g in two)
 
     def cuts(counts):
@@ -390,6 +392,66 @@ def test_reputation_equals_its_sql(spark):
     assert {x.verdict for x in got if x.host == "d.spam.com"} == {"block"} and urls.judged(made[0].limit(0), made[1].selectExpr("doc_id as page_id", bad)).count() == 0
 
 
+def test_thresholds_shrink_towards_all_languages(spark):
+    r = random.Random(31)
+    rows = [(i, "en", 2, 10, float(np.exp(r.gauss(3, 0.3)))) for i in range(2000)] + [(5000 + i, "xx", 2, 10, 1e4) for i in range(3)] + [(9000, None, 2, 10, 50.0), (9001, "zz", 0, 10, 5.0), (9002, "en", 0, 0, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, lang string, use int, n_tokens long, perplexity double")
+    got = {x.lang: x.threshold for x in perplexity._judged(frame, 0.9).collect()}
+    every = sorted(x[4] for x in rows if x[2] == 2)
+    whole, own = np.log(every[int(np.ceil(0.9 * len(every))) - 1]), np.log(np.sort([x[4] for x in rows[:2000]])[1799])
+    assert np.isclose(np.log(got["en"]), (2000 * own + 100 * whole) / 2100, atol=0.003) and np.isclose(np.log(got["zz"]), whole, atol=0.002)
+    assert np.isclose(np.log(got["xx"]), (3 * np.log(1e4) + 100 * whole) / 103, atol=0.003)
+
+
+def test_ftrl_equals_plain_updates():
+    """Batches of one document against the textbook's updates."""
+    r, old = random.Random(23), (toxicity.BATCH, toxicity.EPOCHS)
+    texts, labels = [prose(r, 8) + " " + r.choice(["bad bad", "good"]) for _ in range(40)], np.array([float(r.random() < 0.4) for _ in range(40)])
+    toxicity.BATCH, toxicity.EPOCHS, l1 = 1, 2, toxicity.L1
+    toxicity.L1 = 0.3
+    try:
+        ids, weights, bias = toxicity.fit(toxicity.pa.array(texts), labels)
+        sets = [set(toxicity.features(toxicity.W.split(toxicity.pa.array([t])))[1].tolist()) for t in texts]
+        count = Counter(f for s in sets for f in s)
+        z, n, rng = Counter(), Counter(), np.random.default_rng(7)
+
+        def weight(f):
+            cut = 0.0 if f == "bias" else toxicity.L1
+            keep = 0.0 if f == "bias" else toxicity.L2
+            return 0.0 if abs(z[f]) <= cut and cut else -(z[f] - np.sign(z[f]) * cut) / ((toxicity.BETA + np.sqrt(n[f])) / toxicity.ALPHA + keep)
+
+        for _ in range(2):
+            for i in rng.permutation(40):
+                fs = [*(f for f in sets[i] if count[f] >= toxicity.LEAST_DOCS), "bias"]
+                w = {f: weight(f) for f in fs}
+                g = 1 / (1 + np.exp(-sum(w.values()))) - labels[i]
+                for f in fs:
+                    z[f] += g - (np.sqrt(n[f] + g * g) - np.sqrt(n[f])) / toxicity.ALPHA * w[f]
+                    n[f] += g * g
+        want = {f: weight(f) for f in z if f != "bias" and weight(f)}
+        assert set(want) == set(ids.tolist()) and all(np.isclose(want[int(i)], x) for i, x in zip(ids, weights, strict=True)) and np.isclose(bias, weight("bias"))
+    finally:
+        (toxicity.BATCH, toxicity.EPOCHS), toxicity.L1 = old, l1
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ["passes", "rest", "blocks", "target", "shards", "size", "block", "__key", "__node", "__row", "__class", "toxicity", "__marks", "u0", "n"]
+    docs = spark.createDataFrame([(i, f"word{i % 3} and some more words here", "a", *(f"{n}{i}" for n in names)) for i in range(9)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    items, labels = spark.createDataFrame([(1, "none of it")], "item_id long, text string"), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    for run in (mixing.draw, near_dups.kept, lambda d: toxicity.without_toxic(d, labels), lambda d: decontaminate.cleaned(d, items)):
+        out = run(docs)
+        assert out.columns == docs.columns
+        assert all(x[n] == f"{n}{x.doc_id}" for x in out.collect() for n in names)
+    assert mixing.mixed(docs).count() == 9
+
+
+def test_the_mix_draws_what_it_plans(spark):
+    docs = spark.createDataFrame([(i if i % 9 else None, "w " * (i % 40 + 1), "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
+    plan = Counter(x.doc_id for x in mixing.mixed(docs).collect() for _ in x.shards)
+    assert Counter(x.doc_id for x in mixing.draw(docs).collect()) == plan
+    assert [mixing.shards_for(n) for n in (0, 8_000_000, 8_000_001, 20_000_000)] == [8, 8, 16, 32]
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     items, labels = spark.createDataFrame([(1, None)], "item_id long, text string"), spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")
     for run in (lambda d: decontaminate.cleaned(d, items), mixing.mixed, near_dups.classes, suffixes.deduplicated, lambda d: toxicity.digest(d, labels), lambda d: perplexity.scored(d, labels)):

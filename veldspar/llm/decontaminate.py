@@ -260,9 +260,11 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_co
 
     Hit spans are cut from the text; a document of whose words more than ``max_coverage``
     are hit goes altogether.  Documents without a hit pass unchanged, null and empty texts
-    included.  ``n_chars``, where present, follows the text.
+    included; repeated rows are cut alike; extra columns of any name keep their values, but
+    ``n_chars``, where present, follows the text; an empty table gives no rows.
     """
-    names = documents.columns
+    held, columns = W.set_aside(documents, ("text",))
+    names = held.columns
 
     def finish(part, w, hit, items):
         part = part.select(names) if part.num_columns > len(names) else part
@@ -281,8 +283,8 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = 10, max_co
         cols = [pa.array(texts, part.schema.field("text").type) if c == "text" else part.column(c) for c in names]
         return pa.RecordBatch.from_arrays(cols, schema=part.schema).filter(pa.array(keep))
 
-    out = _judged(documents, benchmark, window, finish, documents.schema)
-    if "n_chars" not in names:
+    out = _judged(held, benchmark, window, finish, held.schema).select(*columns)
+    if "n_chars" not in documents.columns:
         return out
     return out.withColumn("n_chars", F.length("text").cast(dict(documents.dtypes)["n_chars"]))
 

@@ -24,22 +24,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.llm import words as W
 from veldspar.session import written
 
 WORD = r"[^\x20\x09-\x0D]+"
 MAX_REPEATS = 3
 SHARDS = 8
+SHARD_ROWS = 1_000_000
 
 
 def _sized(documents: DataFrame, seed: int) -> DataFrame:
-    """The input with its size, source key (null has its own) and permutation hash."""
+    """The input with its size, source key (null has its own) and permutation hash (by the text where the id is null)."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
     return (
         documents.withColumn("size", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint"))
         .withColumn("__key", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("z")))
-        .withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+        .withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), name)))
     )
 
 
+def shards_for(rows: int) -> int:
+    """A power of two with about ``SHARD_ROWS`` rows a shard, ``SHARDS`` at least."""
+    return max(SHARDS, 1 << max(0, -(-rows // SHARD_ROWS) - 1).bit_length())
+
+
 def _block(h: Column, blocks: Column) -> Column:
     return F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint"), blocks)
 
@@ -144,31 +152,41 @@ def block_plan(sized: DataFrame, shards: int, seed: int) -> tuple[DataFrame, Dat
     return sources, written(blocks.withColumn("shards", F.coalesce("shards", F.expr("cast(array() as array<int>)"))), "mix-plan")
 
 
-def mixed(documents: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
-    """The input's columns with ``size, source_size, target, shards``.
-
-    ``shards`` lists the output shard of each copy that the mix takes of the row; its length
-    is the number of copies, 0 to ``MAX_REPEATS``.  A null text has size 0; a null source is
-    a source; repeated rows count as rows; an empty table gives no rows; clashing extra
-    columns keep their values unless they have one of the four names above.
-    """
-    sized = _sized(documents, seed)
-    sources, blocks = block_plan(sized, shards, seed)
+def _mixed(held: DataFrame, shards: int | None, seed: int) -> DataFrame:
+    """Renamed rows (see ``W.set_aside``) with ``size, source_size, target, shards``."""
+    names = held.columns
+    sized = _sized(held, seed)
+    sources, blocks = block_plan(sized, shards or shards_for(held.count()), seed)
     rows = sized.join(sources, "__key").withColumn("block", _block(F.col("__h"), F.col("blocks")))
     inside = Window.partitionBy("__key", "block").orderBy("__h", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = rows.join(blocks.select("__key", "block", F.col("ahead").alias("__ahead"), F.col("shards").alias("__draws")), ["__key", "block"])
     more = (F.col("passes") < MAX_REPEATS) & (F.col("__ahead") + F.col("__before") + F.col("size") / 2 <= F.col("rest"))
     copies = F.slice("__draws", 1, F.col("passes") + F.when(more, 1).otherwise(0))
-    return rows.select(*[F.col(c) for c in documents.columns], "size", "source_size", "target", copies.alias("shards"))
+    return rows.select(*names, "size", "source_size", "target", copies.alias("shards"))
+
+
+def mixed(documents: DataFrame, shards: int | None = None, seed: int = 7) -> DataFrame:
+    """The input's columns with ``size, source_size, target, shards``.
+
+    ``shards`` lists the output shard of each copy that the mix takes of the row; its length
+    is the number of copies, 0 to ``MAX_REPEATS``.  A null text has size 0; a null source is
+    a source; null ids are told apart by their texts; repeated rows count as rows; an empty
+    table gives no rows; extra columns keep their values, but those of the four names above
+    are replaced.
+    """
+    held, columns = W.set_aside(documents, ("doc_id", "text", "source"))
+    found = ["size", "source_size", "target", "shards"]
+    return _mixed(held, shards, seed).select(*(c for c, n in zip(columns, documents.columns, strict=True) if n not in found), *found)
 
 
-def draw(documents: DataFrame, shards: int = SHARDS, seed: int = 7) -> DataFrame:
+def draw(documents: DataFrame, shards: int | None = None, seed: int = 7) -> DataFrame:
     """The mix itself: each taken copy a row with the input's columns, dealt to its shard and
-    shuffled there by a hash."""
-    rows = mixed(documents, shards, seed).select(*documents.columns, F.posexplode("shards").alias("__copy", "__shard"))
-    key = F.xxhash64(F.lit(seed), "doc_id", "__copy")
-    return rows.withColumn("__at", key).repartition("__shard", F.pmod("__at", F.lit(64))).sortWithinPartitions("__shard", "__at").select(*documents.columns)
+    shuffled there by a hash; cases as in :func:`mixed`, and all extra columns keep their values."""
+    held, columns = W.set_aside(documents, ("doc_id", "text", "source"))
+    rows = _mixed(held, shards, seed).select(*held.columns, F.posexplode("shards").alias("__copy", "__shard"))
+    key = F.xxhash64(F.lit(seed), "doc_id", "text", "__copy")
+    return rows.withColumn("__at", key).repartition("__shard", F.pmod("__at", F.lit(64))).sortWithinPartitions("__shard", "__at").select(*columns)
 
 
 def digest(rows: DataFrame) -> DataFrame:
@@ -178,7 +196,7 @@ def digest(rows: DataFrame) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, coalesce('s' || source, 'z') AS key, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+         md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS h FROM documents
 ), p AS (
   SELECT key, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n, CAST((row_number() OVER (ORDER BY key) - 1) % 3 + 1 AS DOUBLE) AS weight,
          sum(size) * 3.0::DOUBLE AS cap FROM d GROUP BY key

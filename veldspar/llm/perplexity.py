@@ -13,7 +13,8 @@ the share of the uniform distribution that the single tokens leave it.
    with the tables and the answers meet their block again, where the orders are interpolated
    and every document's perplexity is added up.  Nothing is broadcast but a few figures.
 4. A language's threshold is a quantile of the perplexities of its trusted documents that
-   the model has not seen; languages with few of them use all languages' quantile.
+   the model has not seen, drawn smoothly towards all languages' quantile: the fewer
+   documents, the more.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veldspar.llm import words as W
@@ -36,7 +37,8 @@ BLOCK_ROWS = 1 << 16
 START = 0x2545F4914F6CDD1D
 CALIBRATION = 8
 QUANTILE = 0.995
-LEAST_CALIBRATION = 100
+PRIOR = 100
+STEP = 0.001
 
 _BYTE = np.arange(256)
 _WORD = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
@@ -187,7 +189,9 @@ def model(trigrams: DataFrame) -> tuple[DataFrame, list[tuple[float, float, floa
     ``c`` is the (continuation) count of an n-gram; ``whole`` and ``freed`` are the sums of
     counts and of discounts after it as a context.
     """
-    bigrams = written(trigrams.groupBy("v", "w").agg(F.count("*").alias("c")), "perplexity-bigrams")
+    # nothing but the start mark precedes itself, so pairs that it begins are counted as they occur
+    led = F.max(F.col("v") == START)
+    bigrams = written(trigrams.groupBy("v", "w").agg(F.when(led, F.sum("c")).otherwise(F.count("*")).alias("c")), "perplexity-bigrams")
     singles = written(bigrams.groupBy("w").agg(F.count("*").alias("c")), "perplexity-singles")
     d = [_discounts(x) for x in (singles, bigrams, trigrams)]
     total = singles.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("a"), F.coalesce(F.sum(_cut(F.col("c"), d[0])), F.lit(0.0)).alias("f"), F.count("*").alias("n")).first()
@@ -295,11 +299,27 @@ def scored(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE)
     table, d, single = model(trigrams)
     answers = _asked(blocks).join(table, "key").select("block", "key", "c", "whole", "freed")
     rows = written(_scores(blocks, answers, d, single), "perplexity-scores")
+    return _judged(rows, quantile)
+
+
+def _judged(rows: DataFrame, quantile: float) -> DataFrame:
+    """``rows`` with their language's threshold and ``keep``.
+
+    Quantiles come from counts of logarithms in steps of ``STEP``.  A language's is drawn
+    towards the quantile of all languages as if that had been seen in ``PRIOR`` documents.
+    """
     seen = rows.where((F.col("use") == 2) & F.col("perplexity").isNotNull())
-    at = F.percentile_approx("perplexity", quantile, 10_000)
-    whole = seen.agg(at.alias("t")).first().t
-    per = seen.groupBy("lang").agg(F.count("*").alias("n"), at.alias("t")).where(F.col("n") >= LEAST_CALIBRATION)
-    per = per.select(F.col("lang").alias("l"), "t")
-    limit = F.coalesce("t", F.lit(math.inf if whole is None else whole))
-    out = rows.join(F.broadcast(per), F.col("lang").eqNullSafe(F.col("l")), "left") if per.count() <= 10_000 else rows.join(per, F.col("lang").eqNullSafe(F.col("l")), "left")
+    bins = seen.groupBy(F.col("lang").alias("l"), F.floor(F.log("perplexity") / STEP).alias("bin")).agg(F.count("*").alias("n"))
+    bins = written(bins, "perplexity-bins")
+
+    def at(counted: DataFrame, *by: str) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("bin")  # as many rows as there are steps
+        held = counted.withColumn("upto", F.sum("n").over(w)).withColumn("all", F.sum("n").over(Window.partitionBy(*by)))
+        return held.where(F.col("upto") >= quantile * F.col("all")).groupBy(*by, "all").agg(((F.min("bin") + 1) * STEP).alias("t"))
+
+    whole = at(bins.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("g", F.lit(1)), "g").first()
+    whole = math.inf if whole is None else whole.t
+    per = at(bins, "l").select("l", F.exp((F.col("all") * F.col("t") + PRIOR * whole) / (F.col("all") + PRIOR)).alias("t"))
+    limit = F.coalesce("t", F.lit(math.exp(whole) if whole < 700 else math.inf))
+    out = rows.join(F.broadcast(per) if per.count() <= 10_000 else per, F.col("lang").eqNullSafe(F.col("l")), "left")
     return out.select("doc_id", "lang", "n_tokens", "perplexity", limit.alias("threshold"), F.coalesce(F.col("perplexity") <= limit, F.lit(False)).alias("keep"))

@@ -141,27 +141,33 @@ def _scorer(model: tuple[np.ndarray, np.ndarray, float]):
     return score
 
 
-def scored(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """``documents`` with a ``toxicity`` column from their texts alone; null scores as empty."""
+def scored(documents: DataFrame, model: tuple[np.ndarray, np.ndarray, float], name: str = "toxicity") -> DataFrame:
+    """``documents`` with a column ``name`` from their texts alone; null scores as empty, and a
+    column of that name is replaced."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _scorer(shared.value)
         for batch in batches:
             for part in W.chunks(batch, "text"):
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(part.column("text")))], names=[*part.schema.names, "toxicity"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score(part.column("text")))], names=[*part.schema.names, name])
 
-    docs = documents.drop("toxicity")
+    docs = documents.drop(name)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, toxicity double")
+    return docs.mapInArrow(run, f"{fields}, `{name}` double")
 
 
 def digest(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """Every document's score, repeated rows one by one; an empty table gives no rows."""
     rows = scored(documents.select("doc_id", "text"), train(documents, labels))
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, unchanged."""
-    rows = scored(documents, train(documents, labels))
-    return rows.where(F.col("toxicity") < threshold).select(*documents.columns)
+    """The documents that score below the threshold, unchanged.
+
+    Null and empty texts score by the bias alone; repeated rows are judged alike; extra columns
+    of any name keep their values; an empty table gives no rows.
+    """
+    held, columns = W.set_aside(documents, ("doc_id", "text"))
+    return scored(held, train(documents, labels)).where(F.col("toxicity") < threshold).select(*columns)

@@ -12,6 +12,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 _BYTE = np.arange(256)
 LOWER = np.where((_BYTE >= 65) & (_BYTE <= 90), _BYTE + 32, _BYTE).astype(np.uint8)
@@ -111,3 +113,11 @@ def windows(hashes: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         out = out * np.uint64(_BASE) + hashes[i : len(hashes) - k + 1 + i]
     return mix(out)
+
+
+def set_aside(documents: DataFrame, keep: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``documents`` with all other columns renamed, so that an operator's own columns clash with
+    none, and the columns that restore them."""
+    names = {c: c if c in keep else f"u{i}" for i, c in enumerate(documents.columns)}
+    held = documents.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items()))
+    return held, [F.col(n).alias(c) for c, n in names.items()]
