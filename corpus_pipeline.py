@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through the stages below, each written and reread."""
+"""The corpus pipeline: documents through the stages below, each written and reread.
+
+Every stage but the last returns the columns of ``documents``; extra columns of any name keep
+their values; an empty table stays empty; repeated rows are rows of their own.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +14,27 @@ from veldspar.session import table, written
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go; the others stay unchanged."""
+    """Documents that the classifier rejects go; the others stay unchanged, null and empty texts as the bias says."""
     return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates stays."""
+    """One document of each class of near-duplicates stays, that of the least id (null last, then by place); texts without words all stay."""
     return near_dups.kept(docs)
 
 
 def remove_test_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of the benchmark out of the texts."""
+    """Passages of the benchmark are cut out of the texts, and texts of which they are more than half go; null texts stay."""
     return decontaminate.cleaned(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each source near its target; documents may be repeated up to three times."""
+    """Each source near its target; documents may be repeated up to three times; null is a source, and ties go by a hash."""
     return mixing.draw(docs)
 
 
 def write_token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encoded, written as Simple-8b blocks and read back."""
+    """Encoded in id order (null first), written as Simple-8b blocks and read back; null and empty texts are their end id."""
     return token_ids.token_output(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -42,7 +46,7 @@ STAGES = [
     ("token-ID output", write_token_ids),
 ]
 
-#: The stages are not expressible in SQL; tests hold them against brute force.
+#: The stages are not expressible in SQL; tests/llm/test_pipeline.py holds them against plain versions.
 ORACLE_SQL = None
 
 
