@@ -108,7 +108,7 @@ def _all_pieces(rows: DataFrame, length: int) -> DataFrame:
     return rows.mapInArrow(run, _PIECE)
 
 
-def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
+def suffix_order(text: np.ndarray, depth: int, grams: Grams | None = None) -> np.ndarray:
     """Suffixes of ``text`` in the order of their first ``depth`` bytes, by two-stage sorting.
 
     Only suffixes smaller than their successors are compared; each of the others is put in
@@ -121,7 +121,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     known = np.flatnonzero(step)
     up = step[known[np.searchsorted(known, np.arange(n))]] > 0  # runs of one byte go by the byte after
     direct = np.flatnonzero(up)
-    direct = direct[_direct_order(text, direct, depth)]
+    direct = direct[_once(text, direct, depth, grams or Grams(text))]
     heads = text[direct]
     bounds = np.searchsorted(heads, np.arange(257))
     lists: list[list[np.ndarray]] = [[] for _ in range(256)]
@@ -155,6 +155,16 @@ def _induce(text: np.ndarray, up: np.ndarray, part: np.ndarray, lists: list[list
         lists[byte[a]].append(before[a:b])
 
 
+def _once(text: np.ndarray, at: np.ndarray, depth: int, grams: Grams) -> np.ndarray:
+    """The order of the suffixes at ``at``: of those whose ``depth`` bytes have one hash a single one is compared."""
+    if not len(at):
+        return at
+    _, first, kind = np.unique(grams.of(at, np.minimum(at + depth, len(text)), 0x77), return_index=True, return_inverse=True)
+    rank = np.empty(len(first), np.int64)
+    rank[_direct_order(text, at[first], depth)] = np.arange(len(first))
+    return np.argsort(rank[kind], kind="stable")
+
+
 def _direct_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """The order of the suffixes at ``at``, eight bytes at a time and only among ties."""
     padded = np.zeros(len(text) + depth + 16, np.uint64)
@@ -186,18 +196,20 @@ def _direct_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
 
 def repeated_starts(block: np.ndarray, active: np.ndarray, length: int) -> np.ndarray:
     """Of the ``active`` places of a block those whose ``length`` bytes start at another active place."""
-    order = suffix_order(block, length)
+    grams = Grams(block)
+    order = suffix_order(block, length, grams)
     order = order[active[order]]
     if len(order) < 2:
         return np.zeros(0, np.int64)
-    near = Grams(block).of(order, order + length, 0x77)
+    near = grams.of(order, order + length, 0x77)
     at = np.flatnonzero(near[1:] == near[:-1])
-    for a in range(0, len(at), 4096):  # common prefixes of neighbours, byte by byte
-        some = at[a : a + 4096]
-        reach = np.arange(length)
-        same = (block[order[some][:, None] + reach] == block[order[some + 1][:, None] + reach]).all(axis=1)
-        at[a : a + 4096][~same] = -1
-    at = at[at >= 0]
+    left, right = order[at], order[at + 1]
+    same = np.ones(len(at), bool)
+    raw = np.ndarray((len(block) - 7,), np.uint64, block.tobytes(), 0, (1,)) if length >= 8 else block
+    step = 8 if length >= 8 else 1
+    for skip in [*range(0, length - step, step), length - step]:  # common prefixes of neighbours, eight bytes at a time
+        same &= raw[left + skip] == raw[right + skip]
+    at = at[same]
     return np.unique(np.r_[order[at], order[at + 1]])
 
 
