@@ -6,8 +6,8 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from veldspar.functions import intent, pages, text
-from veldspar.operators import filters, listings, ranking, records, rules
+from veldspar.functions import intent, model, pages, text
+from veldspar.operators import build, filters, listings, ranking, records, rules
 from veldspar.plans import cars, quality
 from veldspar.sources import files
 from veldspar.streaming import fetch_log
@@ -28,7 +28,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", list(ALL))
+@pytest.mark.parametrize("name", [n for n in ALL if n in cars.ORACLES or n in quality.ORACLES])
 def test_query_equals_sql(spark, duck, name):
     df = ALL[name](spark, SF)
     columns = sorted(df.columns)
@@ -121,6 +121,34 @@ def test_conflicts(spark):
     assert got == {(1, 1, 3): "unit mismatch", (2, 1, 2): "boolean disagreement", (3, 1, 2): "model-level vs variant-level contradiction"}
 
 
+def test_classifier_learns_the_templates(spark, tmp_path):
+    texts = model.generated(spark)
+    assert texts.count() == texts.select("query").distinct().count() == 400
+    train, test = texts.where("split = 'train'"), texts.where("split = 'test'")
+    fitted = model.trained(train, "fuel_type")
+    model.save(fitted, str(tmp_path / "m"))
+    rows = model.predicted(model.load(str(tmp_path / "m")), test, "guess").collect()
+    assert sum(x.guess == x.fuel_type for x in rows) > 0.9 * len(rows) > 30
+
+
+def test_candidates_of_exact_variants(spark):
+    good = "named_struct('make_match', true, 'model_match', true, 'fuel_match', true, 'transmission_match', true, 'special_edition_match', {})"
+    rows = spark.createDataFrame([(1, "abs", False, None, "EXACT", True, "yes"), (2, "colour", True, "MODEL_LEVEL", "AMBIGUOUS", None, "")], "rid int, field string, inherited boolean, scope string, match_status string, value_bool boolean, proposed string")
+    rows = rows.withColumn("match", F.when(F.col("rid") == 1, F.expr(good.format("true"))).otherwise(F.expr(good.format("false"))))
+    got = [x.e for x in rows.select(build.variant_errors(["abs"], F.col("rid") == 1).alias("e")).collect()]
+    assert got[0] == [] and len(got[1]) == 8 and "special_edition_match failed" in got[1]
+    here, gone = build.targeted(rows, rows.where("rid = 1"), "rid")
+    assert [x.rid for x in here.collect()] == [1] and [x.reason for x in gone.collect()] == ["candidate target record not found"]
+    made = build.rule_candidates(rows.withColumn("model", F.col("field")), [("abs", "rid = 1", "abs", True), ("none", "true", "abs", True)], "rid").collect()
+    assert [(x.rid, x.field, x.value) for x in made] == [(1, "abs", True)]
+
+
+def test_null_sidecar(spark):
+    cells = spark.createDataFrame([(1, "engine_cc", "electric", None), (1, "abs", "electric", "true"), (2, "abs", "petrol", "false")], "rid int, field string, fuel string, value string")
+    got = {x.rid: x.nulls for x in build.sidecar(cells, "rid").collect()}
+    assert got[2] is None and list(got[1]) == ["engine_cc"] and got[1]["engine_cc"].null_reason == "NOT_APPLICABLE"
+
+
 def test_balanced_json():
     for body in ('{"a": "}\\"{", "b": [1, {"c": "]"}]}', "{}", '[{"x": "\\\\"}]'):
         assert json.loads(pages.balanced("x" + body + "}tail", 1)) == json.loads(body)

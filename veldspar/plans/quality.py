@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veldspar.functions import pages, text
-from veldspar.operators import listings, records, rules
+from veldspar.functions import model, pages, text
+from veldspar.operators import build, listings, records, rules
 from veldspar.plans.registry import registered
 from veldspar.session import table
 
@@ -436,3 +436,136 @@ def listing_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     req = F.col("req")
     out = listings.relevant(rows, "req", "p_partkey", F.array().cast("array<string>"), F.lit("suv"), F.when(req % 3 == 1, "manual"), F.when(req % 2 == 0, "petrol"))
     return out.select("req", "p_partkey", "tier", "rk", listings.year(F.col("title")).alias("year"), "image")
+
+
+@query(
+    f"""WITH {_ROWS}, bad AS (SELECT *, value IS NOT NULL AND value <> '' AND ((field = 'power_bhp' AND TRY_CAST(value AS DOUBLE) NOT BETWEEN 20 AND 800) OR (field = 'engine_cc' AND (TRY_CAST(value AS DOUBLE) NOT BETWEEN 600 AND 6000 OR fuel = 'electric')) OR (field = 'battery_capacity_kwh' AND (TRY_CAST(value AS DOUBLE) NOT BETWEEN 5 AND 250 OR fuel <> 'electric'))) AS wrong FROM (SELECT *, coalesce(value <> '', FALSE) AS ok FROM why) w)
+SELECT field, count(*) FILTER (reason IS DISTINCT FROM 'NOT_APPLICABLE') AS applicable, count(*) FILTER (ok) AS populated, count(*) FILTER (NOT ok AND reason IS DISTINCT FROM 'NOT_APPLICABLE') AS missing, count(*) FILTER (reason = 'NOT_APPLICABLE') AS not_applicable, count(DISTINCT CASE WHEN ok THEN value END) AS "distinct",
+  count(*) FILTER (wrong) AS invalid, round(100.0 * count(*) FILTER (ok) / count(*) FILTER (reason IS DISTINCT FROM 'NOT_APPLICABLE'), 2)::DOUBLE AS pct FROM bad GROUP BY 1"""
+)
+def field_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applicable, filled, missing, distinct and invalid cells of each field."""
+    return build.audit(*_record_cells(spark, sf_dir))
+
+
+@query(f"WITH {_ROWS}, p AS (SELECT model, field, avg(CASE WHEN coalesce(value <> '', FALSE) THEN 100.0 ELSE 0.0 END) AS c FROM cells GROUP BY 1, 2) SELECT model, round(avg(c), 6) AS mean_coverage FROM p GROUP BY 1")
+def model_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.model_means(_record_cells(spark, sf_dir)[0], "model")
+
+
+@query(f"WITH {_ROWS} SELECT CASE field WHEN 'make' THEN 'Official site' WHEN 'engine_cc' THEN 'Official brochure' ELSE 'Portal' END AS source, count(*) AS n FROM kept WHERE NOT ok AND field <> 'reliability_score' GROUP BY 1")
+def pilot_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return build.pilot(rules.missing_queue(*_record_cells(spark, sf_dir)), ["CORE_REQUIRED", "HIGH_VALUE", "SPECIALIST"])
+
+
+@query(f"WITH {_ROWS} SELECT c_custkey, field, CASE WHEN field = 'x' THEN 'x' ELSE 'SOURCE_UNAVAILABLE' END AS null_reason FROM cells WHERE coalesce(value, '') = '' AND NOT (field = 'make' AND c_custkey % 2 = 0) AND NOT (fuel = 'electric' AND field = 'engine_cc' AND value IS NULL) AND NOT (fuel <> 'electric' AND field = 'battery_capacity_kwh' AND value IS NULL)")
+def missing_source_review(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells that were empty before a merge (which fills the make of every other record) and still are."""
+    cells, _ = _record_cells(spark, sf_dir)
+    after = cells.withColumn("value", F.when((F.col("field") == "make") & (F.col("c_custkey") % 2 == 0), "filled").otherwise(F.col("value")))
+    return build.still_missing(cells, after, "c_custkey").select("c_custkey", "field", "null_reason")
+
+
+@query(
+    """WITH i AS (SELECT p_partkey, 'Make ' || p_partkey % 2 AS make, ['Manual', '5-Speed MT', 'Automatic (AMT)', 'AMT', 'CVT', 'Torque Converter'][p_partkey % 6 + 1] AS gear, p_partkey % 3 AS cc FROM part)
+SELECT p_partkey, 'length_mm' AS field, CASE WHEN make = 'Make 0' THEN '4000' ELSE '4200' END AS value, 'MODEL_LEVEL' AS scope, 'OEM' AS source FROM i
+UNION ALL SELECT p_partkey, 'cylinders', CASE WHEN cc = 1 THEN '3' ELSE '4' END, 'POWERTRAIN_LEVEL', 'OEM powertrain' FROM i WHERE make = 'Make 0' OR cc = 1
+UNION ALL SELECT p_partkey, 'gearbox_speeds', CASE WHEN gear LIKE '%5-Speed%' THEN '5' WHEN gear LIKE '%AMT%' THEN '6' END, 'POWERTRAIN_LEVEL', 'gearbox' FROM i WHERE gear LIKE '%5-Speed%' OR gear LIKE '%AMT%'"""
+)
+def spec_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of model, powertrain (first fitting rule, nulls fit all) and gearbox tables."""
+    rows = _identities(spark, sf_dir).select("p_partkey", "ours.*")
+    models = spark.createDataFrame([("Make 0", "Model-X", "length_mm", "4000"), ("Make 1", "Model-X", "length_mm", "4200")], "make string, model string, field string, value string")
+    trains = spark.createDataFrame([(0, "Make 0", "Model-X", None, 1, None, "cylinders", "3"), (1, "Make 0", "Model-X", "Petrol", None, None, "cylinders", "4"), (2, "Make 1", "Model-X", None, 1, None, "cylinders", "3"), (3, "Make 0", "Model-X", "Diesel", None, None, "cylinders", "9")], "priority int, make string, model string, fuel_type string, engine_cc int, transmission string, field string, value string")
+    sources = {"OEM": build.model_candidates(rows, models, "p_partkey"), "OEM powertrain": build.powertrain_candidates(rows, trains, "p_partkey"), "gearbox": build.gearbox_candidates(rows, [("5-Speed", 5), ("AMT", 6)], "p_partkey")}
+    return build.of_all(sources)
+
+
+_SHARED = """d AS (SELECT l_partkey AS rid, l_linenumber AS field, l_orderkey * 1000000 + l_suppkey * 10 + l_linenumber AS seq, l_returnflag AS unit, CAST(NULL AS BOOLEAN) AS value_bool, floor(l_quantity / 10) AS value_num, CAST(NULL AS VARCHAR) AS scope, 1 - l_discount AS confidence, l_suppkey % 3 AS source,
+  l_quantity > 48 AS bad, l_suppkey % 5 = 0 AS blocked, CASE WHEN l_partkey % 7 = 0 THEN '2' END AS existing, CAST(CAST(floor(l_quantity / 10) AS BIGINT) AS VARCHAR) AS value FROM lineitem)"""
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ten = F.floor(F.col("l_quantity") / 10)
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_partkey").alias("rid"), F.col("l_linenumber").alias("field"), (F.col("l_orderkey") * 1000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_returnflag").alias("unit"), F.lit(None).cast("boolean").alias("value_bool"), ten.cast("double").alias("value_num"), F.lit(None).cast("string").alias("scope"), (1 - F.col("l_discount")).alias("confidence"),
+        (F.col("l_suppkey") % 3).cast("string").alias("source"), F.array_compact(F.array(F.when(F.col("l_quantity") > 48, "too large"))).alias("errors"), (F.col("l_suppkey") % 5 == 0).alias("blocked"), F.when(F.col("l_partkey") % 7 == 0, "2").alias("existing"), ten.cast("string").alias("value"), F.lit(False).alias("needs_bool"),
+    )
+
+
+_MERGED = f"""{_SHARED}, v AS (SELECT * FROM d WHERE NOT bad AND NOT blocked),
+x AS (SELECT DISTINCT a.rid, a.field FROM v a JOIN v b ON a.rid = b.rid AND a.field = b.field AND a.seq < b.seq WHERE a.unit <> b.unit OR abs(a.value_num - b.value_num) > 0.02 * greatest(a.value_num, b.value_num, 1.0)),
+w AS (SELECT * FROM (SELECT v.*, row_number() OVER (PARTITION BY v.rid, v.field ORDER BY confidence DESC, source, seq) AS n FROM v LEFT JOIN x ON v.rid = x.rid AND v.field = x.field WHERE x.rid IS NULL) WHERE n = 1)"""
+
+
+@query(
+    f"""WITH {_MERGED} SELECT rid, field, 'accepted' AS outcome, value FROM w WHERE existing IS NULL UNION ALL SELECT rid, field, 'candidate validation failed', NULL FROM d WHERE bad OR blocked
+UNION ALL SELECT rid, field, 'unresolved candidate conflict', NULL FROM x UNION ALL SELECT rid, field, 'existing value conflict', NULL FROM w WHERE existing IS NOT NULL AND existing <> value"""
+)
+def shared_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    accepted, review = build.shared_merge(_shared(spark, sf_dir), ["rid", "field"], "seq")
+    return accepted.select("rid", "field", F.lit("accepted").alias("outcome"), "value").union(review.select("rid", "field", "reason", F.lit(None).cast("string")))
+
+
+@query(
+    f"""WITH {_MERGED}, e AS (SELECT d.*, row_number() OVER (PARTITION BY d.rid, d.field, d.source, d.value ORDER BY d.seq) AS k, w.value AS merged, w.rid IS NOT NULL AND w.existing IS NULL AS wrote FROM d LEFT JOIN w ON d.rid = w.rid AND d.field = w.field),
+y AS (SELECT DISTINCT a.rid, a.field FROM d a JOIN d b ON a.rid = b.rid AND a.field = b.field AND a.seq < b.seq WHERE a.unit <> b.unit OR abs(a.value_num - b.value_num) > 0.02 * greatest(a.value_num, b.value_num, 1.0)),
+s AS (SELECT e.rid, e.field, CASE WHEN k > 1 THEN 'DUPLICATE_CANDIDATE' WHEN y.rid IS NOT NULL THEN 'CONFLICT_UNRESOLVED' WHEN bad THEN 'REJECTED_VALIDATION' WHEN blocked THEN 'REJECTED_INHERITANCE_POLICY' WHEN confidence < 0.92 THEN 'REJECTED_LOW_CONFIDENCE' WHEN existing IS NOT NULL THEN 'EXISTING_VALUE_PRESERVED'
+  WHEN wrote AND merged = value THEN 'ACCEPTED' WHEN bool_or(wrote AND merged = value) OVER (PARTITION BY e.rid, e.field) THEN 'SUPERSEDED_BY_HIGHER_PRIORITY_SOURCE' ELSE 'REJECTED_SCOPE_MISMATCH' END AS terminal_status FROM e LEFT JOIN y ON e.rid = y.rid AND e.field = y.field)
+SELECT terminal_status, count(*) AS n FROM s GROUP BY 1"""
+)
+def shared_disposition_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate's status after the merge, counted."""
+    rows = _shared(spark, sf_dir)
+    accepted, _ = build.shared_merge(rows, ["rid", "field"], "seq")
+    rows = rows.join(accepted.select("rid", "field", F.col("value").alias("merged"), F.lit(True).alias("written")), ["rid", "field"], "left")
+    out = build.shared_dispositions(rows, ["rid", "field"], ["rid", "field", "source", "value"], "seq", 0.92)
+    return out.groupBy("terminal_status").agg(F.count("*").alias("n"))
+
+
+@query("SELECT 'source ' || l_suppkey % 4 AS source, p_brand AS model, count(DISTINCT l_partkey) AS matched, (SELECT count(*) FROM part q WHERE q.p_brand = p.p_brand) - count(DISTINCT l_partkey) AS unmatched, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS fields, coalesce(bool_or(CASE WHEN l_linenumber % 4 = 0 THEN l_quantity <= 25 END), FALSE) AS negatives FROM lineitem JOIN part p ON l_partkey = p_partkey GROUP BY 1, 2")
+def acquisition_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each source offers for each model."""
+    found = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.col("l_linenumber").alias("field"), F.concat(F.lit("source "), (F.col("l_suppkey") % 4).cast("string")).alias("source"), F.when(F.col("l_linenumber") % 4 == 0, F.col("l_quantity") > 25).alias("value_bool"))
+    out = build.manifest(found, table(spark, sf_dir, "part").select("p_partkey", F.col("p_brand").alias("model")), "p_partkey")
+    return out.select("source", "model", "matched", "unmatched", F.array_join("fields", ",").alias("fields"), "negatives")
+
+
+@query("WITH l AS (SELECT l_partkey, min(l_orderkey) AS k FROM lineitem GROUP BY 1) SELECT p_partkey, CASE WHEN k % 3 = 0 THEN 1500 WHEN p_partkey % 3 = 0 THEN 1200 END AS engine_cc, coalesce(k % 3 = 0, FALSE) AS applied FROM part LEFT JOIN l ON l_partkey = p_partkey")
+def engine_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reviewed displacement replaces the value where the identity agrees."""
+    named = ["make", "model", "variant", "fuel_type", "transmission", "price_ex_showroom"]
+    firsts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.min("l_orderkey").alias("k"))
+    said = _records(spark, sf_dir).select("p_partkey", *named).join(firsts, "p_partkey").withColumn("make", F.when(F.col("k") % 3 == 0, F.col("make")).otherwise("other")).withColumn("new", F.lit(1500))
+    return build.overwritten(_records(spark, sf_dir), said, "p_partkey", "engine_cc", named).select("p_partkey", "engine_cc", "applied")
+
+
+@query("SELECT p_partkey, coalesce(s, '') AS conflicts FROM part LEFT JOIN (SELECT l_partkey, string_agg(l_linenumber || ':' || CAST(l_quantity AS INTEGER), ',' ORDER BY l_orderkey * 10 + l_linenumber, l_linenumber, l_quantity) AS s FROM lineitem WHERE l_quantity > 40 GROUP BY 1) ON l_partkey = p_partkey")
+def conflict_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records with what two sources say, in order."""
+    found = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("p_partkey"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), F.col("l_linenumber").alias("field"), F.col("l_quantity").cast("int").alias("ours"), F.lit(0).alias("theirs"), F.lit("").alias("rationale"))
+    out = build.with_conflicts(table(spark, sf_dir, "part").select("p_partkey"), found, "p_partkey")
+    said = F.transform(F.coalesce("conflict_metadata", F.expr("cast(array() as array<struct<seq:bigint,field:int,status:string,ours:int,theirs:int,rationale:string>>)")), lambda x: F.concat_ws(":", x["field"].cast("string"), x["ours"].cast("string")))
+    return out.select("p_partkey", F.array_join(said, ",").alias("conflicts"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey IN (SELECT l_partkey FROM lineitem) THEN arg_max(l_quantity, l_orderkey * 10000000 + l_suppkey * 10 + l_linenumber) END AS quantity FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1")
+def decisions_with_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part beside its last line item, or none."""
+    seq = F.col("l_orderkey") * 10000000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")
+    seen = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), seq.alias("seq"), "l_quantity")
+    out = build.with_evidence(table(spark, sf_dir, "part").select("p_partkey"), seen, "p_partkey", "seq")
+    return out.select("p_partkey", F.col("evidence.l_quantity").alias("quantity"))
+
+
+@query(None)
+def intent_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained labels of generated requests that were kept from training: (target, total, correct)."""
+    texts = model.generated(spark)
+    train, test = texts.where("split = 'train'"), texts.where("split = 'test'")
+    out = None
+    for target in model.TARGETS:
+        got = model.predicted(model.trained(train, target), test, "guess")
+        one = got.agg(F.count("*").alias("total"), F.sum((F.col("guess") == F.col(target)).cast("bigint")).alias("correct")).select(F.lit(target).alias("target"), "total", "correct")
+        out = one if out is None else out.union(one)
+    return out
