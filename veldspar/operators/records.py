@@ -140,6 +140,12 @@ def coverage(records: DataFrame, key: str, fields: list[str], by: str | None = N
     return held.groupBy("field", *(["grp"] if by else [])).agg(n.alias("n"), full.alias("n_populated"), (n - full).alias("n_missing"), F.countDistinct("value").alias("n_distinct"), F.round(100 * full / n, 2).alias("pct"))
 
 
+def filled_share(rows: DataFrame, fields: list[str]) -> Column:
+    """Percentage of the fields of a schema that are filled; fields that the table lacks are empty."""
+    there = [F.when(populated(F.col(f"`{f}`").cast("string")), 1).otherwise(0) for f in fields if f in rows.columns]
+    return F.round(100.0 * sum(there, F.lit(0)) / len(fields), 2)
+
+
 def group_means(scores: DataFrame, by: list[str], value: str = "score") -> DataFrame:
     """(column, grp, n, average, least, most) of a score by each of some columns, from one pass."""
     held = scores.select(value, F.explode(F.array(*(F.struct(F.lit(c).alias("column"), group_key(F.col(c)).alias("grp")) for c in by))).alias("g"))

@@ -306,6 +306,12 @@ def value_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(spark, sf_dir).select("p_partkey", said("power_bhp").alias("power"), said("mileage_arai_kmpl").alias("mileage"))
 
 
+@query(f"WITH {_RECORD} SELECT p_partkey, round(100.0 * (CASE WHEN model IS NULL THEN 0 ELSE 1 END + CASE WHEN mileage_arai_kmpl IS NULL THEN 0 ELSE 1 END + CASE WHEN engine_cc IS NULL THEN 0 ELSE 1 END + 2) / 6, 2)::DOUBLE AS pct FROM r")
+def field_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _records(spark, sf_dir)
+    return rows.select("p_partkey", records.filled_share(rows, ["make", "model", "mileage_arai_kmpl", "engine_cc", "abs", "kerb_weight_kg"]).alias("pct"))
+
+
 _DECISION = "q AS (SELECT l_partkey AS p_partkey, arg_max(CASE l_linenumber % 4 WHEN 0 THEN 'accept_with_nullable_fields' WHEN 1 THEN 'quarantine' WHEN 2 THEN 'reject' ELSE 'accept_after_review' END, l_orderkey * 10 + l_linenumber) AS decision FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1)"
 _ROUTED = f"{_RECORD}, {_ISSUES}, {_DECISION}, o AS (SELECT t.p_partkey, decision, CASE WHEN decision = 'accept_with_nullable_fields' THEN 'nullable_usable' WHEN decision IN ('quarantine', 'reject') THEN 'excluded' WHEN status = 'recommendation_ready' THEN 'recommendation_ready' ELSE 'excluded' END AS subset FROM t LEFT JOIN q USING (p_partkey))"
 
