@@ -149,6 +149,15 @@ def test_null_sidecar(spark):
     assert got[2] is None and list(got[1]) == ["engine_cc"] and got[1]["engine_cc"].null_reason == "NOT_APPLICABLE"
 
 
+def test_evaluated_and_reranked(spark):
+    kind = "g int, seq int, unit string, value_bool boolean, value_num double, scope string, confidence double, errors array<string>"
+    rows = [(1, 1, "a", None, 5.0, None, 0.9, []), (1, 2, "b", None, 5.0, None, 0.9, ["bad"]), (2, 1, "a", None, 1.0, None, 0.9, []), (2, 2, "b", None, 1.0, None, 0.9, []), (3, 1, "a", None, 1.0, None, 0.9, ["bad"])]
+    got = {x.g: (x.status, x.seq) for x in records.evaluated(spark.createDataFrame(rows, kind), ["g"], [F.desc("confidence"), F.col("seq")]).collect()}
+    assert got == {1: ("accepted", 1), 2: ("unresolved_conflict", None), 3: ("manual_review", None)}
+    cars_ = spark.createDataFrame([(1, 50.0, 1.0), (2, 52.0, -1.0), (3, 51.0, None)], "k int, score double, s double")
+    assert [x.k for x in ranking.reranked(cars_, F.col("s"), "k", 2).collect()] == [1, 3]
+
+
 def test_balanced_json():
     for body in ('{"a": "}\\"{", "b": [1, {"c": "]"}]}', "{}", '[{"x": "\\\\"}]'):
         assert json.loads(pages.balanced("x" + body + "}tail", 1)) == json.loads(body)

@@ -332,3 +332,8 @@ def blended(rank: Column, similarity: Column, weight: float = 0.15) -> Column:
     """Rule score and cosine, the cosine moved to 0..100; the rule score alone where there is no cosine."""
     w = min(1.0, max(0.0, weight))
     return F.coalesce((1 - w) * rank + w * 50 * (similarity + 1), rank)
+
+
+def reranked(rows: DataFrame, similarity: Column, tie: str, n: int, weight: float = 0.15) -> DataFrame:
+    """The first ``n`` rows by ``blended`` of score and similarity."""
+    return rows.withColumn("blended", blended(F.col("score"), similarity, weight)).orderBy(F.desc("blended"), tie).limit(n)

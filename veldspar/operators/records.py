@@ -89,6 +89,12 @@ def resolved(candidates: DataFrame, group: list[str], order: list[Column], confl
     return out.select(*group, status.alias("status"), F.when(status == "accepted", F.col("__seq")).alias("seq"))
 
 
+def evaluated(candidates: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
+    """Validation, conflicts and resolution in one: ``candidates`` has errors (array) and ``seq``; conflicts count among the valid ones."""
+    rows = candidates.withColumn("status", F.when(F.size("errors") == 0, "VALID").otherwise("INVALID"))
+    return resolved(rows, group, order, conflicts(rows.where("status = 'VALID'"), group, "seq"))
+
+
 def duplicates_marked(candidates: DataFrame, same: list[str], order: list[Column], seq: str) -> DataFrame:
     """``duplicate_of``: the first of exact repeats; null for that one."""
     w = Window.partitionBy(*same).orderBy(*order)
