@@ -104,6 +104,15 @@ def test_classes_that_share_keys_equal_all_pairs(spark, monkeypatch, group, spli
     assert all((label[i] == label[j]) == (least(i) == least(j)) for i in range(len(texts)) for j in range(i))
 
 
+def test_components_of_chains_and_rings(spark):
+    r = random.Random(33)
+    chains = [[*r.sample(range(k * 1000, k * 1000 + 999), n)] for k, n in enumerate((1, 2, 3, 17, 60), 1)]
+    links = [(a, b) if r.random() < 0.5 else (b, a) for c in chains for a, b in zip(c, c[1:])] + [(7001, 7002), (7002, 7003), (7003, 7001), (7001, 7001)]  # noqa: B905
+    got = {x.node: x.label for x in near_dups.components(spark.createDataFrame(links, "node long, peer long")).collect()}
+    want = {i: min(c) for c in [*chains, [7001, 7002, 7003]] for i in c if i != min(c)}
+    assert got == want and near_dups.components(spark.createDataFrame([], "node long, peer long")).count() == 0
+
+
 def test_an_original_and_its_variants_are_one_class(spark):
     """Variants are close to the original only, so each must be verified against the one text that links it."""
     r = random.Random(14)
