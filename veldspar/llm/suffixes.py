@@ -161,12 +161,25 @@ def _once(text: np.ndarray, at: np.ndarray, depth: int, grams: Grams) -> np.ndar
         return at
     _, first, kind = np.unique(grams.of(at, np.minimum(at + depth, len(text)), 0x77), return_index=True, return_inverse=True)
     rank = np.empty(len(first), np.int64)
-    rank[_direct_order(text, at[first], depth)] = np.arange(len(first))
+    rank[_direct_order(text, at[first], depth, grams)] = np.arange(len(first))
     return np.argsort(rank[kind], kind="stable")
 
 
-def _direct_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
-    """The order of the suffixes at ``at``, eight bytes at a time and only among ties."""
+def _twins(text: np.ndarray, a: np.ndarray, b: np.ndarray, depth: int, grams: Grams) -> np.ndarray:
+    """Whether each suffix at ``a`` is greater than that at ``b``, by the byte after their common
+    prefix, whose length is found by halving."""
+    most = np.minimum(depth, len(text) - np.maximum(a, b))
+    low, high = np.zeros(len(a), np.int64), most.copy()
+    while (low < high).any():
+        mid = (low + high + 1) >> 1
+        same = grams.of(a, a + mid, 0x77) == grams.of(b, b + mid, 0x77)
+        low, high = np.where(same, mid, low), np.where(same, high, mid - 1)
+    after = lambda x: np.where(x + low < len(text), text[np.minimum(x + low, len(text) - 1)].astype(np.int16), -1)
+    return (low < depth) & (after(a) > after(b))
+
+
+def _direct_order(text: np.ndarray, at: np.ndarray, depth: int, grams: Grams) -> np.ndarray:
+    """The order of the suffixes at ``at``, seven bytes at a time and only among ties of more than two."""
     padded = np.zeros(len(text) + depth + 16, np.uint64)
     padded[: len(text)] = text.astype(np.uint64) + np.uint64(1)
     word = np.zeros(len(text) + depth + 8, np.uint64)
@@ -177,15 +190,14 @@ def _direct_order(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     todo = np.arange(len(at))  # places in ``order`` that are not settled
     value = word[at[order]]
     rank = np.cumsum(np.r_[True, value[1:] != value[:-1]]) - 1 if len(at) else rank
-    for skip in range(7, depth, 7):
-        same = np.zeros(len(todo), bool)
-        if len(todo) > 1:
-            tie = rank[1:] == rank[:-1]
-            same[1:] |= tie
-            same[:-1] |= tie
-        if not same.any():
+    for skip in range(7, depth + 7, 7):
+        size = np.bincount(rank, minlength=1)[rank]
+        two = todo[np.flatnonzero(size == 2)[::2]]
+        swap = two[_twins(text, at[order[two]], at[order[two + 1]], depth, grams)]
+        order[swap], order[swap + 1] = order[swap + 1], order[swap]
+        todo, rank = todo[size > 2], rank[size > 2]
+        if not len(todo) or skip >= depth:
             break
-        todo, rank = todo[same], rank[same]
         value = word[at[order[todo]] + skip]
         by = np.lexsort((value, rank))
         order[todo] = order[todo][by]
