@@ -38,7 +38,7 @@ from veldspar.session import written
 LENGTH = 200
 K = 64
 GROUP = 2048
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
