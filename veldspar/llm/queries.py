@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import decontaminate, licenses, mixing, near_dups, perplexity, suffixes, token_ids, topk, toxicity, urls
+from veldspar.llm import decontaminate, licenses, merkle, mixing, near_dups, perplexity, suffixes, token_ids, topk, toxicity, urls
 from veldspar.session import table
 
 
@@ -54,7 +54,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digest(suffixes.deduplicated(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_url_filter, op4_near_dups, op5_mix_sources, op6_perplexity, op7_token_ids, op8_toxicity, op9_licenses, op10_suffix_dedup)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.digest(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_url_filter, op4_near_dups, op5_mix_sources, op6_perplexity, op7_token_ids, op8_toxicity, op9_licenses, op10_suffix_dedup, op11_merkle_manifest)}
 
 #: Queries without SQL here are held against brute force, exact round trips or held-out accuracy in the tests.
-ORACLES = {"op1_top_k": topk.ORACLE, "op3_url_filter": urls.ORACLE, "op5_mix_sources": mixing.ORACLE}
+ORACLES = {"op1_top_k": topk.ORACLE, "op3_url_filter": urls.ORACLE, "op5_mix_sources": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
