@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.llm import decontaminate, hard_negatives, licenses, merkle, mixing, near_dups, perplexity, suffixes, token_ids, topk, toxicity, urls
+from veldspar.llm import decontaminate, hard_negatives, licenses, merkle, mixing, near_dups, perplexity, suffixes, token_ids, topk, toxicity, urls, vector_dups
 from veldspar.session import table
 
 
@@ -62,7 +62,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.digest(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_url_filter, op4_near_dups, op5_mix_sources, op6_perplexity, op7_token_ids, op8_toxicity, op9_licenses, op10_suffix_dedup, op11_merkle_manifest, op12_hard_negatives)}
+def op13_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dups.grouped(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_top_k, op2_decontaminate, op3_url_filter, op4_near_dups, op5_mix_sources, op6_perplexity, op7_token_ids, op8_toxicity, op9_licenses, op10_suffix_dedup, op11_merkle_manifest, op12_hard_negatives, op13_embedding_dups)}
 
 #: Queries without SQL here are held against brute force, exact round trips or held-out accuracy in the tests.
-ORACLES = {"op1_top_k": topk.ORACLE, "op3_url_filter": urls.ORACLE, "op5_mix_sources": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
+ORACLES = {"op1_top_k": topk.ORACLE, "op3_url_filter": urls.ORACLE, "op5_mix_sources": mixing.ORACLE, "op11_merkle_manifest": merkle.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE, "op13_embedding_dups": vector_dups.ORACLE}
