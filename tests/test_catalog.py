@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from veldspar.functions import intent, model, pages, text
 from veldspar.operators import build, filters, listings, ranking, records, rules
-from veldspar.plans import cars, quality
+from veldspar.plans import cars, quality, vehicles
 from veldspar.sources import files
 from veldspar.streaming import fetch_log
 
 SF = "/root/testdata/sf0.001"
-ALL = cars.QUERIES | quality.QUERIES
+ALL = cars.QUERIES | quality.QUERIES | vehicles.QUERIES
+SQL = cars.ORACLES | quality.ORACLES | vehicles.ORACLES
 
 
 def plain(v):
@@ -28,11 +29,11 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", [n for n in ALL if n in cars.ORACLES or n in quality.ORACLES])
+@pytest.mark.parametrize("name", [n for n in ALL if n in SQL])
 def test_query_equals_sql(spark, duck, name):
     df = ALL[name](spark, SF)
     columns = sorted(df.columns)
-    found = duck.execute((cars.ORACLES | quality.ORACLES)[name])
+    found = duck.execute(SQL[name])
     at = [[d[0] for d in found.description].index(c) for c in columns]
     want = sorted(tuple(repr(plain(r[i])) for i in at) for r in found.fetchall())
     assert sorted(tuple(repr(plain(r[c])) for c in columns) for r in df.collect()) == want

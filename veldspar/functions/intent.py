@@ -66,7 +66,7 @@ def _extracted(q: Column, pattern: str, group: int = 1) -> Column:
 
 def _rupees(q: Column, pattern: str, number: int, unit: int) -> Column:
     scale = F.when(F.coalesce(_extracted(q, pattern, unit), F.lit("")).isin("cr", "crore"), 10_000_000).otherwise(100_000)
-    return _extracted(q, pattern, number).cast("bigint") * scale
+    return F.try_multiply(_extracted(q, pattern, number).try_cast("bigint"), scale)  # null beyond a long
 
 
 def price_bounds(q: Column, compat: bool = True) -> tuple[Column, Column]:
@@ -81,7 +81,7 @@ def price_bounds(q: Column, compat: bool = True) -> tuple[Column, Column]:
 
 
 def seats(q: Column) -> Column:
-    return F.coalesce(_extracted(q, r"([0-9]+)[- ]?seater", 1).cast("int"), F.when(q.contains("large family") | q.contains("big family"), 7))
+    return F.coalesce(_extracted(q, r"([0-9]+)[- ]?seater", 1).try_cast("int"), F.when(q.contains("large family") | q.contains("big family"), 7))
 
 
 def transmission(q: Column) -> Column:
@@ -175,7 +175,7 @@ def plain(requests: DataFrame, text: str = "query") -> DataFrame:
     auto, manual = q.contains("automatic"), q.contains("manual")
     km = r"(at least|above|more than|under|below|less than)?\s*([0-9]+)\s*kmpl"
     km_span = r"([0-9]+)\s*to\s*([0-9]+)\s*kmpl"
-    both, one, how = _extracted(q, km_span, 1).cast("int"), _extracted(q, km, 2).cast("int"), F.regexp_extract(q, km, 1)
+    both, one, how = _extracted(q, km_span, 1).try_cast("int"), _extracted(q, km, 2).try_cast("int"), F.regexp_extract(q, km, 1)
     less = how.isin("under", "below", "less than")
 
     def feature(words: list[str]) -> Column:  # the last word that is there decides
@@ -188,12 +188,12 @@ def plain(requests: DataFrame, text: str = "query") -> DataFrame:
         "*",
         F.when(ranged, _rupees(q, span, 1, 3)).alias("price_min"),
         high.alias("price_max"),
-        _extracted(q, r"([0-9]+)[- ]?seater", 1).cast("int").alias("seats"),
+        _extracted(q, r"([0-9]+)[- ]?seater", 1).try_cast("int").alias("seats"),
         F.when(auto & ~manual, "automatic").when(manual & ~auto, "manual").alias("transmission"),
         _first(q, [(b, [b]) for b in PLAIN_BODIES]).alias("body_type"),
         F.array_compact(F.array(*(F.when(q.contains(m.lower()), m) for m in PLAIN_MAKES))).alias("makes"),
         F.when(both.isNotNull(), both).when(one.isNotNull(), F.when(less, 0).otherwise(one)).alias("mileage_min"),
-        F.when(both.isNotNull(), _extracted(q, km_span, 2).cast("int")).when(less, one).alias("mileage_max"),
+        F.when(both.isNotNull(), _extracted(q, km_span, 2).try_cast("int")).when(less, one).alias("mileage_max"),
         F.map_from_entries(held).alias("features"),
     )
 
@@ -220,6 +220,6 @@ def used(requests: DataFrame, text: str = "query") -> DataFrame:
         part(USED_BODIES).alias("body_type"),
         part(["automatic", "manual"]).alias("transmission"),
         F.array_compact(F.array(*(F.when(q.contains(m), m) for m in USED_MAKES))).alias("makes"),
-        _extracted(q, r"(20[0-2][0-9])", 1).cast("int").alias("year_min"),
-        (_extracted(q, km, 1).cast("bigint") * F.when(_extracted(q, km, 2).isNotNull(), 1000).otherwise(1)).alias("km_max"),
+        _extracted(q, r"(20[0-2][0-9])", 1).try_cast("int").alias("year_min"),
+        F.try_multiply(_extracted(q, km, 1).try_cast("bigint"), F.when(_extracted(q, km, 2).isNotNull(), 1000).otherwise(1)).alias("km_max"),
     )

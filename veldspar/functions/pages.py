@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,25 +48,73 @@ def balanced(text: str, begin: int) -> str | None:
     return None
 
 
+_WINDOW = 1 << 16
+_ODD = 16
+
+
+def _closed(part: np.ndarray, opening: int, closing: int) -> int | None:
+    """The length of the object or array that begins a byte array; 0 if it goes on, null if the
+    index can't tell (too many escaped quotes that open a string)."""
+    quote = np.flatnonzero(part == 34)
+    real = np.ones(len(quote), bool)
+    slash = np.flatnonzero(part == 92)
+    if len(slash) and len(quote):
+        last = np.flatnonzero(np.r_[slash[1:] != slash[:-1] + 1, True])  # ends of runs of backslashes
+        odd = np.zeros(len(part) + 1, bool)
+        odd[slash[last[np.diff(last, prepend=-1) % 2 == 1]] + 1] = True
+        escaped = odd[quote]
+        real = ~escaped
+        for turn in range(_ODD + 1):  # outside of strings a backslash has no meaning
+            outside = np.flatnonzero(escaped & ~real & ((np.cumsum(real) & 1) == 0))
+            if not len(outside):
+                break
+            if turn == _ODD:
+                return None
+            real[outside[0]] = True
+    at = np.flatnonzero((part == opening) | (part == closing))
+    at = at[(np.searchsorted(quote[real], at) & 1) == 0]
+    done = np.flatnonzero(np.cumsum(np.where(part[at] == opening, 1, -1), dtype=np.int32) == 0)
+    return int(at[done[0]]) + 1 if len(done) else 0
+
+
+def balanced_bytes(data: bytes, begin: int) -> bytes | None:
+    """:func:`balanced` of UTF-8 bytes by a structural index: quotes by the parity of the
+    backslashes before them, strings by the parity of quotes, depth by sums over the brackets
+    outside of strings.  Looked at in growing windows, so short objects in long pages are cheap."""
+    whole = np.frombuffer(data, np.uint8)[begin:]
+    opening, closing = (123, 125) if whole[0] == 123 else (91, 93)
+    width = _WINDOW
+    while True:
+        n = _closed(whole[:width], opening, closing)
+        if n is None:
+            found = balanced(data[begin:].decode("utf-8", "replace"), 0)
+            return found.encode() if found is not None else None
+        if n or width >= len(whole):
+            return data[begin : begin + n] if n else None
+        width *= 8
+
+
+def _state(data: bytes, marker: bytes) -> bytes | None:
+    at = data.find(marker)
+    at = data.find(b"=", at) if at >= 0 else -1
+    at = data.find(b"{", at) if at >= 0 else -1
+    return balanced_bytes(data, at) if at >= 0 else None
+
+
 def with_state(pages: DataFrame, html: str = "html", marker: str = STATE) -> DataFrame:
     """``pages`` with ``state``, the JSON text of the object assigned after the marker; null without one.
 
-    A regular expression cannot balance brackets, so this is Arrow batches of plain text; only
-    pages with the marker are looked at.
+    A regular expression cannot balance brackets, so this is a structural index over Arrow's
+    own bytes; only pages with the marker are looked at.
     """
     fields = [f for f in pages.schema.fields if f.name != "state"]
-    names = [f.name for f in fields]
-
-    def found(text: str | None) -> str | None:
-        at = text.find(marker) if text else -1
-        at = text.find("=", at) if at >= 0 else -1
-        at = text.find("{", at) if at >= 0 else -1
-        return balanced(text, at) if at >= 0 else None
+    names, sign = [f.name for f in fields], marker.encode()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            states = pa.array([found(t) for t in batch.column(html).to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), states], names=[*names, "state"])
+            column = batch.column(html).cast(pa.large_binary())
+            states = pa.array([_state(t.as_buffer().to_pybytes(), sign) if t.is_valid else None for t in column], pa.large_binary())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), states.cast(pa.large_string()).cast(pa.string())], names=[*names, "state"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), "state string"])
     out = pages.select(*names).mapInArrow(run, schema)

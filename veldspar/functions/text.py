@@ -85,9 +85,8 @@ def number(c: Column) -> Column:
 
 
 def first_int(c: Column) -> Column:
-    """The first number without its decimals."""
-    n = number(c)
-    return F.when(n < 0, F.ceil(n)).otherwise(F.floor(n)).cast("bigint")
+    """The first number without its decimals; null where it fits no long."""
+    return number(c).try_cast("bigint")
 
 
 def finite(c: Column) -> Column:
@@ -102,10 +101,10 @@ def safe_number(c: Column, default: float = 0.0) -> Column:
 
 
 def price(c: Column) -> Column:
-    """Rupees from a text like ``12.5 lakh`` or ``1,20,000``."""
+    """Rupees from a text like ``12.5 lakh`` or ``1,20,000``; null beyond a long."""
     t = F.lower(F.replace(c, F.lit(","), F.lit("")))
     unit = F.when(t.contains("crore"), 1e7).when(t.rlike("lakh|lac"), 1e5).otherwise(1.0)
-    return F.round(_found(t, r"([0-9]+(?:\.[0-9]+)?)").cast("double") * unit).cast("bigint")
+    return F.round(_found(t, r"([0-9]+(?:\.[0-9]+)?)").cast("double") * unit).try_cast("bigint")
 
 
 # Units of other quantities than displacement.
@@ -136,13 +135,13 @@ def tri_bool(c: Column) -> Column:
 
 def gear_count(c: Column) -> Column:
     """The number before speed, gear or gearbox."""
-    return _found(F.lower(c), r"([0-9]+)\s*(?:speed|gears?|gearbox)").cast("int")
+    return _found(F.lower(c), r"([0-9]+)\s*(?:speed|gears?|gearbox)").try_cast("int")
 
 
 def dimensions(c: Column) -> Column:
     """The first three numbers of a text as length, width, height, without decimals; missing ones null."""
     found = F.regexp_extract_all(F.replace(c, F.lit(","), F.lit("")), F.lit(r"([0-9]+(?:\.[0-9]+)?)"), F.lit(1))
-    all_ = F.transform(found, lambda x: F.floor(x.cast("double")).cast("bigint"))
+    all_ = F.transform(found, lambda x: x.cast("double").try_cast("bigint"))
     return F.struct(*(F.try_element_at(all_, F.lit(i)).alias(n) for i, n in enumerate(("length", "width", "height"), 1)))
 
 
@@ -161,13 +160,13 @@ def minutes(c: Column) -> Column:
     t = F.lower(c)
     h, m = F.round(_found(t, _HOURS).cast("double") * 60), F.round(_found(t, _MINUTES).cast("double"))
     both = F.coalesce(h, F.lit(0.0)) + F.coalesce(m, F.lit(0.0))
-    return F.when(h.isNotNull() | m.isNotNull(), both.cast("bigint")).otherwise(first_int(c))
+    return F.when(h.isNotNull() | m.isNotNull(), both.try_cast("bigint")).otherwise(first_int(c))
 
 
 def warranty(c: Column) -> Column:
     """(years, km) of a warranty text."""
     t = F.lower(F.replace(c, F.lit(","), F.lit("")))
-    return F.struct(_found(t, r"([0-9]+)\s*years?").cast("int").alias("years"), _found(t, r"([0-9]+)\s*(?:kms?|kilometers?)").cast("bigint").alias("km"))
+    return F.struct(_found(t, r"([0-9]+)\s*years?").try_cast("int").alias("years"), _found(t, r"([0-9]+)\s*(?:kms?|kilometers?)").try_cast("bigint").alias("km"))
 
 
 def numbers_conflict(a: Column, b: Column, tolerance: float = 0.02) -> Column:
