@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.operators import records, rules
@@ -12,13 +12,13 @@ from veldspar.operators import records, rules
 
 def model_candidates(rows: DataFrame, specs: DataFrame, key: str) -> DataFrame:
     """(key, field, value, scope) of specifications (make, model, field, value) that all variants of a model share."""
-    return rows.join(F.broadcast(specs), ["make", "model"]).select(key, "field", "value", F.lit("MODEL_LEVEL").alias("scope"))  # specs are a fixed table
+    return rows.join(specs, ["make", "model"]).select(key, "field", "value", F.lit("MODEL_LEVEL").alias("scope"))
 
 
 def powertrain_candidates(rows: DataFrame, specs: DataFrame, key: str) -> DataFrame:
     """The same by powertrain: of the rules of a model (fuel_type, engine_cc, transmission, null for
     any) the first that fits, by ``priority``."""
-    r = F.broadcast(specs.select(*(F.col(c).alias(f"r_{c}") for c in specs.columns)))  # a fixed table
+    r = specs.select(*(F.col(c).alias(f"r_{c}") for c in specs.columns))
     fits = (F.col("make") == F.col("r_make")) & (F.col("model") == F.col("r_model"))
     for c in ("fuel_type", "engine_cc", "transmission"):
         fits = fits & (F.col(f"r_{c}").isNull() | (F.col(c) == F.col(f"r_{c}")))
@@ -33,6 +33,41 @@ def gearbox_candidates(rows: DataFrame, patterns: list[tuple[str, int]], key: st
     return rows.select(key, F.lit("gearbox_speeds").alias("field"), speeds.cast("string").alias("value"), F.lit("POWERTRAIN_LEVEL").alias("scope")).where("value is not null")
 
 
+# Gearboxes of models by their variant's and transmission's text, first match wins.
+GEARBOX_RULES = [
+    ("Tata", "Nexon", r"5 Speed Manual", 5), ("Tata", "Nexon", r"6 Speed Manual", 6), ("Tata", "Nexon", r"Automatic \(AMT\)", 6), ("Tata", "Nexon", r"Automatic \(DCT\)", 7),
+    ("Hyundai", "Creta", r"Manual", 6), ("Hyundai", "Creta", r"Automatic \(DCT\)", 7), ("Hyundai", "Creta", r"Automatic \(TC\)", 6),
+    ("Maruti Suzuki", "Swift", r"Manual", 5), ("Maruti Suzuki", "Swift", r"Automatic \(AMT\)|Automatic$", 5),
+    ("Mahindra", "XUV 3XO", r"Manual", 6), ("Mahindra", "XUV 3XO", r"Automatic \(AMT\)", 6), ("Mahindra", "XUV 3XO", r"Automatic \(TC\)", 6),
+]
+
+
+def gearbox_rules(spark: SparkSession, rules: list[tuple[str, str, str, int]] = GEARBOX_RULES, compat: bool = True) -> DataFrame:
+    """(make, model, priority, pattern, speeds): a rule table.
+
+    With ``compat`` brackets are escaped once too often, as in the results to match: such a
+    pattern wants a backslash in the text, so bracketed labels like ``Automatic (AMT)`` fit none.
+    """
+    once = lambda p: p.replace("\\", "\\\\") if compat else p
+    return spark.createDataFrame([(make, model, i, once(p), n) for i, (make, model, p, n) in enumerate(rules)], "make string, model string, priority int, pattern string, speeds int")
+
+
+def gearbox_rule_candidates(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """gearbox_speeds of the first rule of a record's make and model that fits its variant and
+    transmission (any case), else 1 for electric records.
+
+    ``table``: (make, model, priority, pattern, speeds), of any length; rules meet records by
+    make and model, so only a model's own patterns are tried.
+    """
+    text = F.concat_ws(" ", F.coalesce("variant", F.lit("")), F.coalesce("transmission", F.lit("")))
+    held = rows.select(key, "make", "model", text.alias("__text"))
+    found = held.join(table, ["make", "model"]).where(F.rlike("__text", F.concat(F.lit("(?i)"), F.col("pattern"))))
+    first = found.groupBy(key).agg(F.min_by("speeds", "priority").alias("__speeds"))
+    speeds = F.coalesce("__speeds", F.when(F.lower("fuel_type") == "electric", 1))
+    out = rows.select(key, "fuel_type").join(first, key, "left")
+    return out.select(key, F.lit("gearbox_speeds").alias("field"), speeds.cast("string").alias("value"), F.lit("POWERTRAIN_LEVEL").alias("scope")).where("value is not null")
+
+
 def rule_candidates(rows: DataFrame, table: list[tuple[str, str, str, bool]], key: str) -> DataFrame:
     """Booleans of exact variants from a rule table: (model, condition, field, value)."""
     parts = [rows.where((F.col("model") == m) & F.expr(when)).select(key, F.lit(f).alias("field"), F.lit(v).alias("value"), F.lit("VARIANT_LEVEL").alias("scope")) for m, when, f, v in table]
@@ -75,7 +110,7 @@ def shared_merge(candidates: DataFrame, group: list[str], seq: str) -> tuple[Dat
     """
     bad = candidates.where((F.size("errors") > 0) | F.col("blocked"))
     valid = candidates.where((F.size("errors") == 0) & ~F.col("blocked"))
-    apart = records.conflicts(valid, group, seq).select(*group).distinct()
+    apart = records.conflicted(valid, group, seq)
     first = records.winners(valid.join(apart, group, "left_anti"), group, [F.desc_nulls_last("confidence"), F.coalesce("source", F.lit("")), F.col(seq)])
     kept = records.populated(F.col("existing"))
     explicit = ~F.col("needs_bool") | F.col("value_bool").isNotNull()
@@ -93,7 +128,7 @@ def shared_dispositions(candidates: DataFrame, group: list[str], same: list[str]
     the merge has written it.
     """
     rows = records.duplicates_marked(candidates, same, [F.col(seq)], seq)
-    apart = records.conflicts(candidates, group, seq).select(*group).distinct().withColumn("__bad", F.lit(True))
+    apart = records.conflicted(candidates, group, seq).withColumn("__bad", F.lit(True))
     rows = rows.join(apart, group, "left")
     took = F.coalesce(F.col("written") & (F.col("merged") == F.col("value")), F.lit(False))
     some = rows.where(took).select(*group).distinct().withColumn("__won", F.lit(True))
@@ -150,7 +185,7 @@ def manifest(candidates: DataFrame, rows: DataFrame, key: str) -> DataFrame:
     and records that it has candidates for, records without any, and whether a value is false."""
     named = candidates.join(rows.select(key, "model"), key)
     per = named.groupBy("source", "model").agg(F.array_sort(F.collect_set("field")).alias("fields"), F.countDistinct(key).alias("matched"), F.coalesce(F.bool_or(~F.col("value_bool")), F.lit(False)).alias("negatives"))
-    return per.join(F.broadcast(rows.groupBy("model").agg(F.count("*").alias("__n"))), "model").withColumn("unmatched", F.col("__n") - F.col("matched")).drop("__n")
+    return per.join(rows.groupBy("model").agg(F.count("*").alias("__n")), "model").withColumn("unmatched", F.col("__n") - F.col("matched")).drop("__n")
 
 
 def still_missing(before: DataFrame, after: DataFrame, key: str) -> DataFrame:

@@ -58,6 +58,60 @@ def conflicts(candidates: DataFrame, group: list[str], seq: str) -> DataFrame:
     return joined.where("left < right").select(*(F.col(f"p.{g}") for g in group), "left", "right", "reason")
 
 
+def conflicted(candidates: DataFrame, group: list[str], seq: str) -> DataFrame:
+    """The cells (group) in which some pair of :func:`conflicts` is, from aggregates alone.
+
+    A cell has a conflict if two units are named; else if one candidate has a flag that another
+    lacks or contradicts; else, without any flag, if the least and the greatest number conflict
+    (no two can be further apart, and the tolerance grows slower than the difference), or if a
+    model-level candidate comes before a variant-level one.  ``seq`` tells candidates apart.
+    One row a cell leaves each task, whatever its members are.
+    """
+    c = F.col
+    unit = F.nullif(c("unit"), F.lit(""))
+    num = F.when(F.isnan(c("value_num").cast("double")) | (F.abs(c("value_num").cast("double")) == float("inf")), None).otherwise(c("value_num"))  # these conflict with nothing
+    per = candidates.groupBy(*group).agg(
+        F.min(unit).alias("u0"), F.max(unit).alias("u1"), F.min("value_bool").alias("b0"), F.max("value_bool").alias("b1"), F.bool_or(c("value_bool").isNull()).alias("open"),
+        F.min(num).alias("n0"), F.max(num).alias("n1"), F.min(F.when(c("scope") == "MODEL_LEVEL", c(seq))).alias("model"), F.max(F.when(c("scope") == "VARIANT_LEVEL", c(seq))).alias("variant"),
+    )
+    flags = c("b0").isNotNull() & (c("open") | (c("b0") != c("b1")))
+    plain = c("b0").isNull() & (F.coalesce(numbers_conflict(c("n0"), c("n1")), F.lit(False)) | F.coalesce(c("model") < c("variant"), F.lit(False)))
+    return per.where(F.coalesce(c("u0") != c("u1"), F.lit(False)) | flags | plain).select(*group)
+
+
+def conflict_counts(candidates: DataFrame, group: list[str], seq: str) -> DataFrame:
+    """(group, n): how many pairs of :func:`conflicts` each cell has, where it has any.
+
+    Members are counted by kind, and kinds are paired, never members: two kinds that contradict
+    each other either way have as many pairs as the product of their counts.  Where only the
+    order makes the conflict (model-level before variant-level), the model-level members before
+    each variant-level one come from a running count over the two kinds.
+    """
+    kind = ["unit", "value_bool", "value_num", "scope"]
+    held = candidates.select(*group, F.col(seq).alias("__seq"), F.struct(*kind).alias("k")).join(conflicted(candidates, group, seq), group, "left_semi")
+    kinds = held.groupBy(*group, "k").agg(F.count("*").alias("c"))
+    kinds = kinds.withColumn("id", F.xxhash64("k"))
+    left, right = (kinds.select(*group, F.col("k").alias(f"{s}k"), F.col("c").alias(f"{s}c"), F.col("id").alias(f"{s}id")) for s in ("x", "y"))
+    both = left.join(right, group)
+    apart = "model-level vs variant-level contradiction"
+    both = both.withColumn("reason", conflict_reason("xk", "yk")).where("reason is not null")
+    ordered = F.col("reason") == apart
+    products = both.where(~ordered & (F.col("xid") < F.col("yid"))).select(*group, (F.col("xc") * F.col("yc")).alias("n"))
+    scopes = both.where(ordered).select(*group, "xk", "yk", "xid", "yid")
+    rows = held.withColumn("id", F.xxhash64("k"))
+    first = scopes.join(rows.select(*group, F.col("id").alias("xid"), "__seq"), [*group, "xid"]).select(*group, "xid", "yid", "__seq", F.lit(1).alias("x"))
+    last = scopes.join(rows.select(*group, F.col("id").alias("yid"), "__seq"), [*group, "yid"]).select(*group, "xid", "yid", "__seq", F.lit(0).alias("x"))
+    before = F.sum("x").over(Window.partitionBy(*group, "xid", "yid").orderBy("__seq").rangeBetween(Window.unboundedPreceding, -1))
+    counted = first.unionByName(last).withColumn("n", before).where("x = 0").select(*group, F.coalesce("n", F.lit(0)).alias("n"))
+    return products.unionByName(counted).groupBy(*group).agg(F.sum("n").cast("bigint").alias("n")).where("n > 0")
+
+
+def conflict_ids(candidates: DataFrame, group: list[str], seq: str, prefix: str = "SSCONFLICT") -> DataFrame:
+    """(group, conflict_id): of a cell's conflicts, numbered from 1, the last one's id stays."""
+    parts = [F.lit(prefix), *(F.col(g).cast("string") for g in group), F.col("n").cast("string")]
+    return conflict_counts(candidates, group, seq).select(*group, F.concat_ws("-", *parts).alias("conflict_id"))
+
+
 # Resolution methods in their order.
 METHODS = ["exact official variant source", "exact official brochure", "exact trusted portal match", "safe powertrain/model inheritance", "manual review", "unresolved conflict"]
 
@@ -92,7 +146,7 @@ def resolved(candidates: DataFrame, group: list[str], order: list[Column], confl
 def evaluated(candidates: DataFrame, group: list[str], order: list[Column]) -> DataFrame:
     """Validation, conflicts and resolution in one: ``candidates`` has errors (array) and ``seq``; conflicts count among the valid ones."""
     rows = candidates.withColumn("status", F.when(F.size("errors") == 0, "VALID").otherwise("INVALID"))
-    return resolved(rows, group, order, conflicts(rows.where("status = 'VALID'"), group, "seq"))
+    return resolved(rows, group, order, conflicted(rows.where("status = 'VALID'"), group, "seq"))
 
 
 def duplicates_marked(candidates: DataFrame, same: list[str], order: list[Column], seq: str) -> DataFrame:
@@ -113,7 +167,7 @@ def dispositions(candidates: DataFrame, group: list[str], same: list[str], order
     early = F.when(F.col("duplicate_of").isNotNull(), "DUPLICATE_CANDIDATE").when(F.size("errors") > 0, "REJECTED_VALIDATION").when(F.coalesce("confidence", F.lit(0.0)) < least, "REJECTED_LOW_CONFIDENCE")
     rows = rows.withColumn("__early", early)
     valid = rows.where("__early is null")
-    bad = conflicts(valid, group, seq).select(*group).distinct().withColumn("__bad", F.lit(True))
+    bad = conflicted(valid, group, seq).withColumn("__bad", F.lit(True))
     first = winners(valid, group, order).select(*group, F.col(seq).alias("winner"))
     rows = rows.join(bad, group, "left").join(first, group, "left")
     status = F.coalesce("__early", F.when(F.col("__bad"), "CONFLICT_UNRESOLVED").when(populated(F.col("existing")), "EXISTING_VALUE_PRESERVED").when(F.col(seq) == F.col("winner"), "ACCEPTED").otherwise("SUPERSEDED_BY_HIGHER_PRIORITY_SOURCE"))

@@ -64,7 +64,7 @@ FROM g LEFT JOIN x ON g.l_partkey = x.l_partkey AND g.l_suppkey = x.l_suppkey LE
 def resolve_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted, in conflict or for review: candidates of confidence 0.95 count as valid."""
     rows = _candidates(spark, sf_dir).withColumn("status", F.when(F.col("confidence") >= 0.95, "VALID").otherwise("INVALID"))
-    return records.resolved(rows, _GROUP, _rank(), records.conflicts(rows, _GROUP, "seq"))
+    return records.resolved(rows, _GROUP, _rank(), records.conflicted(rows, _GROUP, "seq"))
 
 
 @query(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.operators import extraction
+from veldspar.functions import addresses
+from veldspar.operators import build, extraction, failures, records, registry
 from veldspar.plans.registry import registered
 from veldspar.session import table
 
@@ -69,3 +70,139 @@ SELECT * EXCLUDE (full_, there), CASE WHEN NOT full_ THEN 'page is empty' WHEN p
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields of a record from raw pages: fallbacks, overrides, and pages that can't be read as rows with an error."""
     return extraction.page_records(_pages(spark, sf_dir), ["p_partkey"], source=F.lit("pages"), url=_said("https://pages.example/", F.col("p_partkey")))
+
+
+# Requests for used vehicles from orders: words, amounts and missing filters vary with the order's columns.
+_USED = """q AS (SELECT o_orderkey AS k, o_custkey AS c, CASE o_orderkey % 4 WHEN 0 THEN 'Hyderabad' WHEN 1 THEN 'New Delhi' WHEN 2 THEN 'pune' END AS city, CASE o_custkey % 5 WHEN 0 THEN 'Maruti' WHEN 1 THEN 'kia' WHEN 2 THEN 'Mercedes Benz' WHEN 3 THEN 'tata' END AS make,
+  CASE o_orderkey % 3 WHEN 0 THEN 'SUV' WHEN 1 THEN 'muv' END AS body, CASE o_custkey % 4 WHEN 0 THEN 'Diesel' WHEN 1 THEN 'hydrogen' WHEN 2 THEN 'cng' END AS fuel, CASE o_orderkey % 5 WHEN 0 THEN 'Manual' WHEN 1 THEN 'automatic' WHEN 2 THEN 'amt' END AS trans,
+  CASE WHEN o_custkey % 3 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) * 10 WHEN o_custkey % 3 = 1 THEN 0 END AS low, CASE WHEN o_custkey % 2 = 0 THEN CAST(floor(o_totalprice) AS BIGINT) * 7 END AS high, CASE WHEN o_orderkey % 7 > 2 THEN o_custkey * 100 END AS km,
+  CASE WHEN o_orderkey % 6 < 3 THEN 2010 + o_custkey % 10 END AS y0, CASE WHEN o_orderkey % 6 IN (0, 4) THEN 2020 END AS y1, CASE WHEN o_custkey % 9 = 0 THEN 5 END AS seats FROM orders)"""
+
+
+def _used_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    price = F.col("o_totalprice").cast("bigint")
+    pick = lambda on, *words: F.try_element_at(F.array(*map(F.lit, words)), (on + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", pick(k % 4, "Hyderabad", "New Delhi", "pune").alias("city"), F.array_compact(F.array(pick(c % 5, "Maruti", "kia", "Mercedes Benz", "tata"), F.lit("skoda"))).alias("makes_"), pick(c % 5, "Maruti", "kia", "Mercedes Benz", "tata").alias("make"),
+        pick(k % 3, "SUV", "muv").alias("body_type"), pick(c % 4, "Diesel", "hydrogen", "cng").alias("fuel_type"), pick(k % 5, "Manual", "automatic", "amt").alias("transmission"),
+        F.when(c % 3 == 0, price * 10).when(c % 3 == 1, 0).alias("price_min"), F.when(c % 2 == 0, price * 7).alias("price_max"), F.when(k % 7 > 2, c * 100).alias("km_max"),
+        F.when(k % 6 < 3, 2010 + c % 10).alias("year_min"), F.when((k % 6).isin(0, 4), 2020).alias("year_max"), F.when(c % 9 == 0, 5).alias("seats"),
+    ).drop("makes_")
+
+
+_WORD = "replace(lower({}), ' ', '+')"
+
+
+@query(
+    f"""WITH {_USED} SELECT k AS o_orderkey, 'https://www.cars24.com/buy-used-' || coalesce({_WORD.format('make')} || '-', '') || 'cars-' || {_WORD.format("coalesce(city, 'hyderabad')")} || '/?' || coalesce('f=bodyType:in:' || lower(body) || '&', '') || coalesce('f=fuelType:in:' || lower(fuel) || '&', '')
+  || coalesce('f=transmission:=:' || lower(trans) || '&', '') || 'f=listingPrice:bw:' || coalesce(low, 0) || ',' || coalesce(high, 10000000) || coalesce('&f=odometer:bw:0,' || km, '') || CASE WHEN coalesce(y0, y1) IS NOT NULL THEN '&f=year:bw:' || coalesce(y0, 2000) || ',' || coalesce(y1, 2025) ELSE '' END
+  || coalesce('&f=seatNumber:in:' || seats, '') || '&sort=bestmatch&serveWarrantyCount=true&listingSource=TabFilter' AS pathed,
+  'https://www.cartrade.com/second-hand/' || {_WORD.format("coalesce(city, 'hyderabad')")} || '/#sc=1&so=-1&city=105' || CASE WHEN greatest(1, coalesce(high, 10000000) // 100000) >= coalesce(low, 0) // 100000 THEN '&budget=' || (coalesce(low, 0) // 100000) || '-' || greatest(1, coalesce(high, 10000000) // 100000) ELSE '' END
+  || coalesce('&fuel=' || CASE lower(fuel) WHEN 'petrol' THEN 1 WHEN 'diesel' THEN 2 WHEN 'cng' THEN 3 WHEN 'lpg' THEN 4 WHEN 'electric' THEN 5 ELSE CASE WHEN fuel IS NOT NULL THEN 1 END END, '') || coalesce('&trans=' || CASE lower(trans) WHEN 'automatic' THEN 2 ELSE CASE WHEN trans IS NOT NULL THEN 1 END END, '')
+  || CASE WHEN km > 0 THEN '&kms=' || (km // 1000) || '-' ELSE '' END || coalesce('&bodytype=' || CASE lower(body) WHEN 'suv' THEN 6 WHEN 'muv' THEN 6 END, '') || coalesce('&car=' || CASE lower(make) WHEN 'kia' THEN 43 WHEN 'tata' THEN 12 ELSE CASE WHEN make IS NOT NULL THEN 8 END END, '') AS coded,
+  'https://www.olx.in/hyderabad_g4058526/cars_c84' || CASE WHEN p IS NULL AND t IS NULL THEN '' ELSE '?filter=' || concat_ws('%2C', p, t) END AS filtered
+FROM (SELECT *, CASE WHEN low > 0 AND high > 0 THEN 'price_between_' || low || '_to_' || high WHEN high > 0 THEN 'price_max_' || high WHEN low > 0 THEN 'price_min_' || low END AS p, CASE lower(trans) WHEN 'automatic' THEN 'transmission_eq_1' WHEN 'manual' THEN 'transmission_eq_2' END AS t FROM q)"""
+)
+def listing_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search addresses in three dialects, unknown cities and missing filters included."""
+    rows = _used_requests(spark, sf_dir)
+    made = {"pathed": addresses.PATHED, "coded": addresses.CODED, "filtered": addresses.FILTERED}
+    return rows.select("o_orderkey", *(addresses.address(rows, d, F.lit(2025)).alias(n) for n, d in made.items()))
+
+
+@query(
+    """WITH q AS (SELECT o_orderkey AS k, o_orderkey % 7 = 0 AS none, o_orderkey % 5 = 0 AS bad, 5 + o_custkey % 20 AS n, o_orderkey % 3 AS f FROM orders)
+SELECT k AS o_orderkey, CASE WHEN none OR bad THEN 'regex_fallback' ELSE 'hybrid' END AS parser_used, CASE WHEN NOT none AND NOT bad THEN 'general' END AS use_case, CASE WHEN NOT none THEN CAST(n * 100000 AS BIGINT) END AS price_max,
+  CASE WHEN NOT none THEN 'suv' END AS body_type, CASE WHEN NOT none AND NOT bad AND f = 0 THEN 'automatic' WHEN NOT none AND bad AND f = 0 THEN NULL END AS transmission, CASE WHEN NOT none THEN CAST(7 AS INTEGER) END AS seats FROM q"""
+)
+def dispatched_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by the hybrid parser, by the plain one where that fails: ``amt`` is a transmission to the first alone."""
+    k = F.col("o_orderkey")
+    text = F.when(k % 7 > 0, _said("SUV under ", 5 + F.col("o_custkey") % 20, " lakh 7 seater", F.when(k % 3 == 0, " amt").otherwise("")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("query"))
+    out = failures.dispatched(rows, fails=k % 5 == 0)
+    return out.select("o_orderkey", "parser_used", F.col("intent.use_case").alias("use_case"), *(F.col(f"filters.{n}").alias(n) for n in ("price_max", "body_type", "transmission", "seats")))
+
+
+@query(
+    """WITH s AS (SELECT o_orderkey AS k, o_custkey % 3 AS src, CASE WHEN o_orderkey % 10 = 0 THEN 'x' || o_custkey ELSE CAST(o_custkey AS VARCHAR) END AS raw FROM orders)
+SELECT ['first', 'second', 'third'][src + 1] AS source, count(*) FILTER (raw NOT LIKE 'x%') AS n, count(*) FILTER (raw LIKE 'x%') AS n_errors, CAST(sum(CASE WHEN raw NOT LIKE 'x%' THEN CAST(raw AS BIGINT) * 2 END) AS BIGINT) AS total FROM s WHERE src < 2 GROUP BY src
+UNION ALL SELECT 'third', 0, 1, NULL"""
+)
+def failures_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of three sources gave and failed at: rows that can't be read in two, and a third that isn't there."""
+    raw = F.when(F.col("o_orderkey") % 10 == 0, _said("x", F.col("o_custkey"))).otherwise(F.col("o_custkey").cast("string"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", raw.alias("raw"), (F.col("o_custkey") % 3).alias("src"))
+    read = {"first": lambda: rows.where("src = 0"), "second": lambda: rows.where("src = 1"), "third": lambda: spark.read.parquet(f"{sf_dir}/no such table.parquet").select("o_orderkey", "raw")}
+    union, absent = failures.union_of(read, ["o_orderkey", "raw"])
+    tried = failures.attempted(union, "raw", lambda t: str(2 * int(t)))
+    per = tried.groupBy("source").agg(F.count("value").alias("n"), F.count("error").alias("n_errors"), F.sum(F.col("value").cast("bigint")).alias("total"))
+    return per.union(spark.createDataFrame([(name, 0, 1, None) for name, _ in absent], "source string, n long, n_errors long, total long"))
+
+
+_MODELS = [("Tata", "Nexon"), ("Hyundai", "Creta"), ("Maruti Suzuki", "Swift"), ("Mahindra", "XUV 3XO"), ("MG", "Windsor EV")]
+_BOXES = ["5 Speed Manual", "Automatic (DCT)", "Automatic (AMT)", "automatic", "Manual", "Automatic (TC)"]
+
+
+def _gearbox_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as variants of five models, with transmissions of six texts and a word of the part's name as variant."""
+    k = F.col("p_partkey")
+    pick = lambda on, words: F.array(*map(F.lit, words))[on.cast("int")]
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", pick(k % 5, [m for m, _ in _MODELS]).alias("make"), pick(k % 5, [m for _, m in _MODELS]).alias("model"), F.col("p_name").alias("variant"),
+        F.when(k % 11 > 0, pick(k % 6, _BOXES)).alias("transmission"), F.when(k % 5 == 4, "Electric").otherwise("Petrol").alias("fuel_type"),
+    )
+
+
+_RULES_SQL = ", ".join(f"('{a}', '{b}', {i}, '{p}', {n})" for i, (a, b, p, n) in enumerate(build.GEARBOX_RULES))
+
+
+@query(
+    f"""WITH r AS (SELECT p_partkey, {[m for m, _ in _MODELS]}[p_partkey % 5 + 1] AS make, {[m for _, m in _MODELS]}[p_partkey % 5 + 1] AS model, p_name || ' ' || CASE WHEN p_partkey % 11 > 0 THEN {_BOXES}[p_partkey % 6 + 1] ELSE '' END AS t FROM part),
+u(make, model, priority, pattern, speeds) AS (VALUES {_RULES_SQL}), m AS (SELECT c.compat, r.*, (SELECT min_by(speeds, priority) FROM u WHERE u.make = r.make AND u.model = r.model AND regexp_matches(r.t, CASE WHEN compat THEN replace(pattern, '\\', '\\\\') ELSE pattern END, 'i')) AS s FROM r, (VALUES (TRUE), (FALSE)) c(compat))
+SELECT compat, p_partkey, CAST(coalesce(s, CASE WHEN p_partkey % 5 = 4 THEN 1 END) AS VARCHAR) AS value FROM m WHERE coalesce(s, CASE WHEN p_partkey % 5 = 4 THEN 1 END) IS NOT NULL"""
+)
+def gearbox_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gearboxes by a joined rule table, with the patterns as the results to match have them and as they were meant."""
+    rows = _gearbox_records(spark, sf_dir)
+    each = [build.gearbox_rule_candidates(rows, build.gearbox_rules(spark, compat=c), "p_partkey").select(F.lit(c).alias("compat"), "p_partkey", "value") for c in (True, False)]
+    return each[0].union(each[1])
+
+
+@query(
+    """WITH r AS (SELECT p_partkey, ['Swift', 'Windsor EV', 'Creta', 'Nexon'][p_partkey % 4 + 1] AS model, p_name AS variant, p_partkey % 3 AS t, p_size FROM part),
+c AS (SELECT p_partkey, 'boot_space_litres' AS field, CAST(p_size AS VARCHAR) AS value, 'brochure' AS source, 0.93 AS confidence, 'MODEL_LEVEL' AS scope FROM (SELECT r.*, s.p_size FROM (SELECT p_partkey, model FROM r) r JOIN (SELECT model, min(p_size) AS p_size FROM r GROUP BY 1) s USING (model))
+UNION ALL SELECT p_partkey, f.field, 'Yes', 'portal', 0.85, 'VARIANT_LEVEL' FROM r, (VALUES (0, 'ebd'), (1, 'rear_parking_sensors')) f(pos, field) WHERE t > 0 AND (pos = 0 OR model IN ('Swift', 'Windsor EV')))
+SELECT p_partkey, field, value, source, confidence::DOUBLE AS confidence, scope, CASE field WHEN 'boot_space_litres' THEN ['brochure', 'archive'] ELSE ['portal'] END AS sources FROM c"""
+)
+def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of two registered adapters, capped at their sources' ceilings, beside the sources of each field by priority."""
+    k = F.col("p_partkey")
+    model = F.array(*map(F.lit, ["Swift", "Windsor EV", "Creta", "Nexon"]))[(k % 4).cast("int")]
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.lit("m").alias("make"), model.alias("model"), F.col("p_name").alias("variant"), F.lit("petrol").alias("fuel_type"), F.lit("Manual").alias("transmission"), "p_size")
+    specs = rows.groupBy("make", "model").agg(F.min("p_size").cast("string").alias("value")).select("make", "model", F.lit("boot_space_litres").alias("field"), "value", F.lit("spec sheet").alias("evidence"))
+    listed = rows.withColumn("variant", F.when(k % 3 > 0, F.upper("variant")).otherwise(F.concat("variant", F.lit(" plus"))))
+    held = registry.Registry()
+    held.register(registry.Source("archive", ("boot_space_litres",), "MODEL_LEVEL", 9, 0.5))
+    held.register(registry.Source("portal", ("ebd", "rear_parking_sensors"), "VARIANT_LEVEL", 2, 0.85, registry.OverlapAdapter(listed, "portal.example")))
+    held.register(registry.Source("brochure", ("boot_space_litres",), "MODEL_LEVEL", 1, 0.93, registry.SpecAdapter(specs)))
+    found = held.candidates(rows, "p_partkey", ["boot_space_litres", "ebd", "rear_parking_sensors"])
+    return held.ranked(spark, found).select("p_partkey", "field", "value", "source", "confidence", "scope", "sources")
+
+
+@query(
+    """WITH c AS (SELECT l_partkey, l_suppkey, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS seq, CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE '' END AS unit, CASE WHEN l_linenumber % 4 = 0 THEN l_quantity > 25 END AS b, CASE WHEN l_linenumber % 4 > 0 THEN l_quantity END AS n,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'MODEL_LEVEL' WHEN l_linenumber % 3 = 1 THEN 'VARIANT_LEVEL' END AS scope FROM lineitem),
+p AS (SELECT x.l_partkey, x.l_suppkey FROM c x JOIN c y ON x.l_partkey = y.l_partkey AND x.l_suppkey = y.l_suppkey AND x.seq < y.seq
+  WHERE CASE WHEN x.unit <> '' AND y.unit <> '' AND x.unit <> y.unit THEN TRUE WHEN x.b IS NOT NULL OR y.b IS NOT NULL THEN x.b IS DISTINCT FROM y.b ELSE coalesce(abs(x.n - y.n) > 0.02 * greatest(abs(x.n), abs(y.n), 1.0), FALSE) OR coalesce(x.scope = 'MODEL_LEVEL' AND y.scope = 'VARIANT_LEVEL', FALSE) END)
+SELECT l_partkey, l_suppkey, 'SSCONFLICT-' || l_partkey || '-' || l_suppkey || '-' || count(*) AS conflict_id FROM p GROUP BY l_partkey, l_suppkey"""
+)
+def conflict_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id that stays of a cell's numbered conflicts."""
+    n, s = F.col("l_linenumber"), F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").select(
+        "l_partkey", "l_suppkey", s.alias("seq"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise("").alias("unit"), F.when(n % 4 == 0, F.col("l_quantity") > 25).alias("value_bool"),
+        F.when(n % 4 > 0, F.col("l_quantity")).alias("value_num"), F.when(n % 3 == 0, "MODEL_LEVEL").when(n % 3 == 1, "VARIANT_LEVEL").alias("scope"),
+    )
+    return records.conflict_ids(rows, ["l_partkey", "l_suppkey"], "seq")
