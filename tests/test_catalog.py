@@ -8,13 +8,13 @@ from pyspark.sql import functions as F
 
 from veldspar.functions import intent, model, pages, text
 from veldspar.operators import build, filters, listings, ranking, records, rules
-from veldspar.plans import cars, quality, vehicles
+from veldspar.plans import audits, cars, quality, vehicles
 from veldspar.sources import files
 from veldspar.streaming import fetch_log
 
 SF = "/root/testdata/sf0.001"
-ALL = cars.QUERIES | quality.QUERIES | vehicles.QUERIES
-SQL = cars.ORACLES | quality.ORACLES | vehicles.ORACLES
+ALL = cars.QUERIES | quality.QUERIES | vehicles.QUERIES | audits.QUERIES
+SQL = cars.ORACLES | quality.ORACLES | vehicles.ORACLES | audits.ORACLES
 
 
 def plain(v):

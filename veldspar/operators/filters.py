@@ -132,6 +132,17 @@ def json_safe(rows: DataFrame) -> DataFrame:
     return rows.withColumns(safe) if safe else rows
 
 
+# The keys of a recommendation in the response, in their order.
+RESPONSE = ["Make", "Model", "Variant", "Ex-Showroom_Price", "Displacement", "Power", "ARAI_Certified_Mileage", "Transmission", "Fuel_Type", "carImage", "carDekhoLink", "carWaleLink", "ranking_score", "match_reasons"]
+
+
+def response(rows: DataFrame, score: str = "score", reasons_: str = "reasons") -> DataFrame:
+    """The fourteen keys of a recommendation: columns that the catalog lacks are null, NaN and infinities too."""
+    named = {"ranking_score": score, "match_reasons": reasons_}
+    columns = [F.col(f"`{named.get(n, n)}`").alias(n) if named.get(n, n) in rows.columns else F.lit(None).cast("string").alias(n) for n in RESPONSE]
+    return json_safe(rows.select(*columns))
+
+
 def set_if_filled(rows: DataFrame, column: str, value: Column) -> DataFrame:
     """``column`` replaced where the value is neither null nor empty."""
     return rows.withColumn(column, F.when(value.isNotNull() & (value.cast("string") != ""), value).otherwise(_c(column)))

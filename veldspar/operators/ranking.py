@@ -267,14 +267,44 @@ def cleaned_reasons(texts: Column, body: Column, columns: list[str] = (), most:
     return F.slice(once, 1, most)
 
 
-def scored(rows: DataFrame) -> DataFrame:
-    """``rows`` (catalog and request columns side by side) with ``score`` and all ``reasons``, component by component."""
+def asked_rules(asked: str, columns: list[str]) -> list[Rule]:
+    """:func:`explicit_rules` of requests that each bring a map from columns to numbers, ``asked``."""
+    out: list[Rule] = []
+    for c in columns:
+        out += [(F.coalesce(_number(f"`{c}`") == F.try_element_at(F.col(asked), F.lit(c)), F.lit(False)), p, why) for _, p, why in explicit_rules({c: 0.0}, columns)]
+    return out
+
+
+def _components(rows: DataFrame, asked: str | None) -> tuple[Column, list[Rule]]:
+    """(score, all rules in the order of their reasons)."""
     use = F.coalesce("use", F.lit("general"))
     price, mileage, cap = _number("price"), _number("mileage"), F.col("cap").cast("double")
-    asked = F.coalesce("asked_mileage", F.lit(False))
-    parts = [price_rules(price, cap, use), mileage_rules(mileage, asked), feature_rules(), request_rules(), use_rules(use), quality_rules(use)]
-    total = price_points(price, cap, use) + mileage_points(mileage, use, asked) + points([r for p in parts[2:] for r in p])
-    return rows.withColumn("score", F.round(total, 6)).withColumn("reasons", reasons([r for p in parts for r in p]))
+    wanted = F.coalesce("asked_mileage", F.lit(False))
+    numbers = [n for n, t in rows.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") and not n.startswith("asked_") and n not in ("cap", "score")]
+    explicit = asked_rules(asked, numbers) if asked else []
+    parts = [price_rules(price, cap, use), mileage_rules(mileage, wanted), feature_rules(), request_rules(), use_rules(use), explicit, quality_rules(use)]
+    total = price_points(price, cap, use) + mileage_points(mileage, use, wanted) + points([r for p in parts[2:] for r in p])
+    return F.round(total, 6), [r for p in parts for r in p]
+
+
+def scored(rows: DataFrame, asked: str | None = None) -> DataFrame:
+    """``rows`` (catalog and request columns side by side) with ``score`` and all ``reasons``, component by component.
+
+    ``asked``: a map column of the request, from number columns of the catalog to the numbers
+    that it asks for, if there is one.
+    """
+    score, every = _components(rows, asked)
+    return rows.withColumn("score", score).withColumn("reasons", reasons(every))
+
+
+def top_scored(rows: DataFrame, by: list[str], tie: str, most: int, asked: str | None = None) -> DataFrame:
+    """The first ``most`` rows of each request with ``score``, ``rk`` and ``reasons``.
+
+    Rows are ranked by score alone, and each task keeps ``most`` of a request before any row
+    moves; texts are made for those that stay.
+    """
+    score, every = _components(rows, asked)
+    return ranked(rows.withColumn("score", score), by, tie).where(F.col("rk") <= most).withColumn("reasons", reasons(every))
 
 
 def first_positive(columns: dict[str, str], present: list[str], otherwise: str = "unknown") -> Column:

@@ -55,11 +55,12 @@ _ASKED = f"(VALUES {', '.join('(' + ', '.join(map(_sql, a)) + ')' for a in _ASKS
 
 
 def _asked(spark: SparkSession, cars: DataFrame) -> DataFrame:
-    """Every request beside every car; requests are few and broadcast."""
+    """Every request beside every car; requests are few and broadcast.  Scores cost far more than a
+    car weighs, so cars are dealt out first, or a small file would be scored by one task."""
     asks = spark.createDataFrame(_ASKS, _ASK_COLUMNS)
     for name in ("ventilated_seats", "cruise_control", "android_auto", "apple_carplay", "abs"):
         asks = asks.withColumn(f"asked_{name}", F.lit(False))
-    return cars.crossJoin(F.broadcast(asks))
+    return cars.repartition(spark.sparkContext.defaultParallelism, "p_partkey").crossJoin(F.broadcast(asks))
 
 
 _PRICE = """(CASE WHEN cap IS NULL THEN 0.0 WHEN price > cap THEN -100.0 ELSE 40 * greatest(0.0, 1 - abs(price - aim * cap) / greatest(cap, 1.0))
@@ -102,10 +103,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY use ORDER BY score DESC, p_partk
 @query(_CARS + _RANKED + "SELECT use, p_partkey, score, CAST(rk AS INTEGER) AS rk, array_to_string(list_filter(said, lambda x, i: list_position(said, x) = i)[1:5], '; ') AS reasons FROM r WHERE rk <= 20")
 def batch_rank_many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All score components and cleaned reasons of many requests against the whole catalog, 20 of each."""
-    rows = ranking.scored(_asked(spark, _cars(spark, sf_dir)))
     body = F.when(F.col("asked_body") == "suv", "SUV body type").otherwise(F.concat("asked_body", F.lit(" body type")))
-    top = ranking.ranked(rows.select("use", "p_partkey", "score", "reasons", body.alias("b")), ["use"], "p_partkey").where("rk <= 20")
-    return top.select("use", "p_partkey", "score", "rk", F.array_join(ranking.cleaned_reasons(F.col("reasons"), F.col("b")), "; ").alias("reasons"))
+    top = ranking.top_scored(_asked(spark, _cars(spark, sf_dir)), ["use"], "p_partkey", 20)
+    return top.select("use", "p_partkey", "score", "rk", F.array_join(ranking.cleaned_reasons(F.col("reasons"), body), "; ").alias("reasons"))
 
 
 @query(

@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path, or one that its pattern fits, is there, by Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
-    return found is not None and len(found) > 0
-
-
 def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """A catalog with a header; empty texts are null."""
     return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
@@ -22,9 +17,12 @@ def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
 
 def json_array(spark: SparkSession, path: str, schema: StructType | str, absent_ok: bool = False) -> DataFrame:
     """Files that are one JSON array each; with ``absent_ok`` no rows where there is no file."""
-    if absent_ok and not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    try:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    except AnalysisException as e:
+        if absent_ok and e.getCondition() == "PATH_NOT_FOUND":
+            return spark.createDataFrame([], schema)
+        raise
 
 
 def json_by_folder(spark: SparkSession, pattern: str, schema: StructType | str, column: str = "model_slug") -> DataFrame:
@@ -61,8 +59,29 @@ def append_log(rows: DataFrame, path: str) -> None:
     rows.select(*sorted(rows.columns)).write.mode("append").json(path)
 
 
-def markdown(rows: DataFrame, order: list[Column], most: int = 1000) -> str:
-    """A report table of the first rows of a small aggregate."""
-    held = rows.orderBy(*order).limit(most).collect()
+def _whole(rows: DataFrame, order: list[Column], most: int) -> list:
+    """All rows of a report, which is small; more than ``most`` are an error, never cut."""
+    held = rows.orderBy(*order).limit(most + 1).collect()
+    if len(held) > most:
+        raise ValueError(f"a report of more than {most} rows (the table has {rows.count()}): write it as a table")
+    return held
+
+
+def write_json_array(rows: DataFrame, order: list[Column], path: str, most: int = 100_000) -> None:
+    """A small report as one indented JSON array, nulls kept, in a folder of one part."""
+    told = rows.withColumn("__json", F.to_json(F.struct(*(F.col(f"`{c}`") for c in rows.columns)), {"ignoreNullFields": "false"}))
+    text = json.dumps([json.loads(r["__json"]) for r in _whole(told, order, most)], indent=2, ensure_ascii=False)
+    rows.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def markdown(rows: DataFrame, order: list[Column], most: int = 100_000) -> str:
+    """A report table of all rows of a small aggregate."""
     line = lambda values: "| " + " | ".join("" if v is None else str(v) for v in values) + " |"
-    return "\n".join([line(rows.columns), "|" + "---|" * len(rows.columns), *map(line, held)]) + "\n"
+    return "\n".join([line(rows.columns), "|" + "---|" * len(rows.columns), *map(line, _whole(rows, order, most))]) + "\n"
+
+
+def write_markdown(sections: dict[str, tuple[DataFrame, list[Column]]], title: str, path: str) -> None:
+    """A report of headed tables, each with its order, in a folder of one part."""
+    parts = [f"# {title}\n", *(f"## {name}\n\n{markdown(rows, order)}" for name, (rows, order) in sections.items())]
+    spark = next(iter(sections.values()))[0].sparkSession
+    spark.createDataFrame([("\n".join(parts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
