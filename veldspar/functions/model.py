@@ -58,6 +58,44 @@ def predicted(model: PipelineModel, requests: DataFrame, name: str) -> DataFrame
     return steps.transform(requests).select(*requests.columns, name)
 
 
+def trained_all(labelled: DataFrame, targets: list[str] = TARGETS, text: str = "query") -> dict[str, PipelineModel]:
+    """A model for each target; texts are cut, counted and weighed once for all of them.
+
+    The labelled texts are a bounded sample (of :func:`generated`, say), kept in one partition
+    while they are fitted.
+    """
+    shaping = Pipeline(stages=[
+        RegexTokenizer(inputCol=text, outputCol="__1", pattern=r"\w\w+", gaps=False),
+        NGram(n=2, inputCol="__1", outputCol="__2"),
+        *(CountVectorizer(inputCol=f"__{i}", outputCol=f"__c{i}", minDF=1) for i in (1, 2)),
+        VectorAssembler(inputCols=["__c1", "__c2"], outputCol="__c"),
+        IDF(inputCol="__c", outputCol="__t"),
+        Normalizer(inputCol="__t", outputCol="__f"),
+    ]).fit(labelled)
+    counts = {t: {r[0]: r[1] for r in labelled.groupBy(t).agg(F.count("*")).collect()} for t in targets}  # a row for each label
+    rows = shaping.transform(labelled).select("__f", *targets).coalesce(1).persist()
+    models = {}
+    for t in targets:
+        n = sum(counts[t].values())
+        weights = F.create_map(*(F.lit(x) for label, c in counts[t].items() for x in (label, n / (len(counts[t]) * c))))
+        index = StringIndexer(inputCol=t, outputCol="__y", handleInvalid="keep").fit(rows)
+        fit = LogisticRegression(featuresCol="__f", labelCol="__y", weightCol="__w", maxIter=100, regParam=0.001, predictionCol="__p", probabilityCol="__q", rawPredictionCol="__r")
+        models[t] = PipelineModel([index, *shaping.stages, fit.fit(index.transform(rows).withColumn("__w", weights[F.col(t)]))])
+    rows.unpersist()
+    return models
+
+
+def predicted_all(models: dict[str, PipelineModel], requests: DataFrame, prefix: str = "guess_") -> DataFrame:
+    """``requests`` with each target's label in ``<prefix><target>``; the models share their texts' weights."""
+    first = next(iter(models.values()))
+    rows, names = PipelineModel(first.stages[1:-1]).transform(requests).select(*requests.columns, "__f"), list(requests.columns)
+    for target, model in models.items():
+        back = IndexToString(inputCol="__p", outputCol=f"{prefix}{target}", labels=model.stages[0].labels)
+        names.append(f"{prefix}{target}")
+        rows = PipelineModel([model.stages[-1], back]).transform(rows).select(*names, "__f")
+    return rows.drop("__f")
+
+
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 
