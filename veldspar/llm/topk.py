@@ -7,7 +7,8 @@ read, plus the least that the unread lists can give) and an upper bound (what wa
 plus the value that each unread list stands at).  Rows whose upper bound is below the
 k-th best lower bound are outsiders and leave; reading stops when no outsider can still
 qualify, and the final scores of those that remain are resolved.  All bounds are sums of
-integers in doubles below 2**53, so they are exact.
+integers in doubles, exact below 2**53; blocks whose scores could reach that are not bounded
+but resolved at once, in Python's integers, and scores saturate at the ends of the long range.
 
 The query set (every hundredth row) grows with the table, so neither side is broadcast:
 packed query blocks meet packed candidate blocks on a grid of (query block, lane) keys,
@@ -21,24 +22,33 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veldspar.llm import vectors
+
 BLOCK_ROWS = 4096
 QUERY_ROWS = 2048
 LANE_ROWS = 1 << 14
 DEPTHS = (1 / 16, 1 / 8, 1 / 4, 1 / 2)
+_MOST = float(np.finfo(np.float64).max)
 
 
 def quantised(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
     """(vec_id, v array<double>): integer components floor(scale * x).
 
     Vectors that are null or hold a null or non-finite component take no part, nor do empty
-    ones; a null id takes no part.  Repeated ids stay separate candidates.
+    ones; a null id takes no part.  Repeated ids stay separate candidates.  Components beyond
+    the greatest double are that.
     """
-    good = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.col("vec_id").isNotNull()
-    good &= ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x.cast("double")) == float("inf")))
-    v = F.transform("embedding", lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    good = vectors.sound("embedding") & F.col("vec_id").isNotNull()
+
+    def whole(x: Column) -> Column:  # at 2**53 and beyond a double is an integer
+        y = x.cast("double") * scale
+        y = F.least(F.greatest(y, F.lit(-_MOST)), F.lit(_MOST))
+        return F.when(F.abs(y) >= vectors.EXACT, y).otherwise(F.floor(y).cast("double"))
+
+    v = F.transform("embedding", whole)
     return embeddings.where(good).select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v"))
 
 
@@ -70,17 +80,7 @@ def _packed(vectors: DataFrame, rows: int) -> DataFrame:
     return vectors.mapInArrow(run, "dim int, n int, ids binary, x binary")
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best (score descending, id ascending), ties at the border settled by id."""
-    if len(scores) > k:
-        border = np.partition(scores, len(scores) - k)[len(scores) - k]
-        at = np.flatnonzero(scores >= border)
-    else:
-        at = np.arange(len(scores))
-    return at[np.lexsort((ids[at], -scores[at]))[:k]]
-
-
-def aggregate_lists(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[list[np.ndarray], int]:
+def aggregate_lists(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
     """The k best rows of a block for each query, by bounded sequential reads.
 
     ``own``: each query's id, which is no candidate of its own.  ``floor``: k-th best scores
@@ -116,17 +116,27 @@ def aggregate_lists(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np
         rows = np.flatnonzero(alive[q])
         resolved += len(rows)
         scores = x[rows] @ queries[q]
-        best = _best(scores, ids[rows], k)
-        out.append(np.stack([rows[best].astype(np.float64), scores[best]]))
+        best = vectors.first_by_score(scores.astype(np.int64), ids[rows], k)
+        out.append((rows[best], scores[best].astype(np.int64)))
     return out, resolved
 
 
+def resolved_at_once(x: np.ndarray, ids: np.ndarray, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same without bounds, for scores that doubles don't hold."""
+    out = []
+    for scores, mine in zip(vectors.products(queries, x), own, strict=True):
+        rows = np.flatnonzero(ids != mine)
+        best = vectors.first_by_score(scores[rows], ids[rows], k)
+        out.append((rows[best], scores[rows][best]))
+    return out
+
+
 def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 1024) -> DataFrame:
     """``query_id, rank, vec_id, score``: each query's k highest inner products.
 
     Queries are the rows whose id is divisible by ``every``; candidates are all rows of other
     ids with as many components.  Ties go to the smaller id.  Rows that repeat a query's id
-    share its one list; repeated candidates stay apart.  Extra columns are ignored; an empty
+    share its one list; repeated candidates stay apart.  Scores beyond a long are its ends.  Extra columns are ignored; an empty
     table gives no rows.
     """
     v = quantised(embeddings, scale)
@@ -145,19 +155,23 @@ def top_k(embeddings: DataFrame, k: int = 10, every: int = 100, scale: int = 102
         for dim, qs in q.groupby("dim"):
             qx = np.concatenate([np.frombuffer(b).reshape(-1, dim) for b in qs.x])
             qid = np.concatenate([np.frombuffer(b, np.int64) for b in qs.ids])
-            held = [(np.zeros(0, np.int64), np.zeros(0)) for _ in qid]
+            held = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in qid]
             floor = np.full(len(qid), -np.inf)
             for row in c[c.dim == dim].itertuples():
                 x, ids = np.frombuffer(row.x).reshape(-1, dim), np.frombuffer(row.ids, np.int64)
+                huge = dim * np.abs(x).max(initial=0) * np.abs(qx).max(initial=0) >= vectors.EXACT
                 for a in range(0, len(qid), 256):
-                    got, _ = aggregate_lists(x, ids, qx[a : a + 256], qid[a : a + 256], k, floor[a : a + 256])
+                    if huge:
+                        got = resolved_at_once(x, ids, qx[a : a + 256], qid[a : a + 256], k)
+                    else:
+                        got, _ = aggregate_lists(x, ids, qx[a : a + 256], qid[a : a + 256], k, floor[a : a + 256])
                     for j, (rows, scores) in enumerate(got, a):
-                        i, s = np.r_[held[j][0], ids[rows.astype(np.int64)]], np.r_[held[j][1], scores]
-                        best = _best(s, i, k)
+                        i, s = np.r_[held[j][0], ids[rows]], np.r_[held[j][1], scores]
+                        best = vectors.first_by_score(s, i, k)
                         held[j] = (i[best], s[best])
                         if len(best) == k:
-                            floor[j] = s[best[-1]]
-            found += [pd.DataFrame({"query_id": qid[j], "vec_id": i, "score": s.astype(np.int64)}) for j, (i, s) in enumerate(held) if len(i)]
+                            floor[j] = np.nextafter(float(s[best[-1]]), -np.inf)
+            found += [pd.DataFrame({"query_id": qid[j], "vec_id": i, "score": s}) for j, (i, s) in enumerate(held) if len(i)]
         return pd.concat(found) if found else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
 
     best = cand.groupBy("grp", "lane").cogroup(asked.groupBy("grp", "lane")).applyInPandas(cell, "query_id bigint, vec_id bigint, score bigint")
