@@ -144,7 +144,7 @@ class Automaton:
 def _passes(benchmark: DataFrame) -> Iterator[tuple[str, list]]:
     """(name, blocks) of each pass; a block lists (item, text) with a bounded number of words."""
     size = F.coalesce(F.length("text"), F.lit(0)) / 2 + 1
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("item is not null and text is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), "text").where("text is not null")
     blocks = max(1, int(-(-(items.agg(F.sum(size)).first()[0] or 0) // BLOCK_WORDS)))
     for a in range(0, blocks, BLOCKS_PER_PASS):
         own = F.pmod(F.xxhash64("item", "text"), F.lit(blocks)).cast("int")
@@ -174,7 +174,7 @@ def _found(w: W.Words, automata: list[Automaton]) -> tuple[np.ndarray, dict[int,
         for begin, end in auto.stretches(w):
             for i, size, names in auto.stream(w.hashes[begin:end].tolist()):
                 hit[begin + i + 1 - size : begin + i + 1] = True
-                items.setdefault(int(w.rows[begin]), set()).update(names)
+                items.setdefault(int(w.rows[begin]), set()).update(n for n in names if n is not None)
     return hit, items
 
 
@@ -235,8 +235,8 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = 10)
 
     Returns ``doc_id, n_words, n_hit, spans, items``: ``spans`` are the maximal hit word
     runs as byte ranges of the UTF-8 text, ``items`` the distinct item ids as strings,
-    sorted.  A null or empty text has no words; a null item text or id has no windows;
-    repeated rows are judged one by one; an empty benchmark hits nothing; no documents give
+    sorted.  A null or empty text has no words; a null item text has no windows; words of an
+    item without an id are hit like others, but it is in no list; repeated rows are judged one by one; an empty benchmark hits nothing; no documents give
     no rows.  Extra columns are ignored.
     """
     out_type = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", _SPAN), ("items", pa.list_(pa.string()))])
