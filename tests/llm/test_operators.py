@@ -79,16 +79,16 @@ def test_near_copies_share_a_class(spark):
     assert {x.doc_id for x in near_dups.kept(docs).collect()} == {0, *range(7, len(texts))}
 
 
-@pytest.mark.parametrize("group, split", [(4096, 1 << 16), (8, 1 << 16), (8, 30)])
-def test_classes_that_share_keys_equal_all_pairs(spark, monkeypatch, group, split):
+@pytest.mark.parametrize("group, shared", [(4096, [5, 6]), (8, [5, 6]), (8, [5])])
+def test_classes_that_share_keys_equal_all_pairs(spark, monkeypatch, group, shared):
+    """Of a hot key all pairs are compared, also where texts share nothing but that one key."""
     monkeypatch.setattr(near_dups, "GROUP", group)
-    monkeypatch.setattr(near_dups, "SPLIT", split)
     r = random.Random(13)
     base = [prose(r, r.randint(40, 90)).split() for _ in range(24)]
     edit = lambda t, n: [w if i not in set(r.sample(range(len(t)), n)) else f"x{r.random()}".replace(".", "") for i, w in enumerate(t)]
     texts = [" ".join(t) for b in base for c in [edit(b, 3)] for t in (b, c, edit(c, 3))] + [prose(r, 60) for _ in range(10)]
     words = [near_dups.W.split(near_dups.pa.array([t])).hashes for t in texts]
-    rows = [(t, i, near_dups._node(h), 0, near_dups.bag(h), len(h), [5, 6, 100 + i]) for i, (t, h) in enumerate(zip(texts, words, strict=True))]  # two keys are everybody's
+    rows = [(t, i, near_dups._node(h), 0, near_dups.bag(h), len(h), [*shared, 100 + i, 1000 + i][:3]) for i, (t, h) in enumerate(zip(texts, words, strict=True))]
     found = spark.createDataFrame(rows, "text string, __row long, __node long, __check long, __bag binary, __size int, __keys array<bigint>")
     got = {x.node: x.label for x in near_dups._labels(found, near_dups._nodes(found)).collect()}
     top = list(range(len(texts)))
@@ -104,6 +104,19 @@ def test_classes_that_share_keys_equal_all_pairs(spark, monkeypatch, group, spli
     assert all((label[i] == label[j]) == (least(i) == least(j)) for i in range(len(texts)) for j in range(i))
 
 
+def test_recall_at_the_limit(spark):
+    """Pairs of similarity 0.9 exactly, edits anywhere: most share a key, whatever their length."""
+    r = random.Random(41)
+    texts = []
+    for n in (20, 50, 200) * 40:
+        base = prose(r, n).split()
+        spots = set(r.sample(range(n), n // 10))
+        texts += [" ".join(base), " ".join(f"e{r.random()}".replace(".", "") if i in spots else w for i, w in enumerate(base))]
+    got = {x.doc_id: x.class_id for x in near_dups.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, len(texts), 2)) >= 0.9 * len(texts) / 2
+    assert all(got[i] in (i, i - 1) for i in range(1, len(texts), 2))
+
+
 def test_components_of_chains_and_rings(spark):
     r = random.Random(33)
     chains = [[*r.sample(range(k * 1000, k * 1000 + 999), n)] for k, n in enumerate((1, 2, 3, 17, 60), 1)]
@@ -163,13 +176,13 @@ def test_contamination_equals_its_definition(spark, monkeypatch, words):
     for i, t in enumerate(texts):
         w, hit, names = cut(t), set(), set()
         for name, item in items:
-            v = cut(item) if name is not None else []
+            v = cut(item)
             for j in range(max(1, len(v) - 9)) if v else ():
                 win = v[j : j + 10]
                 for k in range(len(w) - len(win) + 1):
                     if w[k : k + len(win)] == win:
                         hit.update(range(k, k + len(win)))
-                        names.add(name)
+                        names.update([name] * (name is not None))
         want.append((i, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
     docs, bench = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
     got = decontaminate.digest(decontaminate.contamination(docs, bench))
@@ -188,6 +201,13 @@ def test_top_k_equals_brute_force(spark):
         assert [(-a.score, a.vec_id) for a in sorted((g for g in got if g.query_id == q), key=lambda g: g.rank)] == best
 
 
+def test_huge_components_saturate(spark):
+    rows = [(0, [1e30, 1.0]), (1, [1.0, 2.0]), (2, [-1e30, 0.0]), (3, [1e300, 1.0]), (100, [1.5, -2.0])]
+    got = sorted((x.query_id, x.rank, x.vec_id, x.score) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    most = 2**63 - 1
+    assert got == [(0, 1, 1, most), (0, 2, 3, most), (0, 3, 100, most), (0, 4, 2, -most - 1), (100, 1, 0, most), (100, 2, 3, most), (100, 3, 1, (1024 * 1536) - 2048 * 2048), (100, 4, 2, -most - 1)]
+
+
 def test_lists_are_read_until_no_outsider_can_qualify():
     r = np.random.default_rng(3)
     ids = r.permutation(3000)

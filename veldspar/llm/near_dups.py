@@ -18,8 +18,7 @@ equal sketches are likely where texts are close by edits, not only as bags of k-
    classes fewer, so that less is left for the next step, which misses nothing.
 6. Every pair of different classes' members that shares a key is compared, key by key in
    blocks of at most ``GROUP`` members; larger groups are dealt into bands of lengths and
-   chunks that meet two by two.  (Keys of more than ``SPLIT`` nodes want a second common key.)
-   Words lie beside the members, and only links leave the block.
+   chunks that meet two by two, whatever their size.  Words lie beside the members, and only links leave the block.
 
 Before words of pairs move (3, 5) or are aligned (6), a pair must have lengths that allow the similarity and bags that agree in
 ``LEAST_BAG`` of ``BAG`` places.  A bag is a MinHash of single words; at similarity 0.9 two
@@ -53,7 +52,6 @@ SIMILARITY = 0.9
 BAG = 64
 LEAST_BAG = 38
 GROUP = 4096
-SPLIT = 1 << 16
 WORTH = 8  # a round of draws is followed by another if one pair in so many was a link
 BAND = -math.log(SIMILARITY - 0.01)  # texts that can be similar are in one band or neighbouring ones
 
@@ -346,26 +344,15 @@ def _gridded(rows: DataFrame) -> DataFrame:
     return out.withColumn("chunk", F.when(F.col("first") != F.col("with"), F.col("chunk")))
 
 
-def _apart(shared: DataFrame, labels: DataFrame, nodes: DataFrame, words: DataFrame) -> DataFrame:
+def _apart(shared: DataFrame, labels: DataFrame, words: DataFrame) -> DataFrame:
     """Links (node, peer) between different classes of nodes with a common key.
 
-    Keys of more than ``SPLIT`` nodes are split by a second key that both must share.
+    The counts are written before they are joined, so that a hot key can be split.
     """
     held = shared.select("key", "node", "n").join(labels, "node", "left").select("key", F.col("key").alias("cell"), "node", "n", F.coalesce("label", "node").alias("label"))
-
-    def several(rows: DataFrame) -> DataFrame:
-        """Rows of cells with several classes and ``c``, the cell's size; a join with a written table can be split where a cell is hot."""
-        per = rows.groupBy("cell").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a < b").select("cell", "c")
-        return rows.join(written(per, "near-cells"), "cell")
-
-    held = written(several(held), "near-apart")
+    per = held.groupBy("cell").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("c")).where("a < b").select("cell", "c")
+    held = written(held.join(written(per, "near-cells"), "cell"), "near-apart")
     most = held.agg(F.max("c").alias("c")).first().c or 0
-    if most > SPLIT:
-        hot = held.where(F.col("c") > SPLIT).drop("c").join(nodes.select("node", "keys"), "node").withColumn("other", F.explode("keys")).where("other <> key")
-        hot = hot.withColumn("cell", F.xxhash64(F.least("key", "other"), F.greatest("key", "other"))).withColumn("key", F.lit(None).cast("bigint"))
-        hot = several(hot.drop("keys", "other").distinct()).select(*held.columns)
-        held = written(held.where(F.col("c") <= SPLIT).unionByName(hot), "near-apart")
-        most = held.agg(F.max("c").alias("c")).first().c or 0
     cells = held.where(F.col("c") <= GROUP).drop("c").withColumn("chunk", F.lit(None).cast("bigint"))
     if most > GROUP:
         cells = cells.unionByName(_gridded(held.where(F.col("c") > GROUP).drop("c")).select(*cells.columns))
@@ -402,7 +389,7 @@ def _labels(found: DataFrame, nodes: DataFrame) -> DataFrame:
         labels = _joined(labels, links) if n else labels
         if n * WORTH <= pairs.count():
             break
-    links = written(_apart(shared, labels, nodes, words), "near-links")
+    links = written(_apart(shared, labels, words), "near-links")
     return labels if links.isEmpty() else _joined(labels, links)
 
 
