@@ -190,6 +190,25 @@ def test_contamination_equals_its_definition(spark, monkeypatch, words):
     assert decontaminate.cleaned(docs, bench, max_coverage=1.0).count() == len(texts)
 
 
+def test_ten_thousand_url_rules(spark):
+    """A joined rule table against trying every rule; empty tables too."""
+    r = random.Random(51)
+    hosts = [f"{a}.{b}.{c}" for a in "abcdef" for b in ("x", "y", "z") for c in ("com", "net")] + ["com", "x.com", "", "com.x"]
+    rules = sorted({(r.choice(hosts[:-2]), "/" + "/".join(r.choice("pqrst") for _ in range(r.randint(0, 6))), r.choice(["block", "allow"])) for _ in range(24_000)})
+    rules = list({x[:2]: x for x in rules}.values())[:10_000]
+    assert len(rules) == 10_000
+    urls_ = [f"http://{r.choice(['', 'w.', 'v.w.'])}{r.choice(hosts)}/{'/'.join(r.choice('pqrst') for _ in range(r.randint(0, 8)))}?q" for _ in range(60)] + [None, "no scheme", "http://x.com", "HTTP://A.X.COM/p/q"]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, bad int")
+    got = {x.page_id: x for x in urls.judged(pages, none, rules).collect()}
+    for k, x in got.items():
+        fits = [(len(h + p), h + p, v) for h, p, v in rules if (x.host == h or x.host.endswith("." + h)) and x.path.startswith(p)]
+        assert (x.rule, x.verdict) == (max(fits)[1:] if fits else (None, "allow")), urls_[k]
+    few = rules[::97]
+    assert {tuple(x) for x in urls.judged(pages, none, few).collect()} == {tuple(x) for x in urls.judged(pages, none, spark.createDataFrame(few, "host string, path string, verdict string")).collect()}
+    assert urls.judged(pages.limit(0), none).count() == 0 and urls.judged(pages.limit(0), none, rules).count() == 0
+
+
 def test_top_k_equals_brute_force(spark):
     r = np.random.default_rng(1)
     x = r.normal(size=(300, 8)).astype(np.float32)

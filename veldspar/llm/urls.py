@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veldspar.session import written
+
 #: (host, path, verdict), as the contract of the query states them.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 BAD_RATE = 0.5
@@ -50,16 +52,37 @@ def levels(h: Column) -> tuple[Column, Column]:
 
 
 def ruled(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
-    """(rule, verdict) by the longest fitting rule; null where none fits."""
-    if len(rules) > MAX_INLINE_RULES:
-        raise ValueError("join longer rule lists by host suffix")
+    """(rule, verdict) by the longest fitting rule; null where none fits.  For a few rules: they are one expression."""
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for on, under, says in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[0] + r[1])):  # the last that fits wins
+    for on, under, says in sorted(rules, key=lambda r: (len(r[0] + r[1]), r[0] + r[1], r[2])):  # the last that fits wins
         fits = ((F.col("host") == on) | F.col("host").endswith("." + on)) & F.col("path").startswith(under)
         name, verdict = F.when(fits, F.lit(on + under)).otherwise(name), F.when(fits, F.lit(says)).otherwise(verdict)
     return name, verdict
 
 
+def joined_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``urls`` (host, path) with ``rule`` and ``__says``, by a rule table (host, path, verdict) of any length.
+
+    A url meets rules by equality alone: each suffix of its host at a dot meets the hosts of
+    rules and the lengths of their paths, and each such start of its path meets the rules
+    themselves.  So a url costs as many rows as its host has labels times the path lengths of
+    those hosts' rules, however many these are.  Equal urls are judged once; of equal rules
+    the greatest verdict counts.
+    """
+    held = rules.select(F.col("host").alias("__on"), F.col("path").alias("__under"), F.col("verdict").alias("__v")).groupBy("__on", "__under").agg(F.max("__v").alias("__v"))
+    held = written(held, "url-rules")
+    lengths = held.select("__on", F.length("__under").alias("__n")).distinct()
+    some = written(urls.select("host", "path").distinct(), "url-distinct")
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    asked = some.select("host", "path", F.explode(suffixes).alias("__on")).join(lengths, "__on").where(F.length("path") >= F.col("__n"))
+    fits = asked.withColumn("__under", F.expr("substring(path, 1, __n)")).join(held, ["__on", "__under"])
+    name = F.concat("__on", "__under")
+    best = fits.groupBy("host", "path").agg(F.max(F.struct(F.length(name), name.alias("rule"), F.col("__v").alias("says"))).alias("b"))
+    best = written(best.select("host", "path", "b.rule", F.col("b.says").alias("__says")), "url-ruled")
+    return urls.join(best, ["host", "path"], "left")
+
+
 def _strength(counts: DataFrame, n: str, k: str) -> DataFrame:
     """One row: the prior strength of a level, by moments over groups of at least two outcomes."""
     held = counts.where(F.col(n) >= 2)
@@ -97,10 +120,11 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     return hosts.join(shrunk, ["domain", "suffix"]).select("host", F.col("n").alias("seen"), F.col("k").alias("bad"), rate.alias("rate"), F.greatest(F.lit(0.0), rate - Z * F.sqrt(rate * (1 - rate) / (total + 1))).alias("lower"))
 
 
-def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] = RULES, limit: float = BAD_RATE) -> DataFrame:
+def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, str]] | DataFrame = RULES, limit: float = BAD_RATE) -> DataFrame:
     """``page_id, host, path, rule, verdict`` for every page.
 
-    ``outcomes`` has (page_id, bad).  A page that no rule fits is blocked where its host's
+    ``rules`` is a list, or a table (host, path, verdict) of any length, as which a list of more
+    than ``MAX_INLINE_RULES`` is taken too.  ``outcomes`` has (page_id, bad).  A page that no rule fits is blocked where its host's
     lower bound exceeds ``limit``, and allowed otherwise; hosts without labelled pages are
     judged by their domain's, suffix's and the global outcomes.  An empty host (a null url, or
     one without ``://``) has no reputation and is allowed.  Repeated pages are judged one by
@@ -109,8 +133,13 @@ def judged(pages: DataFrame, outcomes: DataFrame, rules: list[tuple[str, str, st
     urls = parsed(pages)
     known = outcomes.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.max("bad").cast("bigint").alias("bad"))
     bad_hosts = reputation(urls.where("host <> ''").join(known, "page_id", "left").select("host", "bad")).where(F.round("lower", 9) > limit).select("host", F.lit(True).alias("__bad"))
-    name, verdict = ruled(rules)
-    by_rule = urls.withColumn("rule", name).withColumn("__says", verdict)
+    if isinstance(rules, list) and len(rules) > MAX_INLINE_RULES:
+        rules = pages.sparkSession.createDataFrame(rules, "host string, path string, verdict string")
+    if isinstance(rules, list):
+        name, verdict = ruled(rules)
+        by_rule = urls.withColumn("rule", name).withColumn("__says", verdict)
+    else:
+        by_rule = joined_rules(urls, rules)
     out = by_rule.join(bad_hosts, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("__says", F.when(F.col("__bad"), F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))
 
