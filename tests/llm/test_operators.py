@@ -522,6 +522,26 @@ def test_licences_are_named_wherever_they_stand(spark):
     assert sorted(got) == sorted([(i, 0, []) for i in range(60)] + [(i, *p[1:]) for i, p in planted.items()] + [(106, *planted[106][1:])])
 
 
+def test_neighbouring_licences_are_told_apart(spark):
+    """Notices that differ in a word or two, denials, every template verbatim beside few other texts, odd tables."""
+    r = random.Random(28)
+    cc = "This work is licensed under a Creative Commons Attribution{} 4.0 International License."
+    said = [
+        (licenses.TEMPLATES[[f for f, _ in licenses.TEMPLATES].index("LGPL-2.1")][1], ["LGPL-2.1"]), (cc.format("-ShareAlike"), ["CC-BY-SA"]), (cc.format("-NoDerivatives"), ["CC-BY-ND"]), (cc.format("-NonCommercial"), ["CC-BY-NC"]), (cc.format(""), ["CC-BY"]),
+        ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA"]), ("Licensed under CC BY-ND 4.0.", ["CC-BY-ND"]), (cc.format("-NonCommercial-ShareAlike"), []), ("Licensed under CC BY-NC-SA 4.0.", []), ("This work is not released under the MIT License.", []), ("It is not licensed under the Apache License, Version 2.0.", []),
+        ("This work is licensed under the GNU General Public License, version 2.", []),
+    ]
+    said += [(text, [family]) for family, text in licenses.TEMPLATES]
+    docs = [(i, f"{prose(r, 12)}\n\n{text}\n\n{prose(r, 12)}") for i, (text, _) in enumerate(said)] + [(100 + i, prose(r, 60)) for i in range(30)]
+    got = {x.doc_id: x.families for x in licenses.scanned(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {i: got[i] for i in range(len(said))} == {i: want for i, (_, want) in enumerate(said)}
+    assert not any(got[100 + i] for i in range(30))
+
+
+def test_licence_scan_of_empty_tables(spark):
+    assert licenses.scanned(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
 def test_licence_windows_equal_a_plain_classifier(spark):
     """One step of the fit and the scores against plain arithmetic."""
     r = random.Random(18)

@@ -13,7 +13,10 @@ overlapping windows of its words, of the ``SCALES`` that template pieces fit in.
    place for each bucket that has weights, and the weights of each place.
 3. Windows around a cue, a word that a confirmed notice cannot lack, are scored.  A window's
    best family is confirmed if ``OVERLAP`` of the words of one of its pieces and ``IN_ORDER``
-   of their neighbouring pairs are in the window.
+   of their neighbouring pairs are in the window, and none of the pairs that tell other
+   families (``OTHERS``) or deny the licence (``DENIALS``).  A window that has all words of a
+   piece and all its pairs is sure whatever its probability, so a verbatim notice is found
+   beside any other texts.
 4. The least probability that a family needs is calibrated: a quantile of the best
    probabilities of all paragraphs that have cues but no confirmed window.
 
@@ -41,6 +44,7 @@ SCALES = (12, 32, 96)
 CONTEXTS = 4
 QUANTILE, LEAST, MOST = 0.99, 0.5, 0.9
 UNKNOWN = "unknown"
+VERBATIM = min(1 / OVERLAP, 1 / IN_ORDER) - 1e-6
 
 # Notices of licence families, as they are published.
 TEMPLATES = [
@@ -55,12 +59,17 @@ TEMPLATES = [
     ("CC-BY", "Licensed under CC BY 4.0."),
     ("CC-BY", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-ND", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-ND", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-SA", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0", "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."),
     ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so'),
     ("MIT", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
@@ -68,6 +77,20 @@ TEMPLATES = [
     ("MPL-2.0", "If a copy of the MPL was not distributed with this file, You can obtain one at"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
+
+# Neighbouring words that tell a family's notices from those of others that differ in a word or two; a window that has one of them isn't the family's.
+OTHERS = {
+    "CC-BY": ["by sa", "by nd", "by nc", "attribution sharealike", "attribution noderivatives", "attribution noncommercial"],
+    "CC-BY-NC": ["by sa", "by nd", "nc sa", "nc nd", "attribution sharealike", "attribution noderivatives", "noncommercial sharealike", "noncommercial noderivatives"],
+    "CC-BY-ND": ["by sa", "by nc", "attribution sharealike", "attribution noncommercial"],
+    "CC-BY-SA": ["by nd", "by nc", "attribution noderivatives", "attribution noncommercial"],
+    "AGPL-3.0": ["gnu general", "lesser general"],
+    "GPL-2.0": ["lesser general", "library general", "affero general", "version 3"],
+    "GPL-3.0": ["lesser general", "library general", "affero general", "version 2"],
+    "LGPL-2.1": ["gnu general", "affero general", "version 3"],
+}
+# Neighbouring words by which a notice denies its licence.
+DENIALS = ["not released", "not licensed", "never released", "never licensed"]
 FAMILIES = [*sorted({f for f, _ in TEMPLATES}), UNKNOWN]
 
 
@@ -125,7 +148,7 @@ def _list(values: list[str]) -> Column:
 
 
 def _overlap(words: Column, pairs: Column, family: Column | None = None) -> Column:
-    """The largest share, of words and pairs alike, that a window has of a piece (of a family)."""
+    """The largest share, of words and pairs alike, that a window has of a piece (of a family); ``VERBATIM`` is all of it."""
     shares = []
     for f, piece in _pieces():
         kinds, two = sorted(set(piece)), sorted({f"{a} {b}" for a, b in zip(piece, piece[1:])})  # noqa: B905
@@ -216,7 +239,7 @@ def train(documents: DataFrame) -> DataFrame:
 
 
 def _scored(documents: DataFrame, model: DataFrame) -> DataFrame:
-    """(a, b, at, family, p, sure) of every cued window; a and b name the row, ``at`` its paragraph."""
+    """(a, b, at, family, p, sure, verbatim) of every cued window; a and b name the row, ``at`` its paragraph."""
     held = documents.where(_holds(F.lower("text"))).select(*_names(), F.posexplode(_paragraphs(F.col("text"))).alias("at", "paragraph"))
     held = held.where(_holds(F.lower("paragraph"))).select("a", "b", "at", _words(F.col("paragraph")).alias("words"))
     cued = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(_list(cues()), w), i)), lambda i: i.isNotNull())
@@ -234,7 +257,10 @@ def _scored(documents: DataFrame, model: DataFrame) -> DataFrame:
     each = _with_p(each, F.transform(_sums(places, F.col("w")), lambda z: z / F.sqrt(F.size("f"))))
     best = F.array_position("p", F.array_max("p")).cast("int") - 1
     each = each.select("a", "b", "at", "words", "pairs", F.array(*map(F.lit, FAMILIES))[best].alias("family"), F.array_max("p").alias("p"))
-    return each.select("a", "b", "at", "family", "p", (_overlap(F.col("words"), F.col("pairs"), F.col("family")) >= 1).alias("sure"))
+    other = F.coalesce(*(F.when(F.col("family") == f, F.arrays_overlap("pairs", F.split(F.lit("|".join(pairs)), r"\|"))) for f, pairs in OTHERS.items()), F.lit(False))
+    denied = F.arrays_overlap("pairs", F.split(F.lit("|".join(DENIALS)), r"\|"))
+    each = each.withColumn("share", F.when(other | denied, 0.0).otherwise(_overlap(F.col("words"), F.col("pairs"), F.col("family"))))
+    return each.select("a", "b", "at", "family", "p", (F.col("share") >= 1).alias("sure"), (F.col("share") >= VERBATIM).alias("verbatim"))
 
 
 def _names() -> list[Column]:
@@ -264,11 +290,11 @@ def scanned(documents: DataFrame) -> DataFrame:
     """
     docs = documents.select("doc_id", "text")
     windows = _scored(docs, train(docs))
-    found = F.collect_set(F.when(F.col("sure") & (F.col("family") != UNKNOWN), F.struct("family", F.round("p", 6).alias("p"))))  # of one paragraph, FAMILIES kinds
+    found = F.collect_set(F.when(F.col("sure") & (F.col("family") != UNKNOWN), F.struct("family", F.round("p", 6).alias("p"), "verbatim")))  # of one paragraph, few kinds
     paragraphs = windows.groupBy("a", "b", "at").agg(found.alias("found"), F.max(F.when(F.col("family") != UNKNOWN, F.col("p")).otherwise(F.lit(0.0))).alias("unsure"))
     paragraphs = written(paragraphs, "license-paragraphs")
     least = _threshold(paragraphs)
-    sure = paragraphs.select("a", "b", "at", F.explode("found").alias("x")).where(F.col("x.p") >= least)
+    sure = paragraphs.select("a", "b", "at", F.explode("found").alias("x")).where((F.col("x.p") >= least) | F.col("x.verbatim"))
     per = sure.groupBy("a", "b").agg(F.countDistinct("at").alias("n"), F.array_sort(F.collect_set("x.family")).alias("families"), F.max(F.struct("x.p", "x.family")).alias("best"))
     rows = docs.select("doc_id", *_names(), F.size(_paragraphs(F.col("text"))).cast("bigint").alias("n_paragraphs"))
     out = rows.join(per, ["a", "b"], "left")
