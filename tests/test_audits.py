@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from veldspar.functions import model
 from veldspar.operators import audits, filters, ranking
 from veldspar.sources import files
 
@@ -103,3 +104,26 @@ def test_pretty_arrays_and_whole_reports(spark, tmp_path):
     assert files.json_array(spark, str(tmp_path / "absent.json"), "a int", absent_ok=True).count() == 0
     with pytest.raises(ValueError, match="1500"):
         files.markdown(rows, [F.col("id")], most=1000)
+
+
+def test_all_outputs_of_a_batch(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b", None), (1, None, 0.5)], "id int, name string, score double")
+    files.write_batch(str(tmp_path / "out"), "Batch", {"enriched": (rows, ["name", "id", "gone"])}, {"candidates": rows}, {"All rows": (rows, [F.col("id")])})
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "enriched.csv")).columns == ["name", "id", "gone"]
+    assert spark.read.json(str(tmp_path / "out" / "candidates.json")).count() == 2
+    assert json.loads(spark.read.text(str(tmp_path / "out" / "report" / "All_rows.json"), wholetext=True).first().value)[0] == {"id": 1, "name": None, "score": 0.5}
+    assert "## All rows" in spark.read.text(str(tmp_path / "out" / "report.md"), wholetext=True).first().value
+
+
+def test_classifiers_share_their_features(spark):
+    texts = model.generated(spark)
+    models = model.trained_all(texts.where("split = 'train'"), ["fuel_type", "transmission"])
+    rows = model.predicted_all(models, texts.where("split = 'test'")).collect()
+    assert all(sum(r[f"guess_{t}"] == r[t] for r in rows) > 0.9 * len(rows) > 30 for t in ("fuel_type", "transmission"))
+    alone = {r.query: r.g for r in model.predicted(models["fuel_type"], texts.where("split = 'test'"), "g").collect()}
+    assert all(alone[r.query] == r.guess_fuel_type for r in rows)
+
+
+def test_one_hot_features(spark):
+    got = [r.x.asDict() for r in spark.createDataFrame([("abs",), (None,)], "f string").select(model.one_hot(F.col("f")).alias("x")).collect()]
+    assert got == [{n: n == "abs" for n in model.FEATURES}, dict.fromkeys(model.FEATURES, False)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TARGETS = ["body_type", "fuel_type", "transmission", "use_case"]
@@ -16,6 +16,15 @@ VALUES = {"use": ["family", "city", "highway", "budget", "premium"], "body": ["s
 _LABEL = {"body_type": "body", "fuel_type": "fuel", "transmission": "gear", "use_case": "use"}
 
 
+# The features that a generated text may ask for.
+FEATURES = ["sunroof", "airbags", "abs", "cruise_control", "android_auto", "apple_carplay"]
+
+
+def one_hot(feature: Column, names: list[str] = FEATURES) -> Column:
+    """A flag for each feature, true for the one that a text was generated with; all false without one."""
+    return F.struct(*(F.coalesce(feature == n, F.lit(False)).alias(n) for n in names))
+
+
 def generated(spark: SparkSession, rows: int = 400, seed: int = 42) -> DataFrame:
     """(query, labels, split): distinct texts of all templates and values, in a hashed order; what a
     text does not say is ``unknown``, and a fifth is for tests."""

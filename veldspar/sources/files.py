@@ -85,3 +85,16 @@ def write_markdown(sections: dict[str, tuple[DataFrame, list[Column]]], title: s
     parts = [f"# {title}\n", *(f"## {name}\n\n{markdown(rows, order)}" for name, (rows, order) in sections.items())]
     spark = next(iter(sections.values()))[0].sparkSession
     spark.createDataFrame([("\n".join(parts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_batch(folder: str, title: str, tables: dict[str, tuple[DataFrame, list[str]]], lines: dict[str, DataFrame], sections: dict[str, tuple[DataFrame, list[Column]]]) -> None:
+    """All outputs of an enrichment batch under one folder: CSV tables of fixed columns
+    (enriched records, dispositions, overlaps), JSON lines (candidates, manifests, reviews) and
+    the report, as a page and as JSON arrays of its sections."""
+    for name, (rows, columns) in tables.items():
+        write_csv(rows, f"{folder}/{name}.csv", columns)
+    for name, rows in lines.items():
+        write_json(rows, f"{folder}/{name}.json")
+    for name, (rows, order) in sections.items():
+        write_json_array(rows, order, f"{folder}/report/{name.replace(' ', '_')}.json")
+    write_markdown(sections, title, f"{folder}/report.md")
