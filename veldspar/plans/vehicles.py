@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veldspar.functions import addresses
+from veldspar.functions import addresses, intent
 from veldspar.operators import build, extraction, failures, records, registry
 from veldspar.plans.registry import registered
 from veldspar.session import table
@@ -206,3 +206,65 @@ def conflict_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 4 > 0, F.col("l_quantity")).alias("value_num"), F.when(n % 3 == 0, "MODEL_LEVEL").when(n % 3 == 1, "VARIANT_LEVEL").alias("scope"),
     )
     return records.conflict_ids(rows, ["l_partkey", "l_suppkey"], "seq")
+
+
+# Requests put together from an order's columns: 7 * 6 * 5 * 4 * 5 * 4 phrases, with numbers.
+_PHRASES = [
+    ["SUV", "sporty car", "Pick-Up", "suvs", "MUV or sedan", "convertible", ""], ["diesel", "EV", "gasoline hybrid", "evening drive", "CNG/petrol", ""], ["automatic", "manual", "AMT or manual", "cvt", ""],
+    ["for my elderly parents", "luxury family car", "daily use", ""], ["with sun-roof and ABS", "panoramic roof, cooled seats", "Apple CarPlay", "airbag", ""], ["Tata or Land Rover", "MARUTI", "mgr", ""],
+]
+_AMOUNTS = ["{a} to {b} lakh", "under {b} crore", "above {a} cr", "{a} to {b} kmpl", "at least {a} kmpl", "below {b} lakhs {a}-seater", "good mileage", "for a large family", "max {b}"]
+
+
+def _asked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    at = [k, c, k + c, F.floor(k / 7), F.floor(c / 6), F.floor((k + c) / 5)]
+    said = [F.array(*map(F.lit, words))[(on % len(words)).cast("int")] for on, words in zip(at, _PHRASES, strict=True)]
+    amount = F.array(*map(F.lit, _AMOUNTS))[(F.floor(c / 3) % len(_AMOUNTS)).cast("int")]
+    amount = F.replace(F.replace(amount, F.lit("{a}"), (3 + k % 9).cast("string")), F.lit("{b}"), (12 + c % 17).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(F.filter(F.array(*said[:3], amount, *said[3:]), lambda w: w != ""), " ").alias("query"))
+
+
+def _sql_list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _one_of(words: list[str], whole: bool = True) -> str:
+    """SQL: whether the lower-case text ``q`` has one of some words, as words or as parts."""
+    said = "|".join(w.replace("-", "\\-") for w in words)
+    return f"regexp_matches(q, '(^|[^a-z0-9_])({said})($|[^a-z0-9_])')" if whole else f"regexp_matches(q, '{said}')"
+
+
+def _found(pattern: str, group: int) -> str:
+    return f"nullif(regexp_extract(q, '{pattern}', {group}), '')"
+
+
+def _money(pattern: str, number: int, unit: int) -> str:
+    return f"CAST({_found(pattern, number)} AS BIGINT) * CASE WHEN {_found(pattern, unit)} IN ('cr', 'crore') THEN 10000000 ELSE 100000 END"
+
+
+_AT = ["k", "c", "k + c", "k // 7", "c // 6", "(k + c) // 5"]
+_TOLD = [f"{_sql_list(words)}[({at}) % {len(words)} + 1]" for at, words in zip(_AT, _PHRASES, strict=True)]
+_AMOUNT = f"replace(replace({_sql_list(_AMOUNTS)}[(c // 3) % {len(_AMOUNTS)} + 1], '{{a}}', CAST(3 + k % 9 AS VARCHAR)), '{{b}}', CAST(12 + c % 17 AS VARCHAR))"
+_SPAN, _CAP, _FLOOR = r"([0-9]+)\s*to\s*([0-9]+)\s*(lakhs|lakh|crore|cr)?", r"(?:under|below|less than|max|maximum|upto|up to)\s*([0-9]+)\s*(lakhs|lakh|crore|cr)?", r"(?:above|over|more than|min|minimum)\s*([0-9]+)\s*(lakhs|lakh|crore|cr)?"
+_KM_SPAN, _KM_LEAST, _KM_MOST = r"([0-9]+)\s*to\s*([0-9]+)\s*kmpl", r"(?:above|more than|at least|min|minimum)\s*([0-9]+)\s*kmpl", r"(?:under|below|less than|max|maximum)\s*([0-9]+)\s*kmpl"
+_AUTO, _MANUAL = _one_of(["automatic", "amt", "cvt", "dct", "auto"]), _one_of(["manual"])
+
+
+def _case(classes: list[tuple[str, list[str]]], whole: bool = True, otherwise: str = "NULL") -> str:
+    return "CASE " + " ".join(f"WHEN {_one_of(words, whole)} THEN '{name}'" for name, words in classes) + f" ELSE {otherwise} END"
+
+
+@query(
+    f"""WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders), t AS (SELECT k AS o_orderkey, lower(array_to_string(list_filter([{', '.join([*_TOLD[:3], _AMOUNT, *_TOLD[3:]])}], lambda x: x <> ''), ' ')) AS q FROM o)
+SELECT o_orderkey, CASE WHEN {_found(_SPAN, 1)} IS NOT NULL THEN {_money(_SPAN, 1, 3)} WHEN {_found(_CAP, 1)} IS NULL THEN {_money(_FLOOR, 1, 2)} END AS price_min, CASE WHEN {_found(_SPAN, 1)} IS NOT NULL THEN {_money(_SPAN, 2, 3)} ELSE {_money(_CAP, 1, 2)} END AS price_max,
+  coalesce(CAST({_found('([0-9]+)[- ]?seater', 1)} AS INTEGER), CASE WHEN {_one_of(['large family', 'big family'], False)} THEN 7 END) AS seats, {_case(intent.BODIES)} AS body_type, {_case(intent.FUELS)} AS fuel_type,
+  CASE WHEN {_AUTO} AND NOT {_MANUAL} THEN 'automatic' WHEN {_MANUAL} AND NOT {_AUTO} THEN 'manual' END AS transmission, {_case(intent.USES, False, "'general'")} AS use_case,
+  CASE WHEN {_found(_KM_SPAN, 1)} IS NOT NULL THEN {_found(_KM_SPAN, 1)}::DOUBLE WHEN {_found(_KM_LEAST, 1)} IS NOT NULL THEN {_found(_KM_LEAST, 1)}::DOUBLE WHEN {_found(_KM_MOST, 1)} IS NOT NULL THEN 0.0::DOUBLE WHEN {_one_of(['good mileage', 'fuel efficient', 'high mileage'], False)} THEN 18.0::DOUBLE END AS mileage_min,
+  CASE WHEN {_found(_KM_SPAN, 1)} IS NOT NULL THEN {_found(_KM_SPAN, 2)}::DOUBLE WHEN {_found(_KM_LEAST, 1)} IS NULL THEN {_found(_KM_MOST, 1)}::DOUBLE END AS mileage_max,
+  array_to_string(list_filter([{', '.join(f"CASE WHEN {_one_of([w])} THEN '{name}' END" for w, name in intent.MAKES)}], lambda x: x IS NOT NULL), ',') AS makes, array_to_string(list_filter([{', '.join(f"CASE WHEN {_one_of(words)} THEN '{name}' END" for name, words in intent.FEATURES)}], lambda x: x IS NOT NULL), ',') AS features FROM t"""
+)
+def intent_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every part of the intent of thousands of different request texts."""
+    got = intent.parsed(_asked_texts(spark, sf_dir))
+    return got.select("o_orderkey", "price_min", "price_max", "seats", "body_type", "fuel_type", "transmission", "use_case", "mileage_min", "mileage_max", F.array_join("makes", ",").alias("makes"), F.array_join("features", ",").alias("features"))
