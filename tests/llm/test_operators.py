@@ -493,6 +493,35 @@ def test_clashing_columns_keep_their_values(spark):
     assert mixing.mixed(docs).count() == 9
 
 
+def test_the_splitting_tree_keeps_quotas(spark):
+    """Exact quotas of each source, halves at each node, draws around their mean, reruns that agree."""
+    held = {"sa": 37, "sb": 5, "sc": 1, "z": 400}
+    quotas = spark.createDataFrame(list(held.items()), "__key string, quota long")
+    means = []
+    for seed in range(8):
+        got = [tuple(x) for x in mixing.split_quotas(quotas, 8, seed).collect()]
+        assert len(got) == 32 and all(sum(q for _, k, q in got if k == key) == n for key, n in held.items())
+        totals = [sum(q for s, _, q in got if s == shard) for shard in range(8)]
+        assert max(totals) - min(totals) <= 1 and min(q for *_, q in got) >= 0
+        means += [q for _, k, q in got if k == "sa"]
+    assert len(set(means)) > 5 and abs(np.var(means) - 37 / 8 * 7 / 8 * 406 / 442) < 2.5  # a multivariate hypergeometric draw's variance
+    again = mixing.split_quotas(quotas, 8, 3).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, mixing.split_quotas(quotas, 8, 3).collect()))
+
+
+def test_shards_draw_disjoint_blocks_by_their_quotas(spark):
+    docs = spark.createDataFrame([(i, "word " * (1 + i % 7), f"s{i % 3}") for i in range(300)], "doc_id long, text string, source string")
+    sized = mixing._sized(docs, 7)
+    sources, blocks = mixing.block_plan(sized, 8, 7)
+    drawn = [(x["__key"], x.block, s) for x in blocks.collect() for s in x.shards]
+    per = Counter(k for k, *_ in drawn)
+    quotas = spark.createDataFrame(list(per.items()), "__key string, quota long")
+    want = {(x["__key"], x.shard): x.quota for x in mixing.split_quotas(quotas, 8, 7).collect() if x.quota}
+    assert Counter((k, s) for k, _, s in drawn) == want
+    passes = {x["__key"]: x.passes for x in sources.collect()}
+    assert all(passes[k] <= n <= passes[k] + 1 for (k, _), n in Counter((k, b) for k, b, _ in drawn).items())
+
+
 def test_the_mix_draws_what_it_plans(spark):
     docs = spark.createDataFrame([(i if i % 9 else None, "w " * (i % 40 + 1), "abc"[i % 3]) for i in range(600)], "doc_id long, text string, source string")
     plan = Counter(x.doc_id for x in mixing.mixed(docs).collect() for _ in x.shards)
