@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veldspar.functions import model
-from veldspar.operators import audits, filters, ranking
+from veldspar.operators import audits, filters, ranking, rules
 from veldspar.sources import files
 
 
@@ -127,3 +127,9 @@ def test_classifiers_share_their_features(spark):
 def test_one_hot_features(spark):
     got = [r.x.asDict() for r in spark.createDataFrame([("abs",), (None,)], "f string").select(model.one_hot(F.col("f")).alias("x")).collect()]
     assert got == [{n: n == "abs" for n in model.FEATURES}, dict.fromkeys(model.FEATURES, False)]
+
+
+def test_reasons_of_unfilled_cells(spark):
+    rows = spark.createDataFrame([("kerb_weight_kg", None), ("boot_space_litres", "CNG"), ("fuel_tank_capacity_litres", "Electric"), ("boot_space_litres", "petrol"), ("airbags", None)], "f string, u string")
+    got = [r.x for r in rows.select(rules.unresolved_reason(F.col("f"), F.col("u")).alias("x")).collect()]
+    assert got == ["FIELD_NOT_PUBLISHED", "UNSAFE_TO_INHERIT", "NOT_APPLICABLE", "SOURCE_UNAVAILABLE", "SOURCE_UNAVAILABLE"]

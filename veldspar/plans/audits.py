@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.functions import intent
-from veldspar.operators import audits, filters, ranking, records, rules
+from veldspar.operators import audits, build, filters, ranking, records, rules
 from veldspar.plans.registry import registered
 from veldspar.session import shared_dir, table
 
@@ -217,3 +217,20 @@ def record_helpers(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = rows.withColumn("record_id", rules.identified(rows, ["p_brand", "t"]))
     errors = rules.candidate_errors(k % 2 == 0, F.when(k % 6 == 0, "MODEL_LEVEL"), F.col("p_size") / 40)
     return filters.set_if_filled(named, "p_type", F.col("new")).select("p_partkey", "record_id", "p_type", F.array_join(errors, "; ").alias("errors"))
+
+
+@query(
+    """WITH c AS (SELECT c_custkey AS k, ['petrol', 'CNG', 'electric', NULL][c_nationkey % 4 + 1] AS fuel, field, CASE WHEN (c_custkey + length(field)) % 3 = 0 THEN 'v' END AS value, (c_custkey + length(field)) % 5 = 0 AS found
+  FROM customer, (VALUES ('kerb_weight_kg'), ('boot_space_litres'), ('fuel_tank_capacity_litres'), ('engine_cc'), ('battery_capacity_kwh')) f(field))
+SELECT k AS c_custkey, field, CASE WHEN field = 'kerb_weight_kg' THEN 'FIELD_NOT_PUBLISHED' WHEN field IN ('boot_space_litres', 'fuel_tank_capacity_litres') AND fuel = 'CNG' THEN 'UNSAFE_TO_INHERIT' ELSE 'SOURCE_UNAVAILABLE' END AS null_reason
+FROM c WHERE value IS NULL AND NOT found AND NOT (field IN ('engine_cc', 'fuel_tank_capacity_litres') AND coalesce(fuel, '') = 'electric') AND NOT (field = 'battery_capacity_kwh' AND coalesce(fuel, '') <> 'electric')"""
+)
+def unfilled_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Why cells are still empty after a merge that fills a fifth of them; cells that don't apply aren't told."""
+    k = F.col("c_custkey")
+    fuel = F.array(F.lit("petrol"), F.lit("CNG"), F.lit("electric"), F.lit(None))[(F.col("c_nationkey") % 4).cast("int")]
+    names = ["kerb_weight_kg", "boot_space_litres", "fuel_tank_capacity_litres", "engine_cc", "battery_capacity_kwh"]
+    before = table(spark, sf_dir, "customer").select("c_custkey", fuel.alias("fuel"), F.explode(F.array(*map(F.lit, names))).alias("field"))
+    before = before.withColumn("value", F.when((k + F.length("field")) % 3 == 0, "v"))
+    after = before.withColumn("value", F.coalesce("value", F.when((k + F.length("field")) % 5 == 0, "found")))
+    return build.still_missing(before, after, "c_custkey").select("c_custkey", "field", "null_reason")

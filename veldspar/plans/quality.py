@@ -312,14 +312,14 @@ def field_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("p_partkey", records.filled_share(rows, ["make", "model", "mileage_arai_kmpl", "engine_cc", "abs", "kerb_weight_kg"]).alias("pct"))
 
 
-_DECISION = "q AS (SELECT l_partkey AS p_partkey, arg_max(CASE l_linenumber % 4 WHEN 0 THEN 'accept_with_nullable_fields' WHEN 1 THEN 'quarantine' WHEN 2 THEN 'reject' ELSE 'accept_after_review' END, l_orderkey * 10 + l_linenumber) AS decision FROM lineitem WHERE l_partkey % 2 = 0 GROUP BY 1)"
+_DECISION = "q AS (SELECT l_partkey AS p_partkey, arg_max(CASE WHEN l_partkey % 2 = 0 THEN CASE l_linenumber % 4 WHEN 0 THEN 'accept_with_nullable_fields' WHEN 1 THEN 'quarantine' WHEN 2 THEN 'reject' ELSE 'accept_after_review' END END, l_orderkey * 10 + l_linenumber) AS decision FROM lineitem GROUP BY 1)"
 _ROUTED = f"{_RECORD}, {_ISSUES}, {_DECISION}, o AS (SELECT t.p_partkey, decision, CASE WHEN decision = 'accept_with_nullable_fields' THEN 'nullable_usable' WHEN decision IN ('quarantine', 'reject') THEN 'excluded' WHEN status = 'recommendation_ready' THEN 'recommendation_ready' ELSE 'excluded' END AS subset FROM t LEFT JOIN q USING (p_partkey))"
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     decision = F.array(*map(F.lit, ["accept_with_nullable_fields", "quarantine", "reject", "accept_after_review"]))[n % 4]
-    said = table(spark, sf_dir, "lineitem").where("l_partkey % 2 = 0").select(F.col("l_partkey").alias("p_partkey"), decision.alias("decision"), (F.col("l_orderkey") * 10 + n).alias("seq"))
+    said = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"), F.when(F.col("l_partkey") % 2 == 0, decision).alias("decision"), (F.col("l_orderkey") * 10 + n).alias("seq"))
     rows = _records(spark, sf_dir)
     return records.routed(rows, rules.readiness(rows)[0], said, "p_partkey")
 
@@ -464,7 +464,7 @@ def pilot_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return build.pilot(rules.missing_queue(*_record_cells(spark, sf_dir)), ["CORE_REQUIRED", "HIGH_VALUE", "SPECIALIST"])
 
 
-@query(f"WITH {_ROWS} SELECT c_custkey, field, CASE WHEN field = 'x' THEN 'x' ELSE 'SOURCE_UNAVAILABLE' END AS null_reason FROM cells WHERE coalesce(value, '') = '' AND NOT (field = 'make' AND c_custkey % 2 = 0) AND NOT (fuel = 'electric' AND field = 'engine_cc' AND value IS NULL) AND NOT (fuel <> 'electric' AND field = 'battery_capacity_kwh' AND value IS NULL)")
+@query(f"WITH {_ROWS} SELECT c_custkey, field, 'SOURCE_UNAVAILABLE' AS null_reason FROM cells WHERE coalesce(value, '') = '' AND NOT (field = 'make' AND c_custkey % 2 = 0) AND NOT (fuel = 'electric' AND field = 'engine_cc' AND value IS NULL) AND NOT (fuel <> 'electric' AND field = 'battery_capacity_kwh' AND value IS NULL)")
 def missing_source_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells that were empty before a merge (which fills the make of every other record) and still are."""
     cells, _ = _record_cells(spark, sf_dir)
