@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veldspar.functions import addresses, intent
-from veldspar.operators import build, extraction, failures, records, registry
+from veldspar.operators import build, extraction, failures, records, registry, rules
 from veldspar.plans.registry import registered
 from veldspar.session import table
 
@@ -192,7 +192,7 @@ def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH c AS (SELECT l_partkey, l_suppkey, l_orderkey * 1000000 + l_partkey * 10 + l_linenumber AS seq, CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE '' END AS unit, CASE WHEN l_linenumber % 4 = 0 THEN l_quantity > 25 END AS b, CASE WHEN l_linenumber % 4 > 0 THEN l_quantity END AS n,
+    """WITH c AS (SELECT l_partkey, l_suppkey, row_number() OVER (ORDER BY l_orderkey, l_partkey, l_suppkey, l_linenumber, l_tax, l_quantity, l_extendedprice, l_shipdate, l_returnflag) AS seq, CASE WHEN l_returnflag <> 'N' THEN l_returnflag ELSE '' END AS unit, CASE WHEN l_linenumber % 4 = 0 THEN l_quantity > 25 END AS b, CASE WHEN l_linenumber % 4 > 0 THEN l_quantity END AS n,
   CASE WHEN l_linenumber % 3 = 0 THEN 'MODEL_LEVEL' WHEN l_linenumber % 3 = 1 THEN 'VARIANT_LEVEL' END AS scope FROM lineitem),
 p AS (SELECT x.l_partkey, x.l_suppkey FROM c x JOIN c y ON x.l_partkey = y.l_partkey AND x.l_suppkey = y.l_suppkey AND x.seq < y.seq
   WHERE CASE WHEN x.unit <> '' AND y.unit <> '' AND x.unit <> y.unit THEN TRUE WHEN x.b IS NOT NULL OR y.b IS NOT NULL THEN x.b IS DISTINCT FROM y.b ELSE coalesce(abs(x.n - y.n) > 0.02 * greatest(abs(x.n), abs(y.n), 1.0), FALSE) OR coalesce(x.scope = 'MODEL_LEVEL' AND y.scope = 'VARIANT_LEVEL', FALSE) END)
@@ -200,9 +200,10 @@ SELECT l_partkey, l_suppkey, 'SSCONFLICT-' || l_partkey || '-' || l_suppkey || '
 )
 def conflict_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The id that stays of a cell's numbered conflicts."""
-    n, s = F.col("l_linenumber"), F.col("l_orderkey") * 1000000 + F.col("l_partkey") * 10 + F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").select(
-        "l_partkey", "l_suppkey", s.alias("seq"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise("").alias("unit"), F.when(n % 4 == 0, F.col("l_quantity") > 25).alias("value_bool"),
+    n = F.col("l_linenumber")
+    order = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_tax", "l_quantity", "l_extendedprice", "l_shipdate", "l_returnflag"]
+    rows = rules.numbered(table(spark, sf_dir, "lineitem"), [F.col(c) for c in order], "", 12).select(
+        "l_partkey", "l_suppkey", F.col("candidate_id").cast("bigint").alias("seq"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).otherwise("").alias("unit"), F.when(n % 4 == 0, F.col("l_quantity") > 25).alias("value_bool"),
         F.when(n % 4 > 0, F.col("l_quantity")).alias("value_num"), F.when(n % 3 == 0, "MODEL_LEVEL").when(n % 3 == 1, "VARIANT_LEVEL").alias("scope"),
     )
     return records.conflict_ids(rows, ["l_partkey", "l_suppkey"], "seq")
