@@ -53,12 +53,23 @@ def fit(texts: pa.Array, labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray,
         rows, ids = features(W.split(texts.slice(a, 256)))
         parts.append(np.unique((rows.astype(np.uint64) + np.uint64(a)) << np.uint64(BITS) | ids))
     pairs = np.concatenate([*parts, np.zeros(0, np.uint64)])
-    kept, at, count = np.unique(pairs & _MASK, return_inverse=True, return_counts=True)
-    good = count >= LEAST_DOCS
-    use = good[at]
-    place = (np.cumsum(good) - 1)[at[use]]
-    kept, dim = kept[good], int(good.sum())
+    del parts
+    ids = (pairs & _MASK).astype(np.uint32)
+    listed = np.sort(ids)  # sorted alone, and looked up below: an inverse of all pairs would take several times the room
+    first = np.flatnonzero(np.r_[True, listed[1:] != listed[:-1]]) if len(listed) else np.zeros(0, np.int64)
+    kept = listed[first][np.diff(first, append=len(listed)) >= LEAST_DOCS]
+    dim = len(kept)
+    del listed, first
+    use, place = np.zeros(len(ids), bool), []
+    for a in range(0, len(ids) if dim else 0, 1 << 20):
+        some = ids[a : a + (1 << 20)]
+        at = np.minimum(np.searchsorted(kept, some), dim - 1).astype(np.int32)
+        use[a : a + (1 << 20)] = kept[at] == some
+        place.append(at[use[a : a + (1 << 20)]])
+    place = np.concatenate([*place, np.zeros(0, np.int32)])
     doc = (pairs[use] >> np.uint64(BITS)).astype(np.int64)
+    del pairs, ids, use
+    kept = kept.astype(np.uint64)
     bounds = np.searchsorted(doc, np.arange(n + 1))
     z, g2 = np.zeros(dim + 1), np.zeros(dim + 1)  # the last is the bias
     rng = np.random.default_rng(seed)
