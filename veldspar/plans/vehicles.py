@@ -53,6 +53,7 @@ _ON = {  # of pages with a state: SQL of what the rules of the fields give; fiel
 }
 _KIND = {"text": "VARCHAR", "number": "DOUBLE", "int": "BIGINT", "flag": "BOOLEAN", "hours": "DOUBLE", "minutes": "BIGINT", "panoramic": "BOOLEAN"}
 _FIELD_SQL = {f.name: f"CASE WHEN there THEN {_ON[f.name]} END" if f.name in _ON else f"CAST(NULL AS {_KIND[f.parse]})" for f in extraction.FIELDS}
+_FIELD_SQL |= {f.name: f"CAST({_FIELD_SQL[f.name]} AS VARCHAR)" for f in extraction.FIELDS if _KIND.get(f.parse) == "BOOLEAN"}  # three states as texts
 _FIRST_SQL = {
     "source": "'pages'", "source_url": "'https://pages.example/' || k",
     "make": "CASE WHEN there THEN CASE WHEN k % 3 > 0 THEN p_type ELSE p_type || ' trim' END END", "model": "CASE WHEN there THEN p_brand END", "variant": "CASE WHEN there THEN CASE WHEN k % 4 > 0 THEN p_name WHEN k % 8 > 0 THEN 'base' END END",
@@ -69,7 +70,8 @@ SELECT * EXCLUDE (full_, there), CASE WHEN NOT full_ THEN 'page is empty' WHEN p
 )
 def page_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All fields of a record from raw pages: fallbacks, overrides, and pages that can't be read as rows with an error."""
-    return extraction.page_records(_pages(spark, sf_dir), ["p_partkey"], source=F.lit("pages"), url=_said("https://pages.example/", F.col("p_partkey")))
+    out = extraction.page_records(_pages(spark, sf_dir), ["p_partkey"], source=F.lit("pages"), url=_said("https://pages.example/", F.col("p_partkey")))
+    return out.withColumns({n: F.col(n).cast("string") for n, t in out.dtypes if t == "boolean"})
 
 
 # Requests for used vehicles from orders: words, amounts and missing filters vary with the order's columns.
@@ -174,7 +176,7 @@ def gearbox_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH r AS (SELECT p_partkey, ['Swift', 'Windsor EV', 'Creta', 'Nexon'][p_partkey % 4 + 1] AS model, p_name AS variant, p_partkey % 3 AS t, p_size FROM part),
 c AS (SELECT p_partkey, 'boot_space_litres' AS field, CAST(p_size AS VARCHAR) AS value, 'brochure' AS source, 0.93 AS confidence, 'MODEL_LEVEL' AS scope FROM (SELECT r.*, s.p_size FROM (SELECT p_partkey, model FROM r) r JOIN (SELECT model, min(p_size) AS p_size FROM r GROUP BY 1) s USING (model))
 UNION ALL SELECT p_partkey, f.field, 'Yes', 'portal', 0.85, 'VARIANT_LEVEL' FROM r, (VALUES (0, 'ebd'), (1, 'rear_parking_sensors')) f(pos, field) WHERE t > 0 AND (pos = 0 OR model IN ('Swift', 'Windsor EV')))
-SELECT p_partkey, field, value, source, confidence::DOUBLE AS confidence, scope, CASE field WHEN 'boot_space_litres' THEN ['brochure', 'archive'] ELSE ['portal'] END AS sources FROM c"""
+SELECT p_partkey, field, value, source, confidence::DOUBLE AS confidence, scope, CASE field WHEN 'boot_space_litres' THEN 'brochure,archive' ELSE 'portal' END AS sources FROM c"""
 )
 def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of two registered adapters, capped at their sources' ceilings, beside the sources of each field by priority."""
@@ -188,7 +190,7 @@ def source_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     held.register(registry.Source("portal", ("ebd", "rear_parking_sensors"), "VARIANT_LEVEL", 2, 0.85, registry.OverlapAdapter(listed, "portal.example")))
     held.register(registry.Source("brochure", ("boot_space_litres",), "MODEL_LEVEL", 1, 0.93, registry.SpecAdapter(specs)))
     found = held.candidates(rows, "p_partkey", ["boot_space_litres", "ebd", "rear_parking_sensors"])
-    return held.ranked(spark, found).select("p_partkey", "field", "value", "source", "confidence", "scope", "sources")
+    return held.ranked(spark, found).select("p_partkey", "field", "value", "source", "confidence", "scope", F.array_join("sources", ",").alias("sources"))
 
 
 @query(
