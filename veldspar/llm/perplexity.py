@@ -4,14 +4,17 @@ Tokens are runs of letters and digits or runs of marks, as they are written, and
 by 64-bit hashes.  Every token of trusted text is in the vocabulary; a token outside it has
 the share of the uniform distribution that the single tokens leave it.
 
-1. Documents become token hashes in blocks of consecutive rows, written to the shared folder.
-2. Trigrams of all trusted documents (but for a share kept for calibration) are counted;
-   bigrams and single tokens get continuation counts.  Discounts come from the counts of
-   counts, order by order; each context has its sum of counts and of discounts.  All tables
-   are sharded by n-gram or context, those of single tokens too.
-3. Each block asks for its distinct trigrams, bigrams and tokens; the questions are joined
-   with the tables and the answers meet their block again, where the orders are interpolated
-   and every document's perplexity is added up.  Nothing is broadcast but a few figures.
+1. Documents become blocks of consecutive rows in the shared folder: the letters of a block's
+   distinct tokens and every token as a place among them.  Labels join by ids alone.
+2. Trusted documents (but for a share kept for calibration) send their distinct trigrams to
+   groups by the hash of the last two tokens.  There trigrams and bigrams are complete and are
+   counted: the discounts come from their counts of counts, and every token gets its
+   continuation count and its sums as a context, which each block asks for its tokens.
+3. In each of up to ``PASSES`` passes the trigrams of all documents whose middle token is in the
+   pass go to groups twice, by their first and by their last two tokens, with what trusted
+   documents counted.  A pass holds all that its trigrams need; groups split hot tokens.  The
+   answers meet their block, which adds up logarithms by document.  Rows are sorted and
+   packed arrays; shuffle files go when a pass is written, so the disk holds one pass's.
 4. A language's threshold is a quantile of the perplexities of its trusted documents that
    the model has not seen, drawn smoothly towards all languages' quantile: the fewer
    documents, the more.
@@ -21,16 +24,18 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from veldspar.llm import words as W
-from veldspar.session import written
+from veldspar.session import emptied, shuffles_freed, written
 
 BLOCK_TOKENS = 1 << 20
 BLOCK_ROWS = 1 << 16
@@ -39,18 +44,44 @@ CALIBRATION = 8
 QUANTILE = 0.995
 PRIOR = 100
 STEP = 0.001
+PASSES = 16  # at most, so that a pass's shuffles are small beside the input
+PASS = 1 << 20  # tokens that are not worth another pass
+SLOTS = 1024  # of tokens, dealt to passes by weight
+GROUP = 1 << 20  # tokens of a pass in a group, about
 
 _BYTE = np.arange(256)
 _WORD = ((_BYTE >= 48) & (_BYTE <= 57)) | ((_BYTE >= 65) & (_BYTE <= 90)) | ((_BYTE >= 97) & (_BYTE <= 122)) | (_BYTE >= 128)
 _KIND = np.where(_BYTE <= 32, 0, np.where(_WORD, 1, 2))  # space, word, marks
 
 
-def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of every token of the texts, and of each text its first token's index."""
+_FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)  # masks of the first n of eight bytes
+_LONG = 4096
+
+
+def _hashes(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The hash of each run of bytes: eight at a time, what follows ``_LONG`` as a polynomial."""
+    padded = np.append(data, np.zeros(8, np.uint8))
+    eights = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+    out, on = size.astype(np.uint64), np.arange(len(begin))
+    for i in range(0, _LONG, 8):
+        left = size[on] - i
+        out[on] = W.mix(out[on] ^ (eights[begin[on] + i] & _FIRST[np.minimum(left, 8)]))
+        on = on[left > 8]
+        if not len(on):
+            break
+    for j in on:
+        rest = data[begin[j] + _LONG : begin[j] + size[j]].astype(np.uint64) + np.uint64(1)
+        out[j] = W.mix(out[j : j + 1] ^ np.sum(rest * W.powers(len(rest)), dtype=np.uint64))[0]
+    return out
+
+
+def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token of the texts its hash, first byte and size; of each text its first token's index; the bytes."""
     data, offsets = W.utf8(column)
     kind = _KIND[data]
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        none = np.zeros(0, np.int64)
+        return none.astype(np.uint64), none, none, np.zeros(len(offsets), np.int64), data
     opens = np.empty(len(data), bool)
     opens[0] = True
     np.not_equal(kind[1:], kind[:-1], out=opens[1:])
@@ -58,226 +89,414 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     begin = np.flatnonzero(opens)
     size = np.diff(begin, append=len(data))
     real = kind[begin] > 0
-    place = np.arange(len(data)) - np.repeat(begin, size)
-    sums = np.add.reduceat((data.astype(np.uint64) + np.uint64(1)) * W.powers(int(size.max()))[place], begin)
     begin, size = begin[real], size[real]
-    return W.mix(sums[real] + size.astype(np.uint64)), np.searchsorted(begin, offsets)
+    return _hashes(data, begin, size), begin, size, np.searchsorted(begin, offsets), data
 
 
-def _packed(documents: DataFrame) -> DataFrame:
-    """``doc_id, lang, packed``: each text compressed, as less has to move to meet the labels."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
+def _pressed(*arrays: np.ndarray, level: int = 1) -> bytes:
+    """Arrays as bytes: all first bytes of numbers, then all second ones, and so on, compressed."""
+    parts = []
+    for x in arrays:
+        planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+        parts += [np.array([len(x), ord(x.dtype.char)], np.int64).tobytes(), planes.tobytes()]
+    return zstandard.ZstdCompressor(level=level).compress(b"".join(parts))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            for part in W.chunks(batch, "text"):
-                packed = [press.compress((x or "").encode()) for x in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("lang"), pa.array(packed, pa.binary())], names=["doc_id", "lang", "packed"])
 
-    return documents.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id {kind}, lang string, packed binary")
+def _opened(data: bytes) -> list[np.ndarray]:
+    """The arrays of ``_pressed``."""
+    raw, at, out = np.frombuffer(zstandard.decompress(data), np.uint8), 0, []
+    while at < len(raw):
+        n, kind = raw[at : at + 16].view(np.int64)
+        kind = np.dtype(chr(kind))
+        end = at + 16 + int(n) * kind.itemsize
+        out.append(np.ascontiguousarray(raw[at + 16 : end].reshape(kind.itemsize, int(n)).T).view(kind).reshape(int(n)))
+        at = end
+    return out
 
 
-def _blocks(packed: DataFrame) -> DataFrame:
-    """Blocks of rows: ``block, words, tokens, ends`` and the rows' own columns as a list.
+def _steps(x: np.ndarray) -> np.ndarray:
+    """Ascending numbers as differences."""
+    return np.diff(x, prepend=np.uint64(0))
 
-    ``words`` are the distinct token hashes of a block and ``tokens`` places among them.
-    """
-    kind = packed.schema["doc_id"].dataType.simpleString()
+
+def _blocks(documents: DataFrame) -> DataFrame:
+    """Blocks of rows: ``block, packed`` (see ``_Block``), the rows' ``sizes``, the tokens of each ``slot`` and the rows' own columns as a list."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
-        block, size, count, held, sizes, own = TaskContext.get().partitionId() << 24, 0, 0, [], [], []
+        block, size, count, held, own = TaskContext.get().partitionId() << 24, 0, 0, [], []
 
         def flush() -> pa.RecordBatch:
             nonlocal block, size, count
+            hashes, begin, sizes, n, data = (np.concatenate(x) for x in zip(*held, strict=True))
             rows = pa.concat_arrays(own)
-            words, at, often = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-            order = np.argsort(-often, kind="stable")  # frequent ones first: small numbers compress
+            words, first, at, often = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+            begin, sizes = begin[first], sizes[first]
+            head = np.zeros(len(words), np.uint64)
+            for i in range(4):
+                head = head << np.uint64(8) | np.where(sizes > i, data[np.minimum(begin + i, len(data) - 1)] if len(data) else 0, 0).astype(np.uint64)
+            order = np.lexsort((head, -often))  # frequent ones first: small numbers compress
             place = np.empty(len(order), np.uint32)
             place[order] = np.arange(len(order), dtype=np.uint32)
-            ends = np.cumsum(np.concatenate(sizes)).astype(np.int64)
-            fields = [pa.array([press.compress(x.tobytes())], pa.binary()) for x in (words[order], place[at])]
-            out = pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *fields, pa.array([ends.tobytes()], pa.binary()), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], names=["block", "words", "tokens", "ends", "own"])
+            begin, sizes = begin[order], sizes[order]
+            letters = data[np.repeat(begin - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())]
+            packed = _pressed(letters, sizes.astype(np.uint32), place[at], n.astype(np.uint32), level=3)
+            before = np.bincount((words % np.uint64(SLOTS)).astype(np.int64), often, SLOTS).astype(np.int64)
+            before[START % SLOTS] += len(rows)
+            fields = [pa.array([block], pa.int64()), pa.array([packed], pa.binary()), pa.array([_pressed(n.astype(np.uint32))], pa.binary()), pa.array([before.tolist()], pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)]
             block, size, count = block + 1, 0, 0
-            for x in (held, sizes, own):
-                x.clear()
-            return out
+            held.clear()
+            own.clear()
+            return pa.RecordBatch.from_arrays(fields, names=["block", "packed", "sizes", "slots", "own"])
 
+        end = 0
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                hashes, first = tokens(pa.array([zstandard.decompress(x) for x in part.column("packed").to_pylist()], pa.large_binary()))
-                held.append(hashes)
-                sizes.append(np.diff(first))
-                own.append(pa.StructArray.from_arrays([part.column(c) for c in ("doc_id", "lang", "use")], names=["doc_id", "lang", "use"]))
-                size, count = size + len(hashes), count + part.num_rows
-                if size >= BLOCK_TOKENS or count >= BLOCK_ROWS:
-                    yield flush()
+            for part in W.chunks(batch, "text"):
+                for a in range(0, part.num_rows, 256):
+                    some = part.slice(a, 256)
+                    hashes, begin, sizes, first, data = tokens(some.column("text"))
+                    end = end if held else 0
+                    held.append((hashes, begin + end, sizes, np.diff(first), data))
+                    own.append(pa.StructArray.from_arrays([some.column("doc_id"), some.column("lang")], names=["doc_id", "lang"]))
+                    end, size, count = end + len(data), size + len(hashes), count + some.num_rows
+                    if size >= BLOCK_TOKENS or count >= BLOCK_ROWS:
+                        yield flush()
         if own:
             yield flush()
 
-    return packed.select("doc_id", "lang", "use", "packed").mapInArrow(run, f"block bigint, words binary, tokens binary, ends binary, own array<struct<doc_id:{kind},lang:string,use:int>>")
+    return documents.select("doc_id", "lang", "text").mapInArrow(run, f"block bigint, packed binary, sizes binary, slots array<bigint>, own array<struct<doc_id:{kind},lang:string>>")
 
 
-def _grams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token before the last, last token, token) at every token of a block, and the texts' ends; two starts lead each text."""
-    words = np.frombuffer(zstandard.decompress(row["words"]), np.int64)
-    h = words[np.frombuffer(zstandard.decompress(row["tokens"]), np.uint32)] if len(words) else words
-    ends = np.frombuffer(row["ends"], np.int64)
-    first = np.r_[0, ends[:-1]]
-    one, two = np.r_[START, h[:-1]][: len(h)], np.r_[START, START, h[:-2]][: len(h)]
-    first = first[first < ends]
-    one[first] = START
-    two[first] = START
-    second = first + 1
-    two[second[second < len(h)]] = START
-    return two, one, h, ends
+def _marks(blocks: DataFrame, good: DataFrame) -> DataFrame:
+    """(block, marks): ``use`` of a block's rows, a compressed byte each."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        at = rows.column("at").to_numpy()
+        use = np.zeros(int(at.max()) + 1, np.uint8)
+        use[at] = rows.column("use").to_numpy()
+        return pa.table({"block": rows.column("block").slice(0, 1), "marks": pa.array([_pressed(use)], pa.binary())})
 
-_TURN = 21
+    rows = blocks.select("block", F.posexplode("own").alias("at", "o")).select("block", "at", F.col("o.doc_id").alias("doc_id"))
+    return rows.join(good, "doc_id").select("block", "at", "use").groupBy("block").applyInArrow(run, "block bigint, marks binary")
 
 
-def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The name of the n-gram ``a`` (a token or the name of a shorter n-gram) followed by the token ``b``."""
-    a = a.view(np.uint64)
-    return (a << np.uint64(_TURN) | a >> np.uint64(64 - _TURN)).view(np.int64) ^ b
+def _use(marks: bytes | None, n: int) -> np.ndarray:
+    """``use`` of all ``n`` rows of a block."""
+    found = np.zeros(0, np.uint8) if marks is None else _opened(marks)[0]
+    return np.append(found, np.zeros(n - len(found), np.uint8))
 
 
-def _pair_of(a: Column, b: Column) -> Column:
-    """The same of columns."""
-    return F.shiftleft(a, _TURN).bitwiseOR(F.shiftrightunsigned(a, 64 - _TURN)).bitwiseXOR(b)
+class _Block:
+    """A block's tokens: ``words`` are hashes, the last one START; ``two, one, last`` places among them at every token."""
 
+    def __init__(self, packed: bytes, marks: bytes | None) -> None:
+        letters, sizes, last, self.n = _opened(packed)
+        self.last, sizes = last, sizes.astype(np.int64)
+        self.words = np.append(_hashes(letters, np.cumsum(sizes) - sizes, sizes), np.uint64(START))
+        start, ends = len(self.words) - 1, np.cumsum(self.n, dtype=np.int64)
+        first = (ends - self.n)[self.n > 0]
+        self.one, self.two = np.r_[np.uint32(start), last[:-1]][: len(last)], np.r_[np.uint32([start, start]), last[:-2]][: len(last)]
+        self.one[first] = start
+        self.two[first] = start
+        second = first + 1
+        self.two[second[second < len(last)]] = start
+        self.ends = ends
+        self.use = _use(marks, len(self.n))
 
-_TAGS = {1: 0x1B873593CC9E2D51, 2: 0x38B34AE5A1E38B93, 3: 0x5BD1E9955BD1E995}  # so that all orders share a column of keys
+    def taken(self, turn: np.ndarray, wanted: int) -> np.ndarray:
+        """The tokens after one whose slot has the wanted turn."""
+        return np.flatnonzero((turn[(self.words % np.uint64(SLOTS)).astype(np.int64)] == wanted)[self.one])
 
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, "right")
 
-def _counts(blocks: DataFrame) -> DataFrame:
-    """(u, v, w, c) of the trigrams of all documents used for training."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                two, one, h, ends = _grams(r)
-                use = np.repeat(np.array([x["use"] for x in r["own"]]), np.diff(ends, prepend=0)) == 1
-                two, one, h = two[use], one[use], h[use]
-                _, at, count = np.unique(_pair(_pair(two, one), h), return_index=True, return_counts=True)
-                for a in range(0, len(at), 1 << 16):
-                    some = at[a : a + (1 << 16)]
-                    yield pa.RecordBatch.from_arrays([pa.array(two[some]), pa.array(one[some]), pa.array(h[some]), pa.array(count[a : a + (1 << 16)])], names=["u", "v", "w", "c"])
+_TURN = np.uint64(21)
+_CUT = np.uint64(24)  # beside the hash of two tokens, 40 bits tell the third
 
-    return blocks.mapInArrow(run, "u bigint, v bigint, w bigint, c bigint").groupBy("u", "v", "w").agg(F.sum("c").alias("c"))
 
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The hash of the token ``a`` followed by ``b``."""
+    return W.mix((a << _TURN | a >> np.uint64(43)) ^ b)
 
-def _discounts(counted: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of one, two and more, from counts of counts."""
-    n = {r.c: r.n for r in counted.where("c <= 4").groupBy("c").agg(F.count("*").alias("n")).collect()}  # at most 4 rows
-    if not all(n.get(c) for c in (1, 2, 3, 4)):
-        return 0.5, 0.75, 0.9
-    y = n[1] / (n[1] + 2 * n[2])
-    found = [c - (c + 1) * y * n[c + 1] / n[c] for c in (1, 2, 3)]
-    return tuple(min(max(d, 0.05), c - 0.05) for c, d in zip((1, 2, 3), found, strict=True))
 
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a run of equal rows begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for x in columns:
+        new[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(new)
 
-def _cut(c: Column, d: tuple[float, float, float]) -> Column:
-    return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
+def _spread(starts: np.ndarray, n: int) -> np.ndarray:
+    """Of each of ``n`` rows the number of its run."""
+    out = np.zeros(n, np.int64)
+    out[starts[1:]] = 1
+    return np.cumsum(out)
 
-def model(trigrams: DataFrame) -> tuple[DataFrame, list[tuple[float, float, float]], tuple[int, float, int]]:
-    """The table (key, c, whole, freed), the discounts of the three orders and (sum, freed, number) of the single tokens.
 
-    ``c`` is the (continuation) count of an n-gram; ``whole`` and ``freed`` are the sums of
-    counts and of discounts after it as a context.
-    """
-    # nothing but the start mark precedes itself, so pairs that it begins are counted as they occur
-    led = F.max(F.col("v") == START)
-    bigrams = written(trigrams.groupBy("v", "w").agg(F.when(led, F.sum("c")).otherwise(F.count("*")).alias("c")), "perplexity-bigrams")
-    singles = written(bigrams.groupBy("w").agg(F.count("*").alias("c")), "perplexity-singles")
-    d = [_discounts(x) for x in (singles, bigrams, trigrams)]
-    total = singles.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("a"), F.coalesce(F.sum(_cut(F.col("c"), d[0])), F.lit(0.0)).alias("f"), F.count("*").alias("n")).first()
+def _named(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of numbers."""
+    return W.mix(a + b * np.uint64(0x9E3779B97F4A7C15))
 
-    def keyed(counted: DataFrame, key: Column, tag: int) -> DataFrame:
-        return counted.select(key.bitwiseXOR(F.lit(_TAGS[tag])).alias("key"), "c", F.lit(0).cast("bigint").alias("whole"), F.lit(0.0).alias("freed"))
 
-    def contexts(counted: DataFrame, d: tuple[float, float, float], *context: str) -> DataFrame:
-        sums = counted.groupBy(*context).agg(F.sum("c").alias("whole"), F.sum(_cut(F.col("c"), d)).alias("freed"))
-        key = F.col(context[0]) if len(context) == 1 else _pair_of(*map(F.col, context))
-        return sums.select(key.bitwiseXOR(F.lit(_TAGS[len(context)])).alias("key"), F.lit(0).cast("bigint").alias("c"), "whole", "freed")
+def _summed(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(x, starts, dtype=x.dtype) if len(starts) else np.zeros(0, x.dtype)
 
-    three = keyed(trigrams, _pair_of(_pair_of(F.col("u"), F.col("v")), F.col("w")), 3)
-    lower = keyed(bigrams, _pair_of(F.col("v"), F.col("w")), 2).union(keyed(singles, F.col("w"), 1))
-    lower = lower.union(contexts(trigrams, d[2], "u", "v")).union(contexts(bigrams, d[1], "v"))
-    lower = lower.groupBy("key").agg(*(F.sum(c).alias(c) for c in ("c", "whole", "freed")))
-    return three.union(lower), d, (total.a, total.f, total.n)
 
+def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each of ``parts`` even ranges of hashes begins among ascending keys, and the end."""
+    return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
-def _keys(two: np.ndarray, one: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
-    """Keys of the trigram, its first and last two tokens, and its last two single tokens."""
-    before = _pair(two, one)
-    return [_pair(before, h) ^ _TAGS[3], before ^ _TAGS[2], _pair(one, h) ^ _TAGS[2], one ^ _TAGS[1], h ^ _TAGS[1]]
 
+def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    dest, block, data = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary())], names=["dest", "block", "data"])
 
-def _asked(blocks: DataFrame) -> DataFrame:
-    """(key, block): the distinct trigrams, bigrams and tokens of each block."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ROWS = "dest int, block bigint, data binary"
+
+
+def _counted(blocks: DataFrame, turn: np.ndarray, wanted: int, parts: int) -> DataFrame:
+    """(kind, word, a, b, c, d, e) of the trigrams of training documents in a pass.
+
+    Of kind 1: a token's continuation count, and as a context the sum of counts and how many
+    are one, two and more.  Of kinds 2 and 3: how many bigrams and trigrams count one to four.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                three, *lower = _keys(*_grams(r)[:3])
-                for keys in (np.unique(three), np.unique(np.concatenate(lower[:2])), np.unique(np.concatenate(lower[2:]))):
-                    for a in range(0, len(keys), 1 << 16):
-                        part = keys[a : a + (1 << 16)]
-                        yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), r["block"]))], names=["key", "block"])
+                b = _Block(r["packed"], r["marks"])
+                at = b.taken(turn, wanted)
+                at = at[b.use[b.rows(at)] == 1]
+                u, v, w = (b.words[x[at]] for x in (b.two, b.one, b.last))
+                key, u = _pair(v, w), u >> _CUT
+                order = np.lexsort((u, key))
+                key, u, v, w = (x[order] for x in (key, u, v, w))
+                three = _runs(key, u)
+                count = np.diff(three, append=len(key)).astype(np.uint32)
+                key, u, v, w = (x[three] for x in (key, u, v, w))
+                two = _runs(key)
+                many = np.diff(two, append=len(key)).astype(np.uint32)
+                low, high = _bounds(key[two], parts), np.append(two, len(key))
+                rows = []
+                for s in range(parts):
+                    a, z = low[s], low[s + 1]
+                    if a < z:
+                        some = slice(high[a], high[z])
+                        rows.append((s, r["block"], _pressed(v[two[a:z]], w[two[a:z]], many[a:z], u[some], count[some])))
+                if rows:
+                    yield _batch(rows)
+
+    def count(rows: pa.Table) -> pa.Table:
+        v, w, many, u, c = (np.concatenate(x) for x in zip(*(_opened(x) for x in rows.column("data").to_pylist()), strict=True))
+        v, w = np.repeat(v, many), np.repeat(w, many)
+        key = _pair(v, w)
+        name = _named(key, u)
+        order = np.argsort(name)
+        at = _runs(name[order])
+        c3, order = _summed(c[order].astype(np.int64), at), order[at]
+        key, v, w = key[order], v[order], w[order]
+        order = np.argsort(key)
+        c3, key, v, w = c3[order], key[order], v[order], w[order]
+        at = _runs(key)
+        v, w = v[at], w[at]
+        # nothing but the start mark precedes itself, so pairs that it begins are counted as they occur
+        c2 = np.where(v == np.uint64(START), _summed(c3, at), np.diff(at, append=len(key)))
+        words, place = np.unique(np.concatenate([v, w]), return_inverse=True)
+        v, w = place[: len(v)], place[len(v) :]
+        per = lambda at, x=None: np.bincount(at, x, len(words)).astype(np.int64)
+        found = [per(w), per(v, c2), per(v, c2 == 1), per(v, c2 == 2), per(v, c2 > 2)]
+        often = [np.bincount(np.minimum(x, 5), minlength=6)[1:5] for x in (c2, c3)]
+        kind = np.r_[np.ones(len(words), np.int32), np.int32([2, 3])]
+        table = {"kind": kind, "word": np.append(words.view(np.int64), [0, 0])}
+        table |= {n: np.append(found[i], [often[0][i], often[1][i]] if i < 4 else [0, 0]) for i, n in enumerate("abcde")}
+        return pa.table(table)
+
+    asked = blocks.select("block", "packed", "marks").mapInArrow(ask, _ROWS)
+    return asked.groupBy("dest").applyInArrow(count, "kind int, word bigint, a bigint, b bigint, c bigint, d bigint, e bigint")
+
+
+def _totals(counted: DataFrame) -> DataFrame:
+    return counted.groupBy("kind", "word").agg(*(F.sum(x).alias(x) for x in "abcde"))
+
+
+def _discounts(n: list[int]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts of one, two and more, from how many count one to four."""
+    if not all(n):
+        return 0.5, 0.75, 0.9
+    y = n[0] / (n[0] + 2 * n[1])
+    found = [c - (c + 1) * y * n[c] / n[c - 1] for c in (1, 2, 3)]
+    return tuple(min(max(d, 0.05), c - 0.05) for c, d in zip((1, 2, 3), found, strict=True))
 
-    return blocks.select("block", "words", "tokens", "ends").mapInArrow(run, "key bigint, block bigint")
 
+def _known(blocks: DataFrame, words: DataFrame, parts: int) -> DataFrame:
+    """(dest, block, data): what is known of each block's tokens, in the order of their hashes."""
 
-def _scores(blocks: DataFrame, answers: DataFrame, d: list[tuple[float, float, float]], single: tuple[int, float, int]) -> DataFrame:
-    """``doc_id, lang, use, n_tokens, perplexity`` of every document."""
-    kind = blocks.schema["own"].dataType.elementType["doc_id"].dataType.simpleString()
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                keys = np.sort(_Block(r["packed"], None).words)
+                at = _bounds(keys, parts)
+                yield _batch([(s, r["block"], _pressed(_steps(keys[at[s] : at[s + 1]]))) for s in range(parts) if at[s] < at[s + 1]])
 
-    def block(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys = right.column("key").to_numpy()
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        keys = right.column("word").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        keys = keys[order]
-        values = {c: right.column(c).to_numpy()[order].astype(np.float64) for c in ("c", "whole", "freed")}
+        keys = np.append(keys[order], np.uint64(0))
+        values = [np.append(right.column(x).to_numpy()[order], 0) for x in "abcde"]
+        out = []
+        for r in left.to_pylist():
+            wanted = np.cumsum(_opened(r["data"])[0])
+            at = np.searchsorted(keys[:-1], wanted)
+            found = (keys[at] == wanted) & (at < len(order))
+            out.append((r["dest"], r["block"], _pressed(*(np.where(found, x[at], 0) for x in values))))
+        return pa.Table.from_batches([_batch(out)] if out else [], pa.schema([("dest", pa.int32()), ("block", pa.int64()), ("data", pa.binary())]))
 
-        def look(wanted: np.ndarray, *columns: str) -> list[np.ndarray]:
-            """Values by key, 0 where there is none."""
-            if not len(keys):
-                return [np.zeros(len(wanted)) for _ in columns]
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            found = keys[at] == wanted
-            return [np.where(found, values[c][at], 0.0) for c in columns]
+    asked = blocks.select("block", "packed").mapInArrow(ask, _ROWS)
+    dest = F.shiftrightunsigned(F.shiftrightunsigned("word", 32) * parts, 32).cast("int")
+    return asked.groupBy("dest").cogroup(words.withColumn("dest", dest).groupBy("dest")).applyInArrow(answer, _ROWS)
 
-        def kept(c: np.ndarray, order: int) -> np.ndarray:
-            """Counts less their discounts."""
-            return c - np.array([0.0, *d[order - 1]])[np.minimum(c, 3).astype(np.int64)]
 
-        def mixed(c: np.ndarray, order: int, whole: np.ndarray, freed: np.ndarray, low: np.ndarray) -> np.ndarray:
-            return np.where(whole > 0, (kept(c, order) + freed * low) / np.maximum(whole, 1), low)
+def _scored(blocks: DataFrame, known: DataFrame, turn: np.ndarray, wanted: int, parts: int, d: list[tuple[float, float, float]], single: tuple[int, float, int]) -> DataFrame:
+    """(block, sums): of each block's rows the sum of the logarithms of a pass's tokens' probabilities."""
 
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                b = _Block(r["packed"], r["marks"])
+                at = b.taken(turn, wanted)
+                if not len(at):
+                    continue
+                row = b.rows(at)
+                one, last = b.one[at], b.last[at]
+                u, v, w = b.words[b.two[at]], b.words[one], b.words[last]
+                key = _pair(u, v)
+                order = np.argsort(key & ~_FIRST[3] | w >> np.uint64(40))
+                key, w = key[order], w[order]
+                at = _runs(key, w)  # if two keys share 40 bits, a question may occur twice
+                place = np.empty(len(order), np.uint32)
+                place[order] = _spread(at, len(order))
+                count = _summed((b.use[row] == 1)[order].astype(np.uint32), at)
+                key, w, u, v, one, last = key[at], w[at], *(x[order[at]] for x in (u, v, one, last))
+                at = _runs(key)
+                many = np.diff(at, append=len(key)).astype(np.uint32)
+                rows, low, end = [], _bounds(key[at], parts), np.append(at, len(key))
+                for s in range(parts):
+                    if low[s] < low[s + 1]:
+                        own, some = slice(low[s], low[s + 1]), slice(end[low[s]], end[low[s + 1]])
+                        rows.append((s, r["block"], _pressed(_steps(key[at[own]]), many[own], w[some] >> _CUT, count[some])))
+                key = _pair(v, w)
+                order = np.argsort(key)
+                key = key[order]
+                at = _runs(key)
+                two = np.empty(len(order), np.uint32)
+                two[order] = _spread(at, len(order))
+                # of pairs that the start mark begins occurrences count, of others the tokens before them
+                count, u = count[order], u[order] >> _CUT
+                led = np.where(v[order] == np.uint64(START), count, 0).astype(np.uint32)
+                trained = count > 0
+                many = _summed(trained.astype(np.uint32), at)
+                low, end = _bounds(key[at], parts), np.append(at, len(key))
+                for s in range(parts):
+                    if low[s] < low[s + 1]:
+                        own, some = slice(low[s], low[s + 1]), slice(end[low[s]], end[low[s + 1]])
+                        on = trained[some]
+                        rows.append((parts + s, r["block"], _pressed(_steps(key[at[own]]), many[own], u[some][on], led[some][on])))
+                rank = np.empty(len(b.words), np.uint32)
+                rank[np.argsort(b.words)] = np.arange(len(b.words), dtype=np.uint32)
+                first = order[at]
+                own = _pressed(np.diff(row, prepend=0).astype(np.uint32), place, two, rank[one[first]], rank[last[first]], np.array([len(b.n)], np.uint32))
+                rows.append((2 * parts + r["block"] % parts, r["block"], own))
+                yield _batch(rows)
+
+    def answer(rows: pa.Table) -> pa.Table:
+        dest, block = rows.column("dest")[0].as_py(), rows.column("block").to_pylist()
+        if dest >= 2 * parts:
+            return rows.select(["dest", "block", "data"])
+        data = [_opened(x) for x in rows.column("data").to_pylist()]
+        cuts = np.cumsum([len(x[0]) for x in data])[:-1]
+        key = np.concatenate([np.cumsum(x[0]) for x in data])
+        many, third, c = (np.concatenate([x[i] for x in data]) for i in (1, 2, 3))
+        of = np.repeat(key, many)
+        name = _named(of, third)
+        if dest < parts:
+            order = np.argsort(name)
+            at = _runs(name[order])
+            three, place = _summed(c[order].astype(np.int64), at), np.empty(len(order), np.int64)
+            place[order] = _spread(at, len(order))
+            of, ends = of[order[at]], np.cumsum([len(x[2]) for x in data])[:-1]
+            order = np.argsort(of)
+            of, sorted_three = of[order], three[order]
+            at = _runs(of)
+            context = np.searchsorted(of[at], key)
+            after = [_summed(x.astype(np.int64), at)[context] for x in (sorted_three, sorted_three == 1, sorted_three == 2, sorted_three > 2)]
+            split = [np.split(three[place], ends), *(np.split(x, cuts) for x in (many, *after))]
+        else:
+            keys, plain = np.unique(key), c == 0
+            two = np.bincount(np.searchsorted(keys, of[~plain]), c[~plain], len(keys)).astype(np.int64)
+            of, name = of[plain], name[plain]
+            order = np.argsort(name)
+            two += np.bincount(np.searchsorted(keys, of[order[_runs(name[order])]]), minlength=len(keys))
+            split = [np.split(two[np.searchsorted(keys, key)], cuts)]
+        return pa.Table.from_batches([_batch([(dest, n, _pressed(*x)) for n, *x in zip(block, *split, strict=True)])])
+
+    def kept(c: np.ndarray, order: int) -> np.ndarray:
+        """Counts less their discounts."""
+        return c - np.array([0.0, *d[order - 1]])[np.minimum(c, 3)]
+
+    def mixed(c: np.ndarray, order: int, context: list[np.ndarray], low: np.ndarray) -> np.ndarray:
+        whole, freed = context[0], sum(x * y for x, y in zip(context[1:], d[order - 1], strict=True))
+        return np.where(whole > 0, (kept(c, order) + freed * low) / np.maximum(whole, 1), low)
+
+    def add(rows: pa.Table) -> pa.Table:
+        found: dict[int, list] = {0: [], 1: [], 2: [], -1: []}
+        for r in sorted(rows.select(["dest", "data"]).to_pylist(), key=lambda r: r["dest"]):
+            found[-1 if r["dest"] < 0 else r["dest"] // parts].append(_opened(r["data"]))
+        if not found[2]:
+            return pa.table({"block": pa.array([], pa.int64()), "sums": pa.array([], pa.binary())})
+        three, two, words = ([np.concatenate(x) for x in zip(*found[i], strict=True)] for i in (0, 1, -1))
+        row, place, pair, before, last, rows_here = found[2][0]
+        whole, freed, number = single
+        p = (kept(words[0][last], 1) + freed / (number + 1)) / whole if whole else np.full(len(last), 1.0)
+        p = mixed(two[0], 2, [x[before] for x in words[1:]], p)
+        context = np.repeat(np.arange(len(three[1])), three[1])
+        p = mixed(three[0], 3, [x[context] for x in three[2:]], p[pair])
+        sums = np.bincount(np.cumsum(row), np.log(p)[place], int(rows_here[0]))
+        return pa.table({"block": rows.column("block").slice(0, 1), "sums": pa.array([_pressed(sums)], pa.binary())})
+
+    answers = blocks.select("block", "packed", "marks").mapInArrow(ask, _ROWS).groupBy("dest").applyInArrow(answer, _ROWS)
+    known = known.select((F.col("dest") - F.lit(1 << 30)).alias("dest"), "block", "data")
+    return answers.union(known).groupBy("block").applyInArrow(add, "block bigint, sums binary")
+
+
+def _rows(blocks: DataFrame, sums: DataFrame) -> DataFrame:
+    """``doc_id, lang, use, n_tokens, perplexity`` of every document."""
+    kind = blocks.schema["own"].dataType.elementType["doc_id"].dataType
+    own = pa.struct([("doc_id", to_arrow_type(kind)), ("lang", pa.string())])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for r in left.to_pylist():
-            two, one, h, ends = _grams(r)
-            _, at, where = np.unique(_pair(_pair(two, one), h), return_index=True, return_inverse=True)
-            three, before, last, context, token = _keys(two[at], one[at], h[at])
-            whole, freed, number = single
-            p = (kept(look(token, "c")[0], 1) + freed / (number + 1)) / whole if whole else np.full(len(at), 1.0)
-            p = mixed(*look(last, "c"), 2, *look(context, "whole", "freed"), p)
-            p = mixed(*look(three, "c"), 3, *look(before, "whole", "freed"), p)
-            sums = np.r_[0.0, np.cumsum(np.log(p)[where])]
-            n = np.diff(ends, prepend=0)
-            mean = (sums[ends] - sums[ends - n]) / np.maximum(n, 1)
-            rows = pa.array(r["own"], pa.struct([("doc_id", right_kind), ("lang", pa.string()), ("use", pa.int32())]))
-            out.append(pa.table([rows.field(0), rows.field(1), rows.field(2), pa.array(n), pa.array(np.exp(-mean), mask=n == 0)], names=["doc_id", "lang", "use", "n_tokens", "perplexity"]))
+            n, use = _opened(r["sizes"])[0].astype(np.int64), _use(r["marks"], len(r["own"]))
+            mean = sum((_opened(x)[0] for x in right.column("sums").to_pylist()), np.zeros(len(n))) / np.maximum(n, 1)
+            rows = pa.array(r["own"], own)
+            out.append(pa.table([rows.field(0), rows.field(1), pa.array(use.astype(np.int32)), pa.array(n), pa.array(np.exp(-mean), mask=n == 0)], names=["doc_id", "lang", "use", "n_tokens", "perplexity"]))
         return pa.concat_tables(out)
 
-    from pyspark.sql.pandas.types import to_arrow_type
+    pairs = blocks.select("block", "sizes", "marks", "own").groupBy("block").cogroup(sums.groupBy("block"))
+    return pairs.applyInArrow(run, f"doc_id {kind.simpleString()}, lang string, use int, n_tokens bigint, perplexity double")
+
 
-    right_kind = to_arrow_type(blocks.schema["own"].dataType.elementType["doc_id"].dataType)
-    pairs = blocks.groupBy("block").cogroup(answers.groupBy("block"))
-    return pairs.applyInArrow(block, f"doc_id {kind}, lang string, use int, n_tokens bigint, perplexity double")
+def _turns(weights: np.ndarray, passes: int) -> np.ndarray:
+    """The pass of each slot: the heaviest slots go first, each to the lightest pass."""
+    turn, load = np.zeros(len(weights), np.int64), np.zeros(passes, np.int64)
+    for s in np.argsort(-weights, kind="stable"):
+        turn[s] = np.argmin(load)
+        load[turn[s]] += weights[s]
+    return turn
 
 
 def scored(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
@@ -290,15 +509,38 @@ def scored(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE)
     is a language; repeated rows are scored one by one; without trusted documents everything
     with tokens is kept; an empty table gives no rows.
     """
+    spark = documents.sparkSession
     good = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1")
     calibrate = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(CALIBRATION)) == 0
     good = good.select("doc_id", F.when(calibrate, 2).otherwise(1).alias("use"))
-    named = _packed(documents).join(good, "doc_id", "left").withColumn("use", F.coalesce("use", F.lit(0)))
-    blocks = written(_blocks(named), "perplexity-blocks")
-    trigrams = written(_counts(blocks), "perplexity-trigrams")
-    table, d, single = model(trigrams)
-    answers = _asked(blocks).join(table, "key").select("block", "key", "c", "whole", "freed")
-    rows = written(_scores(blocks, answers, d, single), "perplexity-scores")
+    with shuffles_freed(spark):
+        blocks = written(_blocks(documents), "perplexity-blocks")
+        marks = written(_marks(blocks, good), "perplexity-marks")
+        slots = blocks.select(F.posexplode("slots").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows
+        weights = np.zeros(SLOTS, np.int64)
+        for r in slots:
+            weights[r.slot] = r.n
+        size, least = int(weights.sum()), 2 * spark.sparkContext.defaultParallelism
+        passes = min(PASSES, size // PASS + 1)
+        fewer = passes // 6 + 1  # counting moves less
+        parts = lambda passes: max(least, math.ceil(size / passes / GROUP))
+        # two bits a document or less are broadcast, so that blocks never move
+        blocks = blocks.join(F.broadcast(marks) if marks.count() <= 20_000 else marks, "block", "left")
+        turn = _turns(weights, fewer)
+        counted = [written(_totals(_counted(blocks, turn, p, parts(fewer))), "perplexity-counts") for p in range(fewer)]
+        done, counted = counted, reduce(DataFrame.union, counted)
+        n = {r.kind: [r.a, r.b, r.c, r.d] for r in _totals(counted.where("kind > 1")).collect()}  # two rows
+        words = _totals(counted.where("kind = 1"))
+        ones = words.where("a > 0").groupBy(F.least("a", F.lit(5)).alias("c")).agg(F.count("*").alias("n"), F.sum("a").alias("a")).collect()  # at most 5 rows
+        many = {r.c: r.n for r in ones}
+        d = [_discounts([many.get(c, 0) for c in (1, 2, 3, 4)]), *(_discounts(n.get(k, [0] * 4)) for k in (2, 3))]
+        single = (sum(r.a for r in ones), sum(r.n * d[0][min(r.c, 3) - 1] for r in ones), sum(many.values()))
+        known = written(_known(blocks, words, parts(passes)), "perplexity-known")
+        for x in done:
+            emptied(x)
+        turn = _turns(weights, passes)
+        sums = [written(_scored(blocks, known, turn, p, parts(passes), d, single), "perplexity-sums") for p in range(passes)]
+        rows = written(_rows(blocks, reduce(DataFrame.union, sums)), "perplexity-scores")
     return _judged(rows, quantile)
 
 
