@@ -423,6 +423,46 @@ def test_perplexity_frees_shuffles_and_passes_agree(spark, monkeypatch):
     assert len(once) == 150 and more == pytest.approx(once, rel=1e-9)
 
 
+def test_perplexity_sends_little(spark):
+    r = random.Random(53)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(7))
+    some = [word() for _ in range(5000)]
+    texts = [" ".join(r.choices(some, [1 / (1 + i) for i in range(5000)], k=400)) for _ in range(1000)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(400)], "doc_id long, quality int, toxic int")
+    context = spark.sparkContext._jsc.sc()
+
+    def sent():
+        context.listenerBus().waitUntilEmpty()
+        return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    docs = docs.localCheckpoint()
+    before = sent()
+    assert perplexity.scored(docs, labels).count() == 1000
+    assert (sent() - before) / (1000 * 400) < 29  # bytes a token; with hashes for tokens they were 35
+
+
+def test_perplexity_numbers_are_those_of_words(spark):
+    r = random.Random(54)
+    texts = [" ".join(f"w{int(r.paretovariate(0.6)) % 300}" for _ in range(50)) for _ in range(200)] + ["new words", None]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(5, "doc_id")
+    blocks = perplexity._blocks(docs).selectExpr("*", "cast(null as binary) as marks").localCheckpoint()
+    often = Counter(w for t in texts[:200] for w in t.split())
+    hashes = dict(zip(often, perplexity.tokens(pa.array([" ".join(often)]))[0].view(np.int64).tolist(), strict=True))
+    words = spark.createDataFrame([(hashes[w], 1, n, 2, 3, 1 << 33) for w, n in often.items()], "word long, a long, b long, c long, d long, e long")
+    named = {}
+    for some in (blocks.where("block >> 24 < 2"), blocks.where("block >> 24 >= 2")):
+        letters = {x.block: perplexity._Block(x.packed, None) for x in some.collect()}
+        for x in perplexity._numbered(some, perplexity._known(some, words, 3)).collect():
+            b, was = perplexity._Numbered(x.packed, None), letters[x.block]
+            assert (b.last == was.last).all() and (b.n == was.n).all() and sum(x.slots) == len(b.last)
+            for word, number, *counts in zip(was.words.view(np.int64).tolist(), b.number.tolist(), *(x.tolist() for x in b.known), strict=True):
+                assert named.setdefault(word, number) == number and (counts == [0] * 5) == (number == 0)
+                assert not number or counts[2:] == [2, 3, 1 << 33]
+    assert {w for w, n in named.items() if n} == set(hashes.values()) and len({n for n in named.values() if n}) == len(often)
+    assert named[hashes[often.most_common(1)[0][0]]] <= 3
+
+
 def test_perplexity_hashes_tell_long_tokens(spark):
     long = "x" * 9000
     found = perplexity.tokens(pa.array([f"{long} {long}y {long} {long[:-1]}z", "ab abc ab", None]))[0]

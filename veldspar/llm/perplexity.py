@@ -9,13 +9,15 @@ the share of the uniform distribution that the single tokens leave it.
 2. Trusted documents (but for a share kept for calibration) send their distinct trigrams to
    groups by the hash of the last two tokens.  There trigrams and bigrams are complete and are
    counted: the discounts come from their counts of counts, and every token gets its
-   continuation count and its sums as a context, which each block asks for its tokens.
-3. In each of up to ``PASSES`` passes the trigrams of all documents whose middle token is in the
+   continuation count and its sums as a context.
+3. Blocks are written again with numbers for tokens: those of trusted text get small ones where
+   they are frequent, all others are 0.  What is known of a token stands beside its number.
+4. In each of up to ``PASSES`` passes the trigrams of all documents whose middle token is in the
    pass go to groups twice, by their first and by their last two tokens, with what trusted
    documents counted.  A pass holds all that its trigrams need; groups split hot tokens.  The
    answers meet their block, which adds up logarithms by document.  Rows are sorted and
    packed arrays; shuffle files go when a pass is written, so the disk holds one pass's.
-4. A language's threshold is a quantile of the perplexities of its trusted documents that
+5. A language's threshold is a quantile of the perplexities of its trusted documents that
    the model has not seen, drawn smoothly towards all languages' quantile: the fewer
    documents, the more.
 """
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from veldspar.llm import words as W
-from veldspar.session import emptied, shuffles_freed, written
+from veldspar.session import emptied, shuffles_freed, written, written_apart
 
 BLOCK_TOKENS = 1 << 20
 BLOCK_ROWS = 1 << 16
@@ -44,7 +46,8 @@ CALIBRATION = 8
 QUANTILE = 0.995
 PRIOR = 100
 STEP = 0.001
-PASSES = 16  # at most, so that a pass's shuffles are small beside the input
+PASSES = 8  # at most, so that a pass's shuffles are small beside the input
+PORTIONS = 4  # of blocks, so that few are there both with letters and with numbers
 PASS = 1 << 20  # tokens that are not worth another pass
 SLOTS = 1024  # of tokens, dealt to passes by weight
 GROUP = 1 << 20  # tokens of a pass in a group, about
@@ -186,29 +189,49 @@ def _use(marks: bytes | None, n: int) -> np.ndarray:
     return np.append(found, np.zeros(n - len(found), np.uint8))
 
 
-class _Block:
-    """A block's tokens: ``words`` are hashes, the last one START; ``two, one, last`` places among them at every token."""
+class _Sequence:
+    """A block's rows: ``two, one, last`` are places among ``words`` tokens at every token, the last of them is START."""
 
-    def __init__(self, packed: bytes, marks: bytes | None) -> None:
-        letters, sizes, last, self.n = _opened(packed)
-        self.last, sizes = last, sizes.astype(np.int64)
-        self.words = np.append(_hashes(letters, np.cumsum(sizes) - sizes, sizes), np.uint64(START))
-        start, ends = len(self.words) - 1, np.cumsum(self.n, dtype=np.int64)
-        first = (ends - self.n)[self.n > 0]
+    def __init__(self, last: np.ndarray, n: np.ndarray, words: int, marks: bytes | None) -> None:
+        self.last, self.n = last, n
+        start, self.ends = words - 1, np.cumsum(n, dtype=np.int64)
+        first = (self.ends - n)[n > 0]
         self.one, self.two = np.r_[np.uint32(start), last[:-1]][: len(last)], np.r_[np.uint32([start, start]), last[:-2]][: len(last)]
         self.one[first] = start
         self.two[first] = start
         second = first + 1
         self.two[second[second < len(last)]] = start
-        self.ends = ends
-        self.use = _use(marks, len(self.n))
+        self.use = _use(marks, len(n))
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, at, "right")
+
+
+class _Block(_Sequence):
+    """A block whose tokens, ``words``, are hashes."""
+
+    def __init__(self, packed: bytes, marks: bytes | None) -> None:
+        letters, sizes, last, n = _opened(packed)
+        sizes = sizes.astype(np.int64)
+        self.words = np.append(_hashes(letters, np.cumsum(sizes) - sizes, sizes), np.uint64(START))
+        super().__init__(last, n, len(self.words), marks)
 
     def taken(self, turn: np.ndarray, wanted: int) -> np.ndarray:
         """The tokens after one whose slot has the wanted turn."""
         return np.flatnonzero((turn[(self.words % np.uint64(SLOTS)).astype(np.int64)] == wanted)[self.one])
 
-    def rows(self, at: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.ends, at, "right")
+
+class _Numbered(_Sequence):
+    """A block whose tokens have a ``number``, 0 if unknown, and the counts ``known`` of them."""
+
+    def __init__(self, packed: bytes, marks: bytes | None) -> None:
+        last, n, self.number, *self.known = _opened(packed)
+        super().__init__(last, n, len(self.number), marks)
+
+
+def _slots(number: np.ndarray) -> np.ndarray:
+    """Slots of numbered tokens; a block asks nothing about unknown ones, so any slot does."""
+    return np.where(number > 0, number, np.arange(len(number), dtype=np.uint32)) % SLOTS
 
 
 _TURN = np.uint64(21)
@@ -250,6 +273,17 @@ def _bounds(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32), np.arange(parts + 1, dtype=np.uint64))
 
 
+def _part(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Which of the ranges of ``_bounds`` a hash is in."""
+    return ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+
+
+def _ordered(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The order of triples of places below ``n``."""
+    bits = n.bit_length()
+    return np.argsort((a.astype(np.uint64) << bits | b) << bits | c) if 3 * bits <= 64 else np.lexsort((c, b, a))
+
+
 def _batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     dest, block, data = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(dest, pa.int32()), pa.array(block, pa.int64()), pa.array(data, pa.binary())], names=["dest", "block", "data"])
@@ -271,28 +305,30 @@ def _counted(blocks: DataFrame, turn: np.ndarray, wanted: int, parts: int) -> Da
                 b = _Block(r["packed"], r["marks"])
                 at = b.taken(turn, wanted)
                 at = at[b.use[b.rows(at)] == 1]
-                u, v, w = (b.words[x[at]] for x in (b.two, b.one, b.last))
-                key, u = _pair(v, w), u >> _CUT
-                order = np.lexsort((u, key))
-                key, u, v, w = (x[order] for x in (key, u, v, w))
-                three = _runs(key, u)
-                count = np.diff(three, append=len(key)).astype(np.uint32)
-                key, u, v, w = (x[three] for x in (key, u, v, w))
-                two = _runs(key)
-                many = np.diff(two, append=len(key)).astype(np.uint32)
-                low, high = _bounds(key[two], parts), np.append(two, len(key))
-                rows = []
+                u, v, w = b.two[at], b.one[at], b.last[at]
+                part = _part(_pair(b.words[v], b.words[w]), parts)
+                order = _ordered(v, w, u, len(b.words))
+                order = order[np.argsort(part[order], kind="stable")]
+                part, u, v, w = (x[order] for x in (part, u, v, w))
+                three = _runs(part, v, w, u)
+                count = np.diff(three, append=len(order)).astype(np.uint32)
+                part, u, v, w = part[three], b.words[u[three]] >> _CUT, v[three], w[three]
+                two = _runs(part, v, w)
+                many, end, part, v, w = np.diff(two, append=len(part)).astype(np.uint32), np.append(two, len(part)), part[two], v[two], b.words[w[two]]
+                one = _runs(part, v)
+                often, part, v = np.diff(one, append=len(part)).astype(np.uint32), part[one], b.words[v[one]]
+                high, low, rows = np.append(one, len(w)), np.searchsorted(part, np.arange(parts + 1)), []
                 for s in range(parts):
                     a, z = low[s], low[s + 1]
                     if a < z:
-                        some = slice(high[a], high[z])
-                        rows.append((s, r["block"], _pressed(v[two[a:z]], w[two[a:z]], many[a:z], u[some], count[some])))
+                        pairs, some = slice(high[a], high[z]), slice(end[high[a]], end[high[z]])
+                        rows.append((s, r["block"], _pressed(v[a:z], often[a:z], w[pairs], many[pairs], u[some], count[some])))
                 if rows:
                     yield _batch(rows)
 
     def count(rows: pa.Table) -> pa.Table:
-        v, w, many, u, c = (np.concatenate(x) for x in zip(*(_opened(x) for x in rows.column("data").to_pylist()), strict=True))
-        v, w = np.repeat(v, many), np.repeat(w, many)
+        v, often, w, many, u, c = (np.concatenate(x) for x in zip(*(_opened(x) for x in rows.column("data").to_pylist()), strict=True))
+        v, w = np.repeat(np.repeat(v, often), many), np.repeat(w, many)
         key = _pair(v, w)
         name = _named(key, u)
         order = np.argsort(name)
@@ -333,7 +369,10 @@ def _discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def _known(blocks: DataFrame, words: DataFrame, parts: int) -> DataFrame:
-    """(dest, block, data): what is known of each block's tokens, in the order of their hashes."""
+    """(dest, block, data): numbers of each block's tokens and what is known of them, in the order of their hashes.
+
+    A number is unique: it counts the more frequent tokens of its group, in steps of ``parts``.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -347,12 +386,18 @@ def _known(blocks: DataFrame, words: DataFrame, parts: int) -> DataFrame:
         order = np.argsort(keys)
         keys = np.append(keys[order], np.uint64(0))
         values = [np.append(right.column(x).to_numpy()[order], 0) for x in "abcde"]
+        number = np.zeros(len(keys), np.int64)
+        if len(order):
+            dest = left.column("dest")[0].as_py()
+            number[np.lexsort((keys[:-1], -values[1][:-1]))] = np.arange(len(order)) * parts + dest + 1
+            if number.max() >> 32:
+                raise OverflowError("more tokens than numbers of 32 bits")
         out = []
         for r in left.to_pylist():
             wanted = np.cumsum(_opened(r["data"])[0])
             at = np.searchsorted(keys[:-1], wanted)
             found = (keys[at] == wanted) & (at < len(order))
-            out.append((r["dest"], r["block"], _pressed(*(np.where(found, x[at], 0) for x in values))))
+            out.append((r["dest"], r["block"], _pressed(*(np.where(found, x[at], 0) for x in (number, *values)))))
         return pa.Table.from_batches([_batch(out)] if out else [], pa.schema([("dest", pa.int32()), ("block", pa.int64()), ("data", pa.binary())]))
 
     asked = blocks.select("block", "packed").mapInArrow(ask, _ROWS)
@@ -360,56 +405,87 @@ def _known(blocks: DataFrame, words: DataFrame, parts: int) -> DataFrame:
     return asked.groupBy("dest").cogroup(words.withColumn("dest", dest).groupBy("dest")).applyInArrow(answer, _ROWS)
 
 
-def _scored(blocks: DataFrame, known: DataFrame, turn: np.ndarray, wanted: int, parts: int, d: list[tuple[float, float, float]], single: tuple[int, float, int]) -> DataFrame:
+def _numbered(blocks: DataFrame, known: DataFrame) -> DataFrame:
+    """``blocks`` with numbers for tokens (see ``_Numbered``), and the tokens of each slot of numbers."""
+    columns = ["block", "packed", "sizes", "slots", "marks", "own"]
+    kind = blocks.schema["own"].dataType.simpleString()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        b = _Block(left.column("packed")[0].as_py(), None)
+        found = [_opened(r["data"]) for r in sorted(right.to_pylist(), key=lambda r: r["dest"])]
+        order, values = np.argsort(b.words), []
+        for x in zip(*found, strict=True):
+            value = np.empty(len(order), np.int64)
+            value[order] = np.concatenate(x)
+            values.append(value.astype(np.uint32) if value.max() < 1 << 32 else value)
+        packed = _pressed(b.last, b.n, *values, level=3)
+        slots = np.bincount(_slots(values[0])[b.one], minlength=SLOTS).astype(np.int64)
+        left = left.set_column(left.column_names.index("packed"), "packed", pa.array([packed], pa.binary()))
+        return left.append_column("slots", pa.array([slots.tolist()], pa.list_(pa.int64()))).select(columns)
+
+    pairs = blocks.drop("slots").groupBy("block").cogroup(known.groupBy("block"))
+    return pairs.applyInArrow(run, f"block bigint, packed binary, sizes binary, slots array<bigint>, marks binary, own {kind}")
+
+
+def _paired(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Two numbers of 32 bits as one."""
+    return a.astype(np.uint64) << np.uint64(32) | b.astype(np.uint64)
+
+
+def _dealt(a: np.ndarray, b: np.ndarray, parts: int) -> np.ndarray:
+    """The part that answers for each pair of tokens; those with an unknown token come last and are not asked."""
+    part = _part(W.mix(_paired(a, b)), parts)
+    part[(a == 0) | (b == 0)] = parts
+    return part
+
+
+def _scored(blocks: DataFrame, turn: np.ndarray, wanted: int, parts: int, d: list[tuple[float, float, float]], single: tuple[int, float, int]) -> DataFrame:
     """(block, sums): of each block's rows the sum of the logarithms of a pass's tokens' probabilities."""
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                b = _Block(r["packed"], r["marks"])
-                at = b.taken(turn, wanted)
+                b = _Numbered(r["packed"], r["marks"])
+                chosen = turn[_slots(b.number)] == wanted
+                at = np.flatnonzero(chosen[b.one])
                 if not len(at):
                     continue
-                row = b.rows(at)
-                one, last = b.one[at], b.last[at]
-                u, v, w = b.words[b.two[at]], b.words[one], b.words[last]
-                key = _pair(u, v)
-                order = np.argsort(key & ~_FIRST[3] | w >> np.uint64(40))
-                key, w = key[order], w[order]
-                at = _runs(key, w)  # if two keys share 40 bits, a question may occur twice
-                place = np.empty(len(order), np.uint32)
-                place[order] = _spread(at, len(order))
-                count = _summed((b.use[row] == 1)[order].astype(np.uint32), at)
-                key, w, u, v, one, last = key[at], w[at], *(x[order[at]] for x in (u, v, one, last))
-                at = _runs(key)
-                many = np.diff(at, append=len(key)).astype(np.uint32)
-                rows, low, end = [], _bounds(key[at], parts), np.append(at, len(key))
+                row, number, rows = b.rows(at), b.number, []
+                u, v, w = b.two[at], b.one[at], b.last[at]
+                order = _ordered(v, u, w, len(number))
+                part = _dealt(number[u], number[v], parts)
+                order = order[np.argsort(part[order], kind="stable")]
+                row, part, u, v, w = (x[order] for x in (row, part, u, v, w))
+                at = _runs(part, v, u, w)
+                often = np.diff(at, append=len(order)).astype(np.uint32)
+                count = _summed((b.use[row] == 1).astype(np.uint32), at)
+                part, u, v, w = (x[at] for x in (part, u, v, w))
+                at = _runs(part, v, u)
+                end, many = np.append(at, len(part)), np.diff(at, append=len(part)).astype(np.uint32)
+                one, two, third, low = number[v[at]], number[u[at]], number[w], np.searchsorted(part[at], np.arange(parts + 1))
                 for s in range(parts):
                     if low[s] < low[s + 1]:
                         own, some = slice(low[s], low[s + 1]), slice(end[low[s]], end[low[s + 1]])
-                        rows.append((s, r["block"], _pressed(_steps(key[at[own]]), many[own], w[some] >> _CUT, count[some])))
-                key = _pair(v, w)
-                order = np.argsort(key)
-                key = key[order]
-                at = _runs(key)
-                two = np.empty(len(order), np.uint32)
-                two[order] = _spread(at, len(order))
+                        rows.append((s, r["block"], _pressed(one[own], two[own], many[own], third[some], count[some])))
+                order = np.argsort(_paired(v, w))
+                part = _dealt(number[v], number[w], parts)
+                order = order[np.argsort(part[order], kind="stable")]
+                part, u, v, w, count = (x[order] for x in (part, u, v, w, count))
+                at = _runs(part, v, w)
+                pair = np.empty(len(order), np.uint32)
+                pair[order] = _spread(at, len(order))
                 # of pairs that the start mark begins occurrences count, of others the tokens before them
-                count, u = count[order], u[order] >> _CUT
-                led = np.where(v[order] == np.uint64(START), count, 0).astype(np.uint32)
-                trained = count > 0
-                many = _summed(trained.astype(np.uint32), at)
-                low, end = _bounds(key[at], parts), np.append(at, len(key))
+                third, led, trained = number[u], np.where(v == len(number) - 1, count, 0).astype(np.uint32), count > 0
+                part, v, w, end, many = part[at], v[at], w[at], np.append(at, len(order)), _summed(trained.astype(np.uint32), at)
+                one, two, low = number[v], number[w], np.searchsorted(part, np.arange(parts + 1))
                 for s in range(parts):
                     if low[s] < low[s + 1]:
                         own, some = slice(low[s], low[s + 1]), slice(end[low[s]], end[low[s + 1]])
                         on = trained[some]
-                        rows.append((parts + s, r["block"], _pressed(_steps(key[at[own]]), many[own], u[some][on], led[some][on])))
-                rank = np.empty(len(b.words), np.uint32)
-                rank[np.argsort(b.words)] = np.arange(len(b.words), dtype=np.uint32)
-                first = order[at]
-                own = _pressed(np.diff(row, prepend=0).astype(np.uint32), place, two, rank[one[first]], rank[last[first]], np.array([len(b.n)], np.uint32))
-                rows.append((2 * parts + r["block"] % parts, r["block"], own))
+                        rows.append((parts + s, r["block"], _pressed(one[own], two[own], many[own], third[some][on], led[some][on])))
+                place = (np.cumsum(chosen) - 1).astype(np.uint32)[v]
+                own = (row.astype(np.uint32), often, pair, b.known[0][w], np.diff(place, prepend=np.uint32(0)), *(x[chosen] for x in b.known[1:]))
+                rows.append((2 * parts + r["block"] % parts, r["block"], _pressed(*own, np.array([len(b.n)], np.uint32))))
                 yield _batch(rows)
 
     def answer(rows: pa.Table) -> pa.Table:
@@ -418,29 +494,25 @@ def _scored(blocks: DataFrame, known: DataFrame, turn: np.ndarray, wanted: int,
             return rows.select(["dest", "block", "data"])
         data = [_opened(x) for x in rows.column("data").to_pylist()]
         cuts = np.cumsum([len(x[0]) for x in data])[:-1]
-        key = np.concatenate([np.cumsum(x[0]) for x in data])
-        many, third, c = (np.concatenate([x[i] for x in data]) for i in (1, 2, 3))
+        a, b, many, third, c = (np.concatenate(x) for x in zip(*data, strict=True))
+        keys, key = np.unique(_paired(a, b), return_inverse=True)
         of = np.repeat(key, many)
-        name = _named(of, third)
         if dest < parts:
+            name = _paired(of, third)
             order = np.argsort(name)
-            at = _runs(name[order])
+            name = name[order]
+            at = _runs(name)
             three, place = _summed(c[order].astype(np.int64), at), np.empty(len(order), np.int64)
             place[order] = _spread(at, len(order))
-            of, ends = of[order[at]], np.cumsum([len(x[2]) for x in data])[:-1]
-            order = np.argsort(of)
-            of, sorted_three = of[order], three[order]
-            at = _runs(of)
-            context = np.searchsorted(of[at], key)
-            after = [_summed(x.astype(np.int64), at)[context] for x in (sorted_three, sorted_three == 1, sorted_three == 2, sorted_three > 2)]
-            split = [np.split(three[place], ends), *(np.split(x, cuts) for x in (many, *after))]
+            at = _runs(name[at] >> np.uint64(32))  # one for each of the keys
+            after = [_summed(x.astype(np.int64), at)[key] for x in (three, three == 1, three == 2, three > 2)]
+            split = [np.split(three[place], np.cumsum([len(x[3]) for x in data])[:-1]), *(np.split(x, cuts) for x in (many, *after))]
         else:
-            keys, plain = np.unique(key), c == 0
-            two = np.bincount(np.searchsorted(keys, of[~plain]), c[~plain], len(keys)).astype(np.int64)
-            of, name = of[plain], name[plain]
-            order = np.argsort(name)
-            two += np.bincount(np.searchsorted(keys, of[order[_runs(name[order])]]), minlength=len(keys))
-            split = [np.split(two[np.searchsorted(keys, key)], cuts)]
+            plain = c == 0
+            two = np.bincount(of[~plain], c[~plain], len(keys)).astype(np.int64)
+            name = np.unique(_paired(of[plain], third[plain])) >> np.uint64(32)
+            two += np.bincount(name.astype(np.int64), minlength=len(keys))
+            split = [np.split(two[key], cuts)]
         return pa.Table.from_batches([_batch([(dest, n, _pressed(*x)) for n, *x in zip(block, *split, strict=True)])])
 
     def kept(c: np.ndarray, order: int) -> np.ndarray:
@@ -452,24 +524,27 @@ def _scored(blocks: DataFrame, known: DataFrame, turn: np.ndarray, wanted: int,
         return np.where(whole > 0, (kept(c, order) + freed * low) / np.maximum(whole, 1), low)
 
     def add(rows: pa.Table) -> pa.Table:
-        found: dict[int, list] = {0: [], 1: [], 2: [], -1: []}
+        found: dict[int, list] = {0: [], 1: [], 2: []}
         for r in sorted(rows.select(["dest", "data"]).to_pylist(), key=lambda r: r["dest"]):
-            found[-1 if r["dest"] < 0 else r["dest"] // parts].append(_opened(r["data"]))
-        if not found[2]:
-            return pa.table({"block": pa.array([], pa.int64()), "sums": pa.array([], pa.binary())})
-        three, two, words = ([np.concatenate(x) for x in zip(*found[i], strict=True)] for i in (0, 1, -1))
-        row, place, pair, before, last, rows_here = found[2][0]
+            found[r["dest"] // parts].append(_opened(r["data"]))
+        row, often, pair, after, place, *context, rows_here = found[2][0]
         whole, freed, number = single
-        p = (kept(words[0][last], 1) + freed / (number + 1)) / whole if whole else np.full(len(last), 1.0)
-        p = mixed(two[0], 2, [x[before] for x in words[1:]], p)
-        context = np.repeat(np.arange(len(three[1])), three[1])
-        p = mixed(three[0], 3, [x[context] for x in three[2:]], p[pair])
-        sums = np.bincount(np.cumsum(row), np.log(p)[place], int(rows_here[0]))
+        p = (kept(after, 1) + freed / (number + 1)) / whole if whole else np.full(len(after), 1.0)
+        if found[1]:  # what was not asked comes last
+            two, place = np.concatenate([x[0] for x in found[1]]), np.cumsum(place, dtype=np.uint32)
+            two = np.append(two, np.zeros(len(p) - len(two), np.int64))
+        else:
+            two, place = np.zeros(len(p), np.int64), np.cumsum(place, dtype=np.uint32)
+        p = mixed(two, 2, [x[place] for x in context], p)[pair]
+        if found[0]:
+            three, many, *context = (np.concatenate(x) for x in zip(*found[0], strict=True))
+            at = np.repeat(np.arange(len(many)), many)
+            p[: len(three)] = mixed(three, 3, [x[at] for x in context], p[: len(three)])
+        sums = np.bincount(row, np.repeat(np.log(p), often), int(rows_here[0]))
         return pa.table({"block": rows.column("block").slice(0, 1), "sums": pa.array([_pressed(sums)], pa.binary())})
 
     answers = blocks.select("block", "packed", "marks").mapInArrow(ask, _ROWS).groupBy("dest").applyInArrow(answer, _ROWS)
-    known = known.select((F.col("dest") - F.lit(1 << 30)).alias("dest"), "block", "data")
-    return answers.union(known).groupBy("block").applyInArrow(add, "block bigint, sums binary")
+    return answers.groupBy("block").applyInArrow(add, "block bigint, sums binary")
 
 
 def _rows(blocks: DataFrame, sums: DataFrame) -> DataFrame:
@@ -490,6 +565,15 @@ def _rows(blocks: DataFrame, sums: DataFrame) -> DataFrame:
     return pairs.applyInArrow(run, f"doc_id {kind.simpleString()}, lang string, use int, n_tokens bigint, perplexity double")
 
 
+def _weights(blocks: DataFrame) -> np.ndarray:
+    """How many tokens each slot has."""
+    slots = blocks.select(F.posexplode("slots").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows
+    weights = np.zeros(SLOTS, np.int64)
+    for r in slots:
+        weights[r.slot] = r.n
+    return weights
+
+
 def _turns(weights: np.ndarray, passes: int) -> np.ndarray:
     """The pass of each slot: the heaviest slots go first, each to the lightest pass."""
     turn, load = np.zeros(len(weights), np.int64), np.zeros(passes, np.int64)
@@ -514,18 +598,17 @@ def scored(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE)
     calibrate = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(CALIBRATION)) == 0
     good = good.select("doc_id", F.when(calibrate, 2).otherwise(1).alias("use"))
     with shuffles_freed(spark):
-        blocks = written(_blocks(documents), "perplexity-blocks")
+        turn = F.pmod(F.shiftright("block", 24) + F.col("block").bitwiseAND((1 << 24) - 1), F.lit(PORTIONS))
+        blocks, portions = written_apart(_blocks(documents), "perplexity-blocks", turn)
         marks = written(_marks(blocks, good), "perplexity-marks")
-        slots = blocks.select(F.posexplode("slots").alias("slot", "n")).groupBy("slot").agg(F.sum("n").alias("n")).collect()  # SLOTS rows
-        weights = np.zeros(SLOTS, np.int64)
-        for r in slots:
-            weights[r.slot] = r.n
+        weights = _weights(blocks)
         size, least = int(weights.sum()), 2 * spark.sparkContext.defaultParallelism
         passes = min(PASSES, size // PASS + 1)
-        fewer = passes // 6 + 1  # counting moves less
+        fewer = passes // 3 + 1  # counting moves less
         parts = lambda passes: max(least, math.ceil(size / passes / GROUP))
-        # two bits a document or less are broadcast, so that blocks never move
-        blocks = blocks.join(F.broadcast(marks) if marks.count() <= 20_000 else marks, "block", "left")
+        # two bits a document or less are broadcast, so that blocks move once alone
+        marks = F.broadcast(marks) if marks.count() <= 20_000 else marks
+        blocks = blocks.join(marks, "block", "left")
         turn = _turns(weights, fewer)
         counted = [written(_totals(_counted(blocks, turn, p, parts(fewer))), "perplexity-counts") for p in range(fewer)]
         done, counted = counted, reduce(DataFrame.union, counted)
@@ -535,11 +618,17 @@ def scored(documents: DataFrame, labels: DataFrame, quantile: float = QUANTILE)
         many = {r.c: r.n for r in ones}
         d = [_discounts([many.get(c, 0) for c in (1, 2, 3, 4)]), *(_discounts(n.get(k, [0] * 4)) for k in (2, 3))]
         single = (sum(r.a for r in ones), sum(r.n * d[0][min(r.c, 3) - 1] for r in ones), sum(many.values()))
-        known = written(_known(blocks, words, parts(passes)), "perplexity-known")
+        numbered = []
+        for some in portions:
+            known = written(_known(some, words, parts(passes)), "perplexity-known")
+            numbered.append(written(_numbered(some.join(marks, "block", "left"), known), "perplexity-numbers"))
+            for x in (some, known):
+                emptied(x)
         for x in done:
             emptied(x)
-        turn = _turns(weights, passes)
-        sums = [written(_scored(blocks, known, turn, p, parts(passes), d, single), "perplexity-sums") for p in range(passes)]
+        blocks = reduce(DataFrame.union, numbered)
+        turn = _turns(_weights(blocks), passes)
+        sums = [written(_scored(blocks, turn, p, parts(passes), d, single), "perplexity-sums") for p in range(passes)]
         rows = written(_rows(blocks, reduce(DataFrame.union, sums)), "perplexity-scores")
     return _judged(rows, quantile)
 

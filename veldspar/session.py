@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def get_session(app: str = "veldspar", cores: str = "*", partitions: int = 8) -> SparkSession:
@@ -54,6 +54,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_apart(df: DataFrame, label: str, part: Column) -> tuple[DataFrame, list[DataFrame]]:
+    """``written``, and the same rows as a table for each value of the whole number ``part``, which ``emptied`` takes one by one."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.withColumn("apart", part.cast("int")).write.partitionBy("apart").option("compression", "zstd").parquet(path)
+    whole = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, apart int").parquet(path)
+    found = sorted(r.apart for r in whole.select("apart").distinct().collect())
+    whole = whole.drop("apart")
+    return whole, [spark.read.schema(whole.schema).parquet(f"{path}/apart={i}") for i in found] or [whole]
+
+
 def emptied(df: DataFrame) -> None:
     """Replace a table of ``written`` that nothing reads any more by one without rows."""
     path = df.inputFiles()[0].rsplit("/", 1)[0] if df.inputFiles() else None
