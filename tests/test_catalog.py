@@ -1,6 +1,7 @@
 """Catalog queries against DuckDB, and examples of the column functions and operators."""
 
 import json
+import re
 
 import duckdb
 import pytest
@@ -84,6 +85,50 @@ def test_intent(spark):
     assert {x.use_case for x in told} == {"budget"}
 
 
+def test_requests_are_lower_cased_and_cut_once(spark):
+    frame = spark.range(1).select(F.concat(F.lit("SUV "), F.col("id").cast("string")).alias("query"))
+    plan = intent.parsed(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.count("split(") == 1
+    assert plan.count("RLIKE") < 20 and "[^a-z0-9_]" not in plan  # words are looked up, and this class takes Java ten times as long
+
+
+def test_first_words_of_phrases_belong_to_one_class():
+    classes = [*(("body", *c) for c in intent.BODIES), *(("fuel", *c) for c in intent.FUELS), *(("feature", *c) for c in intent.FEATURES), *(("make", name, [w]) for w, name in intent.MAKES), ("gears", "auto", intent.AUTOMATIC), ("gears", "manual", ["manual"])]
+    owners = {}
+    for part, name, words in classes:
+        for w in words:
+            owners.setdefault(re.split(r"\W", w)[0], set()).add((part, name))
+    assert all(len(x) == 1 for x in owners.values())
+
+
+def test_whole_words_among_odd_separators(spark):
+    said = ["land-rover", "Xland rover Lexus, LAND ROVER\n", "land roverx", "audi|bmw_ kia\tford", "\u00e9suv\u00e9", "pick up", "pick-up", "sun-roof sun roof", "anti lock", "android auto", "seat ventilations", "auto\r\n", "suv2", ""]
+    rows = intent.parsed(spark.createDataFrame(list(enumerate(said)), "i long, query string")).orderBy("i").collect()
+    for row in rows:
+        has = lambda words: any(re.search(rf"(^|[^a-z0-9_]){re.escape(w)}($|[^a-z0-9_])", row.query.lower()) for w in words)  # noqa: B023, E731
+        assert row.makes == [name for w, name in intent.MAKES if has([w])]
+        assert row.features == [name for name, words in intent.FEATURES if has(words)]
+        assert row.body_type == next((name for name, words in intent.BODIES if has(words)), None)
+        assert row.transmission == ("automatic" if has(intent.AUTOMATIC) else None)
+
+
+@pytest.mark.parametrize(
+    "said, price_min, price_max, mileage_min, mileage_max",
+    [
+        ("10to 12crore", 100_000_000, 120_000_000, None, None),
+        ("maximum 9 cr above 3", None, 90_000_000, None, None),
+        ("over7 to 8", 700_000, 800_000, None, None),
+        ("minimum\t5crores", 50_000_000, None, None, None),
+        ("land rover 6 under x", 600_000, None, None, None),
+        ("15 to 20 kmpl under 12 kmpl", 1_500_000, 2_000_000, 15.0, 20.0),
+        ("at least 14kmpl", None, None, 14.0, None),
+    ],
+)
+def test_numbers_of_requests(spark, said, price_min, price_max, mileage_min, mileage_max):
+    got = intent.parsed(spark.createDataFrame([(said,)], "query string")).first()
+    assert (got.price_min, got.price_max, got.mileage_min, got.mileage_max) == (price_min, price_max, mileage_min, mileage_max)
+
+
 def test_a_price_of_zero_scores_nothing(spark):
     row = spark.range(1).select(F.lit(0.0).alias("p"), F.lit(5.0).alias("cap"))
     assert row.select(ranking.price_points(F.col("p"), F.col("cap"), F.lit("city")).alias("x")).first().x == 0

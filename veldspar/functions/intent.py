@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +42,10 @@ MAKES = [
     ("bmw", "Bmw"), ("audi", "Audi"), ("land rover", "Land Rover"), ("lexus", "Lexus"), ("jaguar", "Jaguar"), ("porsche", "Porsche"), ("maserati", "Maserati"), ("lamborghini", "Lamborghini"),
     ("bentley", "Bentley"), ("ferrari", "Ferrari"), ("aston martin", "Aston Martin"), ("isuzu", "Isuzu"),
 ]
+# Words of an automatic transmission.
+AUTOMATIC = ["automatic", "amt", "cvt", "dct", "auto"]
+# Every word of the tables that counts as a whole one.
+_WORDS = list(dict.fromkeys([w for _, ws in [*BODIES, *FUELS, *FEATURES] for w in ws] + [w for w, _ in MAKES] + [*AUTOMATIC, "manual"]))
 # Words before a price or mileage.
 MOST_WORDS = ["under", "below", "less than", "max", "maximum", "upto", "up to"]
 LEAST_WORDS = ["above", "over", "more than", "min", "minimum"]
@@ -46,6 +53,11 @@ LEAST_WORDS = ["above", "over", "more than", "min", "minimum"]
 BODY_COLUMNS = {"suv": "Body_Type_SUV", "sedan": "Body_Type_Sedan", "hatchback": "Body_Type_Hatchback", "mpv": "Body_Type_MPV", "muv": "Body_Type_MUV", "coupe": "Body_Type_Coupe", "convertible": "Body_Type_Convertible", "pickup": "Body_Type_Pick-up", "wagon": "Body_Type_Wagon", "crossover": "Body_Type_Crossover", "sports": "Body_Type_Sports"}
 FEATURE_COLUMNS = {"sunroof": "Sunroof", "ventilated_seats": "Ventilated_Seats", "airbags": "Airbags", "abs": "ABS_(Anti-lock_Braking_System)", "cruise_control": "Cruise_Control", "android_auto": "Android_Auto", "apple_carplay": "Apple_CarPlay"}
 _UNIT = r"\s*(lakhs|lakh|crore|cr)?"
+_OTHER = r"(?![0-9])(?!\s*(?:kmpl|seater|-seater|km\b))"  # after a number that may be a price
+_SECOND = r"to\s*([0-9]+)"  # the second number of a range
+_SEATER = r"([0-9]+)[- ]?seater"
+_KM_SPAN, _KM_LEAST = r"([0-9]+)\s*to\s*([0-9]+)\s*kmpl", r"(?:above|more than|at least|min|minimum)\s*([0-9]+)\s*kmpl"
+_KM_MOST = r"(?:under|below|less than|max|maximum)\s*([0-9]+)\s*kmpl"
 
 
 def _any(words: list[str]) -> str:
@@ -53,11 +65,54 @@ def _any(words: list[str]) -> str:
 
 
 def _word(words: list[str]) -> str:
-    return rf"(^|[^a-z0-9_])({_any(words)})($|[^a-z0-9_])"
+    return rf"(?<![a-z0-9_])({_any(words)})(?![a-z0-9_])"  # [^a-z0-9_] takes Java's patterns ten times as long
 
 
-def _first(q: Column, classes: list[tuple[str, list[str]]], words: bool = True) -> Column:
-    return F.coalesce(*(F.when(q.rlike(_word(w) if words else _any(w)), name) for name, w in classes))
+def _part(q: Column, words: list[str]) -> Column:
+    """Whether a text has one of some words, as parts of words too."""
+    return reduce(or_, (q.contains(w) for w in words if not any(v in w for v in words if v != w)))
+
+
+def _whole(q: Column, words: list[str]) -> Column:
+    """Whether a text has one of some words as whole ones; the pattern is tried on texts that have it as a part."""
+    return _part(q, words) & q.rlike(_word(words))
+
+
+def _first(q: Column, classes: list[tuple[str, list[str]]], has: Callable[[Column, list[str]], Column] = _whole) -> Column:
+    return F.coalesce(*(F.when(has(q, words), name) for name, words in classes))
+
+
+def _texts(words: list[str]) -> Column:
+    return F.array(*map(F.lit, words))
+
+
+def _heads(words: list[str]) -> list[str]:
+    """First words of words and phrases, each once."""
+    return list(dict.fromkeys(re.split(r"\W", w)[0] for w in words))
+
+
+def _heads_in(q: Column) -> Column:
+    """First words of ``_WORDS`` that a lower-case text has as whole ones, in their order; none of a
+    null text.  The text is cut into words once, and they are looked up together."""
+    return F.array_intersect(_texts(_heads(_WORDS)), F.split(F.coalesce(q, F.lit("")), r"\W+"))
+
+
+def _phrase(words: str) -> str:
+    """The pattern of ``_word`` for one phrase; a literal at its begin is found faster."""
+    said = _any([words])
+    return f"{said}(?<![a-z0-9_]{said})(?![a-z0-9_])"
+
+
+def _said_in(q: Column, heads: Column) -> Column:
+    """Those ``heads`` (of :func:`_heads_in`) that are words of ``_WORDS``, or that their phrases follow: ``land`` of ``land rover``."""
+    phrases = {h: [w for w in _WORDS if _heads([w]) == [h]] for h in _heads([w for w in _WORDS if re.search(r"\W", w)])}
+    absent = [F.when(F.array_contains(heads, h) & ~reduce(or_, (q.rlike(_phrase(w)) for w in words)), h) for h, words in phrases.items()]
+    return F.array_except(heads, F.array(*absent))
+
+
+def _one_said(said: Column, words: list[str]) -> Column:
+    """Whether ``said`` (of :func:`_said_in`) has one of some words."""
+    return reduce(or_, (F.array_contains(said, h) for h in _heads(words)))
 
 
 def _extracted(q: Column, pattern: str, group: int = 1) -> Column:
@@ -69,37 +124,62 @@ def _rupees(q: Column, pattern: str, number: int, unit: int) -> Column:
     return F.try_multiply(_extracted(q, pattern, number).try_cast("bigint"), scale)  # null beyond a long
 
 
-def price_bounds(q: Column, compat: bool = True) -> tuple[Column, Column]:
-    """(least, most) rupees of a lower-case text: a range, else a cap, else a floor; lakh where
-    no unit is given.  Unless ``compat``, numbers of kmpl, seats and km are no prices."""
-    other = "" if compat else r"(?![0-9])(?!\s*(?:kmpl|seater|-seater|km\b))"
-    span = rf"([0-9]+)\s*to\s*([0-9]+){other}{_UNIT}"
-    cap, floor = rf"(?:{_any(MOST_WORDS)})\s*([0-9]+){other}{_UNIT}", rf"(?:{_any(LEAST_WORDS)})\s*([0-9]+){other}{_UNIT}"
-    ranged, capped = _extracted(q, span, 1).isNotNull(), _extracted(q, cap, 1).isNotNull()
-    low = F.when(ranged, _rupees(q, span, 1, 3)).when(~capped, _rupees(q, floor, 1, 2))
-    return low, F.when(ranged, _rupees(q, span, 2, 3)).otherwise(_rupees(q, cap, 1, 2))
+def price_patterns(compat: bool = True) -> dict[str, tuple[list[str], str]]:
+    """(words of which a text has one, pattern) of a range, a cap and a floor of prices.
+    Unless ``compat``, numbers of kmpl, seats and km are no prices."""
+    other = "" if compat else _OTHER
+    return {
+        "span": (["to"], rf"([0-9]+)\s*to\s*([0-9]+){other}{_UNIT}"),
+        "cap": (MOST_WORDS, rf"(?:{_any(MOST_WORDS)})\s*([0-9]+){other}{_UNIT}"),
+        "floor": (LEAST_WORDS, rf"(?:{_any(LEAST_WORDS)})\s*([0-9]+){other}{_UNIT}"),
+    }
+
+
+# (words of which a text has one, pattern) of seats and mileages.
+_PATTERNS = {"seater": (["seater"], _SEATER), "km_span": (["kmpl"], _KM_SPAN), "km_least": (["kmpl"], _KM_LEAST), "km_most": (["kmpl"], _KM_MOST)}
+
+
+def matches(q: Column, patterns: dict[str, tuple[list[str], str]]) -> dict[str, Column]:
+    """The part of a lower-case text that each pattern matches, null or empty if none."""
+    return {name: F.when(_part(q, words), F.regexp_extract(q, pattern, 0)) for name, (words, pattern) in patterns.items()}
 
 
-def seats(q: Column) -> Column:
-    return F.coalesce(_extracted(q, r"([0-9]+)[- ]?seater", 1).try_cast("int"), F.when(q.contains("large family") | q.contains("big family"), 7))
+def _number(match: Column, kind: str, pattern: str = "([0-9]+)") -> Column:
+    return F.regexp_extract(match, pattern, 1).try_cast(kind)
 
 
-def transmission(q: Column) -> Column:
-    auto, manual = q.rlike(_word(["automatic", "amt", "cvt", "dct", "auto"])), q.rlike(_word(["manual"]))
+def _price(match: Column, pattern: str = "([0-9]+)") -> Column:
+    scale = F.when(match.endswith("cr") | match.endswith("crore"), 10_000_000).otherwise(100_000)
+    return F.try_multiply(_number(match, "bigint", pattern), scale)  # null beyond a long
+
+
+def price_bounds(found: dict[str, Column]) -> tuple[Column, Column]:
+    """(least, most) rupees of the :func:`matches` of :func:`price_patterns`: a range, else a cap,
+    else a floor; lakh where no unit is given."""
+    ranged, capped = (F.coalesce(found[n] != "", F.lit(False)) for n in ("span", "cap"))
+    low = F.when(ranged, _price(found["span"])).when(~capped, _price(found["floor"]))
+    return low, F.when(ranged, _price(found["span"], _SECOND)).otherwise(_price(found["cap"]))
+
+
+def seats(q: Column, found: Column) -> Column:
+    return F.coalesce(_number(found, "int"), F.when(_part(q, ["large family", "big family"]), 7))
+
+
+def transmission(said: Column) -> Column:
+    auto, manual = _one_said(said, AUTOMATIC), _one_said(said, ["manual"])
     return F.when(auto & ~manual, "automatic").when(manual & ~auto, "manual")
 
 
-def makes(q: Column) -> Column:
+def makes(said: Column) -> Column:
     """Named makes in the order of the table, each once."""
-    return F.array_distinct(F.array_compact(F.array(*(F.when(q.rlike(_word([w])), name) for w, name in MAKES))))
+    return F.array_except(F.array(*(F.when(_one_said(said, [w]), name) for w, name in MAKES)), F.array(F.lit(None).cast("string")))
 
 
-def mileage_bounds(q: Column) -> tuple[Column, Column]:
-    """(least, most) km/l: a range, else a least, else a most, else 18 for vague praise; null is open."""
-    span, least = r"([0-9]+)\s*to\s*([0-9]+)\s*kmpl", r"(?:above|more than|at least|min|minimum)\s*([0-9]+)\s*kmpl"
-    most = r"(?:under|below|less than|max|maximum)\s*([0-9]+)\s*kmpl"
-    a, b, c, d = (_extracted(q, p, g).cast("double") for p, g in ((span, 1), (span, 2), (least, 1), (most, 1)))
-    vague = q.contains("good mileage") | q.contains("fuel efficient") | q.contains("high mileage")
+def mileage_bounds(q: Column, found: dict[str, Column]) -> tuple[Column, Column]:
+    """(least, most) km/l of the :func:`matches` of ``_PATTERNS``: a range, else a least, else a most, else 18 for vague praise; null is open."""
+    a, b = _number(found["km_span"], "double"), _number(found["km_span"], "double", _SECOND)
+    c, d = (_number(found[n], "double") for n in ("km_least", "km_most"))
+    vague = _part(q, ["good mileage", "fuel efficient", "high mileage"])
     low = F.when(a.isNotNull(), a).when(c.isNotNull(), c).when(d.isNotNull(), 0.0).when(vague, 18.0)
     return low, F.when(a.isNotNull(), b).when(c.isNull(), d)
 
@@ -110,23 +190,31 @@ def parsed(requests: DataFrame, text: str = "query", compat: bool = True, model:
     ``model``: columns with a trained classifier's labels of body_type, fuel_type,
     transmission and use_case, which count where no word decides.
     """
-    q, model = F.lower(F.col(text)), model or {}
-    low, high = price_bounds(q, compat)
-    m_low, m_high = mileage_bounds(q)
-    said = {"body_type": _first(q, BODIES), "fuel_type": _first(q, FUELS), "transmission": transmission(q), "use_case": _first(q, USES, words=False)}
+    model, patterns = model or {}, price_patterns(compat) | _PATTERNS
+    # What many parts read is a column, so that it is made once a row.
+    q, heads, said_ = F.col("intent: text"), F.col("intent: heads"), F.col("intent: said")
+    found = {n: F.col(f"intent: {n}") for n in patterns}
+    rows = requests.select("*", F.lower(F.col(text)).alias("intent: text"))
+    rows = rows.select("*", _heads_in(q).alias("intent: heads"), *(c.alias(f"intent: {n}") for n, c in matches(q, patterns).items()))
+    rows = rows.select("*", _said_in(q, heads).alias("intent: said"))
+    low, high = price_bounds(found)
+    m_low, m_high = mileage_bounds(q, found)
+    has = lambda _, words: _one_said(said_, words)
+    said = {"body_type": _first(q, BODIES, has), "fuel_type": _first(q, FUELS, has), "transmission": transmission(said_), "use_case": _first(q, USES, _part)}
     said = {k: F.coalesce(v, F.col(model[k])) if k in model else v for k, v in said.items()}
-    return requests.select(
+    out = rows.select(
         "*",
         low.alias("price_min"),
         high.alias("price_max"),
-        seats(q).alias("seats"),
+        seats(q, found["seater"]).alias("seats"),
         *(said[k].alias(k) for k in ("body_type", "fuel_type", "transmission")),
         F.coalesce(said["use_case"], F.lit("general")).alias("use_case"),
         m_low.alias("mileage_min"),
         m_high.alias("mileage_max"),
-        makes(q).alias("makes"),
-        F.array_compact(F.array(*(F.when(q.rlike(_word(w)), n) for n, w in FEATURES))).alias("features"),
+        makes(said_).alias("makes"),
+        F.array_compact(F.array(*(F.when(_one_said(said_, words), n) for n, words in FEATURES))).alias("features"),
     )
+    return out.drop(*(c for c in out.columns if c.startswith("intent: ")))
 
 
 def filter_map(intents: DataFrame) -> DataFrame:
